@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import reputation, warc
+from tallyloom.llm import extraction, fingerprint, mixing, packing, reputation, toxicity, warc
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_html_extraction": extraction.op7_html_extraction,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filter": reputation.op9_url_filter,
     "op10_warc": warc.op10_warc,
 }
