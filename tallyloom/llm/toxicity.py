@@ -30,16 +30,17 @@ WORD = re.compile(r"[^\W\d_]+")
 QUOTES = "\"“”„«»"
 #: Reporting words near a match that mark a quotation; fixed values.
 REPORTING = frozenset("said says say wrote writes called quote quoted quotes according reported claimed alleged dit disait écrit selon sagte schrieb laut zitiert nannte dijo escribió según llamó".split())
-FEATURES = ("exact", "misspelled", "quoted", "distinct", "share", "any")
+FEATURES = ("exact", "misspelled", "quoted", "distinct", "weight", "share")
 
 
 class Trie:
     """Words within one edit of a lexicon term. State sets hold (node, errors) pairs; transitions are remembered."""
 
-    def __init__(self, terms: list[str], errors: int = 1, shortest_fuzzy: int = 4):
+    def __init__(self, terms: dict[str, float], errors: int = 1, shortest_fuzzy: int = 4):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.errors = errors
+        self.weight = terms
         for word in terms:
             node = 0
             for letter in word:
@@ -136,7 +137,9 @@ def features(text: str, trie: Trie, window: int = 8) -> list[float]:
             misspelled += 1
         else:
             exact += 1
-    return [math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), math.log1p(len({t for *_, t, _ in found})), min(1.0, 20 * len(found) / words), 1.0]
+    terms = {t for _, _, t, errors in found if not errors}
+    weight = sum(min(4.0, trie.weight[t]) for t in terms)
+    return [math.log1p(exact), math.log1p(misspelled), math.log1p(quoted), math.log1p(len(terms)), weight / 4, min(1.0, 20 * len(found) / words)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> np.ndarray:
@@ -167,26 +170,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", as_text("text").alias("text")).join(F.broadcast(own), "doc_id").select("text", "toxic")
 
 
-def learn_lexicon(rows: DataFrame, least_share: float = 0.08, least_docs: int = 5, least_lift: float = 20.0) -> list[str]:
-    """Words in at least `least_share` of the toxic texts and `least_lift` times likelier there than in the others. At
-    most 1 / least_share words a text's worth of them can pass, so the list is short whatever the vocabulary."""
-    totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def learn_lexicon(rows: DataFrame, least_lift: float = 5.0, least_evidence: float = 24.0) -> dict[str, float]:
+    """Words `least_lift` times likelier in toxic texts than in others, with a log-likelihood ratio of the counts of at
+    least `least_evidence`, and the logarithms of their lifts. Copies of a text count once: texts are grouped by the
+    smallest hash of their words. The rows are a bounded sample, and so is what can pass."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,30})"), 1))
+    families = rows.select(words.alias("words"), "toxic").withColumn("family", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+    totals = {r["toxic"]: r["n"] for r in families.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not other:
-        return []
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,30})"), 1))
-    counts = rows.select(F.explode(words).alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    lift = (F.col("a") + 0.5) / (toxic + 1) / ((F.col("b") + 0.5) / (other + 1))
-    return sorted(r["word"] for r in counts.filter((F.col("a") >= max(least_docs, least_share * toxic)) & (lift >= least_lift)).collect())
-
-
-def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[float]]:
+        return {}
+    once = families.select(F.explode("words").alias("word"), "toxic", "family").distinct()
+    counts = once.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    n, expected = a + b, (a + b) * toxic / (toxic + other)
+    part = lambda seen, hoped: F.when(seen > 0, seen * F.log(seen / hoped)).otherwise(0.0)
+    evidence = 2 * (part(a, expected) + part(b, n - expected))
+    lift = (a + 0.5) / (toxic + 1) / ((b + 0.5) / (other + 1))
+    kept = counts.withColumn("lift", lift).filter((F.col("lift") >= least_lift) & (evidence >= least_evidence)).collect()
+    return {r["word"]: math.log(r["lift"]) for r in sorted(kept, key=lambda r: r["word"])}
+
+
+def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
     """Lexicon and weights; no more than about `sample` rows of counts come to the driver."""
     small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, sample)
     terms = learn_lexicon(rows)
     if not terms:
-        return [], []
+        return {}, []
 
     def make(stream: Iterator[dict]) -> Iterator[tuple]:
         trie = Trie(terms)
@@ -199,7 +210,7 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     return terms, fit(table[:, :-1], table[:, -1]).tolist()
 
 
-def score(docs: DataFrame, terms: list[str], weights: list[float]) -> DataFrame:
+def score(docs: DataFrame, terms: dict[str, float], weights: list[float]) -> DataFrame:
     """doc_id and score of every whole text, in one pass without a shuffle."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
