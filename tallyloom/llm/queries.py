@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import extraction, fingerprint, mixing, packing, reputation, toxicity, warc
+from tallyloom.llm import extraction, fingerprint, minhash, mixing, packing, reputation, toxicity, warc
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_minhash_dedup": minhash.op4_minhash_dedup,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_mixing": mixing.op6_mixing,
     "op7_html_extraction": extraction.op7_html_extraction,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_minhash_dedup": minhash.OP4_SQL,
     "op9_url_filter": reputation.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
