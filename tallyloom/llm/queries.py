@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import extraction, fingerprint, minhash, mixing, packing, reputation, toxicity, warc
+from tallyloom.llm import embeddings, extraction, fingerprint, minhash, mixing, packing, reputation, toxicity, warc
 
 QUERIES = {
+    "op2_embedding_dedup": embeddings.op2_embedding_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_minhash_dedup": minhash.op4_minhash_dedup,
     "op5_fingerprints": fingerprint.op5_fingerprints,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_embedding_dedup": embeddings.OP2_SQL,
     "op4_minhash_dedup": minhash.OP4_SQL,
     "op9_url_filter": reputation.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
