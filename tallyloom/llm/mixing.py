@@ -18,7 +18,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,6 @@ def ranked(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
         starts.append((part, before))
         before += counts[part]
     start = F.coalesce(*[F.when(F.col("part") == p, F.lit(b)) for p, b in starts], F.lit(0)) if starts else F.lit(0)
-    from pyspark.sql import Window
-
     within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     place = F.pmod(start + within, F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place.cast("int") + 1)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import embeddings, extraction, fingerprint, minhash, mixing, packing, reputation, toxicity, warc
+from tallyloom.llm import embeddings, extraction, fingerprint, minhash, mixing, packing, reputation, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_embedding_dedup": embeddings.op2_embedding_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_minhash_dedup": minhash.op4_minhash_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_embedding_dedup": embeddings.OP2_SQL,
     "op4_minhash_dedup": minhash.OP4_SQL,
     "op9_url_filter": reputation.OP9_SQL,
