@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,11 +38,37 @@ def fresh(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tallyloom/{kind}-{uuid.uuid4().hex}"
 
 
+#: Lists that collect the paths of the tables written while they are open; see collecting().
+_collectors: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting(paths: list[str]):
+    """Adds to `paths` where saved() writes inside the block, so that a caller who knows when a lazy result has been
+    used can discard() its intermediate tables."""
+    _collectors.append(paths)
+    try:
+        yield paths
+    finally:
+        _collectors.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables in the shared folder, whatever file system that is, and empties the list."""
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     """df written as Parquet in the shared folder and read again. This cuts the lineage, so that a lost executor costs
     only the running stage, and the table is stored compressed by column."""
     spark = df.sparkSession
     path = fresh(spark, kind)
+    if _collectors:
+        _collectors[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

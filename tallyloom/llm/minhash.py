@@ -169,6 +169,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs without near duplicates: of each group the document with the smallest id stays, once."""
+    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

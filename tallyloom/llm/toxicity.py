@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,9 +174,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def learn_lexicon(rows: DataFrame, least_lift: float = 5.0, least_evidence: float = 24.0) -> dict[str, float]:
     """Words `least_lift` times likelier in toxic texts than in others, with a log-likelihood ratio of the counts of at
     least `least_evidence`, and the logarithms of their lifts. Copies of a text count once: texts are grouped by the
-    smallest hash of their words. The rows are a bounded sample, and so is what can pass."""
+    smallest of three hashes of their words. The rows are a bounded sample, and so is what can pass."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,30})"), 1))
-    families = rows.select(words.alias("words"), "toxic").withColumn("family", F.array_min(F.transform("words", lambda w: F.xxhash64(w))))
+    families = rows.select(words.alias("words"), "toxic").withColumn("family", F.struct(*[F.expr(f"array_min(transform(words, w -> xxhash64(w, {k})))").alias(f"h{k}") for k in range(3)]))
     totals = {r["toxic"]: r["n"] for r in families.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not other:
@@ -210,26 +211,35 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     return terms, fit(table[:, :-1], table[:, -1]).tolist()
 
 
-def score(docs: DataFrame, terms: dict[str, float], weights: list[float]) -> DataFrame:
-    """doc_id and score of every whole text, in one pass without a shuffle."""
-    small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+def scorer(terms: dict[str, float], weights: list[float]):
+    """The score of a text column, made in Arrow batches in the scan's own stage."""
 
-    def make(stream: Iterator[dict]) -> Iterator[tuple]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trie = Trie(terms)
-        for row in stream:
-            if not weights:
-                yield row["doc_id"], 0.0
-                continue
-            z = weights[-1] + sum(w * x for w, x in zip(weights, features(row["text"], trie), strict=False))
-            yield row["doc_id"], 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        for texts in batches:
+            yield pd.Series([probability(features(t, trie), weights) if t and weights else probability([], weights) for t in texts], dtype="float64")
+
+    return score
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text("text").alias("text")).mapInArrow(with_rows(make, schema, flush=20_000), "doc_id long, score double")
+
+def probability(x: list[float], weights: list[float]) -> float:
+    if not weights:
+        return 0.0
+    z = weights[-1] + sum(w * v for w, v in zip(weights, x, strict=False))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def scored(docs: DataFrame, labels: DataFrame, column: str = "score", sample: int = SAMPLE) -> DataFrame:
+    """docs with the score of every whole text in one more column."""
+    small_batches(docs.sparkSession)
+    terms, weights = model(docs, labels, sample)
+    return docs.withColumn(column, scorer(terms, weights)(as_text("text")))
 
 
 def classified(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    got = score(docs, *model(docs, labels, sample))
+    got = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, "score", sample)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
