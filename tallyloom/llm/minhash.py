@@ -6,9 +6,10 @@ rarest postings of either (prefix merging, in one global order: rarest first); l
 looked up when a pair is counted. Candidates with enough collisions are confirmed on their full shingle sets. A pair at
 the similarity limit (0.75) collides in fewer than 32 of 64 coordinates with a probability of about 5 in a million.
 
-Large groups: equal sets are one node. Round one confirms each set against the smallest set of each of its posting
+Large groups: equal sets are one node. Round one confirms each set against the most central set of each of its posting
 lists (a star, not all pairs) and merges what is linked. Round two confirms the candidate pairs that still lie in
-different components; in lists of one component there are none, so a group of copies costs its size.
+different components; in lists of one component there are none. For the sets in the other lists the shingles that no
+other of them has are counted, which bounds every intersection exactly and leaves few pairs to confirm.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing. Texts of fewer than
 five words have one shingle of them all. Rows with equal texts are one group, whatever their ids; null ids are ignored
@@ -78,8 +79,10 @@ def prefixes(sets: DataFrame) -> DataFrame:
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     own = postings.join(shared, "key").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
     take = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("shared"))
-    kept = own.filter(take > 0).select("sid", F.slice("shared", F.lit(1), take).getField("key").alias("keys"))
-    return saved(kept.join(sets.select("sid", "sig"), "sid"), "prefixes")
+    # How near a set is to the middle of its group: members that agree with most others make the best pivots.
+    centre = F.aggregate("shared", F.lit(0.0), lambda s, x: s + F.log(x["n"]))
+    kept = own.filter(take > 0).select("sid", F.slice("shared", F.lit(1), take).getField("key").alias("keys"), centre.alias("centre"))
+    return saved(kept.join(sets.select("sid", "sig", "n_shingles"), "sid"), "prefixes")
 
 
 def agreeing(left, right):
@@ -87,28 +90,52 @@ def agreeing(left, right):
 
 
 def star_pairs(table: DataFrame) -> DataFrame:
-    """Every set with the smallest set of each of its posting lists."""
-    lists = table.select("sid", F.explode("keys").alias("key"))
-    pivots = lists.groupBy("key").agg(F.min("sid").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    """Every set with the most central set of each of its posting lists."""
+    lists = table.select("sid", "centre", F.explode("keys").alias("key"))
+    pivots = lists.groupBy("key").agg(F.max(F.struct("centre", "sid")).getField("sid").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     pairs = lists.join(pivots, "key").filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
     left = table.select(F.col("sid").alias("a"), F.col("sig").alias("sig_a"))
     right = table.select(F.col("sid").alias("b"), F.col("sig").alias("sig_b"))
     return pairs.join(left, "a").join(right, "b").filter(agreeing(F.col("sig_a"), F.col("sig_b")) >= MATCHES).select("a", "b")
 
 
-def crossing_pairs(table: DataFrame, merged: DataFrame, tried: DataFrame) -> DataFrame:
+SHINGLE = pa.schema([("sid", pa.int64()), ("shingle", pa.int64())])
+
+
+def shingle_rows(rows: Iterator[dict]) -> Iterator[tuple]:
+    memo = WordHashes()
+    for row in rows:
+        yield from ((row["sid"], x) for x in np.unique(shingles_of(words_of(row["text"]), memo, WIDTH)).view(np.int64).tolist())
+
+
+def supported(texts: DataFrame) -> DataFrame:
+    """sid, support: how many of a set's shingles some other set of `texts` has. No intersection can be larger."""
+    rows = saved(texts.select("sid", "text").mapInArrow(with_rows(shingle_rows, SHINGLE, flush=50_000), "sid long, shingle long"), "shingles")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    return rows.join(shared, "shingle").groupBy("sid").agg(F.count(F.lit(1)).alias("support"))
+
+
+def crossing_pairs(table: DataFrame, texts: DataFrame, merged: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Candidates between different components. In each posting list the members outside its largest component meet the
-    others; a list of one component yields nothing. A pair is counted in the first list that both have."""
-    labelled = table.join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lists = labelled.select("sid", "component", "sig", "keys", F.explode("keys").alias("key"))
+    others; a list of one component yields nothing. A pair is counted in the first list that both have, and only if
+    their sizes and supports leave room for the similarity asked for: copies with many edits of their own have low
+    support, so in a large group they meet few partners."""
+    labelled = table.drop("centre").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    lists = labelled.select("sid", "component", F.explode("keys").alias("key"))
     tally = lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = tally.groupBy("key").agg(F.max(F.struct("n", "component")).getField("component").alias("major"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
-    open_lists = saved(lists.join(mixed, "key"), "lists")
-    minor = open_lists.filter("component <> major").select("key", F.col("sid").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"), F.col("keys").alias("ka"))
-    every = open_lists.select("key", F.col("sid").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"), F.col("keys").alias("kb"), "major")
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-    enough = agreeing(F.col("sa"), F.col("sb")) >= MATCHES
-    met = minor.join(every, (minor.key == every.key) & apart & enough).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    entries = saved(lists.join(mixed, "key"), "lists")
+    open_sets = saved(entries.select("sid").distinct(), "open")
+    support = supported(texts.join(open_sets, "sid"))
+    facts = open_sets.join(support, "sid", "left").join(labelled.select("sid", "sig", "keys", "n_shingles"), "sid").withColumn("support", F.coalesce("support", F.lit(0)))
+    open_lists = saved(entries.join(facts, "sid"), "lists")
+    sides = [open_lists.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "component", "sig", "keys", "n_shingles", "support")], "major") for x in "ab"]
+    minor, every = sides[0].filter("component_a <> major").drop("major"), sides[1].withColumnRenamed("key", "key_b")
+    apart = F.expr("key = key_b AND component_a <> component_b AND (component_b = major OR sid_a < sid_b)")
+    both = F.least("support_a", "support_b", "n_shingles_a", "n_shingles_b")
+    room = 100 * both >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - both)
+    enough = (agreeing(F.col("sig_a"), F.col("sig_b")) >= MATCHES) & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key"))
+    met = minor.join(every, apart & room & enough).select(F.least("sid_a", "sid_b").alias("x"), F.greatest("sid_a", "sid_b").alias("y")).distinct()
     known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     return met.join(known, ["x", "y"], "left_anti").select(F.col("y").alias("a"), F.col("x").alias("b"))
 
@@ -149,7 +176,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     signed = signatures(docs)
-    sets = signed.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("pick"), F.first("sig").alias("sig"), F.min("doc_id").alias("least_id"))
+    sets = signed.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("pick"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"))
     sets = saved(sets, "sets")
     table = prefixes(sets)
     picks = table.select("sid").join(sets.select("sid", "pick"), "sid").select("sid", F.col("pick.doc_id").alias("_id"), F.col("pick.text_hash").alias("_hash"))
@@ -158,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = saved(keyed.join(picks, same).select("sid", "text"), "texts").dropDuplicates(["sid"])
     first = saved(star_pairs(table), "pairs")
     links = saved(confirmed(first, texts, percent), "links")
-    second = saved(crossing_pairs(table, components(links), first), "pairs")
+    second = saved(crossing_pairs(table, texts, components(links), first, percent), "pairs")
     links = links.unionByName(saved(confirmed(second, texts, percent), "links"))
     merged = components(links)
     named = sets.select("sid", "least_id").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
