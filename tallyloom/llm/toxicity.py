@@ -176,7 +176,8 @@ def learn_lexicon(rows: DataFrame, least_lift: float = 5.0, least_evidence: floa
     least `least_evidence`, and the logarithms of their lifts. Copies of a text count once: texts are grouped by the
     smallest of three hashes of their words. The rows are a bounded sample, and so is what can pass."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,30})"), 1))
-    families = rows.select(words.alias("words"), "toxic").withColumn("family", F.struct(*[F.expr(f"array_min(transform(words, w -> xxhash64(w, {k})))").alias(f"h{k}") for k in range(3)]))
+    family = F.struct(*[F.expr(f"array_min(transform(split(text, '[ \\n]+'), w -> xxhash64(w, {k})))").alias(f"h{k}") for k in range(3)])
+    families = rows.select(words.alias("words"), "toxic", family.alias("family"))
     totals = {r["toxic"]: r["n"] for r in families.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not other:
