@@ -186,10 +186,10 @@ def nearest_term(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(CASE WHEN l_tax <= 0 THEN l_extendedprice / l_quantity ELSE l_extendedprice * (l_tax * 10 / 100.0) * pow(1 + l_tax * 10 / 100.0, l_quantity) / (pow(1 + l_tax * 10 / 100.0, l_quantity) - 1) END, 2) AS instalment FROM lineitem
+SELECT l_orderkey, l_linenumber, round(l_extendedprice * r * pow(1 + r, l_quantity) / (pow(1 + r, l_quantity) - 1), 2) AS instalment FROM (SELECT *, (l_tax * 10 + 0.5) / 100.0 AS r FROM lineitem)
 """)
 def annuity_offers(spark, sf):
-    pay = finance.instalment(F.col("l_extendedprice"), F.col("l_tax") * 10, F.col("l_quantity"))
+    pay = finance.instalment(F.col("l_extendedprice"), F.col("l_tax") * 10 + 0.5, F.col("l_quantity"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", pay.alias("instalment"))
 
 
