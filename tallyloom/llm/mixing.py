@@ -127,8 +127,10 @@ def cube(units: DataFrame, group: str, seed: int) -> DataFrame:
         chunk = F.pmod(F.xxhash64("row_key", F.lit(seed + turn)), F.ceil(F.col("_n") / CHUNK))
         dealt = units.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_chunk", chunk).drop("_g", "_n")
 
-        def part(pdf: pd.DataFrame, f=run(False)) -> pd.DataFrame:
-            return f(pdf.drop(columns="_chunk"))
+        move = run(False)
+
+        def part(pdf: pd.DataFrame) -> pd.DataFrame:  # one argument: a second would be taken for the key
+            return move(pdf.drop(columns="_chunk"))
 
         moved = saved(dealt.groupBy(group, "_chunk").applyInPandas(part, schema), "flight")
         done, units, turn = done.unionByName(moved.filter(whole)), moved.filter(~whole), turn + 1
