@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     picks = table.select("sid").join(sets.select("sid", "pick"), "sid").select("sid", F.col("pick.doc_id").alias("_id"), F.col("pick.text_hash").alias("_hash"))
     keyed = keyed_texts(docs)
     same = keyed.doc_id.eqNullSafe(picks._id) & (keyed.text_hash == picks._hash)
-    texts = saved(keyed.join(picks, same).select("sid", "text"), "texts").dropDuplicates(["sid"])
+    texts = saved(keyed.join(picks, same).select("sid", "text").dropDuplicates(["sid"]), "texts")
     first = saved(star_pairs(table), "pairs")
     links = saved(confirmed(first, texts, percent), "links")
     second = saved(crossing_pairs(table, texts, components(links), first, percent), "pairs")
