@@ -21,20 +21,35 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import as_text, saved, small_batches, with_rows
 
 #: Entries of a worker's memo of words.
-WORDS = 600_000
+WORDS = 1_000_000
+#: The tokenizer's pattern, for ASCII words and for words of Latin letters.
 _PRE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_PRE_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words that composition leaves alone and that lower letter by letter.
+_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level model has for each byte: itself if it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = byte_letters()
 
 
 class WordIds(dict):
     """Word without white space (UTF-8) to the bytes of its little-endian 32-bit ids. The tokenizer drops white space and
-    no token spans it, so a text's ids are those of its words one after the other. ASCII words are cut here by the
-    tokenizer's own pattern and go straight to its BPE model; others take its whole path."""
+    no token spans it, so a text's ids are those of its words one after the other. Words of Latin letters are cut here by
+    the tokenizer's own pattern and go straight to its BPE model; others take its whole path."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,7 +64,8 @@ class WordIds(dict):
         if got is None:
             if len(self.parts) >= WORDS:
                 self.parts.clear()
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(part.decode())], "<u4").tobytes()
+            letters = part.decode("latin-1").translate(_LETTERS)
+            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
         return got
 
     def __missing__(self, word: bytes) -> bytes:
@@ -57,8 +73,10 @@ class WordIds(dict):
             self.clear()
         if word.isascii():
             got = b"".join(map(self.part, _PRE.findall(word.lower())))
+        elif _LATIN.fullmatch(text := word.decode()):
+            got = b"".join(self.part(p.encode()) for p in _PRE_LATIN.findall(text.lower()))
         else:
-            got = self.whole(word.decode())
+            got = self.whole(text)
         self[word] = got
         return got
 
@@ -71,13 +89,23 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
+_worker: dict[str, WordIds] = {}
+
+
+def worker_memo(path: str) -> WordIds:
+    """One memo a Python worker, kept from task to task."""
+    if path not in _worker:
+        _worker[path] = WordIds(path)
+    return _worker[path]
+
+
 PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cutter(path: str, capacity: int, end_id: int):
     def make(rows: Iterator[dict]) -> Iterator[tuple]:
-        memo = WordIds(path)
+        memo = worker_memo(path)
         end = int(end_id).to_bytes(4, "little")
         for row in rows:
             ids = memo.text(row["text"]) + end
