@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions import html
-from tallyloom.operators import facts, filters, labels, ranking
+from tallyloom.functions import html, text
+from tallyloom.operators import extraction, facts, filters, labels, ranking
 from tallyloom.plans import question
 from tallyloom.plans.registry import query, table
 from tallyloom.sources import feeds
@@ -122,3 +122,23 @@ def missing_is_reported(spark, sf):
     c = table(spark, sf, "customer").withColumn("v", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")))
     ranked = ranking.rank_with_missing(c, "v", ["c_nationkey", "c_mktsegment"], "c_custkey")
     return ranked.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_tax * 100, 2) AS rate, l_quantity::INT AS months, l_quantity::INT * 1000 AS spend, l_linenumber AS instalments, l_shipdate::DATE AS until FROM lineitem WHERE l_orderkey % 10 = 3
+""")
+def rule_facts_roundtrip(spark, sf):
+    """Campaign sentences written from rows, read back as facts, pivoted to metrics. The filter is part of the question."""
+    q = F.col("l_quantity").cast("int").cast("string")
+    sentence = F.concat(
+        F.lit("Aylık %"), text.number_tr(F.col("l_tax") * 100), F.lit(" kâr payı ile "), q, F.lit(" ay vade. "), q, F.lit(" bin TL ve üzeri alışverişlere "), F.col("l_linenumber").cast("string"), F.lit(" taksit. Son gün "), text.date_tr(F.to_date("l_shipdate")), F.lit("."),
+    )
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    docs = table(spark, sf, "lineitem").filter("l_orderkey % 10 = 3").select(key.alias("k"), sentence.alias("t"))
+    found = extraction.first_facts(extraction.rule_facts(docs, "k", "t"), "k")
+    wide = facts.to_metrics(found, "k", "field", "value", ["profit_rate_pct", "term_months_min", "min_spend", "installment_count", "end_date"])
+    part = lambda i: F.get(F.split("k", "-"), F.lit(i))
+    return wide.select(
+        part(0).cast("long").alias("l_orderkey"), part(1).cast("int").alias("l_linenumber"), F.round(F.col("profit_rate_pct").cast("double"), 2).alias("rate"), F.col("term_months_min").cast("int").alias("months"),
+        F.col("min_spend").cast("double").cast("int").alias("spend"), F.col("installment_count").cast("int").alias("instalments"), F.col("end_date").cast("date").alias("until"),
+    )
