@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_embedding_dedup": embeddings.OP2_SQL,
     "op4_minhash_dedup": minhash.OP4_SQL,
     "op9_url_filter": reputation.OP9_SQL,
