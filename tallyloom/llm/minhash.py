@@ -9,7 +9,8 @@ the similarity limit (0.75) collides in fewer than 32 of 64 coordinates with a p
 Large groups: equal sets are one node. Round one confirms each set against the most central set of each of its posting
 lists (a star, not all pairs) and merges what is linked. Round two confirms the candidate pairs that still lie in
 different components; in lists of one component there are none. For the sets in the other lists the shingles that no
-other of them has are counted, which bounds every intersection exactly and leaves few pairs to confirm.
+other of them has are counted and bitmaps of the sets are compared; both bound every intersection, so that few pairs are left
+to confirm.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing. Texts of fewer than
 five words have one shingle of them all. Rows with equal texts are one group, whatever their ids; null ids are ignored
@@ -99,43 +100,60 @@ def star_pairs(table: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(agreeing(F.col("sig_a"), F.col("sig_b")) >= MATCHES).select("a", "b")
 
 
-SHINGLE = pa.schema([("sid", pa.int64()), ("shingle", pa.int64())])
+BITS = 1024
+SHINGLED = pa.schema([("sid", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
 
-def shingle_rows(rows: Iterator[dict]) -> Iterator[tuple]:
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit words: which residues the shingles take."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(shingles >> np.uint64(13)) & np.uint64(BITS - 1)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def shingled_rows(rows: Iterator[dict]) -> Iterator[tuple]:
     memo = WordHashes()
     for row in rows:
-        yield from ((row["sid"], x) for x in np.unique(shingles_of(words_of(row["text"]), memo, WIDTH)).view(np.int64).tolist())
+        shingles = np.unique(shingles_of(words_of(row["text"]), memo, WIDTH))
+        yield row["sid"], shingles.view(np.int64), bitmap(shingles)
+
+
+def bounded(texts: DataFrame) -> DataFrame:
+    """sid, bits, support: how many of a set's shingles some other set of `texts` has. No intersection can be larger."""
+    rows = saved(texts.select("sid", "text").mapInArrow(with_rows(shingled_rows, SHINGLED, flush=500), "sid long, shingles array<long>, bits array<long>"), "shingles")
+    each = rows.select("sid", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
+    support = each.join(shared, "shingle").groupBy("sid").agg(F.count(F.lit(1)).alias("support"))
+    return rows.select("sid", "bits").join(support, "sid", "left").withColumn("support", F.coalesce("support", F.lit(0)))
 
 
-def supported(texts: DataFrame) -> DataFrame:
-    """sid, support: how many of a set's shingles some other set of `texts` has. No intersection can be larger."""
-    rows = saved(texts.select("sid", "text").mapInArrow(with_rows(shingle_rows, SHINGLE, flush=50_000), "sid long, shingle long"), "shingles")
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("shingle")
-    return rows.join(shared, "shingle").groupBy("sid").agg(F.count(F.lit(1)).alias("support"))
+def lacking(left, right):
+    """How many residues of the left bitmap the right one lacks: as many shingles of the left set at least are not in the
+    right one."""
+    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
 
 
 def crossing_pairs(table: DataFrame, texts: DataFrame, merged: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Candidates between different components. In each posting list the members outside its largest component meet the
     others; a list of one component yields nothing. A pair is counted in the first list that both have, and only if
-    their sizes and supports leave room for the similarity asked for: copies with many edits of their own have low
-    support, so in a large group they meet few partners."""
+    their sizes, supports and bitmaps leave room for the similarity asked for: copies with many edits of their own have
+    low support and differ in their bitmaps, so in a large group they meet few partners."""
     labelled = table.drop("centre").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     lists = labelled.select("sid", "component", F.explode("keys").alias("key"))
     tally = lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = tally.groupBy("key").agg(F.max(F.struct("n", "component")).getField("component").alias("major"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
     entries = saved(lists.join(mixed, "key"), "lists")
     open_sets = saved(entries.select("sid").distinct(), "open")
-    support = supported(texts.join(open_sets, "sid"))
-    facts = open_sets.join(support, "sid", "left").join(labelled.select("sid", "sig", "keys", "n_shingles"), "sid").withColumn("support", F.coalesce("support", F.lit(0)))
+    facts = bounded(texts.join(open_sets, "sid")).join(labelled.select("sid", "sig", "keys", "n_shingles"), "sid")
     open_lists = saved(entries.join(facts, "sid"), "lists")
-    sides = [open_lists.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "component", "sig", "keys", "n_shingles", "support")], "major") for x in "ab"]
+    sides = [open_lists.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "component", "sig", "keys", "n_shingles", "support", "bits")], "major") for x in "ab"]
     minor, every = sides[0].filter("component_a <> major").drop("major"), sides[1].withColumnRenamed("key", "key_b")
     apart = F.expr("key = key_b AND component_a <> component_b AND (component_b = major OR sid_a < sid_b)")
     both = F.least("support_a", "support_b", "n_shingles_a", "n_shingles_b")
-    room = 100 * both >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - both)
+    room = lambda most: 100 * most >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - most)
+    tight = F.least(F.col("n_shingles_a") - lacking(F.col("bits_a"), F.col("bits_b")), F.col("n_shingles_b") - lacking(F.col("bits_b"), F.col("bits_a")))
     enough = (agreeing(F.col("sig_a"), F.col("sig_b")) >= MATCHES) & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key"))
-    met = minor.join(every, apart & room & enough).select(F.least("sid_a", "sid_b").alias("x"), F.greatest("sid_a", "sid_b").alias("y")).distinct()
+    met = minor.join(every, apart & room(both) & enough & room(tight)).select(F.least("sid_a", "sid_b").alias("x"), F.greatest("sid_a", "sid_b").alias("y")).distinct()
     known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     return met.join(known, ["x", "y"], "left_anti").select(F.col("y").alias("a"), F.col("x").alias("b"))
 
