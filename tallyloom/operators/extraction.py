@@ -26,20 +26,21 @@ def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """ident, field, value, unit, raw, evidence, at (place in the lowered text), confidence. A percentage beside words of
     discounts or rebates is no rate; several different rates lower the confidence to 0.60; limits need a currency word."""
     low = F.col("_low")
-    ready = docs.select(F.col(ident), parse.lowered(F.col(text)).alias("_low"))
+    ready = parse.with_date_range(docs.select(F.col(ident), parse.lowered(F.col(text)).alias("_low")), "_low", "_period", True)
+    ready = ready.withColumns({"_amounts": parse.money_range(low, True), "_months": parse.term_months(low, True)})
     rate_raw = F.regexp_extract(low, rf"%\s*{parse.NUMBER}|{parse.NUMBER}\s*%|yüzde\s*{parse.NUMBER}", 0)
     around = F.substring(low, 1, 1 << 30).substr(F.greatest(F.lit(1), F.instr(low, rate_raw) - 40), F.length(rate_raw) + 80)
     rates = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"%\s*({parse.NUMBER})"), 1))
     one_rate = F.when(F.size(rates) > 1, 0.60).otherwise(0.90)
     rate = F.when((rate_raw != "") & ~around.rlike(NOT_A_RATE), parse.rate(low, True))
     term_raw = F.regexp_extract(low, rf"{parse.TERM_RANGE}|{parse.TERM}", 0)
-    months = parse.term_months(low, True)
+    months = F.col("_months")
     amount_raw = F.regexp_extract(low, rf"{parse.NUMBER}{parse.MULTIPLIER}\s*{parse.CURRENCY_WORD}", 0)
-    amounts = parse.money_range(low, True)
+    amounts = F.col("_amounts")
     has_money, spends = amount_raw != "", low.rlike(SPEND)
     taksit_raw = F.regexp_extract(low, r"\d+\s*(?:ay\w*\s*)?(?:varan\s*|kadar\s*)?taksit", 0)
-    period = parse.date_range_tr(low, True)
-    end_raw = F.regexp_extract(low, r"\d{1,2}\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{4}|\d{1,2}\s+\w+\s+\d{4}", 0)
+    period = F.col("_period")
+    end_raw = F.regexp_extract(low, r"\d{1,2}\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{4}|\d{1,2}\s+\p{L}+\s+\d{4}", 0)
     reward = reduce(lambda out, r: out.when(low.rlike(r[1]), r[0]), REWARDS[1:], F.when(low.rlike(REWARDS[0][1]), REWARDS[0][0]))
     reward_raw = reduce(lambda out, r: out.when(low.rlike(r[1]), F.regexp_extract(low, r[1], 0)), REWARDS[1:], F.when(low.rlike(REWARDS[0][1]), F.regexp_extract(low, REWARDS[0][1], 0)))
     dated = F.when(period["precision"] == "exact", 0.90).otherwise(0.60)

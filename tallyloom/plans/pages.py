@@ -125,16 +125,16 @@ def missing_is_reported(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_tax * 100, 2) AS rate, l_quantity::INT AS months, l_quantity::INT * 1000 AS spend, l_linenumber AS instalments, l_shipdate::DATE AS until FROM lineitem WHERE l_orderkey % 10 = 3
+SELECT DISTINCT l_orderkey, l_linenumber, round(l_tax * 100, 2) AS rate, l_quantity::INT AS months, l_quantity::INT * 1000 AS spend, l_linenumber AS instalments, l_shipdate::DATE AS until FROM lineitem
 """)
 def rule_facts_roundtrip(spark, sf):
-    """Campaign sentences written from rows, read back as facts, pivoted to metrics. The filter is part of the question."""
+    """Campaign sentences written from rows, read back as facts, pivoted to metrics."""
     q = F.col("l_quantity").cast("int").cast("string")
     sentence = F.concat(
         F.lit("Aylık %"), text.number_tr(F.col("l_tax") * 100), F.lit(" kâr payı ile "), q, F.lit(" ay vade. "), q, F.lit(" bin TL ve üzeri alışverişlere "), F.col("l_linenumber").cast("string"), F.lit(" taksit. Son gün "), text.date_tr(F.to_date("l_shipdate")), F.lit("."),
     )
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    docs = table(spark, sf, "lineitem").filter("l_orderkey % 10 = 3").select(key.alias("k"), sentence.alias("t"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_tax", "l_quantity", F.date_format("l_shipdate", "yyyyMMdd"))
+    docs = table(spark, sf, "lineitem").select(key.alias("k"), sentence.alias("t")).distinct()
     found = extraction.first_facts(extraction.rule_facts(docs, "k", "t"), "k")
     wide = facts.to_metrics(found, "k", "field", "value", ["profit_rate_pct", "term_months_min", "min_spend", "installment_count", "end_date"])
     part = lambda i: F.get(F.split("k", "-"), F.lit(i))

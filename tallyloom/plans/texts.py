@@ -78,8 +78,8 @@ def turkish_date_roundtrip(spark, sf):
     spelled = F.concat(F.lit("son gün "), text.date_tr(day), F.lit(" saat 23.59"))
     ranged = F.concat(text.date_tr(day), F.lit(" – "), text.date_tr(F.date_add(day, 40)))
     written = table(spark, sf, "orders").select("o_orderkey", spelled.alias("t"), F.date_format(day, "d.M.yyyy").alias("n"), ranged.alias("r"))
-    period = parse.date_range_tr(F.col("r"))
-    return written.select("o_orderkey", parse.date_tr(F.col("t")).alias("d"), parse.date_tr(F.col("n")).alias("numeric_d"), period["start"].alias("s"), period["end"].alias("e"))
+    read = parse.with_date_range(written, "r", "period")
+    return read.select("o_orderkey", parse.date_tr(F.col("t")).alias("d"), parse.date_tr(F.col("n")).alias("numeric_d"), F.col("period.start").alias("s"), F.col("period.end").alias("e"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_tax * 100, 2) AS rate, l_quantity::INT AS lo, l_quantity::INT + 12 AS hi, l_linenumber AS installments, l_quantity::INT * 1000 AS least FROM lineitem")

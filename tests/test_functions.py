@@ -62,11 +62,14 @@ def test_date_tr(spark, t, want):
 
 
 def test_date_range(spark):
-    got = one(spark, "10 Temmuz – 7 Ağustos 2026", parse.date_range_tr)
-    assert (str(got.start), str(got.end), got.precision) == ("2026-07-10", "2026-08-07", "inferred")
-    got = one(spark, "20 Aralık - 5 Ocak 2026", parse.date_range_tr)
-    assert (str(got.start), str(got.end)) == ("2025-12-20", "2026-01-05")
-    assert one(spark, "son gün 3 Mart 2026", parse.date_range_tr).precision == "partial"
+    wanted = {
+        "01.01.2026 - 31.12.2026": ("2026-01-01", "2026-12-31", "exact"), "6 Ağustos 2026 - 31 Aralık 2026": ("2026-08-06", "2026-12-31", "exact"), "1-31 Ağustos 2026": ("2026-08-01", "2026-08-31", "exact"),
+        "10 Temmuz – 7 Ağustos 2026": ("2026-07-10", "2026-08-07", "inferred"), "20 Aralık - 5 Ocak 2026": ("2025-12-20", "2026-01-05", "inferred"), "Son Gün 31.12.2026": (None, "2026-12-31", "partial"),
+        "5 Oca 2026 tarihinden itibaren 7 Şub 2026 tarihine kadar": ("2026-01-05", "2026-02-07", "exact"), "09-02-2026": (None, None, "unknown"), "8 Haziran 2026 saat 09.00 - 30 Haziran 2026": ("2026-06-08", "2026-06-30", "exact"),
+    }
+    rows = parse.with_date_range(spark.createDataFrame([(t,) for t in [*wanted, None]], "t string"), "t", "p").collect()
+    got = {r.t: (r.p.start and str(r.p.start), r.p.end and str(r.p.end), r.p.precision) for r in rows}
+    assert got == wanted | {None: (None, None, "unknown")}
 
 
 def test_text(spark):
