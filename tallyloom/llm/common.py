@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
 #: Entries of a worker's memo of words; it is emptied when full, so memory is bounded whatever the vocabulary.
-MEMO = 400_000
+MEMO = 120_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,11 +75,11 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by bytes, since a few rows may hold very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def with_rows(make: Callable[[Iterator[dict]], Iterator[tuple]], schema: pa.Schema, flush: int = 2000, flush_bytes: int = 8 << 20) -> Callable:
+def with_rows(make: Callable[[Iterator[dict]], Iterator[tuple]], schema: pa.Schema, flush: int = 2000, flush_bytes: int = 4 << 20) -> Callable:
     """For mapInArrow: `make` gets an iterator of dicts and yields tuples; they leave in batches bounded by rows and,
     for text and binary fields, by bytes."""
     heavy = [i for i, f in enumerate(schema) if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import as_text, saved, small_batches, with_rows
 
 #: Entries of a worker's memo of words.
-WORDS = 1_000_000
+WORDS = 250_000
 #: The tokenizer's pattern, for ASCII words and for words of Latin letters.
 _PRE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PRE_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
