@@ -70,7 +70,15 @@ def saved(df: DataFrame, kind: str = "table") -> DataFrame:
     if _collectors:
         _collectors[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def used_up(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that no later step reads."""
+    for table in tables:
+        discard(table.sparkSession, [table.saved_at])
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -108,16 +116,6 @@ def with_rows(make: Callable[[Iterator[dict]], Iterator[tuple]], schema: pa.Sche
     return apply
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -127,26 +125,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, as UTF-8. bytes.lower and bytes.split know ASCII only,
-    which is just this rule."""
-    return text.encode("utf-8", "replace").lower().split() if text else []
+#: Fixed multiplier of the rolling combination of word hashes, and the odd value that stands for each byte in a word.
+STEP = 0x9E3779B97F4A7C15
+BYTE_VALUES = np.random.default_rng(4711).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: Longest run of powers that is kept; longer texts make their own.
+KEPT_POWERS = 1 << 20
 
 
-#: Fixed multiplier of the rolling combination of word hashes.
-STEP = np.uint64(0x9E3779B97F4A7C15)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def shingles_of(words: list[bytes], memo: WordHashes, width: int = 5) -> np.ndarray:
-    """64-bit hashes of the shingles of `width` words by position; of fewer words, one hash of them all; of none, none."""
-    n = len(words)
-    if not n:
+_kept: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n - 1) modulo 2**64."""
+    if n > KEPT_POWERS:
+        return _powers(base, n)
+    if base not in _kept or len(_kept[base]) < n:
+        _kept[base] = _powers(base, min(KEPT_POWERS, max(2 * n, 1 << 14)))
+    return _kept[base][:n]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, in arrays: a word's bytes are the difference of two prefix sums of
+    byte values times powers, brought back to the word's start by the inverse power."""
+    if not text:
+        return np.empty(0, np.uint64)
+    raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
+    edges = np.flatnonzero(np.diff(SPACES[raw], prepend=True, append=True))
+    start, end = edges[::2], edges[1::2]
+    if not len(start):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[raw] * powers(STEP, len(raw)), out=sums[1:])
+    inside = (sums[end] - sums[start]) * powers(pow(STEP, -1, 1 << 64), len(raw))[start]
+    return mixed(inside ^ (end - start).astype(np.uint64))
+
+
+def shingles_of(h: np.ndarray, width: int = 5) -> np.ndarray:
+    """64-bit hashes of the shingles of `width` words by position, from the hashes of the words; of fewer words, one hash of
+    them all; of none, none."""
+    n = len(h)
+    if not n:
+        return h
     k = min(width, n)
     rolled = h[: n - k + 1].copy()
     for j in range(1, k):
-        rolled *= STEP
+        rolled *= np.uint64(STEP)
         rolled += h[j : n - k + 1 + j]
     return mixed(rolled + np.uint64(k))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHashes, as_text, saved, shingles_of, small_batches, with_rows, words_of
+from tallyloom.llm.common import as_text, saved, shingles_of, small_batches, with_rows, word_hashes
 from tallyloom.llm.components import components
 
 COORDINATES, MATCHES, WIDTH = 64, 32, 5
@@ -53,9 +53,9 @@ SIGNED_DDL = "doc_id long, text_hash long, sid long, n_shingles long, sig array<
 
 
 def signed_rows(rows: Iterator[dict]) -> Iterator[tuple]:
-    memo, factors = WordHashes(), multipliers()
+    factors = multipliers()
     for row in rows:
-        shingles = np.unique(shingles_of(words_of(row["text"]), memo, WIDTH))
+        shingles = np.unique(shingles_of(word_hashes(row["text"]), WIDTH))
         if not len(shingles):
             yield row["doc_id"], row["text_hash"], None, 0, None
         else:
@@ -112,9 +112,8 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingled_rows(rows: Iterator[dict]) -> Iterator[tuple]:
-    memo = WordHashes()
     for row in rows:
-        shingles = np.unique(shingles_of(words_of(row["text"]), memo, WIDTH))
+        shingles = np.unique(shingles_of(word_hashes(row["text"]), WIDTH))
         yield row["sid"], shingles.view(np.int64), bitmap(shingles)
 
 
@@ -165,9 +164,9 @@ def confirmed_rows(percent: int):
     """Rows come sorted by (b, run): first the pivot's text, then the texts to compare with it."""
 
     def make(rows: Iterator[dict]) -> Iterator[tuple]:
-        memo, pivot, own = WordHashes(), None, None
+        pivot = own = None
         for row in rows:
-            mine = np.unique(shingles_of(words_of(row["text"]), memo, WIDTH))
+            mine = np.unique(shingles_of(word_hashes(row["text"]), WIDTH))
             if row["a"] is None:
                 pivot, own = row["b"], mine
                 continue

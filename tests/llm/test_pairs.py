@@ -4,12 +4,26 @@ import numpy as np
 import pytest
 
 from tallyloom.llm import embeddings, minhash, substrings
-from tallyloom.llm.common import WordHashes, shingles_of, words_of
+from tallyloom.llm.common import shingles_of, word_hashes
 from tallyloom.llm.components import components
 
 from .conftest import corpus, prose
 
 
+def words_of(text):
+    return text.encode("utf-8", "replace").lower().split() if text else []
+
+
+def test_word_hashes_tell_words_apart():
+    known = {}
+    for text in [*(t for _, t, *_ in corpus()), "\x0b a\x1cb ÀB àb  ", "x" * 3_000_000 + " y", "\ud800 ?"]:
+        words, hashes = words_of(text), word_hashes(text).tolist()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes, strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+
+
 def closure(ids, links):
     root = {i: i for i in ids}
 
@@ -121,7 +135,7 @@ def test_near_passage_with_one_edit_is_found(spark):
 
 @pytest.mark.parametrize("n", [46, 60, 500])
 def test_compact_windows_hold_every_long_subsequence_once(n):
-    shingles = shingles_of([b"%d" % (i * 7919 % 1000) for i in range(n + 4)], WordHashes())
+    shingles = shingles_of(word_hashes(" ".join(str(i * 7919 % 1000) for i in range(n + 4))))
     for keys, l, c, r in substrings.windows_of(shingles, 46):
         covered = 0
         for a, m, b in zip(l, c, r, strict=True):
