@@ -168,3 +168,30 @@ def test_embeddings_equal_brute_force(spark):
 
 def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_exact_passages_of_families_that_share_half_of_them_are_found(spark):
+    licence = prose(5000, 28)
+    rows, firsts = [], 60
+    for f in range(firsts):  # the same sentences in all families, then words of the family's own
+        passage = licence + " " + prose(6000 + f, 26)
+        rows += [(f, prose(7000 + f, 60) + " " + passage + " " + prose(7100 + f, 40)), (1000 + f, prose(7200 + f, 30) + " " + passage + " " + prose(7300 + f, 70))]
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    later = {r.doc_id: r for r in found if not r.is_first}
+    assert set(later) == {1000 + f for f in range(firsts)}
+    assert all(r.first_doc_id == i - 1000 and (r.start_word, r.end_word) == (30, 84) for i, r in later.items())
+    assert {r.doc_id for r in found if r.is_first} == set(range(firsts))
+
+
+def test_near_passages_that_resemble_no_pivot_meet_in_the_end(spark, monkeypatch):
+    """Of each family an early text has half of the passage, so that it is the pivot of most lists; with no stars only the
+    crossing pairs are left to find the near copies."""
+    monkeypatch.setattr(substrings, "STARS", 1)
+    rows = []
+    for f in range(12):
+        p = prose(8000 + f, 110).split()
+        q = list(p)
+        q[55] = "other"
+        rows += [(3 * f + i, prose(8100 + 10 * f + i, 50) + " " + " ".join(x) + " " + prose(8500 + 10 * f + i, 50)) for i, x in enumerate((p[:40], p, q))]
+    found = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i for i in range(36) if i % 3}
