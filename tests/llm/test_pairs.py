@@ -195,3 +195,16 @@ def test_near_passages_that_resemble_no_pivot_meet_in_the_end(spark, monkeypatch
         rows += [(3 * f + i, prose(8100 + 10 * f + i, 50) + " " + " ".join(x) + " " + prose(8500 + 10 * f + i, 50)) for i, x in enumerate((p[:40], p, q))]
     found = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i for i in range(36) if i % 3}
+
+
+def test_shortest_near_copies_meet_as_often_as_brute_force_finds_them(spark):
+    rows = []
+    for f in range(500):
+        p = prose(20_000 + f, 71).split()
+        q = list(p)
+        q[35] = "other"
+        rows += [(2 * f, " ".join(p)), (2 * f + 1, " ".join(q))]
+    places = {i: shingles_of(word_hashes(t)) for i, t in rows}
+    want = {i for i in places if i % 2 and substrings.shared_passages(places[i], places[i - 1], 46, 0.75)}
+    found = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r.is_first}
+    assert len(want) == 500 and found == want
