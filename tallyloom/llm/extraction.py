@@ -3,8 +3,9 @@
 The parser's events stream into lines, one per block element; a line knows its text, how many tags stand in it and
 whether it lies in boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) or in an
 article. The text-to-tag ratio of each line is smoothed with a Gaussian over its neighbours and a two-means threshold
-clusters the lines into content and rest. Where the page marks an article, its lines are the content region and the
-ratio decides nothing inside it; elsewhere the regions above the threshold are.
+clusters the lines into content and rest, on every page. Lines of an article or main element weigh more. Where most content
+lies in such elements, those with content are the result, with their short lines; else the region between the first and
+the last content line outside them is, and of small articles (teasers) in it only content lines.
 
 Edge cases: null, empty and broken html give what text the parser finds, possibly none (empty text). A page without any
 block is one line. Nesting of any depth and pages of any length are read in one pass without recursion.
@@ -39,14 +40,15 @@ _TOKENS = re.compile(r"[a-z0-9]+")
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, boilerplate, article) of the lines of a page."""
+    """Collects (text, tags, boilerplate, article) of the lines of a page; article numbers the outermost article or main, 0 is
+    none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
         self.open: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
         self.count: dict[str, int] = {}
-        self.bad = self.good = 0
+        self.bad = self.good = self.articles = 0
         self.parts: list[str] = []
         self.tags = 0
 
@@ -54,7 +56,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.bad > 0, self.good > 0))
+                self.lines.append((text, self.tags, self.bad > 0, self.articles if self.good else 0))
             self.parts = []
         self.tags = 0
 
@@ -68,10 +70,12 @@ class Lines(HTMLParser):
     def marked(name: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name in BOILERPLATE:
             return True
-        if not attrs or name in ("html", "body", "main", "article"):
+        if not attrs or name in ("html", "body", "main"):
             return False
         for key, value in attrs:
             value = (value or "").lower()
+            if name == "article" and key in ("class", "id"):  # "comment-item" tells what it is, "has-sidebar" doesn't
+                value = " ".join(t[0] for x in value.split() if (t := _TOKENS.findall(x)))
             if key in ("class", "id") and not MARKS.isdisjoint(_TOKENS.findall(value)):
                 return True
             if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
@@ -95,6 +99,7 @@ class Lines(HTMLParser):
             self.open.append((tag, bad, good))
             self.count[tag] = self.count.get(tag, 0) + 1
             self.bad += bad
+            self.articles += good and not self.good
             self.good += good
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -116,7 +121,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
 
-    def end(self) -> list[tuple[str, int, bool, bool]]:
+    def end(self) -> list[tuple[str, int, bool, int]]:
         self.close()
         self.line()
         return self.lines
@@ -141,30 +146,36 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+#: How much more the ratio of a line in an article or main element counts.
+ARTICLE_WEIGHT = 1.5
+
+
 def main_text(html: str, sigma: float = 1.0) -> str:
     parser = Lines()
     parser.feed(html)
     lines = parser.end()
     if not lines:
         return ""
-    inside = np.array([good for *_, good in lines])
+    article = np.array([good for *_, good in lines])
     clean = np.array([not bad for _, _, bad, _ in lines])
-    if (inside & clean).any():
-        keep = inside & clean
-    else:
-        ratios = np.array([0.0 if bad else len(text) / max(1, tags) for text, tags, bad, _ in lines])
-        smooth = smoothed(np.log1p(ratios), sigma)
-        cut = threshold(smooth[clean]) if clean.any() else 0.0
-        keep = clean & (smooth >= min(cut, float(smooth[clean].max())) - 1e-9) if clean.any() else clean
-        if keep.any():  # the region between its first and last content line, and a heading just above it
-            first, last = np.flatnonzero(keep)[[0, -1]]
-            while first and clean[first - 1] and len(lines[first - 1][0]) < 200 and parser_heading(lines, first - 1):
-                first -= 1
-            keep = clean & (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last)
+    if not clean.any():
+        return ""
+    inside = article > 0
+    ratios = np.array([0.0 if bad else len(text) / max(1, tags) for text, tags, bad, _ in lines])
+    smooth = smoothed(np.log1p(ratios) * np.where(inside, ARTICLE_WEIGHT, 1.0), sigma)
+    content = clean & (smooth >= min(threshold(smooth[clean]), float(smooth[clean].max())) - 1e-9)
+    mass = np.array([len(text) for text, *_ in lines]) * content
+    if mass[inside].sum() >= mass[~inside].sum():
+        keep = clean & inside & np.isin(article, article[content])
+    else:  # the region between its first and last content line, and a heading just above it
+        first, last = np.flatnonzero(content & ~inside)[[0, -1]]
+        while first and clean[first - 1] and len(lines[first - 1][0]) < 200 and parser_heading(lines, first - 1):
+            first -= 1
+        keep = clean & (np.arange(len(lines)) >= first) & (np.arange(len(lines)) <= last) & (content | ~inside)
     return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
 
 
-def parser_heading(lines: list[tuple[str, int, bool, bool]], at: int) -> bool:
+def parser_heading(lines: list[tuple[str, int, bool, int]], at: int) -> bool:
     """A short line of a single element."""
     text, tags, _, _ = lines[at]
     return tags <= 1 and len(text.split()) > 1

@@ -208,6 +208,15 @@ def test_extraction_without_article_clusters_lines():
     assert extraction.main_text(html) == "\n".join(prose(i, 60) for i in range(5))
 
 
+def test_extraction_of_a_page_with_article_teasers():
+    body = "".join(f"<p>{prose(i, 60)}</p>" for i in range(5))
+    teasers = "".join(f"<article><h3>More {i}</h3><a href=/{i}>read {i}</a></article>" for i in range(3))
+    html = f"<div><h1>The head</h1>{body}</div><section>{teasers}</section>"
+    assert extraction.main_text(html) == "\n".join(["The head", *(prose(i, 60) for i in range(5))])
+    comments = f'<article class="comment">{prose(90, 80)}</article><article role="complementary">{prose(91, 80)}</article>'
+    assert extraction.main_text(f'<article class="post has-sidebar">{body}</article>{comments}') == "\n".join(prose(i, 60) for i in range(5))
+
+
 def test_extraction_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "z"), (2, None, None, "z"), (3, "u", "", "z"), (4, "u", "<article><p>cut &amp", "z"), (4, "u", "<article><p>cut &amp", "z"), (5, "u", "<p>" * 5000 + "deep", "z"), (None, "u", "<script>only", "z")], "page_id long, url string, html string, text string")
     out = [(r.page_id, r.text, r.n_chars) for r in extraction.extract(pages).collect()]
