@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +53,43 @@ def segment_of(url: Column, text: Column, paths: dict[str, str], words: dict[str
     return F.coalesce(*by_path, *by_word, F.lit(None).cast("string"))
 
 
+def nearly_inside(wanted: str, text: str, least: float = 0.90) -> bool:
+    """Whether the text, or one of its windows of twice the wanted length at steps of a quarter of it, is similar enough. As a
+    window counts whole, it is the rule for texts hardly longer than what is wanted."""
+    width, step = 2 * len(wanted), max(1, len(wanted) // 4)
+    starts = [0] if len(text) <= width else range(0, len(text) - width + step, step)
+    for at in starts:
+        part = text[at : at + width]
+        if 2 * min(len(part), len(wanted)) < least * (len(part) + len(wanted)):  # no ratio can be higher
+            continue
+        if SequenceMatcher(None, wanted, part).ratio() >= least:
+            return True
+    return False
+
+
+def similar_evidence(wanted: Column, text: Column) -> Column:
+    """nearly_inside by row; false where either is null."""
+
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([bool(a and b) and nearly_inside(a, b) for a, b in zip(left, right, strict=True)], dtype="bool")
+
+    return near(wanted, text)
+
+
 def guard_reason(evidence: Column, source: Column, value: Column, exempt: Column) -> Column:
-    """Why a found fact is rejected, or null: it has no evidence, the evidence isn't in the source, or its number isn't in
-    the source in any spelling (zero and exempt units aside)."""
+    """Why a found fact is rejected, or null: it has no evidence, the evidence isn't in the source (exactly, normalised or
+    nearly; only what isn't contained is compared in Python), or its number isn't in the source in any spelling (zero and
+    exempt units aside)."""
     text = match_text(source)
     number = value.try_cast("double")
     spelled = F.exists(number_spellings(number), lambda s: F.contains(text, s))
+    found = F.contains(text, match_text(evidence))
+    near = similar_evidence(F.when(~found, match_text(evidence)), F.when(~found, text))
     return (
         F.when(F.trim(F.coalesce(evidence, F.lit(""))) == "", "no_evidence")
-        .when(~F.contains(text, match_text(evidence)), "evidence_not_in_source")
+        .when(~found & ~near, "evidence_not_in_source")
         .when(~exempt & number.isNotNull() & (number != 0) & ~spelled, "number_not_in_source")
     )
 

@@ -160,6 +160,12 @@ def test_guard(spark):
     assert row("aylık %2,05", "2.05") is None and row("5.000 TL", "5000") is None and row("", "5") == "no_evidence" and row("yok", "5") == "evidence_not_in_source" and row("5.000", "7") == "number_not_in_source"
 
 
+def test_guard_keeps_nearly_equal_evidence(spark):
+    rows = [("aylik kar payi orani yuzde iki", "aylik kar payi oranı yuzde iki"), ("abcdefghij", "abcdefghiX"), ("abcdefghij", "abcdefghXY"), ("abcdefghij", "abcdefghiX" + "." * 30)]
+    got = [r[0] for r in spark.createDataFrame(rows, "e string, s string").coalesce(1).select(labels.guard_reason(F.col("e"), F.col("s"), F.lit("0"), F.lit(False))).collect()]
+    assert got == [None, None, "evidence_not_in_source", "evidence_not_in_source"]
+
+
 def test_feeds(spark, tmp_path):
     xml = "<urlset><url><loc>http://www.a.com/x/</loc></url><url><loc><![CDATA[https://a.com/x]]></loc></url><s:loc>https://b.org/y</s:loc><url><loc>https://a.com/z"
     maps = spark.createDataFrame([(xml,)], "xml string")
