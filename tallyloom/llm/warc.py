@@ -1,8 +1,8 @@
 """WARC archives as a chunked record table.
 
 A record is a row (record id, chunk number, bytes). A payload over `chunk_bytes` becomes several rows, each written as
-a WARC segment of its own (WARC-Segment-Number, later ones of type `continuation`), so that neither writer nor reader
-allocates a whole record; SHA-1 is carried from chunk to chunk. Archives are written by Spark's text writer and read by
+a WARC segment of its own (WARC-Segment-Number, later ones of type `continuation`), so that the reader
+allocates no whole record and carries SHA-1 from chunk to chunk; the writer holds a record's payload whole. Archives are written by Spark's text writer and read by
 its splittable text reader, with the record boundary as line separator, so that commits, retries and lost executors
 are Spark's business and any file system will do.
 
