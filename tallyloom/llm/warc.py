@@ -1,14 +1,18 @@
 """WARC archives as a chunked record table.
 
-A record is a row (record id, chunk number, bytes). A payload over `chunk_bytes` becomes several rows, each written as
-a WARC segment of its own (WARC-Segment-Number, later ones of type `continuation`), so that the reader
-allocates no whole record and carries SHA-1 from chunk to chunk; the writer holds a record's payload whole. Archives are written by Spark's text writer and read by
-its splittable text reader, with the record boundary as line separator, so that commits, retries and lost executors
-are Spark's business and any file system will do.
+A record is rows of (record id, chunk number, bytes): a payload over `chunk_bytes` is cut by built-in functions before any
+Python code sees it, each chunk is written as a WARC segment of its own (WARC-Segment-Number, later ones of type
+`continuation`), and writer and reader carry SHA-1 from chunk to chunk. So outside the cell of the input table no whole
+record is held, and digests of all chunks are compared with the header's when writing and when reading. Archives are
+written by Spark's text writer and read by its text reader, with the record boundary as line separator, so that commits,
+retries and lost executors are Spark's business and any file system will do. An archive holds one task's share of the
+pages; compressed ones are read by one task each, with compression "none" they are split like any text.
 
 Edge cases: a null payload is the empty payload. A null id is written as `null` and comes back as null. Rows with the
-same id each get a record and a result row. Payloads that hold the record boundary are cut inside it, so that it never
-stands in a block. A null url becomes `urn:pages:ID`.
+same id each get a record and a result row. A segment ends inside any text that would make a record boundary with what
+stands before it, headers included, so none stands in a block or at its edges, wherever a payload or a chunk begins. A
+null url becomes `urn:pages:ID`. Very long payloads are chunks like others. An empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from tallyloom.llm.common import as_text, fresh, small_batches, with_rows
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 BOUNDARY = f"{END}{VERSION}\r\n"
-#: No block may hold this.
+#: No block may hold this, with the blank line before it counted.
 GUARD = f"{END}{VERSION}".encode()
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -59,37 +63,55 @@ def with_digests(pages: DataFrame, id_col: str, payload: str, min_revisit_bytes:
     )
 
 
-def chunks_of(payload: bytes, size: int) -> Iterator[bytes]:
-    """Pieces of at most `size` bytes and whole code points, none holding GUARD; one empty piece of an empty payload."""
-    at, n = 0, len(payload)
+def blocks_of(chunk: bytes) -> Iterator[bytes]:
+    """The chunk in pieces such that none holds GUARD after the blank line that headers end with; one empty piece of an
+    empty chunk."""
+    at = 0
     while True:
-        end = min(n, at + size)
-        while end < n and end > at + 1 and payload[end] & 0xC0 == 0x80:
-            end -= 1
-        found = payload.find(GUARD, at, end)
-        if found >= 0:
-            end = found + 2 if found + 2 > at else end
-        yield payload[at:end]
+        found = (END.encode() + chunk[at : at + len(GUARD)]).find(GUARD)  # over the edge
+        if found < 0:
+            inside = chunk.find(GUARD, at)
+            found = inside - at + len(END) if inside >= 0 else -1
+        end = len(chunk) if found < 0 else at + found + 2  # after the first letters of the version
+        yield chunk[at:end]
         at = end
-        if at >= n:
+        if at >= len(chunk):
             return
 
 
-def record_rows(chunk_bytes: int, date: str):
+def chunked(records: DataFrame, chunk_bytes: int) -> DataFrame:
+    """records with a row per chunk of the payload, in order: _chunk (from 0), _last, _bytes_of (binary). A revisit has one
+    empty chunk."""
+    raw = F.col("_payload").cast("binary")
+    last = F.when(F.col("_type") == "revisit", 0).otherwise(F.greatest(F.lit(0), F.ceil(F.col("_bytes") / chunk_bytes) - 1)).cast("int")
+    rows = records.withColumn("_last", last).withColumn("_chunk", F.explode(F.sequence(F.lit(0), "_last")))
+    part = F.when(F.col("_type") == "revisit", F.lit(b"")).otherwise(F.substring(raw, F.col("_chunk") * chunk_bytes + 1, F.lit(chunk_bytes)))
+    return rows.select("_id", "_url", "_bytes", "_digest", "_type", "_target", "_chunk", "_last", part.alias("_part"))
+
+
+def record_rows(date: str):
+    """Segments of the chunks of chunked(); the chunks of a record come one after the other."""
+
     def make(rows: Iterator[dict]) -> Iterator[tuple]:
         task = TaskContext.get()
-        part = task.partitionId() if task else 0
-        for k, row in enumerate(rows):
+        task_id = task.partitionId() if task else 0
+        k = -1
+        for row in rows:
+            if not row["_chunk"]:
+                k, number, sent, running = k + 1, 0, 0, hashlib.sha1()
             key = "null" if row["_id"] is None else row["_id"]
-            record = f"<urn:pages:{key}:{part}-{k}>"
+            record = f"<urn:pages:{key}:{task_id}-{k}>"
             uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", row["_url"]) if row["_url"] else f"urn:pages:{key}"
             revisit = row["_type"] == "revisit"
-            pieces = chunks_of(b"" if revisit else row["_payload"].encode("utf-8", "replace"), chunk_bytes)
-            piece, number, sent = next(pieces), 1, 0
-            while piece is not None:
-                later = next(pieces, None)
-                block = (HTTP if number == 1 else b"") + piece
+            running.update(row["_part"])
+            pieces = list(blocks_of(row["_part"]))
+            for n, piece in enumerate(pieces):
+                number += 1
                 sent += len(piece)
+                last = row["_chunk"] == row["_last"] and n == len(pieces) - 1
+                block = (HTTP if number == 1 else b"") + piece
+                if last and not revisit and base64.b32encode(running.digest()).decode() != row["_digest"]:
+                    raise ValueError(f"the chunks of {record} don't make its payload")
                 head = [
                     f"WARC-Type: {row['_type'] if number == 1 else 'continuation'}",
                     f"WARC-Record-ID: {record if number == 1 else f'{record[:-1]}:{number}>'}",
@@ -100,16 +122,15 @@ def record_rows(chunk_bytes: int, date: str):
                     "Content-Type: application/http;msgtype=response",
                     f"Content-Length: {len(block)}",
                 ]
-                if number > 1 or later is not None:
+                if number > 1 or not last:
                     head.append(f"WARC-Segment-Number: {number}")
                 if number > 1:
                     head.append(f"WARC-Segment-Origin-ID: {record}")
-                    if later is None:
+                    if last:
                         head.append(f"WARC-Segment-Total-Length: {sent + len(HTTP)}")
                 if revisit:
                     head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:pages:{row['_target']}>"]
-                yield (f"{VERSION}\r\n" + "\r\n".join(head) + END + block.decode("utf-8"),)
-                piece, number = later, number + 1
+                yield ((f"{VERSION}\r\n" + "\r\n".join(head) + END).encode() + block,)
 
     return make
 
@@ -117,8 +138,10 @@ def record_rows(chunk_bytes: int, date: str):
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload: str = "html", min_revisit_bytes: int = 0, chunk_bytes: int = 1 << 20, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Writes a record a row of pages under path: a response, or a revisit of the response with the same payload."""
     small_batches(pages.sparkSession)
-    schema = pa.schema([("value", pa.string())])
-    lines = with_digests(pages, id_col, payload, min_revisit_bytes).mapInArrow(with_rows(record_rows(chunk_bytes, date), schema), "value string")
+    schema = pa.schema([("value", pa.binary())])
+    chunks = chunked(with_digests(pages, id_col, payload, min_revisit_bytes), chunk_bytes)
+    # A chunk may end inside a character, so segments are bytes until the writer takes them as they are.
+    lines = chunks.mapInArrow(with_rows(record_rows(date), schema), "value binary").select(F.col("value").cast("string"))
     lines.write.option("lineSep", END).option("compression", compression).text(path)
 
 
@@ -142,7 +165,7 @@ def parsed(text: bytes) -> Iterator[tuple[dict, bytes]]:
 
 def segments(rows: Iterator[dict]) -> Iterator[tuple]:
     for row in rows:
-        for f, block in parsed(row["value"].encode()):
+        for f, block in parsed(row["value"]):
             number = int(f.get("WARC-Segment-Number", 1))
             whole = "WARC-Segment-Number" not in f
             body = block.partition(END.encode())[2] if number == 1 else block
@@ -182,7 +205,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest (computed from the bytes read), record_type, refers_to of the records under
     path. Raises ValueError in the task that meets a cut record, a missing segment or a digest unlike its header's."""
     small_batches(spark)
-    lines = spark.read.option("lineSep", BOUNDARY).text(path)
+    lines = spark.read.option("lineSep", BOUNDARY).text(path).select(F.col("value").cast("binary"))
     rows = lines.mapInArrow(with_rows(segments, SEGMENT), SEGMENT_DDL)
     out = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     return (

@@ -258,6 +258,36 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+EDGE = "\r\nWARC/1.1\r\n"
+
+
+@pytest.mark.parametrize("size", [1 << 20, 5, 12])
+def test_warc_payloads_at_the_record_boundary(spark, size):
+    """Payloads that begin with, end in and are cut at what would separate records."""
+    payloads = ["WARC/1.1\r\n", EDGE, "\r\n" + EDGE, "text\r\n" + EDGE, "\r\n\r\nWARC/1.1", "a\r\n\r\n", "WARC/1.1", "\r\n" + EDGE * 4, "12345" + "\r\n" + EDGE + "x", "123\r\n" + EDGE, "é" * 7, "\r" * 9, "WARC/1.1\r\nWARC-Type: response\r\n\r\n"]
+    pages = spark.createDataFrame([(i, "u", p) for i, p in enumerate(payloads)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in warc.round_trip(pages, chunk_bytes=size).collect()}
+    for i, p in enumerate(payloads):
+        assert out[i].payload_bytes == len(p.encode()) and out[i].payload_digest == base64.b32encode(hashlib.sha1(p.encode()).digest()).decode()
+
+
+def test_warc_blocks_never_make_a_boundary():
+    r = np.random.default_rng(8)
+    for _ in range(3000):
+        chunk = b"".join(r.choice([b"\r\n", b"\r", b"\n", b"WARC", b"/1.1", b"x", b"WARC/1.1\r\n"], r.integers(0, 14)).tolist())
+        blocks = list(warc.blocks_of(chunk))
+        assert b"".join(blocks) == chunk
+        assert all(warc.BOUNDARY.encode() not in warc.END.encode() + b + warc.END.encode() for b in blocks)
+
+
+def test_warc_long_payload_in_chunks(spark):
+    pages = spark.createDataFrame([(1, "u", "é漢x" * 700_000), (2, "u", "é漢x" * 700_000)], "page_id long, url string, html string")
+    path = fresh(spark, "warc")
+    warc.write_archives(pages, path)
+    assert spark.read.option("lineSep", warc.BOUNDARY).text(path).count() == 6  # five chunks and a revisit
+    assert {(r.page_id, r.payload_bytes, r.refers_to) for r in warc.read_archives(spark, path).collect()} == {(2, 4_200_000, None), (1, 4_200_000, 2)}
+
+
 def test_warc_reader_refuses_a_changed_byte(spark):
     path = fresh(spark, "warc")
     warc.write_archives(spark.createDataFrame([(1, "u", "payload text")], "page_id long, url string, html string"), path, compression="none")
