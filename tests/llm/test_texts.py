@@ -217,6 +217,55 @@ def test_extraction_of_a_page_with_article_teasers():
     assert extraction.main_text(f'<article class="post has-sidebar">{body}</article>{comments}') == "\n".join(prose(i, 60) for i in range(5))
 
 
+def test_extraction_leaves_out_parts_of_lines():
+    a = f"<p>{prose(1, 60)}</p>"
+    inside = {"<script>var x=1;</script>": "", "<style>p{}</style>": "", "<button>Press": "", "<noscript>no</noscript>": "", '<span class="ad">Buy</span>': "", "<svg><text>pic</text></svg>": "", "<select><option>one<option>two</select>": "", "<b>bold</b>": "bold "}
+    for part, left in inside.items():
+        for wrap in ("<article>{}</article>", "<div>{}</div>", "{}"):
+            got = extraction.main_text(wrap.format(f"{a}<p>Hello {part}{'</button>' if 'button' in part else ''} world</p>{a}")).split("\n")
+            assert got == [prose(1, 60), f"Hello {left}world", prose(1, 60)], (part, wrap)
+    assert extraction.main_text(f"<article>{a}<p>Open <button>Press</p>{a}</article>").split("\n") == [prose(1, 60), "Open", prose(1, 60)]
+
+
+def test_extraction_keeps_edges_and_headings_without_an_article():
+    long = prose(3, 110)
+    for wrap in ("{}", "<body>{}</body>", "<body><nav>a menu</nav><div>{}</div></body>", "<body><ul class=menu><li>x</ul><section>{}</section><footer>f</footer>"):
+        got = extraction.main_text(wrap.format(f"<h1>Berlin</h1><p>{long}</p><p>short</p><p>{long}</p><p>the end</p>"))
+        assert got.split("\n") == ["Berlin", long, "short", long, "the end"], wrap
+        got = extraction.main_text(wrap.format(f"<h2>{long}</h2><p>by someone</p><div><p>{long}</p><h3>One</h3><p>{long}</p></div>"))
+        assert got.split("\n") == [long, "by someone", long, "One", long], wrap
+
+
+def test_extraction_of_comments_links_and_states():
+    long = prose(4, 90)
+    html = f'<body class="has-sidebar"><div class="page with-ads"><div id=content><p>{long}</p><p>{long}</p></div><div><a href=1>read more</a> <a>and more</a></div><section class=articleComments><p>{long}</p></section></div></body>'
+    assert extraction.main_text(html).split("\n") == [long, long]
+
+
+def plain_article(html):
+    """The text of an article by cutting its known parts out with expressions, for pages like those given."""
+    import html as h
+    import re
+
+    inner = re.search(r"<article>(.*?)</article>", html, re.S)
+    cut = re.sub(r"(?s)<(form|aside|nav|script|style)\b.*?</\1>|<div class=\"(?:ad|comments)\".*?</div>|<!--.*?-->", "", inner[1]) if inner else ""
+    blocks = re.split(r"</?(?:p|h\d|ul|ol|li|div|blockquote|pre|table|tr|td|th|section)\b[^>]*>", cut)
+    return "\n".join(t for b in blocks if (t := " ".join(h.unescape(re.sub(r"<br\b[^>]*>", " ", b) if "<" not in b else re.sub(r"<[^>]+>", "", re.sub(r"<br\b[^>]*>", " ", b))).split())))
+
+
+def test_extraction_of_all_pages_equals_their_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in extraction.extract(pages).collect()}
+    assert got == {i: plain_article(t or "") for i, t in html.items()}
+
+
+def test_extraction_of_long_and_deep_pages():
+    long = "<p>" + "word &amp; " * 300_000 + "</p>"
+    assert len(extraction.main_text(f"<article>{long}</article>")) == 7 * 300_000 - 1
+    assert extraction.main_text("<div>" * 20_000 + "deep") == "deep"
+
+
 def test_extraction_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "z"), (2, None, None, "z"), (3, "u", "", "z"), (4, "u", "<article><p>cut &amp", "z"), (4, "u", "<article><p>cut &amp", "z"), (5, "u", "<p>" * 5000 + "deep", "z"), (None, "u", "<script>only", "z")], "page_id long, url string, html string, text string")
     out = [(r.page_id, r.text, r.n_chars) for r in extraction.extract(pages).collect()]
