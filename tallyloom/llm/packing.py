@@ -14,26 +14,26 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import as_text, saved, small_batches, with_rows
 
 #: Entries of a worker's memo of words.
-WORDS = 250_000
-#: The tokenizer's pattern, for ASCII words and for words of Latin letters.
-_PRE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_PRE_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words that composition leaves alone and that lower letter by letter.
-_LATIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+WORDS = 150_000
+#: Texts of these characters alone need no composition and lower letter by letter, and of them the tokenizer's pattern is PARTS.
+_OTHER = re.compile("[^\t-\r -~\u00a1-\u012f\u0131-\u024f]")
+_LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,10 +46,11 @@ def byte_letters() -> dict[int, str]:
 _LETTERS = byte_letters()
 
 
-class WordIds(dict):
-    """Word without white space (UTF-8) to the bytes of its little-endian 32-bit ids. The tokenizer drops white space and
-    no token spans it, so a text's ids are those of its words one after the other. Words of Latin letters are cut here by
-    the tokenizer's own pattern and go straight to its BPE model; others take its whole path."""
+class PartIds(dict):
+    """Lower-cased part of a text (a word, a digit or a run of marks) to the bytes of its little-endian 32-bit ids. The
+    tokenizer cuts at white space and between parts and no token spans them, so a text's ids are those of its parts one
+    after the other. Parts of Latin letters go straight to its BPE model; words of other letters take its whole path and
+    are kept under the word with a leading blank."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,27 +58,19 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts: dict[bytes, bytes] = {}
-
-    def part(self, part: bytes) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= WORDS:
-                self.parts.clear()
-            letters = part.decode("latin-1").translate(_LETTERS)
-            got = self.parts[part] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        return got
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         if len(self) >= WORDS:
             self.clear()
-        if word.isascii():
-            got = b"".join(map(self.part, _PRE.findall(word.lower())))
-        elif _LATIN.fullmatch(text := word.decode()):
-            got = b"".join(self.part(p.encode()) for p in _PRE_LATIN.findall(text.lower()))
+        if part[0] == " ":
+            got = self.whole(part[1:])
         else:
-            got = self.whole(text)
-        self[word] = got
+            letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+            got = array("I", [t.id for t in self.model.tokenize(letters)])
+            if sys.byteorder == "big":
+                got.byteswap()
+            got = got.tobytes()
+        self[part] = got
         return got
 
     def whole(self, text: str) -> bytes:
@@ -86,16 +79,24 @@ class WordIds(dict):
     def text(self, text: str) -> bytes:
         if "<|" in text:  # may hold a special token, which the whole path alone knows
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+        if text.isascii() and text.isprintable() or not _OTHER.search(text):
+            return b"".join(map(self.__getitem__, PARTS.findall(text.lower())))
+        return b"".join(map(self.word, text.encode("utf-8", "replace").split()))
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _OTHER.search(text):
+            return self[" " + text]
+        return b"".join(map(self.__getitem__, PARTS.findall(text.lower())))
 
 
-_worker: dict[str, WordIds] = {}
+_worker: dict[str, PartIds] = {}
 
 
-def worker_memo(path: str) -> WordIds:
+def worker_memo(path: str) -> PartIds:
     """One memo a Python worker, kept from task to task."""
     if path not in _worker:
-        _worker[path] = WordIds(path)
+        _worker[path] = PartIds(path)
     return _worker[path]
 
 
