@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,14 +21,16 @@ MEMO = 120_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Only where that is unset (tests, local
-    runs) a folder of this machine is made and set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only where that is unset and the session is a
+    local one (tests) a folder of this machine is made and set."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="tallyloom-")
         context.setCheckpointDir(place)
         return context._jsc.sc().getCheckpointDir().get()
@@ -81,6 +85,15 @@ def used_up(*tables: DataFrame) -> None:
         discard(table.sparkSession, [table.saved_at])
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver forget plans of finished jobs, so that Spark's cleaner drops their shuffle files now and not when the
+    driver's memory happens to be full."""
+    for _ in range(2):  # what Python lets go of reaches the driver's JVM a little later
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by bytes, since a few rows may hold very long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -125,13 +138,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: Fixed multiplier of the rolling combination of word hashes, and the odd value that stands for each byte in a word.
+#: Fixed multiplier of the rolling combination of word hashes.
 STEP = 0x9E3779B97F4A7C15
-BYTE_VALUES = np.random.default_rng(4711).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A random value for each byte at each of the first places of a word; further places take it times a scrambled number.
+PLACES = 64
+PLACE_VALUES = np.random.default_rng(4711).integers(0, 1 << 63, PLACES * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Longest run of powers that is kept; longer texts make their own.
 KEPT_POWERS = 1 << 20
+#: Bytes that are hashed at once.
+AT_ONCE = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -153,19 +170,39 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, in arrays: a word's bytes are the difference of two prefix sums of
-    byte values times powers, brought back to the word's start by the inverse power."""
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased, in arrays: the sum of random values, one
+    for each byte and its place in the word. Long texts are taken in blocks that end at white space, so that memory stays
+    a small multiple of the text, unless a single word is longer."""
     if not text:
         return np.empty(0, np.uint64)
     raw = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
+    if len(raw) <= AT_ONCE:
+        return _hashed(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + AT_ONCE)
+        while end < len(raw) and not SPACES[raw[end]]:
+            step = SPACES[raw[end : end + 4096]]
+            end += int(step.argmax()) if step.any() else len(step)
+        parts.append(_hashed(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def _hashed(raw: np.ndarray) -> np.ndarray:
     edges = np.flatnonzero(np.diff(SPACES[raw], prepend=True, append=True))
     start, end = edges[::2], edges[1::2]
     if not len(start):
         return np.empty(0, np.uint64)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[raw] * powers(STEP, len(raw)), out=sums[1:])
-    inside = (sums[end] - sums[start]) * powers(pow(STEP, -1, 1 << 64), len(raw))[start]
-    return mixed(inside ^ (end - start).astype(np.uint64))
+    size = end - start
+    begin = np.cumsum(size) - size  # in the bytes of words alone
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    letters = raw[np.repeat(start - begin, size) + np.arange(len(place))]
+    values = PLACE_VALUES[(place & (PLACES - 1)) << 8 | letters]
+    if int(size.max()) > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        values[far] = mixed(values[far] + mixed(place[far].astype(np.uint64)))
+    return mixed(np.add.reduceat(values, begin) + size.astype(np.uint64))
 
 
 def shingles_of(h: np.ndarray, width: int = 5) -> np.ndarray:

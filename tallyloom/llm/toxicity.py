@@ -8,14 +8,18 @@ abuse. A logistic regression over these counts gives the score.
 
 Edge cases: null and empty texts have no matches and get the score of no matches. Without toxic and other labelled rows
 to learn from every score is 0. Labels of unknown documents are ignored; of repeated labels the largest counts.
-Repeated rows each get a row.
+Repeated rows each get a row, an empty table gives an empty result, and columns of any names but the score's pass. Texts
+and words of any length are read whole, in time linear in their length; a match of equally near terms counts for the first
+in order.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,7 @@ from tallyloom.llm.common import MEMO, as_text, small_batches, with_rows
 #: At most about so many labelled rows are used to learn lexicon and weights.
 SAMPLE = 20_000
 WORD = re.compile(r"[^\W\d_]+")
-QUOTES = "\"“”„«»"
+QUOTE, LINE_END = re.compile("[\"“”„«»]"), re.compile("\n")
 #: Reporting words near a match that mark a quotation; fixed values.
 REPORTING = frozenset("said says say wrote writes called quote quoted quotes according reported claimed alleged dit disait écrit selon sagte schrieb laut zitiert nannte dijo escribió según llamó".split())
 FEATURES = ("exact", "misspelled", "quoted", "distinct", "weight", "share")
@@ -112,8 +116,19 @@ class Trie:
         return got
 
 
+def before(low: str, start: int, line: int, window: int) -> list[str]:
+    """The last `window` words of the line before start."""
+    reach = 16 * window
+    while True:
+        at = max(line, start - reach)
+        words = WORD.findall(low[at:start])
+        if at == line or len(words) > window:  # the first one may be cut
+            return words[-window:]
+        reach *= 2
+
+
 def features(text: str, trie: Trie, window: int = 8) -> list[float]:
-    """In the order of FEATURES."""
+    """In the order of FEATURES. Line ends and quotation marks are counted once, so time is linear in the text."""
     low = text.lower()
     found, words = [], 0
     memo = trie.memo
@@ -125,14 +140,16 @@ def features(text: str, trie: Trie, window: int = 8) -> list[float]:
             found.append((m.start(), m.end(), *hit))
     if not found:
         return [0.0] * len(FEATURES)
+    lines = [m.start() for m in LINE_END.finditer(low)]
+    marks = [m.start() for m in QUOTE.finditer(low)]
     exact = misspelled = quoted = 0
     for start, end, _, errors in found:
-        left = low[low.rfind("\n", 0, start) + 1 : start]
-        right = low[end : end + 200].partition("\n")[0]
-        marks = sum(left.count(q) for q in QUOTES)
-        inside = marks % 2 == 1 and any(q in right for q in QUOTES)
-        near = WORD.findall(left[-12 * window :])[-window:] + WORD.findall(right)[:window]
-        if inside or not REPORTING.isdisjoint(near):
+        k = bisect_left(lines, start)
+        line, line_end = lines[k - 1] + 1 if k else 0, lines[k] if k < len(lines) else len(low)
+        opened = bisect_left(marks, start)
+        inside = (opened - bisect_left(marks, line)) % 2 == 1 and opened < len(marks) and marks[opened] < line_end
+        after = (m[0] for m in islice(WORD.finditer(low, end, line_end), window))
+        if inside or not REPORTING.isdisjoint(before(low, start, line, window)) or not REPORTING.isdisjoint(after):
             quoted += 1
         elif errors:
             misspelled += 1
@@ -175,7 +192,7 @@ def learn_lexicon(rows: DataFrame, least_lift: float = 5.0, least_evidence: floa
     """Words `least_lift` times likelier in toxic texts than in others, with a log-likelihood ratio of the counts of at
     least `least_evidence`, and the logarithms of their lifts. Copies of a text count once: texts are grouped by the
     smallest of three hashes of their words. The rows are a bounded sample, and so is what can pass."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,30})"), 1))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))
     family = F.struct(*[F.expr(f"array_min(transform(split(text, '[ \\n]+'), w -> xxhash64(w, {k})))").alias(f"h{k}") for k in range(3)])
     families = rows.select(words.alias("words"), "toxic", family.alias("family"))
     totals = {r["toxic"]: r["n"] for r in families.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}

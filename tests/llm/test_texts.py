@@ -37,6 +37,19 @@ def test_quotation_is_told_from_abuse():
     assert abuse[0] > 0 and quote[0] == 0 and quote[2] > 0
 
 
+def test_toxicity_context_is_the_whole_line_and_linear():
+    import time
+
+    trie = toxicity.Trie({"moron": 3.0})
+    gap = " . " * 400
+    assert toxicity.features('"' + gap + "you moron" + gap + '" end', trie)[2] > 0
+    assert toxicity.features("said" + gap + "you moron", trie)[2] > 0 and toxicity.features("said\nyou moron", trie)[0] > 0
+    line = 'a "quoted" word and moron ' * 40_000
+    began = time.time()
+    toxicity.features(line, trie)
+    assert time.time() - began < 20
+
+
 def test_toxicity_learns_and_scores_whole_texts(spark):
     bad = ("scumword", "badword", "vileword")
     rows = [(i, prose(i, 60) + (f" {bad[i % 3]} {bad[(i + 1) % 3]} " + prose(i + 5000, 20) if i % 4 == 0 else ""), "k") for i in range(400)]
