@@ -1,17 +1,22 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
 On a bounded sample the vectors are centred, turned to their principal axes, and rotations are learned that bring them
-nearest to the corners of a cube, so that signs make balanced binary codes. The codes are cut into substrings of about
-log2(n) bits; each substring is a table, and vectors that share a bucket of any table are candidates. The number of
-tables is set so that a pair at the similarity limit is found with probability `recall`. Candidates whose whole codes
-differ in more bits than five standard deviations above the mean at the limit are dropped without reading vectors; the
-rest are ranked again by the cosine of the original vectors in double precision.
-
-Equal vectors are one node with a count, so copies are never paired with each other. A pair is made once only, in the
-first table that both share. Bucket sizes stay about one however many vectors there are, except for true neighbours.
-
-Edge cases: a vector that is null, zero, or holds null or non-finite components, or whose length is not the commonest
-one, links with nothing and is a component of its own. Repeated vec_ids each get a row. An empty table gives an empty result.
+nearest to the corners of a cube; a bit says on which side of the sample's median a turned vector lies, so codes are
+balanced. The codes are cut into substrings of about log2(n) bits; each substring is a table, and vectors that share a
+bucket of any table are candidates. Rotations are added until pairs at the similarity limit, made from the sample, are
+found with probability `recall`. Candidates whose codes in the table's rotation and the next differ in more bits than
+nearly all such pairs do are dropped without reading vectors; the rest are ranked again by the cosine of the original
+vectors in double precision.
+
+Vectors of different lengths are never near; each of the COMMON commonest lengths has a quantiser of its own, others one
+of random rotations, and the length is part of the bucket.
+
+Equal vectors are one node with a count, so copies are never paired with each other. Bucket sizes stay about one however
+many vectors there are, except for true neighbours.
+
+Edge cases: a vector that is null, zero, or holds null or non-finite components links with nothing and is a component of
+its own. Very small and very large components are scaled by a power of two first, so squares neither vanish nor
+overflow. Repeated vec_ids each get a row. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,65 +30,92 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import saved, small_batches, with_rows
+from tallyloom.llm.common import mixed, saved, small_batches, with_rows
 from tallyloom.llm.components import components
 
-#: Rows at most that the rotations are learned from.
-SAMPLE = 20_000
+#: Vectors of a length at most that its rotations are learned from, and lengths at most that have learned ones.
+SAMPLE, COMMON = 20_000, 4
+#: Rotations at most; only vectors crowded in a narrow cone, where nearly all pairs are near, would need more.
+TURNS = 96
 
 
 @dataclass(frozen=True)
 class Quantiser:
-    mean: np.ndarray
     rotations: tuple[np.ndarray, ...]
+    medians: tuple[np.ndarray, ...]
     bits: int  # of a table
+    most: int  # differing bits of two codes at most
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """A 64-bit code per vector and rotation."""
-        out = np.empty((len(x), len(self.rotations)), np.int64)
-        for k, r in enumerate(self.rotations):
-            signs = ((x - self.mean) @ r > 0).astype(np.uint64)
-            out[:, k] = (signs << np.arange(signs.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+        """A code of up to 64 bits per unit vector and rotation."""
+        out = np.empty((len(x), len(self.rotations)), np.uint64)
+        for k, (r, m) in enumerate(zip(self.rotations, self.medians, strict=True)):
+            signs = (x @ r > m).astype(np.uint64)
+            out[:, k] = (signs << np.arange(signs.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return out
 
     @property
-    def width(self) -> int:
-        return self.rotations[0].shape[1]
+    def per(self) -> int:
+        """Tables of a rotation."""
+        return self.rotations[0].shape[1] // self.bits
+
+    def parts(self, codes: np.ndarray) -> np.ndarray:
+        """The substring of each table."""
+        mask = np.uint64((1 << self.bits) - 1)
+        return np.stack([codes[:, k] >> np.uint64(j * self.bits) & mask for k in range(codes.shape[1]) for j in range(self.per)], axis=1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
-    def keys(self, codes: np.ndarray) -> np.ndarray:
-        """The bucket per table: table number above, substring below."""
-        per, mask = self.width // self.bits, np.uint64((1 << self.bits) - 1)
-        parts = [(codes[:, k].view(np.uint64) >> np.uint64(j * self.bits) & mask).astype(np.int64) + ((k * per + j) << 40) for k in range(codes.shape[1]) for j in range(per)]
-        return np.stack(parts, axis=1)
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.array([[int(v).bit_count() for v in row] for row in (a ^ b).tolist()])
 
 
-def differing(cosine: float) -> float:
-    """Expected share of differing bits of vectors with this cosine."""
-    return math.acos(cosine) / math.pi
+def turn(centred: np.ndarray, width: int, draws: np.random.Generator, rounds: int) -> np.ndarray:
+    """A rotation of the columns of `centred`, learned by alternating with the nearest corners of the cube."""
+    r, _ = np.linalg.qr(draws.standard_normal((width, width)))
+    for _ in range(rounds):
+        corners = np.where(centred @ r > 0, 1.0, -1.0)
+        left, _, right = np.linalg.svd(centred.T @ corners)
+        r = left @ right
+    return r
 
 
-def learn(sample: np.ndarray, n: int, cosine: float, recall: float, rounds: int = 30, seed: int = 5) -> Quantiser:
+def learn(sample: np.ndarray, n: int, cosine: float, recall: float, rounds: int = 20, seed: int = 5) -> Quantiser:
+    """Rotations of unit vectors until pairs at the limit meet with probability `recall`. The pairs are the sample's vectors
+    and one each at exactly that cosine in a random direction."""
     dims = sample.shape[1]
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    mean = np.zeros(dims)  # cosines are angles about the origin
+    x, draws = unit(sample), np.random.default_rng(seed)
+    if len(x) < 256:  # too few to learn from or to measure with
+        x = np.concatenate([x, unit(draws.standard_normal((256, dims)))])
+    probe = x[draws.permutation(len(x))[:4000]]
+    noise = draws.standard_normal(probe.shape)
+    noise -= (noise * probe).sum(axis=1, keepdims=True) * probe
+    size = np.linalg.norm(noise, axis=1, keepdims=True)
+    near = cosine * probe + math.sqrt(max(0.0, 1 - cosine * cosine)) * np.divide(noise, size, out=np.zeros_like(noise), where=size > 1e-12)
     width = min(dims, 64)
     bits = max(1, min(width, 32, max(8, round(math.log2(max(2, n))))))
-    chance = (1 - differing(cosine)) ** bits
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - chance))
-    turns = math.ceil(tables / (width // bits))
-    _, axes = np.linalg.eigh(unit.T @ unit)
-    axes = axes[:, ::-1][:, :width]
-    draws = np.random.default_rng(seed)
-    rotations = []
-    for _ in range(turns):
-        r, _ = np.linalg.qr(draws.standard_normal((width, width)))
-        v = unit @ axes
-        for _ in range(rounds):
-            b = np.where(v @ r > 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(v.T @ b)
-            r = left @ right
-        rotations.append(axes @ r)
-    return Quantiser(mean, tuple(rotations), bits)
+    mean = x.mean(axis=0)
+    _, axes = np.linalg.eigh((x - mean).T @ (x - mean))
+    top = axes[:, ::-1][:, :width]
+    rotations, medians, missed = [], [], np.ones(len(probe), bool)
+    apart = []
+    while len(rotations) < 2 or missed.mean() > 1 - recall and len(rotations) < TURNS:
+        # Wider vectors than codes: the first turn takes the principal axes, others random ones of the whole space.
+        base = top if dims <= 64 or not rotations else np.linalg.qr(draws.standard_normal((dims, width)))[0]
+        r = base @ turn((x - mean) @ base, width, draws, rounds)
+        rotations.append(r)
+        medians.append(np.median(x @ r, axis=0))
+        one = Quantiser((r,), (medians[-1],), bits, 0)
+        a, b = one.codes(probe), one.codes(near)
+        missed &= (one.parts(a) != one.parts(b)).all(axis=1)
+        if len(rotations) <= 2:
+            apart.append(bits_apart(a, b)[:, 0])
+    both = apart[0] + apart[1]
+    return Quantiser(tuple(rotations), tuple(medians), bits, int(math.ceil(both.mean() + 5 * both.std())))
 
 
 def valid(embedding) -> object:
@@ -97,37 +129,45 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.999
     small_batches(spark)
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     base = base.withColumn("n", F.size("v"))
-    sizes = base.filter(valid(F.col("v"))).groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").limit(1).collect()
-    alone = base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sizes:
-        return alone
-    dims, count = sizes[0]["n"], sizes[0]["k"]
-    good = valid(F.col("v")) & (F.col("n") == dims)
     # Classes of equal vectors; -0.0 is 0.0. The class is named by its smallest id, told apart by its components.
+    good = valid(F.col("v"))
     plain = base.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("digest", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
-    classes = saved(plain.filter(good).groupBy("digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")).withColumn("node", F.xxhash64("digest")), "classes")
-    share = min(1.0, sample / count)
-    rows = classes.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("node").limit(sample).select("v").collect()
-    rows = rows or classes.select("v").orderBy("node").limit(sample).collect()
-    quantiser = learn(np.array([r["v"] for r in rows], float), count, cosine, recall)
+    top = F.array_max(F.transform("v", F.abs))
+    scaled = F.transform("v", lambda x: x * F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.floor(F.log2(top)))))
+    classes = plain.filter(good).groupBy("digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"), F.first("n").alias("n"))
+    classes = saved(classes.withColumns({"node": F.xxhash64("digest"), "v": scaled}), "classes")
+    sizes = classes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "n").limit(COMMON).collect()
+    quantisers = {}
+    for r in sizes:
+        share = min(1.0, sample / r["k"])
+        of_size = classes.filter(F.col("n") == r["n"])
+        rows = of_size.filter(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("node").limit(sample).select("v").collect()
+        quantisers[r["n"]] = learn(np.array([x["v"] for x in rows] or np.ones((1, r["n"])), float), r["k"], cosine, recall)
+    rest = sizes[-1]["k"] if sizes else 1
 
     def make(stream: Iterator[dict]) -> Iterator[tuple]:
+        others: dict[int, Quantiser] = {}
         for row in stream:
-            codes = quantiser.codes(np.array([row["v"]], float))
-            yield row["node"], codes[0].tolist(), quantiser.keys(codes)[0].tolist()
-
-    schema = pa.schema([("node", pa.int64()), ("code", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-    coded = saved(classes.select("node", "v").mapInArrow(with_rows(make, schema), "node long, code array<long>, keys array<long>"), "codes")
-    p, width = differing(cosine), quantiser.width * len(quantiser.rotations)
-    most = math.ceil(width * p + 5 * math.sqrt(width * p * (1 - p)))
-    posted = coded.select("node", "code", "keys", F.explode("keys").alias("key"))
+            dims = len(row["v"])
+            q = quantisers.get(dims) or others.get(dims)
+            if q is None:
+                others.clear()  # one at a time: the lengths of a table are few
+                q = others[dims] = learn(np.random.default_rng(dims).standard_normal((512, dims)), rest, cosine, recall, rounds=0)
+            codes = q.codes(unit(np.array([row["v"]], float)))
+            keys = mixed(q.parts(codes)[0] + (np.arange(q.per * codes.shape[1], dtype=np.uint64) << np.uint64(34)) + mixed(np.full(1, dims, np.uint64)))
+            mine = codes[0].view(np.int64).tolist()
+            for t, key in enumerate(keys.view(np.int64).tolist()):
+                k = t // q.per
+                yield row["node"], key, mine[k], mine[(k + 1) % len(mine)], q.most
+
+    schema = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("own", pa.int64()), ("other", pa.int64()), ("most", pa.int32())])
+    posted = saved(classes.select("node", "v").mapInArrow(with_rows(make, schema, flush=20_000), "node long, key long, own long, other long, most int"), "posted")
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    posted = saved(posted.join(shared, "key"), "posted")
-    left = posted.select("key", F.col("node").alias("a"), F.col("code").alias("ca"), F.col("keys").alias("ka"))
-    right = posted.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("code").alias("cb"), F.col("keys").alias("kb"))
-    apart = sum((F.bit_count(F.col("ca")[k].bitwiseXOR(F.col("cb")[k])) for k in range(len(quantiser.rotations))), F.lit(0))
-    first = F.element_at(F.array_intersect("ka", "kb"), 1) == F.col("key")
-    pairs = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (apart <= most) & first).select("a", "b")
+    posted = posted.join(shared, "key")
+    left = posted.select("key", F.col("node").alias("a"), F.col("own").alias("own_a"), F.col("other").alias("other_a"), "most")
+    right = posted.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("other").alias("other_b"))
+    differ = F.bit_count(F.col("own_a").bitwiseXOR(F.col("own_b"))) + F.bit_count(F.col("other_a").bitwiseXOR(F.col("other_b")))
+    pairs = left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (differ <= F.col("most"))).select("a", "b").distinct()
     va = classes.select(F.col("node").alias("a"), F.col("v").alias("va"), F.col("copies").alias("na"))
     vb = classes.select(F.col("node").alias("b"), F.col("v").alias("vb"), F.col("copies").alias("nb"))
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
