@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import saved
 
+#: Edges that a task writes at least; a step's table is never larger than the one before it.
+EDGES_PER_FILE = 20_000
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the smallest node reachable) of every node with an edge. Each step is a pre-aggregated minimum
@@ -28,8 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     pairs = saved(pairs, "edges")
     before = state(pairs)
-    while True:
-        pairs = saved(stars(stars(pairs, True), False), "stars")
+    while True:  # a table a round: small ones in few files
+        pairs = saved(stars(stars(pairs, True), False).coalesce(max(4, before[0] // EDGES_PER_FILE)), "stars")
         after = state(pairs)
         if after[0] == before[0] and (after[1] == before[1] or after[1] is not None and abs(after[1] - before[1]) < 1e-3):
             break

@@ -14,8 +14,8 @@ to confirm.
 
 Edge cases: a null or empty text, or one without words, has an empty set and is linked with nothing. Texts of fewer than
 five words have one shingle of them all. Rows with equal texts are one group, whatever their ids; null ids are ignored
-when the smallest id is sought. Texts of any length are read whole. Sets are told apart by 64-bit hashes of their
-sorted shingle hashes.
+when the smallest id is sought. Texts of any length are read whole. Sets are equal if 128-bit
+digests of their sorted shingle hashes are. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import as_text, saved, shingles_of, small_batches, with_rows, word_hashes
@@ -48,8 +48,8 @@ def signature(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sid", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int32()))])
-SIGNED_DDL = "doc_id long, text_hash long, sid long, n_shingles long, sig array<int>"
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.list_(pa.int32()))])
+SIGNED_DDL = "doc_id long, text_hash long, low long, high long, n_shingles long, sig array<int>"
 
 
 def signed_rows(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -57,10 +57,10 @@ def signed_rows(rows: Iterator[dict]) -> Iterator[tuple]:
     for row in rows:
         shingles = np.unique(shingles_of(word_hashes(row["text"]), WIDTH))
         if not len(shingles):
-            yield row["doc_id"], row["text_hash"], None, 0, None
+            yield row["doc_id"], row["text_hash"], None, None, 0, None
         else:
-            sid = xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
-            yield row["doc_id"], row["text_hash"], sid, len(shingles), signature(shingles, factors)
+            low, high = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+            yield row["doc_id"], row["text_hash"], low, high, len(shingles), signature(shingles, factors)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, sid (a hash of the shingle set; null if empty), n_shingles, sig of every document."""
+    """doc_id, text_hash, low and high (a 128-bit digest of the shingle set; null if empty), n_shingles, sig of every document."""
     small_batches(docs.sparkSession)
     return saved(keyed_texts(docs).mapInArrow(with_rows(signed_rows, SIGNED), SIGNED_DDL), "signatures")
 
@@ -193,8 +193,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     signed = signatures(docs)
-    sets = signed.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "text_hash")).alias("pick"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"))
-    sets = saved(sets, "sets")
+    sets = signed.filter("low is not null").groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_hash")).alias("pick"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least_id"))
+    # 64 bits name a set from here on; of sets that share the lower half each takes a hash of both.
+    alike = F.count(F.lit(1)).over(Window.partitionBy("low"))
+    sets = saved(sets.withColumn("sid", F.when(alike > 1, F.xxhash64("low", "high")).otherwise(F.col("low"))), "sets")
     table = prefixes(sets)
     picks = table.select("sid").join(sets.select("sid", "pick"), "sid").select("sid", F.col("pick.doc_id").alias("_id"), F.col("pick.text_hash").alias("_hash"))
     keyed = keyed_texts(docs)
@@ -205,11 +207,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     second = saved(crossing_pairs(table, texts, components(links), first, percent), "pairs")
     links = links.unionByName(saved(confirmed(second, texts, percent), "links"))
     merged = components(links)
-    named = sets.select("sid", "least_id").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    named = sets.select("sid", "low", "high", "least_id").join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_set = named.join(least, "component").select("sid", "component_id")
-    out = signed.select("doc_id", "n_shingles", "sid").join(of_set, "sid", "left")
-    ident = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    of_set = named.join(least, "component").select("low", "high", "component_id")
+    out = signed.select("doc_id", "n_shingles", "low", "high").join(of_set, ["low", "high"], "left")
+    ident = F.when(F.col("low").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", ident.alias("component_id"), F.col("doc_id").eqNullSafe(ident).alias("kept"))
 
 
