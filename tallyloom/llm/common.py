@@ -85,6 +85,16 @@ def used_up(*tables: DataFrame) -> None:
         discard(table.sparkSession, [table.saved_at])
 
 
+def apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list]:
+    """docs with the used columns and all others in one struct, so that no name of theirs meets one that an operator gives;
+    and the columns that bring back those of docs. Unused struct fields are pruned from the scan."""
+    field = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in used}
+    names = {c: f"`{c.replace('`', '``')}`" for c in docs.columns}
+    others = F.struct(*[F.col(names[c]).alias(f) for c, f in field.items()]) if field else F.lit(None).cast("int")
+    packed = docs.select(*[names[c] for c in docs.columns if c in used], others.alias("_others"))
+    return packed, [F.col(f"_others.{field[c]}").alias(c) if c in field else F.col(c) for c in docs.columns]
+
+
 def release(spark: SparkSession) -> None:
     """Has the driver forget plans of finished jobs, so that Spark's cleaner drops their shuffle files now and not when the
     driver's memory happens to be full."""

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import as_text, saved, shingles_of, small_batches, with_rows, word_hashes
+from tallyloom.llm.common import apart, as_text, saved, shingles_of, small_batches, with_rows, word_hashes
 from tallyloom.llm.components import components
 
 COORDINATES, MATCHES, WIDTH = 64, 32, 5
@@ -216,9 +216,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without near duplicates: of each group the document with the smallest id stays, once."""
+    """docs without near duplicates: of each group the document with the smallest id stays, once. Other columns may have
+    any name."""
+    packed, back = apart(docs, "doc_id", "text")
     kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return packed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*back)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

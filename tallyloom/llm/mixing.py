@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import saved
+from tallyloom.llm.common import apart, saved
 
 CHUNK = 4000
 EPS = 1e-9
@@ -138,11 +138,12 @@ def cube(units: DataFrame, group: str, seed: int) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as often as the mix takes them, 0 to 2 times with the default options. Rows with equal id, source and text
-    are told apart by nothing here and share their copies."""
+    are told apart by nothing here and share their copies; other columns may have any name."""
+    packed, back = apart(docs, "doc_id", "source", "text")
     key = F.xxhash64("doc_id", "source", "text")
     chosen = mix(sized(docs, key), **options).groupBy("row_key").agg(F.sum("copies").cast("int").alias("_copies")).filter("_copies > 0").withColumnRenamed("row_key", "_key")
-    keyed = docs.withColumn("_key", key).dropDuplicates(["_key"])
-    return keyed.join(chosen, "_key").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    keyed = packed.withColumn("_key", key).dropDuplicates(["_key"])
+    return keyed.join(chosen, "_key").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*back)
 
 
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most_repeats: float = 2.0, seed: int = 7) -> DataFrame:

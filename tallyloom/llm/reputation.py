@@ -7,7 +7,8 @@ host's share of bad outcomes is at least `block_at`.
 
 Edge cases: a null url or one without `://` has empty host and path, fits no rule and gets the verdict of the overall
 rate. Hosts without labels inherit their domain's posterior. Without any label every such page is allowed. Repeated
-labels of a document count once, the worst of them. Rows with the same page_id each get a row.
+labels of a document count once, the worst of them. Rows with the same page_id each get a row. Empty tables give no rows;
+urls of any length are judged whole; other columns of the tables are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 
 #: Rules of the query: host and path prefix, verdict.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+#: Labels under which countries register names.
+SECOND = ("ac", "co", "com", "edu", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
+TWO_LABELS = rf"(^|[.])({'|'.join(SECOND)})[.][a-z][a-z]$"
+NUMERIC = r"^([0-9.]+|\[.*\])$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,10 +46,12 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule if rule is not None else F.lit(None).cast("string"), verdict if verdict is not None else F.lit(None).cast("string")
 
 
-def site_of(host: Column, labels: int) -> Column:
-    """The last `labels` labels of a host without port and closing dot: 2 for the registered domain, 1 for the suffix."""
+def site_of(host: Column, level: str) -> Column:
+    """The suffix (com, co.uk) or the registered domain (one label more) of a host without user, port and closing dot. A
+    suffix has two labels where one of SECOND stands before a country's. An address in numbers is its own domain and suffix."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$|\.+$", "")
-    return F.substring_index(bare, ".", -labels)
+    more = int(level == "domain")
+    return F.when(bare.rlike(NUMERIC), bare).when(bare.rlike(TWO_LABELS), F.substring_index(bare, ".", -2 - more)).otherwise(F.substring_index(bare, ".", -1 - more))
 
 
 @dataclass(frozen=True)
@@ -67,7 +74,7 @@ class Reputation:
 
     def scores(self, hosts: DataFrame) -> DataFrame:
         """hosts (host, bad, n) -> host, mean, low: posterior mean and lower bound of the share of bad outcomes."""
-        hosts = hosts.withColumns({"domain": site_of(F.col("host"), 2), "suffix": site_of(F.col("host"), 1)})
+        hosts = hosts.withColumns({"domain": site_of(F.col("host"), "domain"), "suffix": site_of(F.col("host"), "suffix")})
         summed = [F.sum("bad").alias("bad"), F.sum("n").alias("n")]
         levels = [hosts.groupBy("suffix").agg(*summed), hosts.groupBy("domain").agg(*summed, F.max("suffix").alias("suffix")), hosts]
         total = hosts.agg(*summed).first()
@@ -130,13 +137,15 @@ q_{name} AS (SELECT u_{name}.*, {prior} * c + u_{name}.bad a, (1 - {prior}) * c
 p_{name} AS (SELECT *, a / (a + b) AS mean, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS low FROM q_{name})"""
 
     bare = "regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$|\\.+$', '', 'g')"
+    last = lambda n: f"array_to_string(string_split({bare}, '.')[-{n}:], '.')"
+    site = lambda n: f"CASE WHEN regexp_matches({bare}, '{NUMERIC}') THEN {bare} WHEN regexp_matches({bare}, '{TWO_LABELS}') THEN {last(n + 1)} ELSE {last(n)} END"
     return f"""
 WITH e AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 g AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM e),
 o AS (SELECT doc_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) AS bad FROM labels GROUP BY doc_id),
 h AS (SELECT host, coalesce(sum(bad), 0)::BIGINT AS bad, count(bad) AS n FROM g LEFT JOIN o ON o.doc_id = try_cast(regexp_extract(path, '^/[^/]*/([0-9]+)', 1) AS BIGINT) GROUP BY host),
-u_host AS (SELECT *, array_to_string(string_split({bare}, '.')[-2:], '.') AS domain, string_split({bare}, '.')[-1] AS suffix FROM h),
+u_host AS (SELECT *, {site(2)} AS domain, {site(1)} AS suffix FROM h),
 u_suffix AS (SELECT suffix, sum(bad) bad, sum(n) n FROM u_host GROUP BY suffix),
 u_domain AS (SELECT domain, max(suffix) suffix, sum(bad) bad, sum(n) n FROM u_host GROUP BY domain),{level("suffix", "suffix", None)},{level("domain", "domain", "suffix")},{level("host", "host", "domain")}
 SELECT page_id, g.host, path, {rule.replace("host", "g.host")} AS rule, {verdict.replace("host", "g.host")} AS verdict FROM g LEFT JOIN p_host ON p_host.host = g.host

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.llm import extraction, fingerprint, mixing, packing, reputation, toxicity, warc
 from tallyloom.llm.common import fresh, shared_dir
@@ -305,6 +306,28 @@ def test_reputation_shrinks_small_hosts_and_blocks_bad_ones(spark):
     assert got["bad.a.com"][1] > 0.5 > got["new.b.com"][1] and got["new.b.com"][0] < 0.9 and got["good.b.com"][0] < 0.1 and len(got) == 5
 
 
+def test_sites_of_hosts(spark):
+    cases = {"a.b.example.com": ("example.com", "com"), "shop.firm.co.uk:80": ("firm.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x@y.net.": ("y.net", "net"), "10.0.0.7:8080": ("10.0.0.7", "10.0.0.7"), "": ("", ""), "com.example.com": ("example.com", "com")}
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = hosts.select("host", reputation.site_of(F.col("host"), "domain").alias("d"), reputation.site_of(F.col("host"), "suffix").alias("s"))
+    assert {r.host: (r.d, r.s) for r in got.collect()} == cases
+
+
+def test_names_of_one_country_suffix_share_no_reputation(spark):
+    hosts = spark.createDataFrame([(f"h{k}.bad.co.uk", 9, 10) for k in range(20)] + [(f"h{k}.good{k}.co.uk", 0, 10) for k in range(20)] + [("new.bad.co.uk", 0, 0), ("new.other.co.uk", 0, 0)], "host string, bad long, n long")
+    got = {r.host: r["mean"] for r in reputation.Reputation().scores(hosts).collect()}
+    assert got["new.bad.co.uk"] > 0.6 > 0.5 > got["new.other.co.uk"]
+
+
+def test_url_filter_of_empty_tables_and_the_method_blocks(spark):
+    pages = spark.createDataFrame([(k, f"http://spam.example.io/en/{k}") for k in range(40)] + [(99, "http://fine.example.io/en/99"), (100, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, 1) for k in range(40)] + [(99, 0)], "doc_id long, bad int")
+    got = {r.page_id: r.verdict for r in reputation.judge(pages, outcomes).collect()}
+    assert {got[k] for k in range(40)} == {"block"} and len(got) == 42
+    assert reputation.judge(pages.filter("false"), outcomes).count() == 0
+    assert {r.verdict for r in reputation.judge(pages, outcomes.filter("false")).collect()} == {"allow"}
+
+
 def test_warc_round_trip(spark):
     nasty = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb\r\n\r\nWARC/1.1"
     big = "é漢" * 5000
