@@ -4,6 +4,11 @@ Every stage works on all its predecessor kept: toxicity (texts with a score of 0
 each group the smallest id stays), substring dedup (passages of 50 words or more stay in the earliest document only),
 mixing (documents are taken 0 to 2 times towards the weights of their sources) and best-fit packing (a row per piece
 with its sequence). All but the last return the columns of documents.
+
+Null and empty texts are no one's duplicates, aren't toxic, have size 0 in the mix and pack
+as the closing id alone. Ties go to the smallest doc_id; rows with equal id and text count as one from the second stage
+on. Empty tables give empty tables. Very long texts are worked on whole. Other columns may have any name and are kept.
+A stage deletes the intermediate tables of the stage called before it, whose result must be written by then.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import minhash, mixing, packing, substrings, toxicity
-from tallyloom.llm.common import collecting, discard, fresh
+from tallyloom.llm.common import apart, collecting, discard, fresh
 
 _temporary: list[str] = []
 
@@ -29,8 +34,9 @@ def _stage(work):
 
 @_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
-    return scored.filter("_toxicity < 0.5").select(*docs.columns)
+    packed, back = apart(docs, "doc_id", "text")
+    scored = toxicity.scored(packed, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
+    return scored.filter("_toxicity < 0.5").select(*back)
 
 
 @_stage
@@ -66,9 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         path = fresh(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(spark, before)
+        before = [path]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    _temporary.clear()  # what the lazy result reads stays, whatever runs after this
+    return packed
