@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,3 +117,32 @@ def match_text(c: Column) -> Column:
     c = F.translate(F.translate(c, ZERO_WIDTH, ""), "“”„«»‘’‚`´", "\"\"\"\"\"'''''")
     c = F.translate(F.translate(c, SPACES, " " * len(SPACES)), DASHES, "-" * len(DASHES))
     return F.trim(F.lower(F.regexp_replace(c, r"\s+", " ")))
+
+
+def _runs(c: Column, n: int) -> Column:
+    """Every n words in a row."""
+    words = F.split(F.trim(c), r"\s+")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.slice(words, i, F.lit(n)))
+
+
+def _begins(word: Column, *starts: str) -> Column:
+    low = lower_tr(word)
+    return reduce(lambda a, b: a | b, [F.startswith(low, F.lit(s)) for s in starts])
+
+
+def sms_entry(c: Column) -> tuple[Column, Column]:
+    """Keyword and number of "WORD yazıp 1234'e gönderin": four words in a row, the first in capitals, the third led by four
+    digits. Null where a text has none."""
+    word = lambda w: F.regexp_replace(F.get(w, F.lit(0)), r"^[^\p{L}]+|[^\p{L}]+$", "")
+    number = lambda w: F.regexp_extract(F.get(w, F.lit(2)), r"^(\d{4})(?!\d)", 1)
+    fits = lambda w: word(w).rlike(r"^\p{Lu}{3,20}$") & _begins(F.get(w, F.lit(1)), "yaz") & (number(w) != "") & _begins(F.get(w, F.lit(3)), "gönder", "gonder")
+    hit = F.get(F.filter(_runs(c, 4), fits), F.lit(0))
+    return word(hit), number(hit)
+
+
+def coupon_code(c: Column, verbs: tuple[str, ...] = ("kullan", "gir", "yaz")) -> Column:
+    """The code of "abcd20 kodunu kullanın": a letter, then 3 to 19 letters and digits, before a form of the word for code
+    and a verb."""
+    word = lambda w: F.regexp_replace(F.get(w, F.lit(0)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    fits = lambda w: word(w).rlike("^[A-Za-z][A-Za-z0-9]{3,19}$") & _begins(F.get(w, F.lit(1)), "kod") & _begins(F.get(w, F.lit(2)), *verbs)
+    return word(F.get(F.filter(_runs(c, 3), fits), F.lit(0)))

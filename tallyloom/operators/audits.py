@@ -60,7 +60,7 @@ def currency_anomalies(rates: DataFrame, key: list[str], currency: str, rate: st
 
 def fingerprint(df: DataFrame, ident: str) -> DataFrame:
     """One row: rows, largest id and an order-free digest of all columns, to tell whether a table has changed."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.max(ident).alias("max_id"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("digest"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.max(ident).alias("max_id"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")), F.lit(0)).alias("digest"))
 
 
 def verify_export(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def verify_export(spark: SparkSession, path: str, manifest: DataFrame) -> DataFr
     out = None
     for row in manifest.collect():  # a row per exported table
         lines = spark.read.text(f"{path}/{row['table']}")
-        now = lines.agg(F.lit(row["table"]).alias("table"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("digest"))
+        now = lines.agg(F.lit(row["table"]).alias("table"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64("value").cast("decimal(20,0)")), F.lit(0)).alias("digest"))
         bad = now.filter((F.col("n_rows") != row["n_rows"]) | (F.col("digest") != row["digest"]))
         out = bad if out is None else out.unionByName(bad)
     return out

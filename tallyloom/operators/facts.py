@@ -67,9 +67,9 @@ def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def change_status(old: DataFrame, new: DataFrame, key: list[str], content: str) -> DataFrame:
     """new with change: new, updated or unchanged by the hash of the content."""
-    known = old.select(*key, F.sha2(content, 256).alias("_old")).join(new.select(*key).distinct(), key, "left_semi")
+    known = old.select(*key, F.sha2(content, 256).alias("_old"), F.lit(True).alias("_known")).join(new.select(*key).distinct(), key, "left_semi")
     joined = new.join(known, key, "left")
-    return joined.withColumn("change", F.when(F.col("_old").isNull(), "new").when(F.col("_old") == F.sha2(content, 256), "unchanged").otherwise("updated")).drop("_old")
+    return joined.withColumn("change", F.when(F.col("_known").isNull(), "new").when(F.col("_old").eqNullSafe(F.sha2(content, 256)), "unchanged").otherwise("updated")).drop("_old", "_known")
 
 
 def suffix_match(keys: DataFrame, wanted: DataFrame, column: str) -> DataFrame:

@@ -103,3 +103,9 @@ def implied_monthly_rate(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series
             low, high = low * ~less + mid * less, high * less + mid * ~less
         out = pd.Series((low * 100).round(4))
         yield out.where((t > p) & (n > 0) & (t <= paid(p * 0 + 0.2)) & (p > 0))
+
+
+def plan_rate(principal: Column, profit: Column, repayment: Column, months: Column) -> Column:
+    """Monthly percent of a payment plan: from principal and profit where both are known, since the sum of instalments may
+    hold fees; else from that sum."""
+    return implied_monthly_rate(principal, F.coalesce(principal + profit, repayment), months)

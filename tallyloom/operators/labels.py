@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -121,3 +122,45 @@ def contains_match(left: DataFrame, right: DataFrame, on: str, core: str, title:
     method = F.when(F.contains("_t", "_core"), "title").when(F.contains("_u", "_slug"), "url").when(F.contains("_b", "_core"), "body")
     sure = F.when(F.col("method") == "title", 0.90).when(F.col("method") == "url", 0.85).otherwise(0.60)
     return both.withColumn("method", method).filter("method is not null").withColumn("confidence", sure).drop("_t", "_b", "_u", "_core", "_slug")
+
+
+def holds_marker(text: Column, markers: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the examples that a prompt shows, and so can't be asked about; false for null."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in markers], F.lit(False)), F.lit(False))
+
+
+def unverified_numbers(answer: Column, cited: Column, least_digits: int = 2) -> Column:
+    """Numbers of an answer, without separators, that the cited texts don't hold. Citations like [12] are no numbers."""
+    bare = lambda c: F.regexp_replace(c, r"[.,\s]", "")
+    pool = bare(F.coalesce(cited, F.lit("")))
+    numbers = F.regexp_extract_all(F.regexp_replace(answer, r"\[\d+\]", " "), F.lit(r"\d[\d.,]*"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(numbers, bare), lambda n: (F.length(n) >= least_digits) & ~F.contains(pool, n)))
+
+
+def summary_reason(summary: Column, source: Column, forbidden: tuple[str, ...], least: int = 40) -> Column:
+    """Why a summary is rejected, or null: too short, a number that the source lacks, a forbidden word that the source
+    doesn't use itself."""
+    text = F.trim(F.coalesce(summary, F.lit("")))
+    own = F.array_except(forbidden_terms(text, forbidden), forbidden_terms(F.coalesce(source, F.lit("")), forbidden))
+    return F.when(F.length(text) < least, "empty_summary").when(F.size(unverified_numbers(text, source)) > 0, "unsupported_number").when(F.size(own) > 0, "forbidden_term")
+
+
+def anchored_evidence(value: Column, text: Column, units: tuple[str, ...], window: int = 45, least: int = 12) -> Column:
+    """The part of the text around a number in any spelling, no part of a longer number, with one of the units within
+    `window` characters; null if there is none of at least `least` characters."""
+    unit = "(?i:" + "|".join(f"\\Q{u}\\E" for u in units) + ")"
+    around = f"[\\s\\S]{{0,{window}}}"
+
+    def found(spelling: Column) -> Column:
+        number = F.concat(F.lit(r"(?<!\d)(?<!\d[.,])\Q"), spelling, F.lit(r"\E(?!\d)(?![.,]\d)"))
+        pattern = F.concat(F.lit(f"{around}(?:(?<={unit}{around})"), number, F.lit("|"), number, F.lit(f"(?={around}{unit})){around}"))
+        return F.regexp_substr(text, pattern)
+
+    parts = F.filter(F.transform(number_spellings(value.try_cast("double")), found), lambda p: p.isNotNull() & (F.length(p) >= least))
+    return F.get(parts, F.lit(0))
+
+
+def first_reward(text: Column, amount: str, totals: tuple[str, ...], near: int = 40) -> Column:
+    """The first amount (a pattern) with no phrase of a common total within `near` characters before it; null if none."""
+    total = "|".join(f"\\Q{t}\\E" for t in totals)
+    return F.regexp_substr(text, F.lit(f"(?<!(?i:{total})[\\s\\S]{{0,{near}}})(?:{amount})"))

@@ -240,7 +240,8 @@ def conversation_digest(spark, sf):
 @query(f"SELECT item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY item_id")
 def evidence_containment(spark, sf):
     """In which documents a snippet stands, after white space and case are evened out. Documents and snippets meet on
-    the hash of the snippet's first five words, so this is an equi-join on shingles, not a product."""
+    the hash of the snippet's second to sixth word (the first may be cut), so this is an equi-join on shingles, not a
+    product; snippets of fewer words find nothing."""
     even = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
     item = table(spark, sf, "benchmark").select("item_id", even(F.col("text")).alias("snippet"))
     item = item.withColumn("words", F.split(F.trim("snippet"), " ")).withColumn("key", F.xxhash64(F.array_join(F.slice("words", 2, 5), " ")))

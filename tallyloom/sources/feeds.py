@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.operators.filters import canonical_url, first_per_key, same_site
 
@@ -25,11 +30,47 @@ def archive(spark: SparkSession, path: str, glob: str = "*.html") -> DataFrame:
     return files.select("path", "content", digest.alias("sha256"), (named == F.substring(digest, 1, 12)).alias("verified"))
 
 
+def _inflate(content: bytes | None) -> str | None:
+    """As far as the stream goes; null if it is none."""
+    try:
+        return None if content is None else zlib.decompressobj(31).decompress(content).decode("utf-8", "replace")
+    except zlib.error:
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def _inflated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for contents in batches:
+        yield contents.map(_inflate)
+
+
+def decoded(content: Column) -> Column:
+    """Text of a file's bytes. Only those that begin like gzip, whatever their name, go through Python."""
+    packed = F.hex(F.substring(content, 1, 2)) == "1F8B"
+    return F.when(packed, _inflated(F.when(packed, content))).otherwise(F.decode(content, "UTF-8"))
+
+
+def unescaped(c: Column) -> Column:
+    """The five references that XML names, the one for & last."""
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(sign))
+    return c
+
+
+def rate_lines(texts: DataFrame, text: str, keys: list[str], bands: tuple[str, ...]) -> DataFrame:
+    """key columns, label, band, rate: lines of a rate table's text that end in just as many rates as there are bands."""
+    rates = F.regexp_extract_all("line", F.lit(r"%?\s*(\d{1,3}[.,]\d{1,2})(?![\d.,])"), F.lit(1))
+    lines = texts.select(*keys, F.explode(F.split(text, r"\r?\n")).alias("line")).withColumn("rates", rates).filter(F.size("rates") == len(bands))
+    label = F.trim(F.regexp_extract("line", r"^(.*?)%?\s*\d{1,3}[.,]\d", 1))
+    cells = lines.select(*keys, label.alias("label"), F.posexplode("rates").alias("at", "rate"))
+    return cells.select(*keys, "label", F.get(F.array(*map(F.lit, bands)), "at").alias("band"), F.replace("rate", F.lit(","), F.lit(".")).try_cast("decimal(9,4)").alias("rate"))
+
+
 def sitemap_urls(sitemaps: DataFrame, text: str = "xml", site: str | None = None, contains: str | None = None) -> DataFrame:
     """url and its first place, of sitemap documents (broken ones as far as they go); same site and path part if asked;
     one row per canonical address."""
     locs = F.regexp_extract_all(F.col(text), F.lit(r"(?is)<(?:\w+:)?loc>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</(?:\w+:)?loc>"), 1)
-    urls = sitemaps.select(F.posexplode(locs).alias("place", "url")).withColumn("url", F.replace("url", F.lit("&amp;"), F.lit("&")))
+    urls = sitemaps.select(F.posexplode(locs).alias("place", "url")).withColumn("url", unescaped(F.col("url")))
     if site:
         urls = urls.filter(same_site(F.col("url"), site))
     if contains:
@@ -58,10 +99,10 @@ def robots_rules(robots: DataFrame, host: str = "host", status: str = "status",
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
     """urls with robots_allowed: the longest rule that the path starts with, allowed on ties and without a rule."""
-    matched = urls.join(rules, host, "left")
-    fits = F.col("rule").isNotNull() & F.expr(f"startswith({path}, rule)")
-    best = F.max(F.when(fits, F.struct(F.length("rule").alias("n"), F.col("allow"))))
-    return matched.groupBy(*urls.columns).agg(F.coalesce(best.getField("allow"), F.lit(True)).alias("robots_allowed"))
+    matched = urls.select(host, path).distinct().join(rules, host)
+    best = F.max(F.when(F.expr(f"startswith({path}, rule)"), F.struct(F.length("rule").alias("n"), F.col("allow"))))
+    verdicts = matched.groupBy(host, path).agg(best.getField("allow").alias("robots_allowed"))
+    return urls.join(verdicts, [host, path], "left").select(*urls.columns, F.coalesce("robots_allowed", F.lit(True)).alias("robots_allowed"))
 
 
 def pivot_feed(feed: DataFrame, body: str = "body", keys: list[str] | None = None) -> DataFrame:

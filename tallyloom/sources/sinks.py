@@ -25,7 +25,7 @@ def export_json_lines(tables: dict[str, DataFrame], path: str) -> DataFrame:
     for name, df in tables.items():
         plain(df).write.mode("overwrite").json(f"{path}/{name}")
         lines = spark.read.text(f"{path}/{name}")
-        row = lines.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("digest"))
+        row = lines.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.xxhash64("value").cast("decimal(20,0)")), F.lit(0)).alias("digest"))
         manifest = row if manifest is None else manifest.unionByName(row)
     return manifest
 
