@@ -7,11 +7,11 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.parse import number_spellings
-from tallyloom.functions.text import fold, match_text, snippet, starts_word
+from tallyloom.functions.text import fold, match_text, snippet, starts_word, tokens
 
 
 def keyword_labels(docs: DataFrame, ident: str, scopes: dict[str, str], rules: list[tuple[str, str, str, float, tuple[str, ...]]], fallback: float = 0.30) -> DataFrame:
@@ -164,3 +164,33 @@ def first_reward(text: Column, amount: str, totals: tuple[str, ...], near: int =
     """The first amount (a pattern) with no phrase of a common total within `near` characters before it; null if none."""
     total = "|".join(f"\\Q{t}\\E" for t in totals)
     return F.regexp_substr(text, F.lit(f"(?<!(?i:{total})[\\s\\S]{{0,{near}}})(?:{amount})"))
+
+
+def merchant_labels(docs: DataFrame, ident: str, title: str, merchants: DataFrame, axis: str, sure: float = 0.9, doubt: float = 0.2) -> DataFrame:
+    """ident, axis, value, confidence, evidence for titles that name a merchant (name, value, ambiguous) in whole words;
+    names that also mean something else are less sure. Names and titles meet on a name's longest word, so no title is
+    held against the whole dictionary. The surest, then smallest, name of a value is its evidence."""
+    names = merchants.select(tokens(F.col("name")).alias("_words"), "name", "value", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    keyed = names.filter(F.size("_words") > 0).withColumn("_word", F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    padded = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    titles = docs.select(ident, tokens(F.col(title)).alias("_title"))
+    met = titles.withColumn("_word", F.explode(F.array_distinct("_title"))).join(keyed, "_word").filter(F.contains(padded(F.col("_title")), padded(F.col("_words"))))
+    confidence = F.when(F.col("ambiguous"), F.lit(sure - doubt)).otherwise(F.lit(sure))
+    best = met.withColumn("confidence", F.round(confidence, 2)).groupBy(ident, "value").agg(F.max("confidence").alias("confidence"), F.min_by("name", F.struct(-F.col("confidence"), F.col("name"))).alias("evidence"))
+    return best.select(ident, F.lit(axis).alias("axis"), "value", "confidence", "evidence")
+
+
+def merged_labels(docs: DataFrame, ident: str, sources: list[DataFrame], fallbacks: dict[str, str], least: float = 0.30, boosted: tuple[str, str, str] | None = None) -> DataFrame:
+    """Labels (ident, axis, value, confidence, evidence) of several sources as one list: of an axis's value the surest stays,
+    then the smaller evidence. Documents without a label on an axis of `fallbacks` get its value there at `least`.
+    `boosted` (axis, value, other): where both values stand on the axis, the first gains 0.05, to 0.95 at most."""
+    every = reduce(lambda a, b: a.unionByName(b), sources)
+    best = every.groupBy(ident, "axis", "value").agg(F.max("confidence").alias("confidence"), F.min_by("evidence", F.struct(-F.col("confidence"), F.col("evidence"))).alias("evidence"))
+    if boosted:
+        axis, value, other = boosted
+        paired = F.max((F.col("value") == other).cast("int")).over(Window.partitionBy(ident, "axis")) == 1
+        gains = (F.col("axis") == axis) & (F.col("value") == value) & paired
+        best = best.withColumn("confidence", F.when(gains, F.greatest("confidence", F.least(F.round(F.col("confidence") + 0.05, 3), F.lit(0.95)))).otherwise(F.col("confidence")))
+    asked = F.explode(F.create_map(*[F.lit(x) for item in fallbacks.items() for x in item])).alias("axis", "value")
+    rest = docs.select(ident, asked).join(best.select(ident, "axis").distinct(), [ident, "axis"], "left_anti")
+    return best.unionByName(rest.select(ident, "axis", "value", F.lit(least).alias("confidence"), F.lit(None).cast("string").alias("evidence")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import tokens
+from tallyloom.operators.campaigns import search_order
+from tallyloom.operators.labels import unverified_numbers
 
 K1, B, RRF = 1.5, 0.75, 60
 PREFIX_FROM, PREFIX_WEIGHT = 4, 0.6
@@ -72,3 +74,23 @@ def fused(channels: list[tuple[DataFrame, str]], ident: str) -> DataFrame:
         part = df.select(ident, (1.0 / (RRF + F.col(rank))).alias("part"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy(ident).agg(F.sum("part").alias("rrf"))
+
+
+def hybrid(kept: DataFrame, channels: list[tuple[DataFrame, str]], ident: str, status: str, filtered: bool, limit: int) -> DataFrame:
+    """The best `limit` of the rows that passed the filters, with score (fused ranks). With filters every such row is a
+    candidate, at score 0 where no channel ranks it, so that a narrow filter never empties the list; without, only what a
+    channel ranks is. Equal scores go by status, then by id."""
+    scored = kept.join(fused(channels, ident), ident, "left" if filtered else "inner")
+    return scored.withColumn("score", F.coalesce("rrf", F.lit(0.0))).drop("rrf").orderBy(*search_order("score", status, ident)).limit(limit)
+
+
+def grounded_answers(hits: DataFrame, question: str, rank: str, title: str, card: str, most: int = 5) -> DataFrame:
+    """question, answer, citations, grounded of ranked hits (rank from 1; a null card is no hit): a
+    line "[n] title: card" for each of the first `most` cards, and what it cites. A question
+    without cards is refused with a null answer. Every number of the answer must stand in the cited cards (labels.unverified_numbers)."""
+    used = F.when(F.col(card).isNotNull() & (F.col(rank) <= most), F.struct(F.col(rank).alias("n"), F.coalesce(title, F.lit("")).alias("title"), F.col(card).alias("card")))
+    context = hits.groupBy(question).agg(F.array_sort(F.collect_list(used)).alias("_cards"))
+    line = lambda c: F.concat(F.lit("["), c["n"].cast("string"), F.lit("] "), c["title"], F.lit(": "), c["card"])
+    answer = F.when(F.size("_cards") > 0, F.array_join(F.transform("_cards", line), "\n"))
+    cited = F.array_join(F.transform("_cards", lambda c: F.concat_ws(" ", c["title"], c["card"])), " ")
+    return context.select(question, answer.alias("answer"), F.col("_cards.n").alias("citations"), (F.size(F.coalesce(unverified_numbers(answer, cited), F.array().cast("array<string>"))) == 0).alias("grounded"))

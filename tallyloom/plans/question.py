@@ -42,9 +42,10 @@ def _has(text: str, needle: str) -> bool:
     return re.search(r"(?<![a-z0-9])" + re.escape(needle), text) is not None
 
 
-def parse_question(raw: str, banks: dict[str, str], axes: dict[str, dict[str, tuple[str, ...]]], fields: dict[str, tuple[str, ...]]) -> Plan:
+def parse_question(raw: str, banks: dict[str, str], axes: dict[str, dict[str, tuple[str, ...]]], fields: dict[str, tuple[str, ...]], bare: dict[str, dict[str, tuple[str, ...]]] | None = None) -> Plan:
     """banks: alias -> code; axes: axis -> value -> keywords; fields: field -> marker words. Longer aliases win; words that
-    compare numbers are masked before keywords are looked up; a number needs a field nearby and a direction."""
+    compare numbers are masked before keywords are looked up; a number needs a field nearby and a direction.
+    `bare` has words too general for axes; an axis takes them only where none of its own were found."""
     text = folded(raw)
     found, rest = [], text
     for alias in sorted(banks, key=len, reverse=True):
@@ -66,6 +67,9 @@ def parse_question(raw: str, banks: dict[str, str], axes: dict[str, dict[str, tu
     for w in (*BELOW, *ABOVE):
         masked = re.sub(r"(?<![a-z0-9])" + re.escape(w) + r"\w*", " ", masked)
     picked = {a: tuple(v for v, words in values.items() if any(_has(masked, folded(w)) for w in words)) for a, values in axes.items()}
+    for axis, values in (bare or {}).items():
+        if not picked.get(axis):
+            picked[axis] = tuple(v for v, words in values.items() if any(_has(masked, folded(w)) for w in words))
     status = next((s for w, s in STATUS_WORDS.items() if _has(text, w)), "active")
     aggregate = None
     if any(_has(text, w) for w in COUNT_WORDS):
