@@ -14,6 +14,10 @@ from tallyloom.functions.text import snippet
 NOT_A_RATE = r"indirim|iade|cashback|puan|bonus|finanse|kredilendir|oranında ödül"
 REWARDS = (("points", r"\bpuan\b|worldpuan|bonus"), ("cashback", r"iade|cashback"), ("discount", r"indirim"), ("instalment", r"taksit"), ("voucher", r"kupon|hediye çeki"))
 SPEND = r"alışveriş|harcama|ödeme"
+#: The words that make a percentage a rate of profit; from SHARE on it is one beside these words only.
+PROFIT, SHARE = r"k[âa]r pay[ıi]", 50
+#: Spellings of a percentage, and how many letters on either side tell what it is.
+PERCENTAGE, NEAR = rf"%\s*{parse.NUMBER}|{parse.NUMBER}\s*%|yüzde\s*{parse.NUMBER}", 40
 
 
 def _fact(field: str, value: Column, unit: str, raw: Column, low: Column, confidence: Column | float) -> Column:
@@ -22,6 +26,31 @@ def _fact(field: str, value: Column, unit: str, raw: Column, low: Column, confid
     return F.when(value.isNotNull() & (raw != ""), fact)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def profit_rate(low: Column) -> Column:
+    """struct<value, raw> of a lowered text's rate of profit, or null. Every percentage is judged by the letters around it:
+    beside words of discounts or rebates, or from 50 on, it is one only if it is called so. Of several different ones those called so
+    decide; if they differ too, none is taken. "No term difference" is a rate of 0 where nothing else is found."""
+    before = rf"(?=[%\dy])(?<=^([\s\S]{{0,{NEAR - 1}}})|([\s\S]{{{NEAR}}}))"
+    shape = F.lit(rf"{before}({PERCENTAGE})(?=([\s\S]{{0,{NEAR}}}))")
+    part = lambda g: F.regexp_extract_all(low, shape, F.lit(g))
+    judge = lambda m: F.struct(parse.rate(m["raw"], True).alias("value"), m["raw"].alias("raw"), F.concat(m["l"], m["k"], m["raw"], m["r"]).alias("near"))
+    named = lambda r: r["near"].rlike(PROFIT)
+    is_rate = lambda r: r["value"].isNotNull() & (named(r) | ((r["value"] < SHARE) & ~r["near"].rlike(NOT_A_RATE)))
+    single = lambda found: F.when(F.size(F.array_distinct(F.transform(found, lambda r: r["value"]))) == 1, F.get(found, F.lit(0)))
+    matches = F.arrays_zip(part(1).alias("l"), part(2).alias("k"), part(3).alias("raw"), part(4).alias("r"))
+    judged = F.filter(F.transform(matches, judge), is_rate)
+    pick = _once(judged, lambda rates: F.coalesce(single(rates), single(F.filter(rates, named))))
+    zero = F.regexp_extract(low, parse.ZERO_RATE, 0)
+    none = F.when(zero != "", F.struct(F.lit(0).cast("decimal(20,6)").alias("value"), zero.alias("raw")))
+    made = _once(pick, lambda p: F.when(p.isNotNull(), F.struct(p["value"].alias("value"), p["raw"].alias("raw"))))
+    return F.coalesce(F.when(low.rlike("%|yüzde"), made), none)
+
+
 def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """ident, field, value, unit, raw, evidence, at (place in the lowered text), confidence. A percentage beside words of
     discounts or rebates is no rate; several different rates lower the confidence to 0.60; limits need a currency word."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators import labels, products, retrieval
+from tallyloom.operators import extraction, labels, products, retrieval
 from tallyloom.plans.registry import query, table
 
 STATUS = ("expired", "active", "upcoming", "unknown")
@@ -153,3 +153,18 @@ def labels_from_merchants(spark, sf):
     tag = lambda v, c, e: ("p_partkey", F.lit("line").alias("axis"), F.lit(v).alias("value"), F.lit(c).alias("confidence"), F.lit(e).alias("evidence"))
     sources = [labels.merchant_labels(part, "p_partkey", "p_type", known, "metal"), part.filter(F.col("p_type").startswith("PROMO")).select(*tag("promo", 0.9, "promo")), part.filter("p_size % 2 = 0").select(*tag("card", 0.7, "size"))]
     return labels.merged_labels(part, "p_partkey", sources, {"metal": "other", "line": "other"}, boosted=("line", "card", "promo"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 0 THEN l_partkey % 40 WHEN 3 THEN l_suppkey % 7 + 1 WHEN 4 THEN 0 WHEN 6 THEN 90 END::DOUBLE AS rate FROM lineitem
+""")
+def profit_rates_of_texts(spark, sf):
+    """A sentence a line: a plain rate, a discount, a share, one named rate of two, none, two named ones that differ, a high named one."""
+    a, b = (F.col("l_partkey") % 40).cast("string"), (F.col("l_suppkey") % 7 + 1).cast("string")
+    far = " bu oran başka bir hesap içindir ve burada geçerli olmaz. ".ljust(60)
+    kinds = [
+        F.concat(F.lit("Aylık %"), a, F.lit(" ile")), F.concat(F.lit("%"), a, F.lit(" indirim fırsatı")), F.lit("Değerinin %80 kadarı"), F.concat(F.lit("%49"), F.lit(far), F.lit("%"), b, F.lit(" kâr payı")),
+        F.lit("Vade farksız alışveriş"), F.concat(F.lit("%48 kâr payı,"), F.lit(far), F.lit("%"), b, F.lit(" kâr payı")), F.lit("kar payı oranı yüzde 90")]
+    text = F.get(F.array(*kinds), (F.col("l_linenumber") % 7).cast("int"))
+    rate = extraction.profit_rate(F.lower(text))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", rate["value"].cast("double").alias("rate"))
