@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import embeddings, extraction, fingerprint, minhash, mixing, packing, reputation, substrings, toxicity, warc
+from tallyloom.llm import centroids, embeddings, extraction, fingerprint, minhash, mixing, packing, reputation, substrings, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filter": reputation.op9_url_filter,
     "op10_warc": warc.op10_warc,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_minhash_dedup": minhash.OP4_SQL,
     "op9_url_filter": reputation.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op13_centroid_clustering": centroids.OP13_SQL,
 }
