@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import centroids, embeddings, extraction, fingerprint, minhash, mixing, packing, reputation, substrings, toxicity, warc
+from tallyloom.llm import alignment, centroids, embeddings, extraction, fingerprint, minhash, mixing, packing, reputation, substrings, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filter": reputation.op9_url_filter,
     "op10_warc": warc.op10_warc,
+    "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_token_counts": token_counts.op12_token_counts,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
