@@ -11,8 +11,9 @@ first cuts there by its pattern; that no piece of the second reaches across is l
 there, so groups end there too, and the chunks between such places are tokenized and aligned once and kept in a memo.
 All new chunks of a batch are tokenized together and aligned in the same few array operations.
 
-The counts of the FREQUENT pairs that most documents hold are looked up in a broadcast; pairs that are rarer are
-joined with the table of counts. Both passes over the texts are maps; what is shuffled are sums per pair and rare pairs.
+Texts are tokenized in one pass, whose distinct pairs per document are written. The counts of the FREQUENT pairs that most
+documents hold are looked up in a broadcast; pairs that are rarer are joined with the table of counts. What is shuffled
+are sums per pair and rare pairs.
 
 Edge cases: texts that are null, empty, or whose pieces don't give back the text (one with the blank's own sign U+2581)
 have no tokens: zeros and an empty digest. Strings of special tokens are plain text. Every row is a document of its own,
@@ -27,7 +28,6 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -35,34 +35,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import as_text, saved, small_batches, with_rows
+from tallyloom.llm.common import as_text, saved, small_batches, used_up, with_rows
 from tallyloom.llm.packing import byte_letters
-from tallyloom.llm.weighing import counted, with_rest
+from tallyloom.llm.weighing import commonest, with_rest
 
 #: Pairs that are broadcast with their counts at most: 3 MB.
 FREQUENT = 1 << 17
 #: Chunks of a worker's memo, and the longest that it keeps, in characters.
-CHUNKS, KEPT_CHUNK = 60_000, 100
+CHUNKS, KEPT_CHUNK = 200_000, 100
+#: Links of a group that are expanded at once; those of larger groups are counted by id on either side first.
+EXPANDED = 1 << 12
 #: An id pair is one number, first id * PAIR + second id.
-PAIR = 1 << 32
+PAIR = 1 << 20
 BLANK = "▁"
 
+#: Of a chunk: numbers of tokens on both sides, groups and links; the groups as text; distinct id pairs and how often each
+#: is linked.
+Aligned = tuple[int, int, int, int, str, tuple[int, ...], tuple[int, ...]]
 
-@dataclass(frozen=True, slots=True)
-class Aligned:
-    """A chunk's tokens: numbers, groups as text, distinct id pairs with how often each is linked."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    pairs: tuple[int, ...]
-    times: tuple[int, ...]
-
-
-class Aligner(dict):
-    """Chunk to Aligned, or None where its pieces don't give it back."""
+class Aligner:
+    """Chunks to Aligned, or None where the pieces don't give a chunk back, with a memo of two generations: what was not asked
+    for while the younger one filled up is forgotten."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -80,6 +74,12 @@ class Aligner(dict):
         cuts = [c for c, sign in ((" ", BLANK), ("\n", "\n")) if not any(re.search(f"[^{BLANK}]{sign}" if c == " " else sign, p) for p in pieces)]
         if " " not in cuts:
             raise ValueError("a piece of the second tokenizer reaches across a blank")
+        self.long_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        for i, x in self.bytes_a.items():
+            self.long_a[i] = len(x)
+        self.long_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.young: dict[str, Aligned | None] = {}
+        self.old: dict[str, Aligned | None] = {}
         self.cut = re.compile(rf"(?<=\S)(?=[{''.join(cuts)}])")
 
     def chunks(self, text: str) -> list[str]:
@@ -87,54 +87,86 @@ class Aligner(dict):
         return self.cut.split(" " + text)
 
     def learn(self, chunks: set[str]) -> dict[str, Aligned | None]:
-        """Those that the memo lacks, aligned together. The memo is emptied before it would be over full."""
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CHUNKS:
-            self.clear()
-            new = list(chunks)
-        found = {}
+        """All of the chunks; those that the memo lacks are aligned together."""
+        found, new = {}, []
+        young, old = self.young, self.old
+        for c in chunks:
+            if c in young:
+                found[c] = young[c]
+            elif c in old:
+                found[c] = young[c] = old[c]
+            else:
+                new.append(c)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            found |= dict(zip(part, self.align(part), strict=True))
-        self.update((c, x) for c, x in found.items() if len(c) <= KEPT_CHUNK)
+            for c, x in zip(part, self.align(part), strict=True):
+                found[c] = x
+                if len(c) <= KEPT_CHUNK:
+                    young[c] = x
+        if len(young) >= CHUNKS // 2:
+            self.young, self.old = {}, young
         return found
 
-    def align(self, chunks: list[str]) -> list[Aligned | None]:
-        ids_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+    def tokens(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         # The second adds a blank (not to an empty text): the chunk's own one is left to it, and before a line break its token is taken off.
-        led = [c.startswith(" ") for c in chunks]
-        ids_b = [x if lead else x[1:] for x, lead in zip(self.b.encode([c[lead:] for c, lead in zip(chunks, led, strict=True)], num_threads=1), led, strict=True)]
-        ids_b = [[self.b.piece_to_id(BLANK)] if c == " " else x for c, x in zip(chunks, ids_b, strict=True)]
-        good = [k for k, c in enumerate(chunks) if b"".join([self.bytes_b[i] for i in ids_b[k]]) == (raw := c.encode("utf-8", "replace")) == b"".join([self.bytes_a[i] for i in ids_a[k]]) and raw]
-        out: list[Aligned | None] = [None] * len(chunks)
-        if not good:
-            return out
-        a = np.concatenate([ids_a[k] for k in good]).astype(np.int64)
-        b = np.concatenate([ids_b[k] for k in good]).astype(np.int64)
-        ends_a, ends_b = np.cumsum([len(self.bytes_a[i]) for i in a.tolist()]), np.cumsum([len(self.bytes_b[i]) for i in b.tolist()])
+        ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        for k, c in enumerate(chunks):
+            if c[0] != " ":
+                ids_b[k] = ids_b[k][1:]
+            elif len(c) == 1:
+                ids_b[k] = [self.b.piece_to_id(BLANK)]
+        return ids_a, ids_b
+
+    def align(self, chunks: list[str]) -> list[Aligned | None]:
+        """Aligned of each chunk, which must not be empty."""
+        ids_a, ids_b = self.tokens(chunks)
+        raw = [c.encode("utf-8", "replace") for c in chunks]
+        whole = b"".join(raw)
+        if b"".join([self.bytes_b[i] for ids in ids_b for i in ids]) != whole or b"".join([self.bytes_a[i] for ids in ids_a for i in ids]) != whole:
+            if len(chunks) == 1:
+                return [None]
+            half = len(chunks) // 2  # a chunk that is not given back is rare: halves find it
+            return self.align(chunks[:half]) + self.align(chunks[half:])
+        a, b = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (ids_a, ids_b))
+        ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
         # Elementary intervals of all chunks on end; a chunk's end is shared, so that none reaches across.
         ends = np.union1d(ends_a, ends_b)
         owner_a, owner_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         closes = (ends_a[owner_a] == ends) & (ends_b[owner_b] == ends)
         to_a, to_b = owner_a[closes] + 1, owner_b[closes] + 1  # tokens up to the end of each group
         from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
-        last = np.searchsorted(to_a, np.cumsum([len(ids_a[k]) for k in good])) + 1  # groups up to the end of each chunk
-        a, b, spans = a.tolist(), b.tolist(), list(zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True))
+        n_a, n_b = to_a - from_a, to_b - from_b
+        links = n_a * n_b
+        # Group products, expanded: the k-th link of a group has token k // n_b of one side and k % n_b of the other.
+        some = np.where(links <= EXPANDED, links, 0)
+        stops = np.cumsum(some)
+        group = np.repeat(np.arange(len(links)), some)
+        k = np.arange(len(group)) - (stops - some)[group]
+        keys = (a[from_a[group] + k // n_b[group]] * PAIR + b[from_b[group] + k % n_b[group]]).tolist()
+        stops = [0, *stops.tolist()]
+        last = (np.searchsorted(to_a, np.cumsum([len(x) for x in ids_a])) + 1).tolist()  # groups up to the end of each chunk
+        sums = [0, *np.cumsum(links).tolist()]
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        spans = list(zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), links.tolist(), strict=True))
+        out: list[Aligned | None] = []
         first = 0
-        for k, end in zip(good, last.tolist(), strict=True):
-            times: Counter[int] = Counter()
-            texts, links = [], 0
-            for i, j, m, n in spans[first:end]:
-                texts.append(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[m:n])))
-                links += (j - i) * (n - m)
-                if j - i == n - m == 1:
-                    times[a[i] * PAIR + b[m]] += 1
-                    continue
-                right = Counter(b[m:n]).items()
-                for x, p in Counter(a[i:j]).items():
-                    for y, q in right:
-                        times[x * PAIR + y] += p * q
-            out[k] = Aligned(len(ids_a[k]), len(ids_b[k]), end - first, links, ";".join(texts), tuple(times), tuple(times.values()))
+        for mine_a, mine_b, end in zip(ids_a, ids_b, last, strict=True):
+            texts = [f"{text_a[i]}|{text_b[m]}" if one == 1 else ",".join(text_a[i:j]) + "|" + ",".join(text_b[m:n]) for i, j, m, n, one in spans[first:end]]
+            own = keys[stops[first] : stops[end]]
+            n_links = sums[end] - sums[first]
+            if len(own) == n_links and len(set(own)) == n_links:
+                pairs, times = tuple(own), (1,) * n_links
+            else:
+                count = Counter(own)
+                for i, j, m, n, many in spans[first:end]:
+                    if many > EXPANDED:
+                        right = Counter(b[m:n].tolist()).items()
+                        for x, p in Counter(a[i:j].tolist()).items():
+                            for y, q in right:
+                                count[x * PAIR + y] += p * q
+                pairs, times = tuple(count), tuple(count.values())
+            out.append((len(mine_a), len(mine_b), end - first, n_links, ";".join(texts), pairs, times))
             first = end
         return out
 
@@ -145,8 +177,8 @@ class Aligner(dict):
         def told(held):
             found = self.learn({c for _, chunks in held for c in chunks})
             for row, chunks in held:
-                known = {c: found[c] if c in found else self[c] for c in set(chunks)}
-                whole = all(known.values())
+                known = {c: found[c] for c in set(chunks)}
+                whole = None not in known.values()
                 yield row, chunks if whole else [], known if whole else {}
 
         held, size = [], 0
@@ -189,7 +221,7 @@ def groups(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
         for row, chunks, known in aligner.texts(rows):
             out, at = [], 0
             for c in chunks:
-                for group in known[c].groups.split(";"):
+                for group in known[c][4].split(";"):
                     left, right = ([int(x) for x in side.split(",")] for side in group.split("|"))
                     end = at + sum(len(aligner.bytes_a[i]) for i in left)
                     out.append({"start": at, "end": end, "a": left, "b": right})
@@ -201,77 +233,77 @@ def groups(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
     return _columns(docs).mapInArrow(with_rows(make, schema, flush=100), "doc_id long, groups array<struct<start: long, end: long, a: array<int>, b: array<int>>>")
 
 
-def pair_counts(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
-    """pair, a, n_docs: how many documents hold an id pair linked."""
+def linked(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and the distinct id pairs of every document (pairs, in order) with how
+    often each is linked (times)."""
+    small_batches(docs.sparkSession)
     paths = _paths(a, b)
 
     def make(rows: Iterator[dict]) -> Iterator[tuple]:
-        aligner = worker_memo(paths)
-        return counted(set().union(*[x.pairs for x in known.values()]) for _, _, known in aligner.texts(rows))
+        for row, chunks, known in worker_memo(paths).texts(rows):
+            totals, pairs, times = [0] * 4, [], []
+            for c, n in Counter(chunks).items():
+                got = known[c]
+                for k in range(4):
+                    totals[k] += n * got[k]
+                pairs += got[5]
+                times += got[6] if n == 1 else [n * t for t in got[6]]
+            distinct, at = np.unique(np.array(pairs, np.int64), return_inverse=True)
+            digest = hashlib.sha256()
+            for k in range(0, len(chunks), 5000):
+                digest.update((";" * bool(k) + ";".join([known[c][4] for c in chunks[k : k + 5000]])).encode())
+            yield row["doc_id"], *totals, digest.hexdigest() if chunks else "", distinct, np.bincount(at, np.array(times, float), len(distinct)).astype(np.int64)
 
-    schema = pa.schema([("pair", pa.int64()), ("n_docs", pa.int64())])
-    found = _columns(docs).select("text").mapInArrow(with_rows(make, schema, flush=50_000), "pair long, n_docs long")
-    return found.groupBy("pair").agg(F.sum("n_docs").alias("n_docs")).withColumn("a", F.shiftright("pair", 32))
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
+    schema = pa.schema([*[(n, pa.int64()) for n in names], ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    ddl = ", ".join(f"{n} long" for n in names) + ", groups_sha256 string, pairs array<long>, times array<long>"
+    return _columns(docs).mapInArrow(with_rows(make, schema, flush=500), ddl)
 
 
-def _looked_up(docs: DataFrame, paths: tuple[str, str], frequent) -> DataFrame:
-    """Numbers of every document with the counts of frequent pairs; rest, the other pairs and how often each is linked.
-    frequent: a broadcast of sorted pairs, their counts and whether each is its A id's highest."""
+def pair_counts(links: DataFrame) -> DataFrame:
+    """pair, a, n_docs, is_best: how many documents hold an id pair linked, and whether that is its first id's highest count,
+    from linked(). The highest counts are as many rows as the first vocabulary at most."""
+    counts = links.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("a", F.floor(F.col("pair") / PAIR))
+    counts = saved(counts, "pairs")
+    highest = counts.groupBy("a").agg(F.max("n_docs").alias("_most"))
+    return counts.join(F.broadcast(highest), "a").select("pair", "a", "n_docs", (F.col("n_docs") == F.col("_most")).alias("is_best"))
 
-    def make(rows: Iterator[dict]) -> Iterator[tuple]:
-        aligner = worker_memo(paths)
-        pairs, counts, best = frequent.value
-        known_pairs = {p: (c, c * t) for p, c, t in zip(pairs.tolist(), counts.tolist(), best.tolist(), strict=True)}
-        sums: dict[str, tuple] = {}
-
-        def of(c: str, x: Aligned) -> tuple:
-            total = top = 0
-            rest = []
-            for p, n in zip(x.pairs, x.times, strict=True):
-                if p in known_pairs:
-                    count, if_best = known_pairs[p]
-                    total += n * count
-                    top += n * bool(if_best)
-                else:
-                    rest.append((p, n))
-            got = x.n_a, x.n_b, x.n_groups, x.n_links, top, total, rest
-            if len(c) <= KEPT_CHUNK:
-                if len(sums) >= CHUNKS:
-                    sums.clear()
-                sums[c] = got
-            return got
 
-        for row, chunks, known in aligner.texts(rows):
-            totals, rest = [0] * 6, Counter()
-            for c, n in Counter(chunks).items():
-                got = sums.get(c) or of(c, known[c])
-                for k in range(6):
-                    totals[k] += n * got[k]
-                for p, m in got[6]:
-                    rest[p] += n * m
-            digest = hashlib.sha256()
-            for at in range(0, len(chunks), 5000):
-                digest.update((";" * bool(at) + ";".join([known[c].groups for c in chunks[at : at + 5000]])).encode())
-            yield row["doc_id"], *totals, digest.hexdigest() if chunks else "", [{"key": p, "n": n} for p, n in rest.items()]
-
-    pair = pa.struct([("key", pa.int64()), ("n", pa.int64())])
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = pa.schema([*[(n, pa.int64()) for n in names], ("groups_sha256", pa.string()), ("rest", pa.list_(pair))])
-    ddl = ", ".join(f"{n} long" for n in names) + ", groups_sha256 string, rest array<struct<key: long, n: long>>"
-    return _columns(docs).mapInArrow(with_rows(make, schema, flush=500), ddl)
+def _looked_up(links: DataFrame, frequent) -> DataFrame:
+    """links with n_best and count_sum over the frequent pairs and, in place of pairs and times, those of the others. frequent: a
+    broadcast of sorted pairs, their counts and whether each is its first id's highest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counts, best = frequent.value
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            keys, times = (column[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pairs", "times"))
+            sizes = np.array([len(x) if x is not None else 0 for x in column["pairs"]], np.int64) if len(batch) else np.empty(0, np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(pairs, keys), max(len(pairs) - 1, 0))
+            known = pairs[at] == keys if len(pairs) else np.zeros(len(keys), bool)
+            sums = [np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)]
+            for out, value in zip(sums, (best, counts), strict=True):
+                np.add.at(out, owner[known], times[known] * value[at[known]])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=len(sizes)))]).astype(np.int32))
+            rest = [pa.ListArray.from_arrays(offsets, pa.array(x[~known])) for x in (keys, times)]
+            yield pa.RecordBatch.from_arrays([column[c] for c in others] + [pa.array(x) for x in sums] + rest, names=[*others, "n_best", "count_sum", "rest_keys", "rest_n"])
+
+    others = [c for c in links.columns if c not in ("pairs", "times")]
+    kinds = dict(links.dtypes)
+    return links.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in others) + ", n_best long, count_sum long, rest_keys array<long>, rest_n array<long>")
 
 
 def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     spark = docs.sparkSession
-    small_batches(spark)
-    counts = saved(pair_counts(docs, a, b), "pairs")
-    highest = counts.groupBy("a").agg(F.max("n_docs").alias("_most"))  # as many rows as the first vocabulary at most
-    counts = counts.join(F.broadcast(highest), "a").select("pair", F.col("n_docs").alias("count_sum"), (F.col("n_docs") == F.col("_most")).cast("long").alias("n_best"))
-    top = counts.orderBy(F.desc("count_sum"), "pair").limit(frequent).toPandas().sort_values("pair")
+    # Written, so that texts are tokenized once and the number of a row stays the same whatever is computed again.
+    links = saved(linked(docs, a, b).withColumn("row", F.monotonically_increasing_id()), "linked")
+    counts = pair_counts(links).select("pair", F.col("n_docs").alias("count_sum"), F.col("is_best").cast("long").alias("n_best"))
+    top = commonest(counts, "count_sum", frequent).toPandas().sort_values("pair")
     known = spark.sparkContext.broadcast(tuple(top[c].to_numpy(np.int64) for c in ("pair", "count_sum", "n_best")))
-    # Written, so that the number of a row stays the same whatever is computed again.
-    rows = saved(_looked_up(docs, _paths(a, b), known).withColumn("row", F.monotonically_increasing_id()), "links")
+    rows = saved(_looked_up(links, known), "looked-up")
+    used_up(links)
     out = with_rest(rows, counts, "pair", ["n_best", "count_sum"])
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
