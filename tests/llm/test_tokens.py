@@ -50,8 +50,9 @@ def test_words_of_every_kind_of_character_are_counted_as_in_a_text():
     whole, memo = Tokenizer.from_file(path), token_counts.PreTokens(path)
     letters = [chr(c) for c in [*range(0x3000), *range(0xA640, 0xA7FF), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]]
     texts = [f"{c} a{c}b{c} {c}b '{c}s 1{c}E{c}{c}́" for c in letters]
-    want = [len(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)]
-    assert [sum(memo.pieces(p) for w in t.encode().split() for p in memo[w]) for t in texts] == want
+    for every in (texts, letters, [f"a{c}b" for c in letters], [f"{c} <|x {c}" for c in letters]):
+        want = [len(e.ids) for e in whole.encode_batch(every, add_special_tokens=False)]
+        assert [sum(n * memo.pieces(p) for p, n in memo.of(t).items()) for t in every] == want
 
 
 def brute(rows):
@@ -121,14 +122,24 @@ def test_chunks_of_every_kind_of_character_align_as_in_a_text():
     for t, ids_a, ids_b in zip(texts, whole_a, memo.b.encode(texts), strict=True):
         chunks = memo.chunks(t)
         found = memo.learn(set(chunks))
-        got = [found[c] if c in found else memo[c] for c in chunks]
+        got = [found[c] for c in chunks]
         if all(got):
-            sides = [g.split("|") for x in got for g in x.groups.split(";")]
+            sides = [g.split("|") for x in got for g in x[4].split(";")]
             assert [int(i) for s, _ in sides for i in s.split(",")] == ids_a and [int(i) for _, s in sides for i in s.split(",")] == ids_b, repr(t)
         else:
             assert "▁" in t
 
 
+def test_large_groups_are_counted_by_id(monkeypatch, docs, rows):
+    few = rows[:30]
+    monkeypatch.setattr(alignment, "EXPANDED", 1)
+    al = alignment.Aligner(*alignment._paths(None, None))
+    chunks = sorted({c for _, t in few if t for c in al.chunks(t)})
+    small = al.align(chunks)
+    monkeypatch.setattr(alignment, "EXPANDED", 1 << 12)
+    assert [x and (*x[:5], dict(zip(x[5], x[6]))) for x in al.align(chunks)] == [x and (*x[:5], dict(zip(x[5], x[6]))) for x in small]
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert told(token_counts.token_counts(empty)) == told(alignment.aligned(empty)) == Counter()
