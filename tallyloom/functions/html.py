@@ -1,16 +1,14 @@
-"""Documents from HTML: title, clean text, sections, table cells and form controls, by the standard library's parser in
-Arrow functions. What follows (rates, limits) is relational over the cells."""
+"""Table cells and form controls of pages, by the standard library's parser in Arrow functions. What follows (rates, limits) is
+relational over the cells; functions.elements has titles, clean texts, sections and the elements themselves."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Elements of HTML.
 SKIPPED = frozenset("script style noscript template svg iframe nav header footer aside form button select".split())
@@ -114,30 +112,6 @@ class Page(HTMLParser):
         return " ".join((self.headings[0] if self.headings else self.og or self.title).split())
 
 
-PARTS = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
-
-
-@F.pandas_udf(PARTS)
-def page_parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """struct<title, text> of an html column; empty for null."""
-    for column in batches:
-        pages = [Page(h or "") for h in column]
-        yield pd.DataFrame({"title": [p.best_title() for p in pages], "text": ["\n".join(t for _, t in p.lines) for p in pages]})
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("heading", T.StringType()), T.StructField("text", T.StringType())])))
-def page_sections(column: pd.Series) -> pd.Series:
-    """array<struct<heading, text>>: the lines under each heading, joined."""
-    out = []
-    for h in column:
-        sections: dict[str, list[str]] = {}
-        for heading, text in Page(h or "").lines:
-            if text != heading:
-                sections.setdefault(heading, []).append(text)
-        out.append([{"heading": k, "text": "\n".join(v)} for k, v in sections.items()])
-    return pd.Series(out, dtype="object")
-
-
 def exploded(pages: DataFrame, ident: str, html: str, what: str) -> DataFrame:
     """A row per table cell (`what` = cells: table_no, row_no, col_no, text, caption) or per form control (controls: kind,
     name, least, most, options), with the page's id."""

@@ -7,25 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions import parse
+from tallyloom.functions import annotate, parse
 from tallyloom.functions.text import snippet
 
-# What a number near such words is not (a rate), and kinds of rewards in order of trust.
+# What a number near such words is not (a rate).
 NOT_A_RATE = r"indirim|iade|cashback|puan|bonus|finanse|kredilendir|oranında ödül"
-REWARDS = (("points", r"\bpuan\b|worldpuan|bonus"), ("cashback", r"iade|cashback"), ("discount", r"indirim"), ("instalment", r"taksit"), ("voucher", r"kupon|hediye çeki"))
-SPEND = r"alışveriş|harcama|ödeme"
 #: The words that make a percentage a rate of profit; from SHARE on it is one beside these words only.
 PROFIT, SHARE = r"k[âa]r pay[ıi]", 50
 #: Spellings of a percentage, and how many letters on either side tell what it is.
 PERCENTAGE, NEAR = rf"%\s*{parse.NUMBER}|{parse.NUMBER}\s*%|yüzde\s*{parse.NUMBER}", 40
 
 
-def _fact(field: str, value: Column, unit: str, raw: Column, low: Column, confidence: Column | float) -> Column:
-    sure = confidence if isinstance(confidence, Column) else F.lit(float(confidence))
-    fact = F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(unit).alias("unit"), raw.alias("raw"), snippet(low, raw).alias("evidence"), F.instr(low, raw).alias("at"), sure.cast("double").alias("confidence"))
-    return F.when(value.isNotNull() & (raw != ""), fact)
-
-
 def _once(value: Column, use) -> Column:
     """use(value) with the value made once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -51,44 +43,147 @@ def profit_rate(low: Column) -> Column:
     return F.coalesce(F.when(low.rlike("%|yüzde"), made), none)
 
 
+#: How far a mark may stand from a number that it speaks about, and an instalment from a term.
+FAR, TERM_FAR = 40, 15
+#: Marks of other percentages, of rewards, of kinds of reward in order.
+TRAPS = ("discount", "cheap", "cash", "guard")
+GAINS = ("loyal", "cash", "back", "prize", "gift", "discount")
+REWARD_KINDS = (("nakit_iade", ("cash",)), ("puan", ("loyal",)), ("hediye", ("gift",)), ("ucret_muafiyeti", ("nofee",)), ("indirim", ("discount", "cheap")), ("taksit", ("instalment", "count")))
+SURE, UNSURE = 0.90, 0.60
+MONTHS_OF_YEAR = 12
+
+
+def _numbers(raw: Column) -> Column:
+    """The scanned numbers with their value, the kinds beside them (a1 to a3 behind, b1 to b3 before, x behind an "up to") and the
+    places where what is said ends (behind) or begins (before)."""
+    spot = lambda side, k, part: F.get(side, F.lit(k))[part]
+
+    def one(n: Column) -> Column:
+        after, before = n["after"], n["before"]
+        skip = spot(after, 0, "kind").eqNullSafe("until")
+        return F.struct(
+            (parse.decimal_tr(n["token"]) * n["times"]).cast("decimal(20,6)").alias("v"), n["unit"].alias("unit"), n["s"].alias("s"), n["e"].alias("e"),
+            *[F.coalesce(spot(side, k, "kind"), F.lit("")).alias(f"{name}{k + 1}") for name, side in (("a", after), ("b", before)) for k in range(3)],
+            F.coalesce(F.when(skip, spot(after, 1, "kind")).otherwise(spot(after, 0, "kind")), F.lit("")).alias("x"), F.when(skip, spot(after, 1, "e")).otherwise(spot(after, 0, "e")).alias("ex"),
+            spot(after, 0, "e").alias("e1"), spot(after, 1, "e").alias("e2"), spot(after, 2, "e").alias("e3"), *[spot(before, k, "s").alias(f"s{k + 1}") for k in range(3)],
+        )
+
+    return F.filter(F.transform(raw, one), lambda n: n["v"].isNotNull())
+
+
+def _near(marks: Column, n: Column, far: int, *kinds: str) -> Column:
+    """Whether a mark of a kind reaches into the letters up to `far` from the number."""
+    return F.exists(marks, lambda m: m["kind"].isin(*kinds) & (m["s"] < n["e"] + far) & (m["e"] > n["s"] - far))
+
+
+def _pick(numbers: Column, when, begin=lambda n: n["s"], end=lambda n: n["e"]) -> Column:
+    """The first number for which the rule holds, as struct<v, s, e>."""
+    return _once(F.get(F.filter(numbers, when), F.lit(0)), lambda n: F.when(n.isNotNull(), F.struct(n["v"].alias("v"), F.coalesce(begin(n), n["s"]).alias("s"), F.coalesce(end(n), n["e"]).alias("e"))))
+
+
+def _first_mark(marks: Column, *kinds: str) -> Column:
+    return F.get(F.filter(marks, lambda m: m["kind"].isin(*kinds)), F.lit(0))
+
+
+def _rates(numbers: Column, marks: Column) -> Column:
+    """array<struct<v, s, e, named>> of the percentages that are rates of profit. Each is called so beside it (named) or stands by
+    a word of rates; marks of other percentages near it, or a value of SHARE and more, take a "profit share" near it to be one.
+    If they differ, those called so decide, and if these differ too, none is taken."""
+    named = lambda n: (n["b1"] == "profit") | ((n["b1"] == "rate") & (n["b2"] == "profit")) | (n["a1"] == "profit")
+    through = lambda *kinds: reduce(lambda a, k: a & ~k.isin("stop", "num", "", "pct"), kinds, F.lit(True))
+    leads = lambda k: k.isin("context", "cheap")
+    led = lambda n: leads(n["b1"]) | (leads(n["b2"]) & through(n["b1"])) | (leads(n["b3"]) & through(n["b1"], n["b2"]))
+    told = lambda n: (n["unit"] == "pct") & (named(n) | (n["a1"] == "rate") | led(n))
+    fits = lambda n: told(n) & (_near(marks, n, FAR, "profit", "context") | ((n["v"] < SHARE) & ~_near(marks, n, FAR, *TRAPS)))
+    found = F.transform(F.filter(numbers, fits), lambda n: F.struct(n["v"].alias("v"), F.when(n["b1"] == "profit", n["s1"]).when(named(n) & (n["b1"] == "rate"), n["s2"]).otherwise(n["s"]).alias("s"), F.when(n["a1"].isin("profit", "rate"), n["e1"]).otherwise(n["e"]).alias("e"), named(n).alias("named")))
+    values = lambda rates: F.size(F.array_distinct(F.transform(rates, lambda r: r["v"])))
+
+    def decided(rates: Column) -> Column:
+        own = F.filter(rates, lambda r: r["named"])
+        return F.when(values(rates) <= 1, rates).when(values(own) == 1, F.slice(own, 1, 1)).otherwise(F.slice(rates, 1, 0))
+
+    return _once(found, decided)
+
+
 def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """ident, field, value, unit, raw, evidence, at (place in the lowered text), confidence. A percentage beside words of
-    discounts or rebates is no rate; several different rates lower the confidence to 0.60; limits need a currency word."""
-    low = F.col("_low")
-    ready = parse.with_date_range(docs.select(F.col(ident), parse.lowered(F.col(text)).alias("_low")), "_low", "_period", True)
-    ready = ready.withColumns({"_amounts": parse.money_range(low, True), "_months": parse.term_months(low, True)})
-    rate_raw = F.regexp_extract(low, rf"%\s*{parse.NUMBER}|{parse.NUMBER}\s*%|yüzde\s*{parse.NUMBER}", 0)
-    around = F.substring(low, 1, 1 << 30).substr(F.greatest(F.lit(1), F.instr(low, rate_raw) - 40), F.length(rate_raw) + 80)
-    rates = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"%\s*({parse.NUMBER})"), 1))
-    one_rate = F.when(F.size(rates) > 1, 0.60).otherwise(0.90)
-    rate = F.when((rate_raw != "") & ~around.rlike(NOT_A_RATE), parse.rate(low, True))
-    term_raw = F.regexp_extract(low, rf"{parse.TERM_RANGE}|{parse.TERM}", 0)
-    months = F.col("_months")
-    amount_raw = F.regexp_extract(low, rf"{parse.NUMBER}{parse.MULTIPLIER}\s*{parse.CURRENCY_WORD}", 0)
-    amounts = F.col("_amounts")
-    has_money, spends = amount_raw != "", low.rlike(SPEND)
-    taksit_raw = F.regexp_extract(low, r"\d+\s*(?:ay\w*\s*)?(?:varan\s*|kadar\s*)?taksit", 0)
-    period = F.col("_period")
-    end_raw = F.regexp_extract(low, r"\d{1,2}\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{4}|\d{1,2}\s+\p{L}+\s+\d{4}", 0)
-    reward = reduce(lambda out, r: out.when(low.rlike(r[1]), r[0]), REWARDS[1:], F.when(low.rlike(REWARDS[0][1]), REWARDS[0][0]))
-    reward_raw = reduce(lambda out, r: out.when(low.rlike(r[1]), F.regexp_extract(low, r[1], 0)), REWARDS[1:], F.when(low.rlike(REWARDS[0][1]), F.regexp_extract(low, REWARDS[0][1], 0)))
-    dated = F.when(period["precision"] == "exact", 0.90).otherwise(0.60)
-    made = F.array_compact(
-        F.array(
-            _fact("profit_rate_pct", rate, "pct", rate_raw, low, one_rate),
-            _fact("term_months_min", months["lo"], "month", term_raw, low, 0.90),
-            _fact("term_months_max", months["hi"], "month", term_raw, low, 0.90),
-            _fact("min_spend", F.when(has_money & spends, amounts["lo"]), "try", amount_raw, low, 0.90),
-            _fact("max_spend", F.when(has_money & spends, amounts["hi"]), "try", amount_raw, low, 0.90),
-            _fact("amount_min", F.when(has_money & ~spends, amounts["lo"]), "try", amount_raw, low, 0.90),
-            _fact("amount_max", F.when(has_money & ~spends, amounts["hi"]), "try", amount_raw, low, 0.90),
-            _fact("installment_count", parse.installments(low, True), "count", taksit_raw, low, 0.90),
-            _fact("start_date", period["start"], "date", end_raw, low, dated),
-            _fact("end_date", period["end"], "date", end_raw, low, dated),
-            _fact("reward_type", reward, "enum", F.coalesce(reward_raw, F.lit("")), low, 0.90),
-        )
+    """ident, field, value, unit, raw, evidence, at (place in the text), confidence: the facts that rules find in a text, each a
+    row, in up to 19 fields. A text is scanned once for marks and numbers; every field is a rule over the marks beside a
+    number or near it. What is not said gives no row: an upper limit makes no lower one. Evidence is the text at the place."""
+    ready = parse.with_date_range(docs.select(F.col(ident), F.col(text).alias("_text"), parse.lowered(F.col(text)).alias("_low")), "_low", "_period", True)
+    ready = ready.withColumn("_scan", annotate.scanned("_text")).withColumns({"_numbers": _numbers(F.col("_scan.numbers")), "_marks": F.col("_scan.marks")})
+    numbers, marks = F.col("_numbers"), F.col("_marks")
+    money = lambda n: n["unit"] == "tl"
+    pct = lambda n: n["unit"] == "pct"
+    bare = lambda n: n["unit"] == ""
+    alone = lambda n: ~F.exists(marks, lambda m: (m["kind"] == "each") & (m["e"] <= n["s"]) & (m["e"] > n["s"] - FAR))
+    left = lambda *kinds: (lambda n: F.when(n["b1"].isin(*kinds), n["s1"]))
+    # Two numbers with a sign between them are one thing said: struct<lo, hi, s, e, close> with the kind that follows.
+    pairs = F.filter(
+        F.zip_with(numbers, F.slice(numbers, 2, F.size(numbers)), lambda n, m: F.struct(n.alias("n"), m.alias("m"))),
+        lambda p: p["m"].isNotNull() & p["n"]["a1"].isin("dash", "slash") & p["n"]["a2"].isin("num", "pct"),
     )
-    return ready.select(ident, F.explode(made).alias("f")).select(ident, "f.*")
+    ready = ready.withColumns({
+        "_pairs": pairs,
+        "_rates": _rates(numbers, marks),
+        "_least": _pick(numbers, lambda n: money(n) & ((n["b1"] == "least") | (n["a1"] == "above")), left("least"), lambda n: F.when(n["a1"] == "above", n["e1"])),
+        "_tops": F.filter(numbers, lambda n: money(n) & n["a1"].isin("until", "below")),
+    })
+    spends = F.filter("_pairs", lambda p: money(p["n"]) & money(p["m"]) & (p["n"]["a1"] == "dash") & (p["m"]["a1"] == "amid"))
+    shares = F.filter("_pairs", lambda p: (p["n"]["a1"] == "slash") & ((p["m"]["a1"] == "share") | (p["n"]["b1"] == "share")))
+    unit_of = lambda n: n["a1"].isin("month", "year")
+    apart = lambda n: unit_of(n) & bare(n) & ~_near(marks, n, TERM_FAR + 4, "instalment", "count")
+    spans = F.transform(F.filter("_pairs", lambda p: (p["n"]["a1"] == "dash") & bare(p["n"]) & apart(p["m"])), lambda p: F.struct(p["n"]["v"].alias("lo"), p["m"]["v"].alias("hi"), p["m"]["a1"].alias("unit"), F.lit("").alias("then"), p["n"]["s"].alias("s"), p["m"]["e1"].alias("e")))
+    singles = F.transform(F.filter(numbers, lambda n: apart(n) & ((n["b1"] != "dash") | (n["b2"] != "num"))), lambda n: F.struct(n["v"].alias("lo"), n["v"].alias("hi"), n["a1"].alias("unit"), n["a2"].alias("then"), n["s"].alias("s"), n["e1"].alias("e")))
+    top = F.aggregate("_tops", F.lit(None).cast("struct<v:decimal(20,6),s:int,e:int>"), lambda best, n: F.when(best.isNull() | (n["v"] > best["v"]), F.struct(n["v"].cast("decimal(20,6)").alias("v"), n["s"].alias("s"), F.coalesce(n["e1"], n["e"]).alias("e"))).otherwise(best))
+    ready = ready.withColumns({
+        "_spend": F.get(spends, F.lit(0)), "_share": F.get(shares, F.lit(0)), "_term": F.get(F.array_sort(F.concat(spans, singles), lambda a, b: a["s"] - b["s"]), F.lit(0)), "_top": top,
+        "_financed": F.exists(marks, lambda m: m["kind"] == "financing"),
+        "_zero": _first_mark(marks, "zero"), "_nofee": _first_mark(marks, "nofee"),
+        "_count": _pick(numbers, lambda n: bare(n) & (n["a1"].isin("instalment", "count") | ((n["a1"] == "month") & (n["a2"] == "until") & (n["a3"] == "instalment")) | (n["b1"] == "count")), left("count"), lambda n: F.when(n["a1"].isin("instalment", "count"), n["e1"]).when(n["a1"] == "month", n["e3"])),
+        "_reward": _pick(numbers, lambda n: money(n) & n["x"].isin(*GAINS) & alone(n), end=lambda n: n["ex"]),
+        "_loyal": _pick(numbers, lambda n: (money(n) | bare(n)) & (n["x"] == "loyal") & alone(n), end=lambda n: n["ex"]),
+        "_finance": _pick(numbers, lambda n: money(n) & ((n["x"] == "financing") | (n["b1"] == "financing")), left("financing"), lambda n: F.when(n["x"] == "financing", n["ex"])),
+        "_cashback": _pick(numbers, lambda n: pct(n) & (n["x"].isin("cash", "back") | ((n["a1"] == "rate") & n["a2"].isin("cash", "back")) | n["b1"].isin("cash", "back")), left("cash", "back"), lambda n: F.when(n["x"].isin("cash", "back"), n["ex"]).when(n["a1"] == "rate", n["e2"])),
+        "_discount": _pick(numbers, lambda n: pct(n) & ((n["x"] == "discount") | (n["b1"] == "discount")), left("discount"), lambda n: F.when(n["x"] == "discount", n["ex"])),
+        "_allocation": _pick(numbers, lambda n: ~money(n) & ((n["b1"] == "allocation") | (pct(n) & (n["a1"] == "allocation"))), left("allocation"), lambda n: F.when(n["a1"] == "allocation", n["e1"])),
+        "_filefee": _pick(numbers, lambda n: money(n) & (n["b1"] == "filefee"), left("filefee")),
+    })
+    whole, zero = F.col("_text"), F.lit(0).cast("decimal(20,6)")
+
+    def fact(field: str, value: Column, unit: str, where: Column, sure: Column | float = SURE) -> Column:
+        raw = F.substring(whole, where["s"] + 1, where["e"] - where["s"])
+        level = sure if isinstance(sure, Column) else F.lit(sure)
+        return F.when(value.isNotNull() & where.isNotNull(), F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(unit).alias("unit"), raw.alias("raw"), raw.alias("evidence"), (where["s"] + 1).alias("at"), level.cast("double").alias("confidence")))
+
+    c = F.col
+    least, top, spend, term = c("_least"), c("_top"), c("_spend"), c("_term")
+    at_spend = F.when(spend.isNotNull(), F.struct(spend["n"]["s"].alias("s"), spend["m"]["e1"].alias("e")))
+    # A tier's end below an explicit minimum is no limit of the campaign.
+    bound = lambda v: F.when(least.isNull() | (v > least["v"]), v)
+    low_spend, high_spend = F.when(least.isNull(), spend["n"]["v"]), bound(spend["m"]["v"])
+    high_top = F.when(spend.isNull(), bound(top["v"]))
+    financed = lambda v: F.when(c("_financed"), v)
+    months = lambda v: F.when(term["unit"] == "year", v * MONTHS_OF_YEAR).otherwise(v).cast("int")
+    period, date_raw = c("_period"), F.regexp_extract("_low", rf"\d{{1,2}}\s*[./-]\s*\d{{1,2}}\s*[./-]\s*\d{{4}}|\d{{1,2}}\s+\p{{L}}+\s+\d{{4}}", 0)
+    dated = F.when(period["precision"] == "exact", SURE).otherwise(UNSURE)
+    day = lambda field, value: F.when(value.isNotNull() & (date_raw != ""), F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit("date").alias("unit"), date_raw.alias("raw"), snippet(c("_low"), date_raw).alias("evidence"), F.instr("_low", date_raw).alias("at"), dated.cast("double").alias("confidence")))
+    kinds = [(F.lit(name), _first_mark(marks, *of)) for name, of in REWARD_KINDS]
+    reward_at = F.coalesce(*[at for _, at in kinds])
+    reward = reduce(lambda out, x: out.when(x[1].isNotNull(), x[0]), kinds[1:], F.when(kinds[0][1].isNotNull(), kinds[0][0]))
+    rates = F.transform("_rates", lambda r: fact("profit_rate_pct", r["v"], "pct", r, F.when(F.size("_rates") > 1, UNSURE).otherwise(SURE)))
+    others = F.array(
+        F.when(F.size("_rates") == 0, fact("profit_rate_pct", F.when(c("_zero").isNotNull(), zero), "pct", c("_zero"))),
+        fact("profit_share_rate_pct", c("_share")["m"]["v"], "pct", F.when(c("_share").isNotNull(), F.struct(c("_share")["n"]["s"].alias("s"), c("_share")["m"]["e"].alias("e")))),
+        fact("installment_count", c("_count")["v"].cast("int"), "count", c("_count")),
+        fact("term_months_min", F.when(term["then"] != "until", months(term["lo"])), "month", term), fact("term_months_max", months(term["hi"]), "month", term),
+        fact("min_spend_try", least["v"], "try", least), fact("min_spend_try", low_spend, "try", at_spend), fact("max_spend_try", high_spend, "try", at_spend), fact("max_spend_try", high_top, "try", top),
+        fact("reward_amount_try", c("_reward")["v"], "try", c("_reward")), fact("loyalty_points", c("_loyal")["v"], "count", c("_loyal")),
+        fact("financing_amount_max", c("_finance")["v"], "try", c("_finance")), fact("financing_amount_min", financed(low_spend), "try", at_spend), fact("financing_amount_max", financed(high_spend), "try", at_spend), fact("financing_amount_max", financed(high_top), "try", top),
+        fact("cashback_pct", c("_cashback")["v"], "pct", c("_cashback")), fact("discount_pct", c("_discount")["v"], "pct", c("_discount")), fact("allocation_fee_pct", c("_allocation")["v"], "pct", c("_allocation")),
+        fact("file_fee_try", c("_filefee")["v"], "try", c("_filefee")), fact("file_fee_try", F.when(c("_nofee").isNotNull() & c("_filefee").isNull(), zero), "try", c("_nofee")), fact("has_no_fee", F.when(c("_nofee").isNotNull(), "true"), "bool", c("_nofee")),
+        day("start_date", period["start"]), day("end_date", period["end"]), fact("reward_type", reward, "enum", reward_at),
+    )
+    return ready.select(ident, F.explode(F.array_compact(F.concat(rates, others))).alias("f")).select(ident, "f.*")
 
 
 def first_facts(facts: DataFrame, ident: str) -> DataFrame:

@@ -11,12 +11,6 @@ from tallyloom.plans.registry import query, table
 from tallyloom.sources import feeds
 
 
-@query()
-def html_title_text(spark, sf):
-    parts = table(spark, sf, "pages").select("page_id", html.page_parts("html").alias("p"))
-    return parts.select("page_id", "p.title", "p.text", html.soft_404(F.col("p.title"), F.col("p.text")).alias("soft_404"))
-
-
 @query("SELECT page_id, len(regexp_extract_all(regexp_replace(html, '(?s)<article.*', ''), '<li>')) AS n_links FROM pages")
 def tag_counts(spark, sf):
     head = F.regexp_replace("html", r"(?s)<article.*", "")
@@ -136,9 +130,9 @@ def rule_facts_roundtrip(spark, sf):
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_tax", "l_quantity", F.date_format("l_shipdate", "yyyyMMdd"))
     docs = table(spark, sf, "lineitem").select(key.alias("k"), sentence.alias("t")).distinct()
     found = extraction.first_facts(extraction.rule_facts(docs, "k", "t"), "k")
-    wide = facts.to_metrics(found, "k", "field", "value", ["profit_rate_pct", "term_months_min", "min_spend", "installment_count", "end_date"])
+    wide = facts.to_metrics(found, "k", "field", "value", ["profit_rate_pct", "term_months_min", "min_spend_try", "installment_count", "end_date"])
     part = lambda i: F.get(F.split("k", "-"), F.lit(i))
     return wide.select(
         part(0).cast("long").alias("l_orderkey"), part(1).cast("int").alias("l_linenumber"), F.round(F.col("profit_rate_pct").cast("double"), 2).alias("rate"), F.col("term_months_min").cast("int").alias("months"),
-        F.col("min_spend").cast("double").cast("int").alias("spend"), F.col("installment_count").cast("int").alias("instalments"), F.col("end_date").cast("date").alias("until"),
+        F.col("min_spend_try").cast("double").cast("int").alias("spend"), F.col("installment_count").cast("int").alias("instalments"), F.col("end_date").cast("date").alias("until"),
     )

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.functions import html, parse, text
+from tallyloom.functions import elements, html, parse, text
 from tallyloom.operators import facts, filters, finance, labels, ranking, tables
 from tallyloom.plans import question
 from tallyloom.sources import feeds, sinks
@@ -109,7 +109,7 @@ def test_tables_and_controls(spark):
     assert ltv == {(500000, 1000000, "A"): 90, (500000, 1000000, "C"): 80, (1000000, None, "A"): 70}
     controls = {(r.kind, r.name, r.least, r.most) for r in html.exploded(pages, "page_id", "html", "controls").collect()}
     assert controls == {("select", "v", "", ""), ("number", "n", "1", "9")}
-    parts = {r.page_id: r.p for r in pages.select("page_id", html.page_parts("html").alias("p")).collect()}
+    parts = {r.page_id: r.p for r in pages.select("page_id", elements.page_parts("html").alias("p")).collect()}
     assert parts[1].title == "Konut" and parts[2].text == "" and parts[3].text == "no tables"
 
 
