@@ -30,8 +30,10 @@ from tallyloom.llm.common import as_text, saved, small_batches, with_rows
 
 #: Entries of a worker's memo of words.
 WORDS = 150_000
-#: Texts of these characters alone need no composition and lower letter by letter, and of them the tokenizer's pattern is PARTS.
-_OTHER = re.compile("[^\t-\r -~\u00a1-\u012f\u0131-\u024f]")
+#: Texts of these characters alone need no composition and lower letter by letter among themselves, and of them the
+#: tokenizer's pattern is PARTS. Capitals whose small letters are no Latin ones of this range are not among them.
+_RANGE = {*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0x250)}
+_OTHER = re.compile(f"[^{''.join(re.escape(chr(c)) for c in sorted(_RANGE) if len(low := chr(c).lower()) == 1 and ord(low) in _RANGE)}]")
 _LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 

@@ -196,6 +196,45 @@ def test_tokens_of_words_are_tokens_of_texts():
         assert memo.text(text) == memo.whole(text), text
 
 
+def test_every_letter_of_the_fast_path_has_the_tokenizers_ids():
+    import public_tokenizers
+
+    memo = packing.PartIds(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x300)]
+    assert [c for c in letters if any(memo.text(t) != memo.whole(t) for t in (c, f"a{c}b", f"{c}b", f"b{c}", f"1{c}2", c + c, f"'{c}", f"A{c}\u0301"))] == []
+
+
+def test_packing_of_a_few_pieces_is_nearly_the_best():
+    """Against all ways to pack: best fit decreasing needs at most 11/9 of the fewest sequences, and one more."""
+    draws = np.random.default_rng(11)
+
+    def fewest(lengths, room):
+        best = [len(lengths)]
+
+        def go(k, left):
+            if len(left) >= best[0]:
+                return
+            if k == len(lengths):
+                best[0] = len(left)
+                return
+            for i in range(len(left)):
+                if left[i] >= lengths[k] and left[i] not in left[:i]:
+                    go(k + 1, left[:i] + [left[i] - lengths[k]] + left[i + 1 :])
+            go(k + 1, left + [room - lengths[k]])
+
+        go(0, [])
+        return best[0]
+
+    for n in (1, 2, 5, 8, 9):
+        for top in (30, 60, 100):
+            lengths = np.sort(draws.integers(1, top + 1, n))[::-1]
+            bins, offsets = packing.best_fit(lengths, 100, 100, 100.0 * 100, (1.0, 0.05, 0.05))
+            used = int(bins.max()) + 1
+            assert fewest(lengths.tolist(), 100) <= used <= 11 / 9 * fewest(lengths.tolist(), 100) + 1
+            for b in range(used):
+                assert sorted(offsets[bins == b].tolist()) == [0, *np.cumsum(lengths[bins == b])[:-1].tolist()] and lengths[bins == b].sum() <= 100
+
+
 def test_other_capacities_bind():
     lengths = np.array([60, 50, 40, 30, 20, 10, 5, 5])
     bins, offsets = packing.best_fit(lengths, 100, 2, 100.0 * 100, (1.0, 0.1, 0.1))
