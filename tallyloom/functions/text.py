@@ -56,8 +56,13 @@ def fold(c: Column, nfkc: bool = False) -> Column:
     return ascii_fold(lower_tr(normalize_text(c, nfkc)))
 
 
+#: Folding in one table: letters to plain small ones, then the signs that vanish.
+_TO_PLAIN = ("İI" + FOLD_FROM + ZERO_WIDTH, "ii" + FOLD_TO.lower())
+
+
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+"), 0)
+    """Runs of letters a to z and digits of the folded text. Blanks and dashes need no unifying where only runs are taken."""
+    return F.regexp_extract_all(F.lower(F.translate(c, *_TO_PLAIN)), F.lit("[a-z0-9]+"), 0)
 
 
 def starts_word(haystack: Column, needle: str) -> Column:

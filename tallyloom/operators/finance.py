@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal, localcontext
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,3 +110,50 @@ def plan_rate(principal: Column, profit: Column, repayment: Column, months: Colu
     """Monthly percent of a payment plan: from principal and profit where both are known, since the sum of instalments may
     hold fees; else from that sum."""
     return implied_monthly_rate(principal, F.coalesce(principal + profit, repayment), months)
+
+
+def nearest_rates(requests: DataFrame, rates: DataFrame) -> DataFrame:
+    """request, amount, term, bank, product, rate, rate_term, in_band (rates of the bank whose band holds the amount) of every
+    request (request, product_type, amount, term) and every bank that has rates (bank, product, product_type, term, rate, low,
+    high) of its product type in that band. The rate is that of the nearest term; of equally near ones the lowest, then the
+    smallest product.
+
+    Requests differ by amount and term only, so terms are looked up once each: in every band of a bank the asked terms and the
+    rates' terms stand in one order, and each asked one has the last rate before it and the next one after. A request then
+    meets the bands that hold its amount, not the rates in them."""
+    band = ["bank", "product_type", "low", "high"]
+    priced = rates.filter(F.col("rate").isNotNull())
+    bands = priced.groupBy(*band).agg(F.count(F.lit(1)).alias("n"))
+    best = priced.filter(F.col("term").isNotNull()).groupBy(*band, "term").agg(F.min(F.struct("rate", "product", F.col("term").alias("at"))).alias("r"))
+    asked = requests.select("product_type", "term").distinct().join(bands.drop("n"), "product_type")
+    merged = asked.select(*band, "term", F.lit(None).cast(best.schema["r"].dataType).alias("r"), F.lit(True).alias("ask")).unionByName(best.select(*band, "term", "r", F.lit(False).alias("ask")))
+    line = Window.partitionBy(*band).orderBy("term")  # as many rows as there are terms
+    up_to, after = line.rangeBetween(Window.unboundedPreceding, 0), line.rangeBetween(0, Window.unboundedFollowing)
+    sides = merged.withColumns({"a": F.last("r", True).over(up_to), "b": F.first("r", True).over(after)}).filter("ask").drop("r", "ask")
+    away = lambda r: F.when(F.col(r).isNotNull(), F.struct(F.abs(F.col(f"{r}.at") - F.col("term")).alias("away"), F.col(f"{r}.rate").alias("rate"), F.col(f"{r}.product").alias("product"), F.col(f"{r}.at").alias("at")))
+    known = sides.select(*[F.col(c).alias(f"_{c}") for c in (*band, "term")], F.least(away("a"), away("b")).alias("near"))
+    held = requests.join(bands, "product_type").filter((F.col("low").isNull() | (F.col("amount") >= F.col("low"))) & (F.col("high").isNull() | (F.col("amount") <= F.col("high"))))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*band, "term")])
+    met = held.join(known, same, "left").groupBy("request", "amount", "term", "bank").agg(F.min("near").alias("near"), F.sum("n").alias("in_band"))
+    return met.select("request", "amount", "term", "bank", "near.product", "near.rate", F.col("near.at").alias("rate_term"), "in_band")
+
+
+#: Why a bank makes no offer: fixed values.
+NO_RATE, NO_TERM = "no_published_rate", "rates_do_not_cover_the_term"
+
+
+def financing_offers(requests: DataFrame, rates: DataFrame, banks: DataFrame) -> DataFrame:
+    """request, bank, product, rate, rate_term, is_exact, monthly, total, profit, is_best, missing: one row for every request and
+    bank. A bank without a rate that fits says why. A rate of 0 is a rate. The offer with the least total is the best, of equal
+    ones that of the first bank."""
+    near = nearest_rates(requests, rates)
+    every = requests.select("request", F.col("amount").alias("asked"), F.col("term").alias("months")).join(F.broadcast(banks.select("bank")))  # the banks are few, and each is a row of the answer
+    both = every.join(near, ["request", "bank"], "left")
+    monthly = instalment(F.col("asked").cast("double"), F.col("rate").cast("double"), F.col("months"))
+    offers = both.withColumn("monthly", F.when(F.col("rate").isNotNull(), monthly)).withColumn("total", F.round(F.col("monthly") * F.col("months"), 2))
+    best = offers.filter("total is not null").groupBy("request").agg(F.min(F.struct("total", "bank")).alias("w")).select("request", F.col("w.bank").alias("winner"))
+    missing = F.when(F.col("in_band").isNull(), NO_RATE).when(F.col("rate").isNull(), NO_TERM)
+    return offers.join(best, "request", "left").select(
+        "request", "bank", "product", "rate", "rate_term", F.when(F.col("rate").isNotNull(), F.col("rate_term") == F.col("months")).alias("is_exact"), "monthly", "total",
+        F.round(F.col("total") - F.col("asked"), 2).alias("profit"), F.when(F.col("rate").isNotNull(), F.col("bank") == F.col("winner")).alias("is_best"), missing.alias("missing"),
+    )

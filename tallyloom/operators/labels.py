@@ -113,17 +113,6 @@ def card(parts: list[tuple[str, Column]]) -> Column:
     return F.concat_ws(" ", *[F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), c.cast("string"), F.lit("."))) for label, c in parts])
 
 
-def contains_match(left: DataFrame, right: DataFrame, on: str, core: str, title: str, url: str, body: str, least: int = 10) -> DataFrame:
-    """Pairs of the same bank where the right side's core name stands in the left title (0.90), its slug in the address
-    (0.85) or the core in the first 2500 characters of the body (0.60). An equi-join on the bank bounds the pairs."""
-    l = left.withColumns({"_t": fold(F.col(title)), "_b": fold(F.substring(F.col(body), 1, 2500)), "_u": F.lower(F.col(url))})
-    r = right.withColumn("_core", fold(F.col(core))).filter(F.length("_core") >= least).withColumn("_slug", F.regexp_replace("_core", "[^a-z0-9]+", "-"))
-    both = l.join(r, on)
-    method = F.when(F.contains("_t", "_core"), "title").when(F.contains("_u", "_slug"), "url").when(F.contains("_b", "_core"), "body")
-    sure = F.when(F.col("method") == "title", 0.90).when(F.col("method") == "url", 0.85).otherwise(0.60)
-    return both.withColumn("method", method).filter("method is not null").withColumn("confidence", sure).drop("_t", "_b", "_u", "_core", "_slug")
-
-
 def holds_marker(text: Column, markers: tuple[str, ...]) -> Column:
     """Whether a text holds one of the examples that a prompt shows, and so can't be asked about; false for null."""
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in markers], F.lit(False)), F.lit(False))

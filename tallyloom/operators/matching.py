@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold
+from tallyloom.sources.staged import staged
 
 
 def telling_tokens(name: Column, shorter: int = 3) -> Column:
@@ -13,15 +14,70 @@ def telling_tokens(name: Column, shorter: int = 3) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(fold(name), F.lit("[a-z0-9]+"), 0), lambda t: F.length(t) > shorter))
 
 
+#: Letters of the grams under which names are posted, and posted grams at most that are broadcast to thin the probes out.
+GRAM, SMALL = 4, 200_000
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct runs of `size` letters."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def contained(texts: DataFrame, names: DataFrame, on: str, text: str, needles: str, size: int = GRAM) -> DataFrame:
+    """on, text, needles of every pair with all needles (an array, each of `size` letters or more) in the text, among rows of equal
+    `on`. Names are posted once, under that gram of theirs that the fewest names of the same `on` share; a text meets a name only
+    if it holds this gram, and at most once, and is then looked through. Equal texts and equal names are one each. No posting list
+    is longer than the names whose every gram is that common."""
+    own = names.filter(F.size(needles) > 0).select(on, needles).distinct()
+    spread = own.select(on, needles, F.explode(F.array_distinct(F.flatten(F.transform(needles, lambda n: grams(n, size))))).alias("_g"))
+    often = spread.groupBy(on, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    posted = staged(spread.join(often, [on, "_g"]).groupBy(on, needles).agg(F.min(F.struct("_n", "_g"))["_g"].alias("_g")), "posted")
+    probes = texts.filter(F.col(text).isNotNull()).select(on, text).distinct().select(on, text, F.explode(grams(F.col(text), size)).alias("_g"))
+    keys = posted.select(on, "_g").distinct()
+    if keys.limit(SMALL + 1).count() <= SMALL:
+        probes = probes.join(F.broadcast(keys), [on, "_g"], "left_semi")
+    return probes.join(posted, [on, "_g"]).filter(F.forall(needles, lambda n: F.contains(F.col(text), n))).select(on, text, needles)
+
+
 def token_match(options: DataFrame, products: DataFrame, on: str, label: str, name: str, ident: str) -> DataFrame:
     """options with the product of the same bank all of whose telling words stand in the label; of several the one with most
-    such words, then the smallest id. An equi-join on the bank bounds the pairs; options without a match keep null."""
-    ready = products.select(F.col(on).alias("_on"), F.col(ident).alias("_id"), telling_tokens(F.col(name)).alias("_tokens")).filter(F.size("_tokens") > 0)
-    low = options.withColumns({"_row": F.monotonically_increasing_id(), "_low": fold(F.col(label))})
-    inside = F.forall("_tokens", lambda t: F.contains(F.col("_low"), t))
-    hits = low.join(ready, (F.col(on) == F.col("_on")) & inside, "left")
-    best = F.min_by("_id", F.when(F.col("_id").isNotNull(), F.struct(-F.size("_tokens"), "_id")))
-    return hits.groupBy("_row", *options.columns).agg(best.alias("matched")).drop("_row")
+    such words, then the smallest id. Options without a match keep null."""
+    ready = products.select(on, F.col(ident).alias("_id"), F.array_sort(telling_tokens(F.col(name))).alias("_tokens")).filter(F.size("_tokens") > 0)
+    low = options.withColumn("_low", fold(F.col(label)))
+    first = ready.groupBy(on, "_tokens").agg(F.min("_id").alias("_id"))
+    hits = contained(low, first, on, "_low", "_tokens").join(first, [on, "_tokens"])
+    best = hits.groupBy(on, "_low").agg(F.min_by("_id", F.struct(-F.size("_tokens"), F.col("_id"))).alias("matched"))
+    return low.join(best, [on, "_low"], "left").select(*options.columns, "matched")
+
+
+def core_name(name: Column) -> Column:
+    """A product's name as campaigns write it: folded, without stars and what stands in brackets."""
+    return F.trim(F.replace(F.substring_index(fold(name), "(", 1), F.lit("*"), F.lit("")))
+
+
+#: How a campaign names a product, in order of trust: fixed values.
+SURE = {"title": 0.90, "slug": 0.85, "body": 0.60}
+
+
+def contains_match(campaigns: DataFrame, products: DataFrame, on: str, campaign: str, product: str, title: str, address: str, body: str, name: str, slug: str, least: int = 10, window: int = 2500) -> DataFrame:
+    """on, campaign, product, method, confidence, evidence: products of the same bank that a campaign names. The core of the name
+    in the title, else the product's slug in the address, else the core in the first `window` letters of the body. Cores and
+    slugs shorter than `least` letters name nothing. Evidence is the title, the slug, or the body around the name."""
+    c = campaigns.select(on, campaign, F.col(title).alias("_said"), F.col(body).alias("_raw"), fold(F.col(title)).alias("_title"), fold(F.col(address)).alias("_slug"), F.substring(fold(F.coalesce(F.col(body), F.lit(""))), 1, window).alias("_body"))
+    p = products.select(on, product, core_name(F.col(name)).alias("_core"), fold(F.col(slug)).alias("_own")).filter(F.length("_core") >= least)
+    p = p.withColumns({"_n_core": F.array("_core"), "_n_slug": F.when(F.length("_own") >= least, F.array("_own")).otherwise(F.array().cast("array<string>"))})
+    found = None
+    for rank, (method, needle) in enumerate((("title", "_n_core"), ("slug", "_n_slug"), ("body", "_n_core"))):
+        pairs = contained(c, p, on, f"_{method}", needle).join(c.select(on, campaign, f"_{method}"), [on, f"_{method}"]).join(p.select(on, product, needle), [on, needle])
+        hits = pairs.select(on, campaign, product, F.struct(F.lit(rank).alias("rank"), F.lit(method).alias("method"), F.lit(SURE[method]).alias("confidence")).alias("h"))
+        found = hits if found is None else found.unionByName(hits)
+    best = found.groupBy(on, campaign, product).agg(F.min("h").alias("h")).select(on, campaign, product, "h.method", "h.confidence")
+    at = F.instr("_body", F.col("_core"))
+    around = F.trim(F.regexp_replace(F.substring(F.col("_raw"), F.greatest(F.lit(1), at - 40), F.length("_core") + F.least(at - 1, F.lit(40)) + 40), r"\s+", " "))
+    told = best.join(c.select(on, campaign, "_said", "_raw", "_body"), [on, campaign]).join(p.select(on, product, "_core", "_own"), [on, product])
+    evidence = F.substring(F.when(F.col("method") == "title", F.col("_said")).when(F.col("method") == "slug", F.col("_own")).otherwise(around), 1, 300)
+    return told.select(on, campaign, product, "method", "confidence", evidence.alias("evidence"))
 
 
 def best_prefix(urls: DataFrame, url: str, prefixes: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.sources.staged import staged
+
 
 def in_band(low: str, high: str, value) -> Column:
     """Open-ended band: a null bound is no bound; edges belong to it."""
@@ -27,6 +29,62 @@ def rank_with_missing(df: DataFrame, measure: str, by: list[str], ident: str, de
     return ranked if limit is None else ranked.filter(F.col("rank").isNull() | (F.col("rank") <= limit))
 
 
+def placed(df: DataFrame, by: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """df with the place (from 1) of every row in its group, under a total order, for groups of any size. Rows are dealt to tasks by
+    ranges of (group, order), so a large group spans several; each task counts its own rows, and what stands before a range in
+    the same group comes from the counts of the ranges. Rows are written once in between, so ranges stay what they were."""
+    keys = [F.col(c) for c in by]
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    spread = staged(dealt.sortWithinPartitions(*keys, *order), "ranges")
+    counts = spread.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    renamed = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_range") == F.col("_r"))
+    within = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    both = spread.withColumn("_within", within).join(counts.select(*renamed, F.col("_range").alias("_r"), "_before"), same)
+    return both.select(*df.columns, (F.col("_within") + F.col("_before")).alias(name))
+
+
+#: Criteria by which campaigns are ranked: the field, and whether the highest comes first; fixed values.
+CAMPAIGN_CRITERIA = {
+    "en_yuksek_odul": ("reward_amount_try", True), "en_dusuk_kar_payi": ("profit_rate_pct", False), "en_uzun_vade": ("term_months_max", True),
+    "en_yuksek_taksit": ("installment_count", True), "en_yuksek_iade_orani": ("cashback_pct", True), "en_yuksek_indirim": ("discount_pct", True),
+}
+#: Criteria by which products are ranked, with the only type of rate that has the field, if it is one; fixed values. A score
+#: comes from weighted_score().
+PRODUCT_CRITERIA = {
+    "en_dusuk_kar_payi": ("profit_rate_pct", False, "financing_rate"), "en_dusuk_masraf": ("allocation_fee_pct", False, "financing_rate"), "en_dusuk_toplam_maliyet": ("annual_cost_pct", False, "financing_rate"),
+    "en_yuksek_getiri": ("profit_rate_pct", True, "participation_yield"), "en_yuksek_paylasim_orani": ("investor_share_pct", True, "profit_sharing_ratio"), "en_uzun_vade": ("term_months", True, None), "en_avantajli": ("score", True, None),
+}
+
+
+def criterion_of(criterion: str, rate_type: str | None = None) -> tuple[str, bool]:
+    """Field and direction of a criterion; ValueError for one that is not known or that the type of rate has no field for."""
+    if rate_type is None:
+        if criterion not in CAMPAIGN_CRITERIA:
+            raise ValueError(f"unknown criterion {criterion!r}; known are {', '.join(CAMPAIGN_CRITERIA)}")
+        return CAMPAIGN_CRITERIA[criterion]
+    if criterion not in PRODUCT_CRITERIA:
+        raise ValueError(f"unknown criterion {criterion!r}; known are {', '.join(PRODUCT_CRITERIA)}")
+    field, descending, kind = PRODUCT_CRITERIA[criterion]
+    if kind not in (None, rate_type):
+        raise ValueError(f"{criterion!r} says nothing about rates of type {rate_type!r}")
+    return field, descending
+
+
+def rank_by(df: DataFrame, criterion: str, by: list[str], ident: str, limit: int | None = None, rate_type: str | None = None) -> DataFrame:
+    """df with rank, status (ranked or no_data) and missing_reason under a criterion, in groups of any size. Ties go by `ident`.
+    Rows without the field are a group of their own in order of `ident`, without a rank. `limit` keeps so many of either."""
+    field, descending = criterion_of(criterion, rate_type)
+    value = F.col(field)
+    status = F.when(value.isNotNull(), "ranked").otherwise("no_data")
+    out = placed(df.withColumn("status", status), [*by, "status"], [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.col(ident)])
+    kept = out if limit is None else out.filter(F.col("place") <= limit)
+    missing = F.when(value.isNull(), F.lit(f"{field}: no data"))
+    return kept.withColumns({"rank": F.when(value.isNotNull(), F.col("place")), "missing_reason": missing}).drop("place")
+
+
 def extremum(df: DataFrame, by: list[str], measure: str, ident: str, kind: str = "min") -> DataFrame:
     """Per group: winner, value, with_value, without_value, ties (others with the value). Ties on the value go to the
     highest id for a minimum and to the lowest for a maximum. One pre-aggregated pass: a tie is counted by value first."""

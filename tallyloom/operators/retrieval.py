@@ -17,7 +17,7 @@ def bm25(docs: DataFrame, ident: str, text: str, terms: list[str]) -> DataFrame:
     """ident, score, matched of the documents with any of the terms. idf is ln(1 + (N - df + .5) / (df + .5)). A term that
     no document has exactly is taken as a prefix from four letters on, every expansion with its own idf and the weight
     0.6. Only tokens that can match leave the scan; document frequencies are counts of pre-aggregated rows."""
-    sized = docs.select(F.col(ident), tokens(F.col(text)).alias("_tokens")).withColumn("_len", F.size("_tokens"))
+    sized = docs.select(F.col(ident), tokens(F.coalesce(F.col(text), F.lit(""))).alias("_tokens")).withColumn("_len", F.size("_tokens"))
     totals = sized.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"))
     stems = [t for t in terms if len(t) >= PREFIX_FROM]
     may = lambda t: t.isin(*terms) | _any_prefix(t, stems)

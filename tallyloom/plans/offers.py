@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import facts, filters, finance, ranking
@@ -34,11 +35,59 @@ SELECT lang, status, count(*) AS n, max(rank) AS last_rank FROM (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) GROUP BY lang, status
 """)
 def rank_missing_group(spark, sf):
+    """Ranks in groups of any size: no task sorts a whole language."""
     joined = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    ranked = ranking.rank_with_missing(joined, "quality", ["lang"], "doc_id", descending=True)
+    ranked = ranking.rank_by(joined.withColumnRenamed("quality", "reward_amount_try"), "en_yuksek_odul", ["lang"], "doc_id")
     return ranked.groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last_rank"))
 
 
+def _criteria_sql() -> str:
+    fields = {"reward_amount_try": "CASE WHEN l_quantity > 10 THEN l_extendedprice END", "profit_rate_pct": "CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 100 END", "term_months_max": "CASE WHEN l_linenumber < 6 THEN l_quantity END", "installment_count": "CASE WHEN l_quantity <> 7 THEN l_linenumber END", "cashback_pct": "CASE WHEN l_discount > 0.02 THEN l_discount END", "discount_pct": "CASE WHEN l_discount < 0.08 THEN l_discount END"}
+    ranked = [f"SELECT '{c}' AS criterion, n.l_shipmode AS bank, id, place AS rank, status FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, id, {fields[f]} AS v, CASE WHEN {fields[f]} IS NULL THEN 'no_data' ELSE 'ranked' END AS status, row_number() OVER (PARTITION BY l_returnflag || l_linestatus, {fields[f]} IS NULL ORDER BY {fields[f]} {'DESC' if down else 'ASC'}, id) AS place FROM (SELECT *, l_orderkey * 10 + l_linenumber AS id FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice))) n WHERE place <= 20" for c, (f, down) in ranking.CAMPAIGN_CRITERIA.items()]
+    return f"SELECT criterion, bank, id, CASE WHEN status = 'ranked' THEN rank END AS rank, status FROM ({' UNION ALL '.join(ranked)})"
+
+
+@query(_criteria_sql())
+def campaigns_by_criteria(spark, sf):
+    """The first 20 of each bank under each of six criteria, and 20 of those without data."""
+    first = F.struct("l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_returnflag", "l_linestatus")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(first).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+    c = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat("l_returnflag", "l_linestatus").alias("bank"), F.when(F.col("l_quantity") > 10, F.col("l_extendedprice")).alias("reward_amount_try"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax") * 100).alias("profit_rate_pct"),
+        F.when(F.col("l_linenumber") < 6, F.col("l_quantity")).alias("term_months_max"), F.when(F.col("l_quantity") != 7, F.col("l_linenumber")).alias("installment_count"), F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("cashback_pct"), F.when(F.col("l_discount") < 0.08, F.col("l_discount")).alias("discount_pct"),
+    )
+    out = None
+    for criterion in ranking.CAMPAIGN_CRITERIA:
+        part = ranking.rank_by(c, criterion, ["bank"], "id", limit=20).select(F.lit(criterion).alias("criterion"), "bank", "id", F.col("rank").cast("long").alias("rank"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""
+WITH q AS (SELECT o_orderkey AS request, round(o_totalprice, 2) AS amount, 1 + o_orderkey % 60 AS term, (o_orderkey % 6) AS kind FROM orders),
+t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS kind FROM (SELECT DISTINCT p_type FROM part)),
+r AS (SELECT p_brand AS bank, p_partkey AS product, kind, CASE WHEN p_partkey % 11 <> 0 THEN p_size END AS term, (p_partkey % 400) / 100.0 AS rate, CASE WHEN p_partkey % 3 = 1 THEN 50000 END AS low, CASE WHEN p_partkey % 3 = 2 THEN 150000 END AS high FROM part JOIN t USING (p_type) WHERE p_partkey % 7 <> 0),
+b AS (SELECT DISTINCT p_brand AS bank FROM part),
+h AS (SELECT request, amount, q.term AS months, bank, product, r.term AS rate_term, rate FROM q JOIN r ON r.kind = q.kind AND (low IS NULL OR amount >= low) AND (high IS NULL OR amount <= high)),
+n AS (SELECT request, bank, min(CASE WHEN rate_term IS NOT NULL THEN {'a': abs(rate_term - months), 'r': rate, 'p': product, 't': rate_term} END) AS near FROM h GROUP BY request, bank),
+o AS (SELECT q.request, b.bank, near.p AS product, near.r::DOUBLE AS rate, near.t AS rate_term, n.request IS NOT NULL AS priced, amount, q.term AS months,
+  CASE WHEN near.r IS NULL THEN NULL WHEN near.r = 0 THEN round(amount / q.term, 2) ELSE round(amount * (near.r::DOUBLE / 100.0) * pow(1 + near.r::DOUBLE / 100.0, q.term) / (pow(1 + near.r::DOUBLE / 100.0, q.term) - 1), 2) END AS monthly FROM q CROSS JOIN b LEFT JOIN n ON n.request = q.request AND n.bank = b.bank),
+w AS (SELECT *, round(monthly * months, 2) AS total FROM o)
+SELECT request, bank, product, rate, rate_term, CASE WHEN rate IS NOT NULL THEN rate_term = months END AS is_exact, round(monthly, 1) AS monthly, CASE WHEN rate IS NOT NULL THEN row_number() OVER (PARTITION BY request ORDER BY total NULLS LAST, bank) = 1 END AS is_best,
+  CASE WHEN NOT priced THEN 'no_published_rate' WHEN rate IS NULL THEN 'rates_do_not_cover_the_term' END AS missing FROM w
+""")
+def financing_simulation(spark, sf):
+    """An offer of every bank for every request, or why there is none."""
+    part = table(spark, sf, "part")
+    kinds = F.broadcast(part.groupBy("p_type").agg(F.lit(0).alias("x")).withColumn("kind", F.row_number().over(Window.partitionBy("x").orderBy("p_type")) - 1).drop("x"))  # the types are few
+    k = F.col("p_partkey")
+    rates = part.filter(k % 7 != 0).join(kinds, "p_type").select(F.col("p_brand").alias("bank"), k.alias("product"), F.col("kind").cast("long").alias("product_type"), F.when(k % 11 != 0, F.col("p_size").cast("long")).alias("term"), ((k % 400) / 100.0).alias("rate"), F.when(k % 3 == 1, 50000.0).alias("low"), F.when(k % 3 == 2, 150000.0).alias("high"))
+    o = F.col("o_orderkey")
+    requests = table(spark, sf, "orders").select(o.alias("request"), (o % 6).alias("product_type"), F.round("o_totalprice", 2).alias("amount"), (o % 60 + 1).alias("term"))
+    offers = finance.financing_offers(requests, rates, part.select(F.col("p_brand").alias("bank")).distinct())
+    return offers.select("request", "bank", "product", "rate", "rate_term", "is_exact", F.round("monthly", 1).alias("monthly"), "is_best", "missing")
+
+
 @query("""
 WITH v AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_acctbal > 0 THEN round(s_acctbal / 1000) END AS bal FROM supplier),
 b AS (SELECT s_nationkey, min(bal) AS value, count(bal) AS with_value, count(*) - count(bal) AS without_value FROM v GROUP BY s_nationkey)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import parse, text
-from tallyloom.operators import facts, filters, ranking, retrieval
+from tallyloom.operators import facts, filters, pivots, ranking, retrieval, search
 from tallyloom.plans.registry import query, table
 
 TERMS = ["the", "idiot", "erth", "ingedrea"]
@@ -23,8 +23,8 @@ b AS (SELECT doc_id, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (t
 
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score, matched FROM b ORDER BY b.score DESC, doc_id LIMIT 50")
 def bm25_topk(spark, sf):
-    hits = retrieval.bm25(table(spark, sf, "documents"), "doc_id", "text", TERMS)
-    return retrieval.top(hits, "score", "doc_id", 50).withColumn("score", F.round("score", 6))
+    index = search.index_of(table(spark, sf, "documents"), "doc_id", "text")
+    return search.search(spark, index, TERMS, 50, "doc_id").withColumn("score", F.round("score", 6))
 
 
 _QUERY_VECTOR = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -58,7 +58,7 @@ SELECT doc_id, round(rrf, 9) AS rrf FROM g JOIN documents USING (doc_id) WHERE l
 """)
 def rrf_hybrid(spark, sf):
     docs = table(spark, sf, "documents")
-    words = retrieval.ranked(retrieval.bm25(docs, "doc_id", "text", TERMS), "score", "doc_id", 120, "r1")
+    words = retrieval.ranked(search.search(spark, search.index_of(docs, "doc_id", "text"), TERMS, 120, "doc_id"), "score", "doc_id", 120, "r1")
     vectors = retrieval.vector_scores(table(spark, sf, "embeddings"), "embedding", _query_vector(spark, sf)).withColumnRenamed("vec_id", "doc_id")
     both = retrieval.fused([(words, "r1"), (retrieval.ranked(vectors, "score", "doc_id", 120, "r2"), "r2")], "doc_id")
     kept = filters.gate(both.join(docs.select("doc_id", "lang"), "doc_id"), [("lang", F.col("lang") == "en")]).filter("reason is null")
@@ -166,18 +166,24 @@ def eav_pivot(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT s_nationkey, 'q' || (l_linenumber % 4)::INT AS cell, l_orderkey % 2 AS src, round(avg(l_tax) * 100, 1) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 45 GROUP BY 1, 2, 3)
-SELECT coalesce(a.s_nationkey, b.s_nationkey) AS s_nationkey, coalesce(a.cell, b.cell) AS cell, a.v AS own, b.v AS feed, coalesce(a.v, b.v) AS best,
-  CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'single' WHEN a.v = b.v THEN 'equal' WHEN abs(a.v - b.v) <= 0.5 THEN 'near' ELSE 'different' END AS agreement
-FROM (SELECT * FROM c WHERE src = 0) a FULL JOIN (SELECT * FROM c WHERE src = 1) b ON a.s_nationkey = b.s_nationkey AND a.cell = b.cell
+WITH r AS (SELECT s_nationkey AS bank, l_orderkey % 2 = 0 AS led, l_linenumber AS term, CASE l_returnflag WHEN 'A' THEN 'USD' WHEN 'N' THEN 'TRY' ELSE 'GBP' END AS cur, round(l_tax * 100, 2) AS v, {'a': l_shipdate, 'b': l_orderkey, 'c': l_extendedprice, 'd': l_tax} AS w FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber <= 5 AND (l_orderkey % 2 = 1 OR s_nationkey % 3 > 0)),
+c AS (SELECT bank, led, term, cur, arg_max(v, w) AS v FROM r GROUP BY ALL),
+p AS (SELECT bank, term, cur, term || 'm|' || cur AS cell, CASE cur WHEN 'TRY' THEN 0 WHEN 'USD' THEN 1 ELSE 3 END AS pos, max(v) FILTER (led) AS own, max(v) FILTER (NOT led) AS oth FROM c GROUP BY ALL),
+b AS (SELECT bank, bool_or(own IS NOT NULL) AS led FROM p GROUP BY bank),
+s AS (SELECT bank, arg_min({'cell': cell, 'own': own, 'oth': oth}, {'p': pos, 't': term}) AS x FROM p WHERE own IS NOT NULL AND oth IS NOT NULL GROUP BY bank)
+SELECT bank, CASE WHEN led THEN 'feed' ELSE 'other' END AS data_source, string_agg(cell || '=' || printf('%.2f', CASE WHEN led THEN own ELSE oth END), ',' ORDER BY pos, term) FILTER ((CASE WHEN led THEN own ELSE oth END) IS NOT NULL) AS cells, x.cell AS shared, x.own AS own, x.oth AS other,
+  CASE WHEN x IS NULL THEN NULL WHEN x.own = x.oth THEN 'equal' WHEN abs(x.own - x.oth) <= 0.5 THEN 'near' ELSE 'different' END AS match FROM p JOIN b USING (bank) LEFT JOIN s USING (bank) GROUP BY bank, led, x
 """)
 def source_pivot_crosscheck(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity > 45").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    cell = F.concat(F.lit("q"), (F.col("l_linenumber") % 4).cast("string"))
-    cells = li.withColumn("_src", F.col("l_orderkey") % 2).groupBy("s_nationkey", cell.alias("cell")).pivot("_src", [0, 1]).agg(F.round(F.avg("l_tax") * 100, 1))
-    own, feed = F.col("0"), F.col("1")
-    agreement = F.when(own.isNull() | feed.isNull(), "single").when(own == feed, "equal").when(F.abs(own - feed) <= 0.5, "near").otherwise("different")
-    return cells.select("s_nationkey", "cell", own.alias("own"), feed.alias("feed"), F.coalesce(own, feed).alias("best"), agreement.alias("agreement"))
+    """Rates of two sources by nation, the last of each cell; every third nation has one source only."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).filter("l_orderkey % 2 = 1 OR s_nationkey % 3 > 0")
+    rates = li.select(
+        "s_nationkey", F.when(F.col("l_orderkey") % 2 == 0, "feed").otherwise("bank_site").alias("src"), F.col("l_linenumber").alias("term"), F.when(F.col("l_returnflag") == "A", "USD").when(F.col("l_returnflag") == "N", "TRY").otherwise("GBP").alias("cur"),
+        F.round(F.col("l_tax") * 100, 2).alias("v"), "l_shipdate", "l_orderkey", "l_extendedprice", "l_tax",
+    )
+    out = pivots.source_pivot(rates, "s_nationkey", "src", "term", {k: f"{k}m" for k in range(1, 6)}, "cur", "v", ["l_shipdate", "l_orderkey", "l_extendedprice", "l_tax"], "feed")
+    cells = F.array_join(F.transform("cells", lambda x: F.format_string("%s=%.2f", x["cell"], x["value"])), ",")
+    return out.select("bank", "data_source", cells.alias("cells"), "shared", "own", "other", "match")
 
 
 _PAIRS = "SELECT d.lang, d.source, CASE WHEN l.doc_id % 6 <> 0 THEN quality::VARCHAR END AS gold, CASE WHEN n_chars < 200 THEN '0' WHEN n_chars < 4000 THEN '1' END AS found FROM documents d JOIN labels l USING (doc_id)"

@@ -88,6 +88,26 @@ def token_match(spark, sf):
     return matching.token_match(low, part.filter("p_size <= 10").withColumnRenamed("p_partkey", "pid"), "p_brand", "label", "p_name", "pid").select("p_partkey", "matched")
 
 
+@query("""
+WITH p AS (SELECT p_partkey AS product, p_brand AS brand, lower(p_name) AS core, replace(lower(p_name), ' ', '-') || '-' || (p_partkey % 3) AS slug FROM part WHERE p_size <= 10 AND length(p_name) >= 10),
+c AS (SELECT p_partkey AS campaign, p_brand AS brand, CASE WHEN p_partkey % 4 = 0 THEN 'Yeni ' || upper(p_name) || ' Fırsatı' ELSE 'Fırsat' END AS title, CASE WHEN p_partkey % 4 = 1 THEN '/kampanya/' || replace(lower(p_name), ' ', '-') || '-' || (p_partkey % 3) || '/x' ELSE '/x' END AS address, CASE WHEN p_partkey % 4 >= 2 THEN 'Şimdi ' || p_name || ' için' END AS body FROM part)
+SELECT brand, campaign, product, CASE WHEN contains(replace(lower(title), 'ı', 'i'), core) THEN 'title' WHEN contains(address, slug) THEN 'slug' ELSE 'body' END AS method,
+  CASE WHEN contains(replace(lower(title), 'ı', 'i'), core) THEN 0.90 WHEN contains(address, slug) THEN 0.85 ELSE 0.60 END::DOUBLE AS confidence,
+  CASE WHEN contains(replace(lower(title), 'ı', 'i'), core) THEN title WHEN contains(address, slug) THEN slug ELSE body END AS evidence
+FROM c JOIN p USING (brand) WHERE contains(replace(lower(title), 'ı', 'i'), core) OR contains(address, slug) OR contains(lower(coalesce(body, '')), core)
+""")
+def campaign_products(spark, sf):
+    """Campaigns that name a product in their title, address or text."""
+    part = table(spark, sf, "part")
+    k, slug = F.col("p_partkey"), F.concat(F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")), F.lit("-"), (F.col("p_partkey") % 3).cast("string"))
+    campaigns = part.select(
+        F.col("p_brand").alias("brand"), k.alias("campaign"), F.when(k % 4 == 0, F.concat(F.lit("Yeni "), F.upper("p_name"), F.lit(" Fırsatı"))).otherwise("Fırsat").alias("title"),
+        F.when(k % 4 == 1, F.concat(F.lit("/kampanya/"), slug, F.lit("/x"))).otherwise("/x").alias("address"), F.when(k % 4 >= 2, F.concat(F.lit("Şimdi "), F.col("p_name"), F.lit(" için"))).alias("body"),
+    )
+    products = part.filter("p_size <= 10").select(F.col("p_brand").alias("brand"), k.alias("product"), F.concat("p_name", F.lit(" (Kredi)*")).alias("name"), slug.alias("slug"))
+    return matching.contains_match(campaigns, products, "brand", "campaign", "product", "title", "address", "body", "name", "slug")
+
+
 @query(r"""
 SELECT slug, arg_min(url, struct_pack(a := r, b := url)) AS url FROM (SELECT url, regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) AS slug,
   CASE WHEN starts_with(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/en/') THEN 0 WHEN starts_with(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/de/') THEN 1 END AS r FROM pages) WHERE r IS NOT NULL AND slug <> '' GROUP BY slug

@@ -1,6 +1,7 @@
 """Parsers, folding, finance, HTML cells, feeds and merges on cases with known answers."""
 
 import datetime
+import hashlib
 from decimal import Decimal
 
 import pytest
@@ -182,14 +183,46 @@ def test_feeds(spark, tmp_path):
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([(1, Decimal("1.50"), datetime.date(2026, 1, 2))], "k int, d decimal(6,2), t date")
-    manifest = {r.table: r.n_rows for r in sinks.export_json_lines({"a": df, "b": df.filter("k > 1")}, str(tmp_path)).collect()}
-    assert manifest == {"a": 1, "b": 0}
-    assert spark.read.text(str(tmp_path / "a")).first()[0] == '{"k":1,"d":"1.50","t":"2026-01-02"}'
-    parts = str(tmp_path / "p")
-    sinks.overwrite_partitions(spark.createDataFrame([(1, "x"), (2, "y")], "v int, k string"), parts, ["k"])
-    sinks.overwrite_partitions(spark.createDataFrame([(9, "y")], "v int, k string"), parts, ["k"])
-    assert {(r.v, r.k) for r in spark.read.parquet(parts).collect()} == {(1, "x"), (9, "y")}
+    df = spark.createDataFrame([(1, Decimal("1.50"), datetime.date(2026, 1, 2)), (2, None, None)], "k int, d decimal(6,2), t date")
+    path = str(tmp_path)
+    manifest = sinks.export_json_lines({"a": df.coalesce(1), "b": df.filter("k > 1").repartition(2)}, path, {"a": ["k"]}, "r7").collect()
+    assert {(r.table, r.revision) for r in manifest} == {("a", "r7"), ("b", "r7")} and sum(r.n_rows for r in manifest if r.table == "a") == 2 and sum(r.n_rows for r in manifest if r.table == "b") == 1
+    for r in manifest:
+        content = (tmp_path / r.table / r.file).read_bytes()
+        assert hashlib.sha256(content).hexdigest() == r.sha256 and len(content) == r.n_bytes and content.count(b"\n") == r.n_rows
+    assert spark.read.text(f"{path}/a").first()[0] == '{"k":1,"d":"1.50","t":"2026-01-02"}'
+    assert sinks.export_faults(spark, path, ["a", "b"]).count() == 0
+    first = next(r for r in manifest if r.table == "a")
+    (tmp_path / "a" / f".{first.file}.crc").unlink()
+    (tmp_path / "a" / first.file).write_text("{}\n")
+    (tmp_path / "b" / "more.json").write_text("{}\n")
+    assert {(r.table, r.fault) for r in sinks.export_faults(spark, path, ["a", "b"]).collect()} == {("a", "changed"), ("b", "unknown")}
+    with pytest.raises(ValueError, match="not unique"):
+        sinks.export_json_lines({"a": df.union(df)}, path, {"a": ["k"]})
+
+
+def test_generations_are_swapped_whole(spark, tmp_path):
+    path = str(tmp_path / "labels")
+    rows = lambda *x: spark.createDataFrame(list(x), "method string, bank string, v int")
+    now = lambda: {(r.method, r.bank, r.v) for r in sinks.current(spark, path).collect()}
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, path)
+    assert sinks.publish(rows(("rule", "a", 1), ("rule", "b", 2), ("gold", "a", 3), (None, "a", 4)), path, ["method", "bank"]) == 1
+    before = sinks.current(spark, path)
+    # A run that dies between its files and the swap leaves the old version.
+    with pytest.raises(RuntimeError):
+        sinks.publish(rows(("rule", "a", 9)), path, ["method", "bank"], F.col("method") == "rule", before_swap=lambda: (_ for _ in ()).throw(RuntimeError()))
+    assert now() == {("rule", "a", 1), ("rule", "b", 2), ("gold", "a", 3), (None, "a", 4)}
+    # Of the rules' partitions one is new and one has no rows any more; others stay as they are.
+    assert sinks.publish(rows(("rule", "a", 9)), path, ["method", "bank"], F.col("method") == "rule") == 2
+    assert now() == {("rule", "a", 9), ("gold", "a", 3), (None, "a", 4)}
+    assert {(r.v) for r in before.collect()} == {1, 2, 3, 4}  # who reads the old version still has it
+    with pytest.raises(ValueError, match="scope"):
+        sinks.publish(rows(("gold", "a", 9)), path, ["method", "bank"], F.col("method") == "rule")
+    sinks.publish(rows(), path, ["method", "bank"], F.col("method").isNull())
+    assert now() == {("rule", "a", 9), ("gold", "a", 3)}
+    sinks.publish(rows(), path, ["method", "bank"])
+    assert now() == set()
 
 
 def test_question():
