@@ -6,10 +6,11 @@ overlap. Ends that both sides share close groups; within a group every token of
 other, so its links are the product of its sides, expanded by id. How many documents of the corpus hold a pair of
 ids linked is counted once for all, and the counts come back to the links.
 
-Neither tokenizer joins what stands before a blank or a line break that follows another sign with what comes after (the
-first cuts there by its pattern; that no piece of the second reaches across is looked up in its vocabulary). Both end a token
-there, so groups end there too, and the chunks between such places are tokenized and aligned once and kept in a memo.
-All new chunks of a batch are tokenized together and aligned in the same few array operations.
+Neither tokenizer joins what stands before a blank or a line break that follows another sign with what comes after, nor a
+Latin word with the mark behind it (the first cuts there by its pattern; that no piece of the second reaches across is
+looked up in its vocabulary). Both end a token there, so groups end there too, and the chunks between such places are
+tokenized and aligned once and kept in a memo. All new chunks of a batch are tokenized one behind the other and aligned in
+the same few array operations.
 
 Texts are tokenized in one pass, whose distinct pairs per document are written. The counts of the FREQUENT pairs that most
 documents hold are looked up in a broadcast; pairs that are rarer are joined with the table of counts. What is shuffled
@@ -28,6 +29,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import public_tokenizers
@@ -42,16 +44,18 @@ from tallyloom.llm.weighing import commonest, with_rest
 #: Pairs that are broadcast with their counts at most: 3 MB.
 FREQUENT = 1 << 17
 #: Chunks of a worker's memo, and the longest that it keeps, in characters.
-CHUNKS, KEPT_CHUNK = 200_000, 100
+CHUNKS, KEPT_CHUNK = 240_000, 100
 #: Links of a group that are expanded at once; those of larger groups are counted by id on either side first.
 EXPANDED = 1 << 12
 #: An id pair is one number, first id * PAIR + second id.
 PAIR = 1 << 20
 BLANK = "▁"
+#: Letters of Latin words, and marks before which a word may be cut if no piece of the second tokenizer holds both.
+LATIN, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", ",.;:!?*%$#&)\""
 
 #: Of a chunk: numbers of tokens on both sides, groups and links; the groups as text; distinct id pairs and how often each
-#: is linked.
-Aligned = tuple[int, int, int, int, str, tuple[int, ...], tuple[int, ...]]
+#: is linked, None for once.
+Aligned = tuple[int, int, int, int, str, np.ndarray, np.ndarray | None]
 
 
 class Aligner:
@@ -70,17 +74,21 @@ class Aligner:
         back = {ord(moved.get(b, chr(b))): b for b in range(256)}
         self.bytes_a = {i: bytes(t.translate(back), "latin-1") for t, i in self.a.get_vocab().items() if all(ord(c) in back for c in t)}
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
+        self.words_a, self.words_b = ([str(i) for i in range(n)] for n in (max(self.bytes_a) + 1, len(self.bytes_b)))
         pieces = [p for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size()))) if not self.b.is_byte(i) and not self.b.is_control(i)]
-        cuts = [c for c, sign in ((" ", BLANK), ("\n", "\n")) if not any(re.search(f"[^{BLANK}]{sign}" if c == " " else sign, p) for p in pieces)]
-        if " " not in cuts:
+        reaches = lambda before, sign: any(re.search(f"{before}{re.escape(sign)}", p) for p in pieces)
+        if reaches(f"[^{BLANK}]", BLANK):
             raise ValueError("a piece of the second tokenizer reaches across a blank")
+        spaces = " " if reaches("", "\n") else " \n"
+        marks = "".join(m for m in MARKS if not reaches(f"[{LATIN}]", m))
         self.long_a = np.zeros(max(self.bytes_a) + 1, np.int64)
         for i, x in self.bytes_a.items():
             self.long_a[i] = len(x)
         self.long_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.young: dict[str, Aligned | None] = {}
         self.old: dict[str, Aligned | None] = {}
-        self.cut = re.compile(rf"(?<=\S)(?=[{''.join(cuts)}])")
+        self.cut = re.compile(rf"(?<=\S)(?=[{spaces}])" + (rf"|(?<=[{LATIN}])(?=[{re.escape(marks)}])" if marks else ""))
+        self.led = len(self.b.encode("x"))
 
     def chunks(self, text: str) -> list[str]:
         """The text behind the blank that both tokenizers see, cut where both end a token."""
@@ -107,28 +115,30 @@ class Aligner:
             self.young, self.old = {}, young
         return found
 
-    def tokens(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # The second adds a blank (not to an empty text): the chunk's own one is left to it, and before a line break its token is taken off.
-        ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        for k, c in enumerate(chunks):
-            if c[0] != " ":
-                ids_b[k] = ids_b[k][1:]
-            elif len(c) == 1:
-                ids_b[k] = [self.b.piece_to_id(BLANK)]
-        return ids_a, ids_b
-
-    def align(self, chunks: list[str]) -> list[Aligned | None]:
-        """Aligned of each chunk, which must not be empty."""
-        ids_a, ids_b = self.tokens(chunks)
+    def tokens(self, whole: str) -> tuple[list[int], list[int]]:
+        """Ids of one or more chunks on end. The second tokenizer gets a word in front that takes the blank it adds."""
+        return self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode("x" + whole, num_threads=1)[self.led :]
+
+    def align(self, chunks: list[str], at_once: int = 1000) -> list[Aligned | None]:
+        """Aligned of each chunk, which must not be empty. Those that begin with white space and end otherwise, nearly all, are
+        tokenized one behind the other: where they meet, both tokenizers cut."""
+        plain = [c for c in chunks if c[0] in " \n" and not c[-1].isspace()]
+        out = [x for k in range(0, len(plain), at_once) for x in self._aligned(plain[k : k + at_once])]
+        if len(plain) == len(chunks):
+            return out
+        known = dict(zip(plain, out, strict=True))
+        return [known[c] if c in known else self._aligned([c])[0] for c in chunks]
+
+    def _aligned(self, chunks: list[str]) -> list[Aligned | None]:
         raw = [c.encode("utf-8", "replace") for c in chunks]
         whole = b"".join(raw)
-        if b"".join([self.bytes_b[i] for ids in ids_b for i in ids]) != whole or b"".join([self.bytes_a[i] for ids in ids_a for i in ids]) != whole:
+        ids_a, ids_b = self.tokens("".join(chunks))
+        if b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole or b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole:
             if len(chunks) == 1:
                 return [None]
             half = len(chunks) // 2  # a chunk that is not given back is rare: halves find it
-            return self.align(chunks[:half]) + self.align(chunks[half:])
-        a, b = (np.fromiter((i for ids in x for i in ids), np.int64) for x in (ids_a, ids_b))
+            return self._aligned(chunks[:half]) + self._aligned(chunks[half:])
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(self.long_a[a]), np.cumsum(self.long_b[b])
         # Elementary intervals of all chunks on end; a chunk's end is shared, so that none reaches across.
         ends = np.union1d(ends_a, ends_b)
@@ -136,55 +146,55 @@ class Aligner:
         closes = (ends_a[owner_a] == ends) & (ends_b[owner_b] == ends)
         to_a, to_b = owner_a[closes] + 1, owner_b[closes] + 1  # tokens up to the end of each group
         from_a, from_b = np.concatenate([[0], to_a[:-1]]), np.concatenate([[0], to_b[:-1]])
-        n_a, n_b = to_a - from_a, to_b - from_b
-        links = n_a * n_b
+        n_b = to_b - from_b
+        links = (to_a - from_a) * n_b
         # Group products, expanded: the k-th link of a group has token k // n_b of one side and k % n_b of the other.
         some = np.where(links <= EXPANDED, links, 0)
         stops = np.cumsum(some)
         group = np.repeat(np.arange(len(links)), some)
         k = np.arange(len(group)) - (stops - some)[group]
-        keys = (a[from_a[group] + k // n_b[group]] * PAIR + b[from_b[group] + k % n_b[group]]).tolist()
-        stops = [0, *stops.tolist()]
-        last = (np.searchsorted(to_a, np.cumsum([len(x) for x in ids_a])) + 1).tolist()  # groups up to the end of each chunk
-        sums = [0, *np.cumsum(links).tolist()]
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        spans = list(zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), links.tolist(), strict=True))
+        expanded = a[from_a[group] + k // n_b[group]] * PAIR + b[from_b[group] + k % n_b[group]]
+        keys = expanded.tolist()
+        # Groups, tokens, links and expanded links up to the end of each chunk.
+        last = np.searchsorted(ends[closes], np.cumsum([len(x) for x in raw])) + 1
+        up_to = np.stack([last, to_a[last - 1], to_b[last - 1], np.cumsum(links)[last - 1], stops[last - 1]])
+        counts = np.diff(up_to, axis=1, prepend=0)[1:4].tolist()
+        text_a, text_b = [self.words_a[i] for i in ids_a], [self.words_b[i] for i in ids_b]
+        spans = list(zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist(), strict=True))
+        texts = [(text_a[i] if j - i == 1 else ",".join(text_a[i:j])) + "|" + (text_b[m] if n - m == 1 else ",".join(text_b[m:n])) for i, j, m, n in spans]
         out: list[Aligned | None] = []
-        first = 0
-        for mine_a, mine_b, end in zip(ids_a, ids_b, last, strict=True):
-            texts = [f"{text_a[i]}|{text_b[m]}" if one == 1 else ",".join(text_a[i:j]) + "|" + ",".join(text_b[m:n]) for i, j, m, n, one in spans[first:end]]
-            own = keys[stops[first] : stops[end]]
-            n_links = sums[end] - sums[first]
-            if len(own) == n_links and len(set(own)) == n_links:
-                pairs, times = tuple(own), (1,) * n_links
+        first = begin = 0
+        for end, stop, tokens_a, tokens_b, n_links in zip(up_to[0].tolist(), up_to[4].tolist(), *counts, strict=True):
+            if stop - begin == n_links and (n_links == 1 or len(set(keys[begin:stop])) == n_links):
+                pairs, times = expanded[begin:stop], None
             else:
-                count = Counter(own)
-                for i, j, m, n, many in spans[first:end]:
-                    if many > EXPANDED:
-                        right = Counter(b[m:n].tolist()).items()
-                        for x, p in Counter(a[i:j].tolist()).items():
+                count = Counter(keys[begin:stop])
+                for i, j, m, n in spans[first:end]:
+                    if (j - i) * (n - m) > EXPANDED:
+                        right = Counter(ids_b[m:n]).items()
+                        for x, p in Counter(ids_a[i:j]).items():
                             for y, q in right:
                                 count[x * PAIR + y] += p * q
-                pairs, times = tuple(count), tuple(count.values())
-            out.append((len(mine_a), len(mine_b), end - first, n_links, ";".join(texts), pairs, times))
-            first = end
+                pairs, times = np.fromiter(count, np.int64), np.fromiter(count.values(), np.int64)
+            out.append((tokens_a, tokens_b, end - first, n_links, ";".join(texts[first:end]), pairs, times))
+            first, begin = end, stop
         return out
 
-    def texts(self, rows: Iterator[dict], at_once: int = 256, letters: int = 1 << 20) -> Iterator[tuple[dict, list[str], dict[str, Aligned | None]]]:
-        """Each row with its chunks in order and what the distinct ones are. Rows are taken some at a time, bounded by number and
-        by length, so that their new chunks are aligned together. A text without tokens has no chunks."""
+    def texts(self, rows: Iterator[dict], at_once: int = 256, letters: int = 1 << 20) -> Iterator[tuple[dict, list[str], Counter[str], dict[str, Aligned | None]]]:
+        """Each row with its chunks in order, how often it has each, and what they are. Rows are taken some at a time, bounded by
+        number and by length, so that their new chunks are aligned together. A text without tokens has no chunks."""
 
         def told(held):
-            found = self.learn({c for _, chunks in held for c in chunks})
-            for row, chunks in held:
-                known = {c: found[c] for c in set(chunks)}
-                whole = None not in known.values()
-                yield row, chunks if whole else [], known if whole else {}
+            found = self.learn(set().union(*[often for _, _, often in held]))
+            bad = {c for c, x in found.items() if x is None}
+            for row, chunks, often in held:
+                yield (row, [], Counter(), found) if bad and not bad.isdisjoint(often) else (row, chunks, often, found)
 
         held, size = [], 0
         for row in rows:
             text = row["text"]
-            held.append((row, self.chunks(text) if text else []))
+            chunks = self.chunks(text) if text else []
+            held.append((row, chunks, Counter(chunks)))
             size += len(text)
             if len(held) >= at_once or size >= letters:
                 yield from told(held)
@@ -218,7 +228,7 @@ def groups(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
 
     def make(rows: Iterator[dict]) -> Iterator[tuple]:
         aligner = worker_memo(paths)
-        for row, chunks, known in aligner.texts(rows):
+        for row, chunks, _, known in aligner.texts(rows):
             out, at = [], 0
             for c in chunks:
                 for group in known[c][4].split(";"):
@@ -240,19 +250,22 @@ def linked(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
     paths = _paths(a, b)
 
     def make(rows: Iterator[dict]) -> Iterator[tuple]:
-        for row, chunks, known in worker_memo(paths).texts(rows):
-            totals, pairs, times = [0] * 4, [], []
-            for c, n in Counter(chunks).items():
-                got = known[c]
-                for k in range(4):
-                    totals[k] += n * got[k]
-                pairs += got[5]
-                times += got[6] if n == 1 else [n * t for t in got[6]]
-            distinct, at = np.unique(np.array(pairs, np.int64), return_inverse=True)
+        for row, chunks, often, known in worker_memo(paths).texts(rows):
+            own, n = [known[c] for c in often], list(often.values())
+            columns = list(zip(*own, strict=True)) or [()] * 7
+            pairs = np.concatenate(columns[5]) if own else np.empty(0, np.int64)
+            sizes = list(map(len, columns[5]))
+            times = np.repeat(np.array(n, np.int64), sizes)
+            begins = [0, *np.cumsum(sizes).tolist()]
+            for k, more in enumerate(columns[6]):
+                if more is not None:
+                    times[begins[k] : begins[k + 1]] *= more
+            distinct, at = np.unique(pairs, return_inverse=True)
             digest = hashlib.sha256()
             for k in range(0, len(chunks), 5000):
                 digest.update((";" * bool(k) + ";".join([known[c][4] for c in chunks[k : k + 5000]])).encode())
-            yield row["doc_id"], *totals, digest.hexdigest() if chunks else "", distinct, np.bincount(at, np.array(times, float), len(distinct)).astype(np.int64)
+            totals = [sum(map(mul, x, n)) for x in columns[:4]]
+            yield row["doc_id"], *totals, digest.hexdigest() if chunks else "", distinct, np.bincount(at, times.astype(float), len(distinct)).astype(np.int64)
 
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
     schema = pa.schema([*[(n, pa.int64()) for n in names], ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
