@@ -1,5 +1,7 @@
 """Near-duplicate operators against brute force."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -230,14 +232,77 @@ def test_near_passages_that_resemble_no_pivot_meet_in_the_end(spark, monkeypatch
     assert found == {i for i in range(36) if i % 3}
 
 
-def test_shortest_near_copies_meet_as_often_as_brute_force_finds_them(spark):
+def edited(words, edits, r):
+    """The words with so many of them replaced, left out or put in, at places of any kind."""
+    out = list(words)
+    for k in range(edits):
+        at = r.randrange(len(out))
+        kind = r.choice("ride")
+        if kind in "re":
+            out[at] = f"edit{r.randrange(10**9)}"
+        elif kind == "i":
+            out.insert(at, f"more{r.randrange(10**9)}")
+        else:
+            del out[at]
+    return out
+
+
+def plain_shingles(words):
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
+def like(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b))
+
+
+def test_near_passages_with_edits_anywhere_are_found(spark):
+    """Passages of 50 to 400 words with one to four edits, in other words, against the definition: 50 words on both sides, a similarity of
+    0.75 between their shingles."""
+    r = random.Random(31)
+    rows, want = [], set()
+    for f in range(600):
+        p = prose(40_000 + f, r.choice([50, 55, 60, 70, 85, 100, 140, 200, 300, 400])).split()
+        q = edited(p, r.choice([1, 1, 2, 3, 4]), r)
+        if len(q) >= 50 and like(plain_shingles(p), plain_shingles(q)) >= 0.75:
+            want.add(2 * f + 1)
+        around = lambda k: prose(90_000 + 8 * f + k, r.choice([0, 0, 30, 90]))
+        rows += [(2 * f, " ".join([around(0), *p, around(1)])), (2 * f + 1, " ".join([around(2), *q, around(3)]))]
+    found = {x.doc_id for x in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not x.is_first}
+    assert len(want) > 400 and len(want - found) <= 0.02 * len(want), (len(want), len(want - found))
+
+
+def test_verifier_finds_what_all_segments_give():
+    """Two short texts: every segment of 46 shingles or more of both that begins and ends with a shared one."""
+    r = random.Random(7)
+    agree = []
+    for f in range(60):
+        p = prose(70_000 + f, r.choice([50, 52, 56, 60])).split()
+        q = edited(p, r.choice([1, 1, 2, 3]), r)
+        a, b = plain_shingles(p), plain_shingles(q)
+        ends = [k for k, x in enumerate(a) if x in b], [k for k, x in enumerate(b) if x in a]
+        some = any(like(a[i : j + 1], b[m : n + 1]) >= 0.75 for i in ends[0] for j in ends[0] if j - i >= 45 for m in ends[1] for n in ends[1] if n - m >= 45)
+        h, g = (shingles_of(word_hashes(" ".join(x))) for x in (p, q))
+        agree.append(bool(substrings.shared_passages(h, g, 46, 0.75)) == some)
+    assert sum(agree) >= 58
+
+
+def test_texts_without_a_near_passage_are_left_alone(spark):
+    r = random.Random(13)
     rows = []
-    for f in range(500):
-        p = prose(20_000 + f, 71).split()
-        q = list(p)
-        q[35] = "other"
-        rows += [(2 * f, " ".join(p)), (2 * f + 1, " ".join(q))]
-    places = {i: shingles_of(word_hashes(t)) for i, t in rows}
-    want = {i for i in places if i % 2 and substrings.shared_passages(places[i], places[i - 1], 46, 0.75)}
-    found = {r.doc_id for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not r.is_first}
-    assert len(want) == 500 and found == want
+    for f in range(200):
+        p = prose(60_000 + f, 45 if f % 2 else 90).split()  # too short, or with an edit in every eighth word
+        q = p if f % 2 else [f"e{f}x{i}" if i % 8 == 3 else w for i, w in enumerate(p)]
+        rows += [(2 * f, " ".join([prose(95_000 + 4 * f, 60), *p, prose(95_001 + 4 * f, 60)])), (2 * f + 1, " ".join([prose(95_002 + 4 * f, 60), *q, prose(95_003 + 4 * f, 60)]))]
+    assert substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_reach_is_that_of_all_segments():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        match = r.random(r.integers(0, 40)) < r.choice([0.5, 0.8, 0.95])
+        want = np.zeros(len(match), bool)
+        for i in range(len(match)):
+            for j in range(i + 8, len(match) + 1):
+                if match[i] and match[j - 1] and match[i:j].sum() >= 3 * (~match[i:j]).sum():
+                    want[i:j] = True
+        assert (substrings.reached(match, 8, 3) == want).all()
