@@ -44,7 +44,9 @@ from tallyloom.llm.weighing import commonest, with_rest
 #: Pairs that are broadcast with their counts at most: 3 MB.
 FREQUENT = 1 << 17
 #: Chunks of a worker's memo, and the longest that it keeps, in characters.
-CHUNKS, KEPT_CHUNK = 240_000, 100
+CHUNKS, KEPT_CHUNK = 200_000, 100
+#: Documents whose pairs make one file of the table of counts.
+DOCS_PER_FILE = 20_000
 #: Links of a group that are expanded at once; those of larger groups are counted by id on either side first.
 EXPANDED = 1 << 12
 #: An id pair is one number, first id * PAIR + second id.
@@ -277,7 +279,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
     """pair, a, n_docs, is_best: how many documents hold an id pair linked, and whether that is its first id's highest count,
     from linked(). The highest counts are as many rows as the first vocabulary at most."""
     counts = links.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("a", F.floor(F.col("pair") / PAIR))
-    counts = saved(counts, "pairs")
+    counts = saved(counts.coalesce(max(4, links.count() // DOCS_PER_FILE)), "pairs")
     highest = counts.groupBy("a").agg(F.max("n_docs").alias("_most"))
     return counts.join(F.broadcast(highest), "a").select("pair", "a", "n_docs", (F.col("n_docs") == F.col("_most")).alias("is_best"))
 
