@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import campaigns, evaluation, finance, labels
 from tallyloom.plans.registry import query, table
-from tallyloom.sources import feeds
+from tallyloom.sources import feeds, sinks, staged
 
 STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'expired' WHEN 'O' THEN 'active' ELSE 'unknown' END"
 LIST_SQL = f"""
@@ -304,3 +306,28 @@ def sitemap_addresses(spark, sf):
     xml = F.concat(F.lit('<?xml version="1.0"?><s:urlset><s:url><s:loc> https://site.example/a&amp;b/'), F.col("page_id").cast("string"), F.lit(" </s:loc>"))
     maps = table(spark, sf, "pages").select(feeds.decoded(F.encode(xml, "UTF-8")).alias("xml"))
     return feeds.sitemap_urls(maps, site="site.example").select("url")
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority AS method, CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice + 1 ELSE o_totalprice END AS value FROM orders
+WHERE o_orderpriority NOT LIKE '2%' AND (o_orderpriority NOT LIKE '1%' OR o_orderstatus <> 'O')
+""")
+def labels_rewritten(spark, sf):
+    """A table published in generations: labels of two methods are made anew, one of them without any rows."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("method"), F.col("o_totalprice").alias("value"), "o_orderstatus")
+    path = f"{staged.shared_folder(spark)}/tables/labels-{uuid.uuid4().hex}"
+    sinks.publish(o.drop("o_orderstatus"), path, ["method"])
+    again = o.filter(F.startswith("method", F.lit("1")) & (F.col("o_orderstatus") != "O")).withColumn("value", F.col("value") + 1).drop("o_orderstatus")
+    sinks.publish(again, path, ["method"], F.col("method").rlike("^[12]"))
+    return sinks.current(spark, path)
+
+
+@query("SELECT * FROM (SELECT 'orders' AS \"table\", count(*) AS n_rows, 'r1' AS revision, 0 AS faults FROM orders UNION ALL SELECT 'customer', count(*), 'r1', 0 FROM customer)")
+def export_manifest(spark, sf):
+    """Two tables exported with a digest of every file, which are taken once more from the files."""
+    path = f"{staged.shared_folder(spark)}/exports/{uuid.uuid4().hex}"
+    names = {"orders": ["o_orderkey"], "customer": ["c_custkey"]}
+    manifest = sinks.export_json_lines({n: table(spark, sf, n) for n in names}, path, names, "r1")
+    faults = sinks.export_faults(spark, path, list(names)).groupBy("table").agg(F.count(F.lit(1)).alias("faults"))
+    rows = manifest.groupBy("table", "revision").agg(F.sum("n_rows").alias("n_rows"))
+    return rows.join(faults, "table", "left").withColumn("faults", F.coalesce("faults", F.lit(0)).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import html, text
-from tallyloom.operators import extraction, facts, filters, labels, ranking
+from tallyloom.operators import answers, extraction, facts, filters, labels, ranking
 from tallyloom.plans import question
 from tallyloom.plans.registry import query, table
 from tallyloom.sources import feeds
@@ -86,6 +86,29 @@ def question_count(spark, sf):
     return question.answer(plan, corpus)
 
 
+@query("""
+WITH q AS (SELECT DISTINCT c_mktsegment AS seg, c_nationkey AS nat FROM customer),
+k AS (SELECT *, CASE WHEN nat % 5 = 0 THEN 'MACHINERY' ELSE seg END AS bank, nat * 300 AS least, nat % 4 AS kind FROM q),
+p AS (SELECT k.seg, k.nat, k.kind, c.* FROM k JOIN customer c ON c.c_mktsegment = k.bank AND CASE k.kind WHEN 0 THEN c_nationkey % 3 <> 0 AND c_acctbal >= least WHEN 1 THEN c_nationkey % 3 = 0 WHEN 2 THEN c_nationkey % 3 <> 0 AND c_nationkey % 2 = 0 ELSE c_nationkey % 3 <> 0 AND c_acctbal <= 1000 END),
+a AS (SELECT seg, nat, 'count' AS part, c_mktsegment AS bank, NULL::BIGINT AS document, NULL::DOUBLE AS value, NULL::INT AS rank, count(*) AS n FROM p WHERE kind = 0 GROUP BY ALL
+  UNION ALL SELECT seg, nat, 'extremum', any_value(c_mktsegment), arg_max(c_custkey, {'v': c_acctbal, 'i': -c_custkey}), max(c_acctbal), 1, count(c_acctbal) FROM p WHERE kind = 1 GROUP BY seg, nat
+  UNION ALL SELECT seg, nat, 'hit', c_mktsegment, c_custkey, 0.0, rn, NULL FROM (SELECT *, row_number() OVER (PARTITION BY seg, nat ORDER BY c_custkey) AS rn FROM p WHERE kind >= 2) WHERE rn <= 5)
+SELECT k.seg, k.nat, CASE WHEN kind < 2 THEN 'aggregate' ELSE 'search' END AS intent, part, a.bank, document, value, rank, n FROM k LEFT JOIN a USING (seg, nat)
+""")
+def questions_in_bulk(spark, sf):
+    """A question per segment and nation, in four forms, some with another bank chosen; all are answered together."""
+    c = table(spark, sf, "customer")
+    nation = F.col("c_nationkey")
+    corpus = c.select("c_custkey", F.col("c_mktsegment").alias("bank_code"), F.when(nation % 3 != 0, "active").otherwise("expired").alias("status"), F.array(F.when(nation % 2 == 0, "even").otherwise("odd")).alias("side"), F.col("c_acctbal").alias("balance"))
+    name = F.initcap("c_mktsegment")
+    forms = F.when(nation % 4 == 0, F.concat(name, F.lit(" bankasında bakiyesi "), (nation * 300).cast("string"), F.lit(" TL üzerinde kaç tane aktif kampanya var?"))).when(nation % 4 == 1, F.concat(F.lit("Bitmiş kampanyalardan "), name, F.lit(" için en yüksek bakiye hangisi?")))
+    forms = forms.when(nation % 4 == 2, F.concat(name, F.lit(" çift taraflı kampanyalar"))).otherwise(F.concat(name, F.lit(" bakiyesi 1.000 TL altında olan kampanyalar")))
+    asked = c.select("c_mktsegment", "c_nationkey").distinct().select((F.xxhash64("c_mktsegment", "c_nationkey")).alias("q"), F.col("c_mktsegment").alias("seg"), nation.alias("nat"), forms.alias("words"), F.when(nation % 5 == 0, "MACHINERY").alias("chosen"))
+    banks = {b.title(): b for b in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
+    out = answers.answers(asked, "q", "words", "chosen", corpus, "c_custkey", "bank_code", "status", {"side": {"even": ("çift",), "odd": ("tek taraf",)}}, {"balance": ("bakiye",)}, banks)
+    return asked.select("q", "seg", "nat").join(out, "q").drop("q")
+
+
 @query("SELECT s_nationkey, arg_max(s_suppkey, s_suppkey) AS newest, count(*) AS n, round(min(s_acctbal), 2) AS least FROM supplier GROUP BY s_nationkey")
 def grouped_min_latest(spark, sf):
     s = table(spark, sf, "supplier")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import fold, tokens
-from tallyloom.operators import finance, matching, pivots, ranking, retrieval, search
+from tallyloom.operators import answers, finance, matching, pivots, ranking, retrieval, search
 
 
 def test_index_finds_what_a_scan_finds(spark, monkeypatch):
@@ -98,3 +98,23 @@ def test_pivot_of_sources(spark):
     assert (got["a"].shared, got["a"].own, got["a"].other, got["a"].match, got["a"].notes) == ("aylık|TRY", 11.4, 11.0, "near", ["aylık|TRY: Anomali: x"])
     assert (got["b"].data_source, got["b"].shared, got["b"].match, [(x.cell, x.value) for x in got["b"].cells]) == ("other", None, None, [("3 ay|USD", 2.0)])
     assert [r[0] for r in pivots.not_offered(spark.createDataFrame([("a", "not_offered"), ("b", "offered"), ("a", "not_offered")], "bank string, s string"), "bank", "s").collect()] == ["a"]
+
+
+def test_questions_in_bulk_with_an_index(spark):
+    corpus = spark.createDataFrame(
+        [(1, "A", "active", ["kart"], 2.0, "market alışverişi"), (2, "A", "active", ["kredi"], None, "konut market"), (3, "B", "active", None, 1.5, "market market market"), (4, "B", "expired", ["kart"], 1.0, "tatil"), (5, None, "active", ["kart"], 9.0, None)],
+        "id long, bank string, status string, kind array<string>, rate double, card string",
+    )
+    index = search.build(corpus, "id", "card")
+    questions = spark.createDataFrame(
+        [(1, "Alfa bankası kaç kampanya var", None), (2, "en düşük oran hangisi", None), (3, "market kampanyaları", None), (4, "market kampanyaları", "B"), (5, "Alfa kart oranı 1,5 altında", None), (6, None, None), (7, "tüm durumlar kaç tane", None), (8, "market kampanyaları", None)],
+        "q long, words string, chosen string",
+    )
+    out = answers.answers(questions, "q", "words", "chosen", corpus, "id", "bank", "status", {"kind": {"kart": ("kart",), "kredi": ("kredi",)}}, {"rate": ("oran",)}, {"Alfa": "A", "Beta": "B"}, index, limit=2)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.q, []).append((r.part, r.bank, r.document, r.n) if r.part != "hit" else (r.rank, r.document))
+    assert got[1] == [("count", "A", None, 2)] and got[2] == [("extremum", "B", 3, 3)]
+    assert sorted(got[3]) == [(1, 3), (2, 1)] == sorted(got[8]) and got[4] == [(1, 3)]  # equal questions get equal answers, a chosen bank counts
+    assert got[5] == [(None, None, None, None)]  # nothing passes: a row says so
+    assert len(got[6]) == 2 and sorted(got[7], key=str) == [("count", "A", None, 2), ("count", "B", None, 2), ("count", None, None, 1)]
