@@ -37,15 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import as_text, saved, small_batches, used_up, with_rows
+from tallyloom.llm.common import as_text, saved, small_batches, with_rows
 from tallyloom.llm.packing import byte_letters
 from tallyloom.llm.weighing import commonest, with_rest
 
 #: Pairs that are broadcast with their counts at most: 3 MB.
 FREQUENT = 1 << 17
 #: Chunks of a worker's memo, and the longest that it keeps, in characters.
-CHUNKS, KEPT_CHUNK = 200_000, 100
-#: Documents whose pairs make one file of the table of counts.
+CHUNKS, KEPT_CHUNK = 120_000, 100
+#: Documents whose pairs, and whose results, make one file.
 DOCS_PER_FILE = 20_000
 #: Links of a group that are expanded at once; those of larger groups are counted by id on either side first.
 EXPANDED = 1 << 12
@@ -275,11 +275,16 @@ def linked(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
     return _columns(docs).mapInArrow(with_rows(make, schema, flush=500), ddl)
 
 
+def _files(links: DataFrame) -> int:
+    """How many files hold a small number of values per document."""
+    return max(4, links.count() // DOCS_PER_FILE)
+
+
 def pair_counts(links: DataFrame) -> DataFrame:
     """pair, a, n_docs, is_best: how many documents hold an id pair linked, and whether that is its first id's highest count,
     from linked(). The highest counts are as many rows as the first vocabulary at most."""
     counts = links.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("a", F.floor(F.col("pair") / PAIR))
-    counts = saved(counts.coalesce(max(4, links.count() // DOCS_PER_FILE)), "pairs")
+    counts = saved(counts.coalesce(_files(links)), "pairs")
     highest = counts.groupBy("a").agg(F.max("n_docs").alias("_most"))
     return counts.join(F.broadcast(highest), "a").select("pair", "a", "n_docs", (F.col("n_docs") == F.col("_most")).alias("is_best"))
 
@@ -317,10 +322,8 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, frequen
     counts = pair_counts(links).select("pair", F.col("n_docs").alias("count_sum"), F.col("is_best").cast("long").alias("n_best"))
     top = commonest(counts, "count_sum", frequent).toPandas().sort_values("pair")
     known = spark.sparkContext.broadcast(tuple(top[c].to_numpy(np.int64) for c in ("pair", "count_sum", "n_best")))
-    rows = saved(_looked_up(links, known), "looked-up")
-    used_up(links)
-    out = with_rest(rows, counts, "pair", ["n_best", "count_sum"])
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    out = with_rest(_looked_up(links, known), counts, "pair", ["n_best", "count_sum"])
+    return out.coalesce(_files(links)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

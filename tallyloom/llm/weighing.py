@@ -40,7 +40,7 @@ def commonest(table: DataFrame, count: str, most: int) -> DataFrame:
 
 
 def with_rest(rows: DataFrame, values: DataFrame, key: str, sums: list[str]) -> DataFrame:
-    """rows (a written table with `row`, the columns `sums`, and arrays rest_keys and rest_n) with n times the values of the same
+    """rows (with a number `row` that was written, the columns `sums`, and arrays rest_keys and rest_n) with n times the values of the same
     names in `values`, by key, added to `sums`. Keys that are left are rare by choice, and the skew join splits one
     that is not; what is added is summed per row in the shuffle that brings it back."""
     pairs = rows.filter(F.size("rest_keys") > 0).select("row", F.explode(F.arrays_zip("rest_keys", "rest_n")).alias("e")).select("row", F.col("e.rest_keys").alias(key), F.col("e.rest_n").alias("_n"))
