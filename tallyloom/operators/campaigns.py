@@ -41,7 +41,7 @@ def campaign_filter(df: DataFrame, wanted: Wanted, parent: str = "parent_id", st
     elif not wanted.with_expired:
         tests.append(F.col(status) != "expired")
     if needle := wanted.search.strip():
-        tests.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{needle}%"), F.lit(False)) for c in texts]))
+        tests.append(reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(c), F.lower(F.lit(needle))), F.lit(False)) for c in texts]))
     if wanted.start_after:
         tests.append(F.col(start) >= F.lit(wanted.start_after).cast("date"))
     if wanted.end_before:

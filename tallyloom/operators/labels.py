@@ -63,7 +63,8 @@ def nearly_inside(wanted: str, text: str, least: float = 0.90) -> bool:
         part = text[at : at + width]
         if 2 * min(len(part), len(wanted)) < least * (len(part) + len(wanted)):  # no ratio can be higher
             continue
-        if SequenceMatcher(None, wanted, part).ratio() >= least:
+        matcher = SequenceMatcher(None, wanted, part)
+        if matcher.quick_ratio() >= least and matcher.ratio() >= least:  # the letters they share bound it
             return True
     return False
 

@@ -90,18 +90,53 @@ def best_prefix(urls: DataFrame, url: str, prefixes: list[str]) -> DataFrame:
     return rows.groupBy("slug").agg(F.min_by("url", F.struct("rank", "url")).alias("url"))
 
 
+def even(c: Column) -> Column:
+    """Lower case, with one blank for any white space."""
+    return F.lower(F.regexp_replace(c, r"\s+", " "))
+
+
+#: Words of the runs on which long snippets and texts meet; shorter snippets meet on grams of letters.
+RUN_WORDS = 5
+
+
+def snippets_in(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, snippet: str) -> DataFrame:
+    """item, ident of the texts that hold a snippet, in any case and with any white space. A snippet of more than RUN_WORDS words
+    meets the texts with the run of words behind its first (which may be cut) and is then looked for; shorter ones meet them
+    on their rarest gram of letters, of one letter for those under GRAM letters. Empty snippets stand nowhere."""
+    wanted = items.select(item, even(F.col(snippet)).alias("_snippet")).filter(F.length(F.trim("_snippet")) > 0).withColumn("_words", F.split(F.trim("_snippet"), " "))
+    body = docs.select(ident, even(F.col(text)).alias("_body"))
+    hashed = lambda words, at: F.xxhash64(F.array_join(F.slice(words, at, F.lit(RUN_WORDS)), " "))
+    long = wanted.filter(F.size("_words") > RUN_WORDS).withColumn("_key", hashed("_words", F.lit(2)))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - RUN_WORDS + 1))
+    keyed = body.withColumn("_w", F.split("_body", " ")).select(ident, "_body", F.explode(F.array_distinct(F.transform(places, lambda i: hashed("_w", i)))).alias("_key"))
+    out = keyed.join(long.select(item, "_snippet", "_key"), "_key").filter(F.contains("_body", "_snippet")).select(item, ident)
+    few = wanted.filter(F.size("_words") <= RUN_WORDS).withColumns({"_needles": F.array("_snippet"), "_all": F.lit(0)})
+    for size, some in ((GRAM, few.filter(F.length("_snippet") >= GRAM)), (1, few.filter(F.length("_snippet") < GRAM))):
+        if not some.isEmpty():
+            texts = body.withColumn("_all", F.lit(0))
+            pairs = contained(texts, some, "_all", "_body", "_needles", size)
+            out = out.unionByName(pairs.join(some.select(item, "_needles"), "_needles").join(body, "_body").select(item, ident))
+    return out.distinct()
+
+
 def shared_selectors(options: DataFrame, site: str, page: str, option: str, overlap: float = 0.5) -> DataFrame:
     """The rows whose page shows a set of options that belongs to the whole site: another set of the site has at least
-    `overlap` of the smaller one's options, or the same set stands on several pages. Equal sets are one node, and sets
-    meet by the options they share."""
+    `overlap` of the smaller one's options, or the same set stands on several pages. Equal sets are one node. The smaller of two such
+    sets has one of its rarest options in common, so only as many of them are posted as may be missing and one more; the larger
+    ones come with all of theirs."""
     sets = options.groupBy(site, page).agg(F.array_sort(F.collect_set(F.lower(option))).alias("_set"))
-    nodes = sets.groupBy(site, "_set").agg(F.count(F.lit(1)).alias("_pages")).withColumn("_key", F.xxhash64("_set"))
-    posted = nodes.select(site, "_key", F.size("_set").alias("_n"), F.explode("_set").alias("_o"))
-    other = posted.select(F.col(site).alias("_s"), F.col("_key").alias("_key2"), F.col("_n").alias("_n2"), F.col("_o").alias("_o2"))
-    met = posted.join(other, (F.col(site) == F.col("_s")) & (F.col("_o") == F.col("_o2")) & (F.col("_key") != F.col("_key2")))
-    near = met.groupBy(site, "_key", "_key2", "_n", "_n2").agg(F.count(F.lit(1)).alias("_both")).filter(F.col("_both") >= overlap * F.least("_n", "_n2"))
-    whole = nodes.filter("_pages > 1").select(site, "_key").unionByName(near.select(site, "_key")).distinct()
-    marked = sets.withColumn("_key", F.xxhash64("_set")).join(whole, [site, "_key"]).select(site, page)
+    nodes = sets.groupBy(site, "_set").agg(F.count(F.lit(1)).alias("_pages")).withColumn("_key", F.sha2(F.concat_ws("\x1f", "_set"), 256))
+    posted = staged(nodes.select(site, "_key", F.size("_set").alias("_n"), F.explode("_set").alias("_o")), "options")
+    often = posted.groupBy(site, "_o").agg(F.count(F.lit(1)).alias("_f"))
+    rarest = F.row_number().over(Window.partitionBy(site, "_key").orderBy("_f", "_o"))  # a set's own options
+    least = F.ceil(F.col("_n") * overlap - 1e-9)
+    small = posted.join(often, [site, "_o"]).withColumn("_place", rarest).filter(F.col("_place") <= F.col("_n") - F.greatest(F.lit(1), least) + 1).select(site, "_key", "_n", "_o")
+    large = posted.select(F.col(site).alias("_s"), F.col("_key").alias("_key2"), F.col("_n").alias("_n2"), F.col("_o").alias("_o2"))
+    met = small.join(large, (F.col(site) == F.col("_s")) & (F.col("_o") == F.col("_o2")) & (F.col("_key") != F.col("_key2")) & (F.col("_n") <= F.col("_n2"))).select(site, "_key", "_key2").distinct()
+    both = met.join(nodes.select(site, "_key", F.col("_set").alias("_a")), [site, "_key"]).join(nodes.select(site, F.col("_key").alias("_key2"), F.col("_set").alias("_b")), [site, "_key2"])
+    near = both.filter(F.size(F.array_intersect("_a", "_b")) >= overlap * F.least(F.size("_a"), F.size("_b")))
+    whole = nodes.filter("_pages > 1").select(site, "_key").unionByName(near.select(site, "_key")).unionByName(near.select(site, F.col("_key2").alias("_key"))).distinct()
+    marked = sets.withColumn("_key", F.sha2(F.concat_ws("\x1f", "_set"), 256)).join(whole, [site, "_key"]).select(site, page)
     return options.join(marked, [site, page], "left_semi")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import parse, text
-from tallyloom.operators import facts, filters, pivots, ranking, retrieval, search
+from tallyloom.operators import facts, filters, matching, pivots, ranking, retrieval, search
 from tallyloom.plans.registry import query, table
 
 TERMS = ["the", "idiot", "erth", "ingedrea"]
@@ -245,14 +245,8 @@ def conversation_digest(spark, sf):
 
 @query(f"SELECT item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(lower(regexp_replace(d.text, '\\s+', ' ', 'g')), lower(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY item_id")
 def evidence_containment(spark, sf):
-    """In which documents a snippet stands, after white space and case are evened out. Documents and snippets meet on
-    the hash of the snippet's second to sixth word (the first may be cut), so this is an equi-join on shingles, not a
-    product; snippets of fewer words find nothing."""
-    even = lambda c: F.lower(F.regexp_replace(c, r"\s+", " "))
-    item = table(spark, sf, "benchmark").select("item_id", even(F.col("text")).alias("snippet"))
-    item = item.withColumn("words", F.split(F.trim("snippet"), " ")).withColumn("key", F.xxhash64(F.array_join(F.slice("words", 2, 5), " ")))
-    docs = table(spark, sf, "documents").select("doc_id", even(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(5)), " "))))
-    held = docs.select("doc_id", "body", F.explode(keys).alias("key")).join(item.select("item_id", "snippet", "key"), "key").filter(F.contains("body", "snippet"))
-    counts = held.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+    """In how many documents a snippet stands, after white space and case are evened out."""
+    item = table(spark, sf, "benchmark").select("item_id", "text")
+    found = matching.snippets_in(table(spark, sf, "documents").select("doc_id", F.col("text").alias("body")), "doc_id", "body", item, "item_id", "text")
+    counts = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
     return item.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

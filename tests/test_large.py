@@ -118,3 +118,22 @@ def test_questions_in_bulk_with_an_index(spark):
     assert sorted(got[3]) == [(1, 3), (2, 1)] == sorted(got[8]) and got[4] == [(1, 3)]  # equal questions get equal answers, a chosen bank counts
     assert got[5] == [(None, None, None, None)]  # nothing passes: a row says so
     assert len(got[6]) == 2 and sorted(got[7], key=str) == [("count", "A", None, 2), ("count", "B", None, 2), ("count", None, None, 1)]
+
+
+def test_snippets_of_any_length_are_found(spark):
+    texts = [(1, "Bir  Kampanya\nile kart sahipleri ve diğer müşteriler kazanır"), (2, "kart"), (3, None), (4, ""), (5, "başka bir metin"), (6, "KART SAHİPLERİ ve diğer müşteriler kazanır")]
+    items = [(10, "kampanya ile kart sahipleri ve diğer müşteriler"), (11, "Kart"), (12, "ka"), (13, "bir"), (14, ""), (15, None), (16, "yok böyle bir cümle hiç bir yerde yok"), (17, "r kampanya ile kart sahipleri ve diğ"), (18, "diğer müşteriler")]
+    norm = lambda t: " ".join(t.split()).lower() if t else ""
+    want = {(i, d) for i, s in items if norm(s) for d, t in texts if norm(s) in norm(t)}
+    got = matching.snippets_in(spark.createDataFrame(texts, "d int, t string"), "d", "t", spark.createDataFrame(items, "i int, s string"), "i", "s").collect()
+    assert len(got) == len(want) and {(r.i, r.d) for r in got} == want
+
+
+def test_shared_options_equal_all_pairs(spark):
+    r = random.Random(4)
+    pages = {(s, p): set(r.sample("abcdefghijklmnop", r.choice([1, 2, 3, 5, 8]))) for s in "xy" for p in range(25)}
+    for share in (0.5, 0.7, 1.0):
+        want = {(s, p) for (s, p), a in pages.items() for (t, q), b in pages.items() if s == t and p != q and len(a & b) >= share * min(len(a), len(b))}
+        df = spark.createDataFrame([(s, p, o) for (s, p), options in pages.items() for o in options], "s string, p int, o string")
+        got = {(x.s, x.p) for x in matching.shared_selectors(df, "s", "p", "o", share).collect()}
+        assert got == want, share
