@@ -1,8 +1,10 @@
 """Toxicity by Levenshtein automata over a lexicon trie and context windows.
 
-The lexicon is learned: words that are many times likelier in labelled toxic texts than in others. Its trie and the
-Levenshtein automaton of the words read are walked together as one automaton over (trie node, errors); its state sets
-are made on demand and remembered, so a word costs a few look-ups and most words leave the trie after two letters. Each
+The lexicon is learned: words that are many times likelier in labelled toxic texts than in others, and stems, beginnings that
+several such words share. Its trie and the Levenshtein automaton of the words read are walked together as one automaton
+over (trie node, errors), where two letters that have changed places are one error; its state sets
+are made on demand and remembered, so a word costs a few look-ups and most words leave the trie after two letters. Digits
+that stand for letters are read as these, and a letter said three times or more as one; what matches only so is misspelled. Each
 match is weighed by its context window: quotation marks around it and reporting words near it tell quotation from
 abuse. A logistic regression over these counts gives the score.
 
@@ -31,7 +33,11 @@ from tallyloom.llm.common import MEMO, as_text, small_batches, with_rows
 
 #: At most about so many labelled rows are used to learn lexicon and weights.
 SAMPLE = 20_000
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_]+")
+#: Digits as letters; letters that are repeated for emphasis; fixed values.
+DIGITS, REPEATED = str.maketrans("0134578", "oieastb"), re.compile(r"(.)\1{2,}")
+#: Letters of a stem at least and at most.
+STEMS = (4, 8)
 QUOTE, LINE_END = re.compile("[\"“”„«»]"), re.compile("\n")
 #: Reporting words near a match that mark a quotation; fixed values.
 REPORTING = frozenset("said says say wrote writes called quote quoted quotes according reported claimed alleged dit disait écrit selon sagte schrieb laut zitiert nannte dijo escribió según llamó".split())
@@ -39,14 +45,20 @@ FEATURES = ("exact", "misspelled", "quoted", "distinct", "weight", "share")
 
 
 class Trie:
-    """Words within one edit of a lexicon term. State sets hold (node, errors) pairs; transitions are remembered."""
+    """Words within one edit of a lexicon term, or that begin with a stem (a term that ends in a star). State sets hold (node,
+    errors, letter to come) triples; the letter is that of a pair that has changed places, else empty. Transitions are
+    remembered."""
 
     def __init__(self, terms: dict[str, float], errors: int = 1, shortest_fuzzy: int = 4):
+        self.stems = {t[:-1] for t in terms if t.endswith("*")}
+        self.lengths = sorted({len(t) for t in self.stems}, reverse=True)
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.errors = errors
         self.weight = terms
         for word in terms:
+            if word.endswith("*"):
+                continue
             node = 0
             for letter in word:
                 if letter not in self.children[node]:
@@ -60,43 +72,59 @@ class Trie:
         self.made: list[tuple[frozenset, dict[str, int]]] = []
         self.accepts: list[tuple[str, int] | None] = []
         self.memo: dict[str, tuple[str, int] | None] = {}
-        self.start = self.state(self.closed({(0, 0)}))
+        self.start = self.state(self.closed({(0, 0, "")}))
 
-    def closed(self, pairs: set[tuple[int, int]]) -> frozenset:
+    def closed(self, triples: set[tuple[int, int, str]]) -> frozenset:
         """With the letters of a term that the word may lack; of a node only the fewest errors are kept."""
-        least: dict[int, int] = {}
-        todo = list(pairs)
+        least: dict[tuple[int, str], int] = {}
+        todo = list(triples)
         while todo:
-            node, e = todo.pop()
-            if least.get(node, self.errors + 1) <= e:
+            node, e, due = todo.pop()
+            if least.get((node, due), self.errors + 1) <= e:
                 continue
-            least[node] = e
-            if e < self.errors:
-                todo += [(child, e + 1) for child in self.children[node].values()]
-        return frozenset(least.items())
-
-    def state(self, pairs: frozenset) -> int:
-        if pairs not in self.sets:
-            self.sets[pairs] = len(self.made)
-            self.made.append((pairs, {}))
-            hits = sorted((e, self.term[n]) for n, e in pairs if self.term[n] and (not e or len(self.term[n]) >= self.shortest_fuzzy))
+            least[node, due] = e
+            if e < self.errors and not due:
+                todo += [(child, e + 1, "") for child in self.children[node].values()]
+        return frozenset((node, e, due) for (node, due), e in least.items())
+
+    def state(self, triples: frozenset) -> int:
+        if triples not in self.sets:
+            self.sets[triples] = len(self.made)
+            self.made.append((triples, {}))
+            hits = sorted((e, self.term[n]) for n, e, due in triples if not due and self.term[n] and (not e or len(self.term[n]) >= self.shortest_fuzzy))
             self.accepts.append((hits[0][1], hits[0][0]) if hits else None)
-        return self.sets[pairs]
+        return self.sets[triples]
 
     def step(self, state: int, letter: str) -> int:
-        pairs, known = self.made[state]
+        triples, known = self.made[state]
         after = set()
-        for node, e in pairs:
+        for node, e, due in triples:
+            if due:
+                if due == letter:
+                    after.add((node, e, ""))
+                continue
             for read, child in self.children[node].items():
                 if read == letter:
-                    after.add((child, e))
+                    after.add((child, e, ""))
                 elif e < self.errors:
-                    after.add((child, e + 1))
+                    after.add((child, e + 1, ""))
+                    if letter in self.children[child]:  # this letter came first, the other is due
+                        after.add((self.children[child][letter], e + 1, read))
             if e < self.errors:
-                after.add((node, e + 1))
+                after.add((node, e + 1, ""))
         known[letter] = got = self.state(self.closed(after))
         return got
 
+    def walk(self, word: str) -> tuple[str, int] | None:
+        state = self.start
+        made = self.made
+        for letter in word:
+            after = made[state][1].get(letter)
+            state = self.step(state, letter) if after is None else after
+            if not made[state][0]:
+                break
+        return self.accepts[state]
+
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance, or None."""
         try:
@@ -105,16 +133,23 @@ class Trie:
             pass
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        state = self.start
-        made = self.made
-        for letter in word:
-            after = made[state][1].get(letter)
-            state = self.step(state, letter) if after is None else after
-            if not made[state][0]:
-                break
-        got = self.memo[word] = self.accepts[state]
+        got = self.memo[word] = self.found(word)
         return got
 
+    def found(self, word: str) -> tuple[str, int] | None:
+        plain = word if word.isalpha() else word.translate(DIGITS)
+        if not plain.isalpha() or word.isdigit():
+            return None
+        hit = self.walk(plain)
+        if not hit or hit[1]:
+            stem = next((plain[:k] for k in self.lengths if plain[:k] in self.stems), None) if self.lengths else None
+            if stem:
+                hit = stem + "*", 0
+        if (not hit or hit[1]) and REPEATED.search(plain):
+            again = self.walk(REPEATED.sub(r"\1", plain)) or hit
+            hit = again and (again[0], max(1, again[1]))
+        return hit and (hit[0], max(1, hit[1])) if plain != word else hit
+
 
 def before(low: str, start: int, line: int, window: int) -> list[str]:
     """The last `window` words of the line before start."""
@@ -200,14 +235,25 @@ def learn_lexicon(rows: DataFrame, least_lift: float = 5.0, least_evidence: floa
     if not toxic or not other:
         return {}
     once = families.select(F.explode("words").alias("word"), "toxic", "family").distinct()
-    counts = once.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     a, b = F.col("a"), F.col("b")
     n, expected = a + b, (a + b) * toxic / (toxic + other)
     part = lambda seen, hoped: F.when(seen > 0, seen * F.log(seen / hoped)).otherwise(0.0)
     evidence = 2 * (part(a, expected) + part(b, n - expected))
     lift = (a + 0.5) / (toxic + 1) / ((b + 0.5) / (other + 1))
-    kept = counts.withColumn("lift", lift).filter((F.col("lift") >= least_lift) & (evidence >= least_evidence)).collect()
-    return {r["word"]: math.log(r["lift"]) for r in sorted(kept, key=lambda r: r["word"])}
+    counted = lambda rows: rows.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).withColumn("lift", lift)
+    telling = lambda counts: counts.filter((F.col("lift") >= least_lift) & (evidence >= least_evidence))
+    beginnings = F.transform(F.sequence(F.lit(STEMS[0]), F.least(F.length("word") - 1, F.lit(STEMS[1]))), lambda k: F.substring(F.col("word"), F.lit(1), k))
+    longer = lambda rows, *more: rows.filter(F.length("word") > STEMS[0]).select(F.explode(beginnings).alias("word"), *more)
+    counts = counted(once)
+    kept = telling(counts).collect()
+    # A stem has four telling words at least, so it is rarely a chance of one of them.
+    several = longer(telling(counts)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4").select("word")
+    stems = telling(counted(longer(once, "toxic", "family").join(F.broadcast(several), "word").distinct())).collect()  # no more than the telling words' beginnings
+    terms = {r["word"]: math.log(r["lift"]) for r in sorted(kept, key=lambda r: r["word"])}
+    for r in sorted(stems, key=lambda r: (len(r["word"]), r["word"])):
+        if not any(r["word"].startswith(t[:-1]) for t in terms if t.endswith("*")):
+            terms[r["word"] + "*"] = math.log(r["lift"])
+    return terms
 
 
 def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:

@@ -15,21 +15,30 @@ from .conftest import corpus, prose
 
 
 def test_levenshtein_walk_equals_distance():
-    terms = {t: 1.0 for t in ("moron", "idiot", "scum", "lose", "loser")}
+    terms = {t: 1.0 for t in ("moron", "idiot", "scum", "lose", "loser", "clownish")}
 
     def distance(a, b):
-        row = list(range(len(b) + 1))
+        rows = [list(range(len(b) + 1))]
         for i, x in enumerate(a, 1):
-            row, last = [i], row
+            row = [i]
             for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
+                row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+            rows.append(row)
+        return rows[-1][-1]
 
     trie = toxicity.Trie(terms)
-    words = ["moron", "moron5", "mron", "idiots", "idoit", "scam", "scum", "losers", "los", "lo", "", "zzzzzz", "idiot", "miron", "xmoron"]
+    words = ["moron", "mron", "idiots", "idoit", "diiot", "idito", "scam", "scum", "csum", "losers", "los", "lo", "", "zzzzzz", "idiot", "miron", "xmoron", "olse", "lsoer", "clwonish", "lcownish", "clownihs"]
     for w in words:
         best = min((distance(w, t), t) for t in terms)
-        assert trie.match(w) == ((best[1], best[0]) if best[0] <= 1 else None), w
+        assert trie.walk(w) == ((best[1], best[0]) if best[0] <= 1 else None), w
+
+
+def test_digits_repeats_and_stems():
+    trie = toxicity.Trie({"moron": 1.0, "idiot": 1.0, "achlich*": 2.0, "2": 1.0})
+    got = {w: trie.match(w) for w in ("idi0t", "m0ron", "1d10t", "idiooot", "mooooron", "achlichung", "achlich", "achlch", "moron", "2", "100", "r2d2", "aaaa")}
+    assert got == {"idi0t": ("idiot", 1), "m0ron": ("moron", 1), "1d10t": ("idiot", 1), "idiooot": ("idiot", 1), "mooooron": ("moron", 1), "achlichung": ("achlich*", 0), "achlich": ("achlich*", 0), "achlch": None, "moron": ("moron", 0), "2": None, "100": None, "r2d2": None, "aaaa": None}
 
 
 def test_quotation_is_told_from_abuse():
