@@ -25,6 +25,7 @@ table gives an empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import Counter
@@ -44,7 +45,7 @@ from tallyloom.llm.weighing import commonest, with_rest
 #: Pairs that are broadcast with their counts at most: 3 MB.
 FREQUENT = 1 << 17
 #: Chunks of a worker's memo, and the longest that it keeps, in characters.
-CHUNKS, KEPT_CHUNK = 120_000, 100
+CHUNKS, KEPT_CHUNK = 160_000, 100
 #: Documents whose pairs, and whose results, make one file.
 DOCS_PER_FILE = 20_000
 #: Links of a group that are expanded at once; those of larger groups are counted by id on either side first.
@@ -76,6 +77,7 @@ class Aligner:
         back = {ord(moved.get(b, chr(b))): b for b in range(256)}
         self.bytes_a = {i: bytes(t.translate(back), "latin-1") for t, i in self.a.get_vocab().items() if all(ord(c) in back for c in t)}
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
+        self.ranked = self._ranks(path_a)
         self.words_a, self.words_b = ([str(i) for i in range(n)] for n in (max(self.bytes_a) + 1, len(self.bytes_b)))
         pieces = [p for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size()))) if not self.b.is_byte(i) and not self.b.is_control(i)]
         reaches = lambda before, sign: any(re.search(f"{before}{re.escape(sign)}", p) for p in pieces)
@@ -92,6 +94,21 @@ class Aligner:
         self.cut = re.compile(rf"(?<=\S)(?=[{spaces}])" + (rf"|(?<=[{LATIN}])(?=[{re.escape(marks)}])" if marks else ""))
         self.led = len(self.b.encode("x"))
 
+    def _ranks(self, path: str):
+        """The first tokenizer by its ranks, which is faster on short chunks, if its merges are in order of their ids and it cuts by the
+        pattern that ranks go with; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        vocabulary, merges = told["model"]["vocab"], told["model"]["merges"]
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        whole = told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not told["normalizer"]
+        if not whole or any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            return None
+        special = {t["content"] for t in told["added_tokens"]}
+        return tiktoken.Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes_a[i]: i for t, i in vocabulary.items() if t not in special}, special_tokens={}).encode_ordinary
+
     def chunks(self, text: str) -> list[str]:
         """The text behind the blank that both tokenizers see, cut where both end a token."""
         return self.cut.split(" " + text)
@@ -117,14 +134,16 @@ class Aligner:
             self.young, self.old = {}, young
         return found
 
-    def tokens(self, whole: str) -> tuple[list[int], list[int]]:
-        """Ids of one or more chunks on end. The second tokenizer gets a word in front that takes the blank it adds."""
-        return self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode("x" + whole, num_threads=1)[self.led :]
+    def tokens(self, whole: str, short: bool) -> tuple[list[int], list[int]]:
+        """Ids of one or more chunks on end. The second tokenizer gets a word in front that takes the blank it adds. The merges by
+        ranks take time that is quadratic in a chunk, so they are for short ones."""
+        a = self.ranked(whole) if short and self.ranked else self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+        return a, self.b.encode("x" + whole, num_threads=1)[self.led :]
 
     def align(self, chunks: list[str], at_once: int = 1000) -> list[Aligned | None]:
-        """Aligned of each chunk, which must not be empty. Those that begin with white space and end otherwise, nearly all, are
+        """Aligned of each chunk, which must not be empty. Those that begin with white space and end otherwise and aren't very long, nearly all, are
         tokenized one behind the other: where they meet, both tokenizers cut."""
-        plain = [c for c in chunks if c[0] in " \n" and not c[-1].isspace()]
+        plain = [c for c in chunks if c[0] in " \n" and not c[-1].isspace() and len(c) <= KEPT_CHUNK]
         out = [x for k in range(0, len(plain), at_once) for x in self._aligned(plain[k : k + at_once])]
         if len(plain) == len(chunks):
             return out
@@ -134,7 +153,7 @@ class Aligner:
     def _aligned(self, chunks: list[str]) -> list[Aligned | None]:
         raw = [c.encode("utf-8", "replace") for c in chunks]
         whole = b"".join(raw)
-        ids_a, ids_b = self.tokens("".join(chunks))
+        ids_a, ids_b = self.tokens("".join(chunks), max(map(len, chunks)) <= KEPT_CHUNK)
         if b"".join(map(self.bytes_b.__getitem__, ids_b)) != whole or b"".join(map(self.bytes_a.__getitem__, ids_a)) != whole:
             if len(chunks) == 1:
                 return [None]
