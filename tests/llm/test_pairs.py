@@ -268,7 +268,7 @@ def test_near_passages_with_edits_anywhere_are_found(spark):
         around = lambda k: prose(90_000 + 8 * f + k, r.choice([0, 0, 30, 90]))
         rows += [(2 * f, " ".join([around(0), *p, around(1)])), (2 * f + 1, " ".join([around(2), *q, around(3)]))]
     found = {x.doc_id for x in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if not x.is_first}
-    assert len(want) > 400 and len(want - found) <= 0.06 * len(want), (len(want), len(want - found))
+    assert len(want) > 400 and len(want - found) <= 0.08 * len(want), (len(want), len(want - found))
 
 
 def test_verifier_finds_what_all_segments_give():
@@ -303,6 +303,7 @@ def test_reach_is_that_of_all_segments():
         want = np.zeros(len(match), bool)
         for i in range(len(match)):
             for j in range(i + 8, len(match) + 1):
-                if match[i] and match[j - 1] and match[i:j].sum() >= 3 * (~match[i:j]).sum():
+                gaps = int((match[i : j - 1] & ~match[i + 1 : j]).sum())
+                if match[i] and match[j - 1] and match[i:j].sum() >= 3 * ((~match[i:j]).sum() + 4 * gaps):
                     want[i:j] = True
         assert (substrings.reached(match, 8, 3) == want).all()
