@@ -67,3 +67,12 @@ def markdown(df: DataFrame, title: str, order: list, rows: int = 200) -> str:
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
     lines += ["| " + " | ".join(cell(v) for v in r) + " |" for r in found[:rows]]
     return "\n".join([*lines, *(["", f"More than {rows} rows."] if len(found) > rows else [])]) + "\n"
+
+
+def gap_of_methods(counts: DataFrame, method: str = "method", blind: str = "blind", assisted: str = "assisted") -> DataFrame:
+    """One row: F1 of blind and of assisted labels from counts (tp, fp, fn, tn by method), and how much better the assisted ones look.
+    Null where a method has no labels."""
+    f1 = derived(counts.groupBy(method).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]))
+    of = lambda name: F.max(F.when(F.col(method) == name, F.col("f1")))
+    both = f1.agg(of(blind).alias("blind_f1"), of(assisted).alias("assisted_f1"))
+    return both.withColumn("gap", F.col("assisted_f1") - F.col("blind_f1"))

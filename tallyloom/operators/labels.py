@@ -184,3 +184,19 @@ def merged_labels(docs: DataFrame, ident: str, sources: list[DataFrame], fallbac
     asked = F.explode(F.create_map(*[F.lit(x) for item in fallbacks.items() for x in item])).alias("axis", "value")
     rest = docs.select(ident, asked).join(best.select(ident, "axis").distinct(), [ident, "axis"], "left_anti")
     return best.unionByName(rest.select(ident, "axis", "value", F.lit(least).alias("confidence"), F.lit(None).cast("string").alias("evidence")))
+
+
+#: Rules about the fields of a campaign, as (name, fields, least, most) of one field or (name, fields) of two in order; fixed values.
+LOGIC = (
+    ("tarih_sirasi", ("start_date", "end_date")), ("kar_payi_araligi", ("profit_rate_pct",), 0, 100), ("harcama_araligi", ("min_spend_try", "max_spend_try")), ("vade_araligi", ("term_months_max",), 1, 360),
+    ("taksit_araligi", ("installment_count",), 1, 60), ("odul_negatif_degil", ("reward_amount_try",), 0, 10_000_000), ("iade_orani", ("cashback_pct",), 0, 100), ("finansman_araligi", ("financing_amount_min", "financing_amount_max")),
+)
+
+
+def campaign_logic(columns: list[str]) -> Column:
+    """Names of the eight rules that a row of metrics breaks; a rule speaks only where all of its fields are there."""
+    rules = {}
+    for name, fields, *bounds in LOGIC:
+        if all(f in columns for f in fields):
+            rules[name] = F.col(fields[0]).between(*bounds) if bounds else F.col(fields[0]) <= F.col(fields[1])
+    return logic_reasons(rules)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import tokens
 from tallyloom.operators.campaigns import search_order
-from tallyloom.operators.labels import unverified_numbers
+from tallyloom.operators.labels import forbidden_terms, unverified_numbers
 
 K1, B, RRF = 1.5, 0.75, 60
 PREFIX_FROM, PREFIX_WEIGHT = 4, 0.6
@@ -84,13 +84,23 @@ def hybrid(kept: DataFrame, channels: list[tuple[DataFrame, str]], ident: str, s
     return scored.withColumn("score", F.coalesce("rrf", F.lit(0.0))).drop("rrf").orderBy(*search_order("score", status, ident)).limit(limit)
 
 
-def grounded_answers(hits: DataFrame, question: str, rank: str, title: str, card: str, most: int = 5) -> DataFrame:
-    """question, answer, citations, grounded of ranked hits (rank from 1; a null card is no hit): a
+#: How an answer came about: fixed values.
+TEMPLATE, REFUSAL = "template", "refusal"
+
+
+def grounded_answers(hits: DataFrame, question: str, rank: str, title: str, card: str, most: int = 5, forbidden: tuple[str, ...] = (), allowed: tuple[str, ...] = ()) -> DataFrame:
+    """question, answer, source, citations, grounded, terms of ranked hits (rank from 1; a null card is no hit): a
     line "[n] title: card" for each of the first `most` cards, and what it cites. A question
-    without cards is refused with a null answer. Every number of the answer must stand in the cited cards (labels.unverified_numbers)."""
+    without cards is refused with a null answer. Every number of the answer must stand in the cited cards
+    (labels.unverified_numbers). terms are the forbidden words of the answer outside allowed phrases; none for a refusal."""
     used = F.when(F.col(card).isNotNull() & (F.col(rank) <= most), F.struct(F.col(rank).alias("n"), F.coalesce(title, F.lit("")).alias("title"), F.col(card).alias("card")))
     context = hits.groupBy(question).agg(F.array_sort(F.collect_list(used)).alias("_cards"))
     line = lambda c: F.concat(F.lit("["), c["n"].cast("string"), F.lit("] "), c["title"], F.lit(": "), c["card"])
     answer = F.when(F.size("_cards") > 0, F.array_join(F.transform("_cards", line), "\n"))
     cited = F.array_join(F.transform("_cards", lambda c: F.concat_ws(" ", c["title"], c["card"])), " ")
-    return context.select(question, answer.alias("answer"), F.col("_cards.n").alias("citations"), (F.size(F.coalesce(unverified_numbers(answer, cited), F.array().cast("array<string>"))) == 0).alias("grounded"))
+    empty = F.array().cast("array<string>")
+    terms = F.coalesce(forbidden_terms(answer, forbidden, allowed), empty) if forbidden else empty
+    return context.select(
+        question, answer.alias("answer"), F.when(F.size("_cards") > 0, TEMPLATE).otherwise(REFUSAL).alias("source"), F.col("_cards.n").alias("citations"),
+        (F.size(F.coalesce(unverified_numbers(answer, cited), empty)) == 0).alias("grounded"), terms.alias("terms"),
+    )
