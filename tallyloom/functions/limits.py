@@ -37,8 +37,11 @@ def amount_limit(text: Column, ready: bool = False) -> Column:
     """struct<lo, hi>: a range with a currency sign at one end and two different ends, else a single amount with a currency
     sign if the words say (only) upper or (only) lower bound; a lower bound of 0 is none."""
     low = _folded(text, ready)
-    pair = rf"{AMOUNT}\s*{TL}?\s*-\s*{AMOUNT}\s*{TL}|{AMOUNT}\s*{TL}\s*-\s*{AMOUNT}"
-    a, b = (F.coalesce(_amount(low, pair, g), _amount(low, pair, g + 4)) for g in (1, 3))
+    times, sign = f"{'|'.join(parse.MULTIPLES)}?", f"{TL}?"
+    amount = lambda n, after: parse._times(parse.decimal_tr(n), parse.times_in(after))
+    joined = lambda p: parse.begins(p["after"], times, sign, "-\\s*$") & (parse.begins(p["after"], times, TL) | parse.begins(p["then"], times, TL))
+    pair = parse._once(parse.first_of(parse.followed(low), joined), lambda p: F.when(p.isNotNull(), F.struct(amount(p["n"], p["after"]).alias("a"), amount(p["m"], p["then"]).alias("b"))))
+    a, b = pair["a"], pair["b"]
     least, most = F.least(a, b), F.greatest(a, b)
     one = _amount(low, rf"{AMOUNT}\s*{TL}", 1)
     up, down = low.rlike(UPPER_WORDS), low.rlike(LOWER_WORDS)
@@ -58,8 +61,11 @@ def ltv_percent(text: Column, ready: bool = False) -> Column:
 def vehicle_age(text: Column, ready: bool = False) -> Column:
     """struct<lo, hi> in years: "0-3 yaş", new, "up to 5", used (1 and older)."""
     low = _folded(text, ready)
-    a, b = (_number(low, r"(\d{1,2})\s*-\s*(\d{1,2})\s*yas", g) for g in (1, 2))
-    most = _number(low, r"(\d{1,2})\s*yas\w*\s*kadar", 1)
+    rows = parse.followed(low)
+    years = lambda n: F.when(F.length(n) <= 2, n.try_cast("int"))
+    span = parse._once(parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], "yas")), lambda p: F.when(p.isNotNull(), F.struct(years(p["n"]).alias("a"), years(p["m"]).alias("b"))))
+    a, b = span["a"], span["b"]
+    most = parse._once(parse.first_of(rows, lambda p: parse.begins(p["after"], r"yas\w*", "kadar")), lambda p: years(p["n"]))
     new, used = low.rlike(parse.any_of(*NEW_ONES)), low.rlike(parse.any_of(*USED_ONES))
     lo = F.when(a.isNotNull(), a).when(new, 0).when(most.isNotNull(), None).when(used, 1)
     hi = F.when(a.isNotNull(), b).when(new, 0).when(most.isNotNull(), most)
@@ -108,10 +114,11 @@ def option_limits(label: Column) -> Column:
     plain = F.trim(F.regexp_replace(label, r"\s+", " "))
     inside = fold(F.regexp_extract(plain, r"\(([^()]*)\)*\s*$", 1))
     name = F.trim(F.regexp_replace(plain, r"\([^()]*\)*\s*$", ""))
-    term = r"(\d+)\s*-\s*(\d+)\s*ay"
-    amount = r"([\d.,]+)\s*-\s*([\d.,]+)\s*(?:tl|₺)"
-    lo, hi = (parse.decimal_tr(F.regexp_extract(inside, amount, g)) for g in (1, 2))
-    return F.struct(F.when(name == "", plain).otherwise(name).alias("name"), _number(inside, term, 1).alias("term_min"), _number(inside, term, 2).alias("term_max"), F.when(lo > 0, lo).alias("amount_min"), hi.alias("amount_max"))
+    rows = parse.followed(inside)
+    joined = lambda unit: parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], unit))
+    term, amount = joined("ay"), joined("tl|₺")
+    lo, hi = parse.decimal_tr(amount["n"]), parse.decimal_tr(amount["m"])
+    return F.struct(F.when(name == "", plain).otherwise(name).alias("name"), term["n"].try_cast("int").alias("term_min"), term["m"].try_cast("int").alias("term_max"), F.when(lo > 0, lo).alias("amount_min"), hi.alias("amount_max"))
 
 
 def numbers_in(text: Column) -> Column:
