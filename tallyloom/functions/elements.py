@@ -120,9 +120,9 @@ class Tree(HTMLParser):
     def classes(self, k: int) -> list[str]:
         return self.attrs[k].get("class", "").split()
 
-    def text(self, k: int) -> str:
+    def text(self, k: int, between: str = "") -> str:
         """The element's text on one line."""
-        return " ".join("".join(t for _, t in self.pieces[self.first_piece[k] : self.end_piece[k]]).split())
+        return " ".join(between.join(t for _, t in self.pieces[self.first_piece[k] : self.end_piece[k]]).split())
 
     def masses(self, gone: list[bool]) -> list[int]:
         """Running sums over the pieces of the letters that are left; an element's mass is the difference at its ends."""
@@ -272,17 +272,22 @@ def section_text(html: str, *keywords: str):
     return run(html)
 
 
-def elements(pages: DataFrame, ident: str, html: str, texts: tuple[str, ...] = ("a", "button", "td", "th", "span", "h1", "h2", "h3")) -> DataFrame:
+def elements(pages: DataFrame, ident: str, html: str, texts: tuple[str, ...] = ("a", "button", "td", "th", "span", "h1", "h2", "h3"), short: int = 0) -> DataFrame:
     """A row per element: page id, pre (its number), last (that of its last descendant), parent, tag, element_id, classes,
-    attrs, and text for elements of the tags in `texts`."""
+    attrs, and text for elements of the tags in `texts` and, with blanks between its pieces, for all others that have no more than
+    `short` letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = Tree(h or "")
+                sums = [0]
+                for _, piece in t.pieces:
+                    sums.append(sums[-1] + len(piece))
                 for k, tag in enumerate(t.tag):
-                    row = i, k, t.last[k], t.parent[k], tag, t.attrs[k].get("id"), t.classes(k), list(t.attrs[k].items()), t.text(k) if tag in texts else None
+                    text = t.text(k) if tag in texts else t.text(k, " ") if sums[t.end_piece[k]] - sums[t.first_piece[k]] <= short else None
+                    row = i, k, t.last[k], t.parent[k], tag, t.attrs[k].get("id"), t.classes(k), list(t.attrs[k].items()), text
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import elements, html, text
-from tallyloom.operators import panels
+from tallyloom.operators import panels, tables
 from tallyloom.plans.registry import query, table
 
 def _unescaped(t: str) -> str:
@@ -104,3 +104,19 @@ def page_sections_text(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit("<body>"), nav, F.when(F.col("page_id") % 4 == 0, bold).otherwise(rank), excluded, F.lit("</body>")).alias("h"))
     first = F.get(elements.page_sections("h"), F.lit(0))["heading"]
     return pages.select("page_id", elements.section_text("h", "koşul").alias("conditions"), elements.section_text("h", "dahil olmayan").alias("exclusions"), first.alias("first_heading"), F.when(F.startswith(elements.page_parts("h")["text"], F.lit("menu")), "menu").otherwise("text").alias("body"))
+
+
+@query("""
+SELECT p_partkey, unnest([1, 12]) AS months, CASE p_partkey % 4 WHEN 0 THEN 'TRY' WHEN 1 THEN 'USD' WHEN 2 THEN 'XAU' ELSE 'EUR' END AS currency, p_size * 1000.0 AS lo, p_size * 2000.0 AS hi, unnest([p_size / 10.0, p_size / 5.0])::DOUBLE AS rate FROM part
+""")
+def matrices_by_currency(spark, sf):
+    """Matrices of terms by amounts under tabs of currencies; one caption names another."""
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    s = lambda c: c.cast("string")
+    tr = lambda c: F.translate(F.format_number(c, 1), ".", ",")
+    own = F.concat(F.when(k == 3, "<h3>Euro hesabı</h3>").otherwise(""), F.lit("<table><tr><th>Tutar</th><th>1 Aylık</th><th>1 Yıl</th></tr><tr><td>"), s(size * 1000), F.lit(" TL - "), s(size * 2000), F.lit(" TL</td><td>%"), tr(size / 10), F.lit("</td><td>%"), tr(size / 5), F.lit("</td></tr><tr><td>Stopaj</td><td>1</td><td>2</td></tr></table>"))
+    panel = lambda n: F.concat(F.lit("<div class=tab><p>"), F.when(k == n, own).otherwise("<i>boş</i>"), F.lit("</p></div>"))
+    page = F.concat(F.lit("<ul><li>TL</li><li>USD</li><li>Altın</li></ul><div>"), panel(0), panel(1), panel(2), F.lit("</div>"), F.when(k == 3, own).otherwise(""))
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    found = tables.matrix_rates(html.exploded(pages, "page_id", "html", "cells"), tables.tab_currencies(elements.elements(pages, "page_id", "html", short=60), "page_id"))
+    return found.select(F.col("page_id").alias("p_partkey"), F.col("term_months").alias("months"), "currency", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.col("rate").cast("double").alias("rate"))
