@@ -56,17 +56,12 @@ MONTHS_OF_YEAR = 12
 def _numbers(raw: Column) -> Column:
     """The scanned numbers with their value, the kinds beside them (a1 to a3 behind, b1 to b3 before, x behind an "up to") and the
     places where what is said ends (behind) or begins (before)."""
-    spot = lambda side, k, part: F.get(side, F.lit(k))[part]
 
     def one(n: Column) -> Column:
-        after, before = n["after"], n["before"]
-        skip = spot(after, 0, "kind").eqNullSafe("until")
-        return F.struct(
-            (parse.decimal_tr(n["token"]) * n["times"]).cast("decimal(20,6)").alias("v"), n["unit"].alias("unit"), n["s"].alias("s"), n["e"].alias("e"),
-            *[F.coalesce(spot(side, k, "kind"), F.lit("")).alias(f"{name}{k + 1}") for name, side in (("a", after), ("b", before)) for k in range(3)],
-            F.coalesce(F.when(skip, spot(after, 1, "kind")).otherwise(spot(after, 0, "kind")), F.lit("")).alias("x"), F.when(skip, spot(after, 1, "e")).otherwise(spot(after, 0, "e")).alias("ex"),
-            spot(after, 0, "e").alias("e1"), spot(after, 1, "e").alias("e2"), spot(after, 2, "e").alias("e3"), *[spot(before, k, "s").alias(f"s{k + 1}") for k in range(3)],
-        )
+        skip = n["a1"] == "until"
+        same = [n[f"{side}{k}"].alias(f"{side}{k}") for side in "abes" for k in (1, 2, 3)]
+        value = (parse.decimal_tr(n["token"]) * n["times"]).cast("decimal(20,6)")
+        return F.struct(value.alias("v"), n["unit"].alias("unit"), n["s"].alias("s"), n["e"].alias("e"), *same, F.when(skip, n["a2"]).otherwise(n["a1"]).alias("x"), F.when(skip, n["e2"]).otherwise(n["e1"]).alias("ex"))
 
     return F.filter(F.transform(raw, one), lambda n: n["v"].isNotNull())
 
@@ -110,7 +105,7 @@ def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
     row, in up to 19 fields. A text is scanned once for marks and numbers; every field is a rule over the marks beside a
     number or near it. What is not said gives no row: an upper limit makes no lower one. Evidence is the text at the place."""
     ready = parse.with_date_range(docs.select(F.col(ident), F.col(text).alias("_text"), parse.lowered(F.col(text)).alias("_low")), "_low", "_period", True)
-    ready = ready.withColumn("_scan", annotate.scanned("_text")).withColumns({"_numbers": _numbers(F.col("_scan.numbers")), "_marks": F.col("_scan.marks")})
+    ready = ready.withColumn("_scan", annotate.scanned("_text")).withColumns({"_numbers": _numbers(annotate.numbers_of("_scan")), "_marks": annotate.marks_of("_scan")})
     numbers, marks = F.col("_numbers"), F.col("_marks")
     money = lambda n: n["unit"] == "tl"
     pct = lambda n: n["unit"] == "pct"
