@@ -294,16 +294,3 @@ def test_texts_without_a_near_passage_are_left_alone(spark):
         q = p if f % 2 else [f"e{f}x{i}" if i % 8 == 3 else w for i, w in enumerate(p)]
         rows += [(2 * f, " ".join([prose(95_000 + 4 * f, 60), *p, prose(95_001 + 4 * f, 60)])), (2 * f + 1, " ".join([prose(95_002 + 4 * f, 60), *q, prose(95_003 + 4 * f, 60)]))]
     assert substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
-
-
-def test_reach_is_that_of_all_segments():
-    r = np.random.default_rng(3)
-    for _ in range(200):
-        match = r.random(r.integers(0, 40)) < r.choice([0.5, 0.8, 0.95])
-        want = np.zeros(len(match), bool)
-        for i in range(len(match)):
-            for j in range(i + 8, len(match) + 1):
-                gaps = int((match[i : j - 1] & ~match[i + 1 : j]).sum())
-                if match[i] and match[j - 1] and match[i:j].sum() >= 3 * ((~match[i:j]).sum() + 4 * gaps):
-                    want[i:j] = True
-        assert (substrings.reached(match, 8, 3) == want).all()
