@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import parse
@@ -14,9 +14,10 @@ TABS = {"İhtiyaç Finansmanı": "ihtiyac_finansmani", "Konut Finansmanı": "kon
 RATE_ROW = "kar oran"
 
 
-def inside(inner: str, outer: str) -> Column:
-    """Whether the element of alias `inner` lies in that of alias `outer` (of the same page)."""
-    return (F.col(f"{inner}.pre") > F.col(f"{outer}.pre")) & (F.col(f"{inner}.pre") <= F.col(f"{outer}.last"))
+def by_number(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of both sides' elements by page and number. Elements have so many equal values that their files are tiny, which says
+    nothing about their rows: they are sorted and merged, never broadcast."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def _bracket(c: Column, word: str) -> Column:
@@ -31,28 +32,28 @@ def fee_rates(elements: DataFrame, ident: str, tabs: dict[str, str] = TABS, titl
     amount_min, amount_max, place (of the row), term_label, term_months, rate, evidence. A tab's link names its pane, a
     panel's button its body; a cell belongs to its row, a row to the body around it. Rows of fees and rows without any rate
     are left out; the lower rate counts if both are given. Pages join on their id only, each with its own elements."""
-    e = staged(elements.filter(F.col("tag").isin("a", "ul", "button", "tr", "td") | F.col("element_id").isNotNull()), "elements")  # read six times, parsed once
+    told = elements.filter(F.col("tag").isin("a", "ul", "button", "tr", "td") | F.col("element_id").isNotNull())
+    e = staged(told.select(ident, "pre", "parent", "tag", "element_id", "classes", "text", "above", F.col("attrs")["href"].alias("href"), F.col("attrs")["data-target"].alias("target")), "elements")  # read six times, parsed once
     kind = F.create_map(*[F.lit(x) for pair in tabs.items() for x in pair])
-    links = e.filter((F.col("tag") == "a") & F.startswith(F.col("attrs")["href"], F.lit("#")) & (F.col("text") != "")).alias("a")
-    pills = e.filter((F.col("tag") == "ul") & F.array_contains("classes", "nav-pills")).select(ident, "pre", "last").alias("u")
-    tab = links.join(pills, [ident]).filter(inside("a", "u")).select(ident, F.col("a.pre").alias("tab"), F.expr("substring(a.attrs['href'], 2)").alias("element_id"), kind[F.col("a.text")].alias("product_type")).filter("product_type is not null")
+    links = e.filter((F.col("tag") == "a") & F.startswith("href", F.lit("#"))).select(ident, F.col("pre").alias("tab"), F.substring("href", 2, 2**31 - 1).alias("element_id"), kind[F.col("text")].alias("product_type"), "above").filter("product_type is not null")
+    pills = e.filter((F.col("tag") == "ul") & F.array_contains("classes", "nav-pills")).select(ident, F.col("pre").alias("around"))
+    tab = by_number(links.withColumn("around", F.explode("above")), pills, [ident, "around"])
     # A later link to the same pane, or a later element of the same id, doesn't count.
-    named = e.filter("element_id is not null").groupBy(ident, "element_id").agg(F.min(F.struct("pre", "last")).alias("at")).select(ident, "element_id", "at.*")
-    panes = tab.groupBy(ident, "element_id").agg(F.min(F.struct("tab", "product_type")).alias("t")).select(ident, "element_id", "t.*").join(named, [ident, "element_id"]).select(ident, "tab", "product_type", "pre", "last").alias("p")
-    buttons = e.filter((F.col("tag") == "button") & F.array_contains("classes", title_class) & (F.trim("text") != "")).select(ident, "pre", "text", F.regexp_replace(F.coalesce(F.col("attrs")["data-target"], F.lit("")), "^#", "").alias("element_id")).alias("b")
-    panels = buttons.join(panes, [ident]).filter(inside("b", "p")).select(ident, "tab", F.col("b.pre").alias("button"), "product_type", F.col("b.text").alias("name"), "element_id")
-    bodies = panels.join(named, [ident, "element_id"]).alias("o")
-    rows = e.filter("tag = 'tr'").select(ident, "pre", "last").alias("r")
-    cells = e.filter("tag = 'td'").groupBy(ident, F.col("parent").alias("pre")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]).alias("c")).filter(F.size("c") >= 6)
-    in_body = rows.join(cells, [ident, "pre"]).alias("r").join(bodies, [ident]).filter(inside("r", "o"))
+    named = e.filter("element_id is not null").groupBy(ident, "element_id").agg(F.min("pre").alias("around"))
+    panes = by_number(tab.groupBy(ident, "element_id").agg(F.min(F.struct("tab", "product_type")).alias("t")).select(ident, "element_id", "t.*"), named, [ident, "element_id"]).select(ident, "tab", "product_type", "around")
+    buttons = e.filter((F.col("tag") == "button") & F.array_contains("classes", title_class) & (F.trim("text") != "")).select(ident, F.col("pre").alias("button"), F.col("text").alias("name"), F.regexp_replace(F.coalesce("target", F.lit("")), "^#", "").alias("element_id"), F.explode("above").alias("around"))
+    panels = by_number(buttons, panes, [ident, "around"]).select(ident, "tab", "button", "product_type", "name", "element_id")
+    numbered = Window.partitionBy(ident).orderBy("tab", "button")
+    bodies = by_number(panels.withColumn("panel", F.rank().over(numbered).cast("long")), named, [ident, "element_id"])
+    cells = e.filter("tag = 'td'").groupBy(ident, F.col("parent").alias("pre")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]).alias("c")).filter((F.size("c") >= 6) & F.startswith(ascii_fold(lower_tr(F.trim(F.col("c")[0]))), F.lit(RATE_ROW)))
+    rows = by_number(e.filter("tag = 'tr'").select(ident, "pre", "above"), cells, [ident, "pre"]).withColumn("around", F.explode("above"))
+    in_body = by_number(rows, bodies, [ident, "around"])
     fee, low, high = F.col("c")[0], F.col("c")[2], F.col("c")[4]
     rate = lambda c: parse.decimal_tr(F.trim(F.replace(c, F.lit("%"), F.lit(""))))
     term, band = _bracket(fee, "ay"), _bracket(F.col("name"), "tl")
-    out = in_body.filter(F.startswith(ascii_fold(lower_tr(F.trim(fee))), F.lit(RATE_ROW))).withColumns({"rate": F.coalesce(rate(low), rate(high)), "term": term, "band": band}).filter("rate is not null")
-    panel = F.struct("tab", "button")
-    numbered = panels.groupBy(ident).agg(F.array_sort(F.collect_list(panel)).alias("all"))
-    return out.join(numbered, ident).select(
-        ident, F.array_position("all", panel).alias("panel"), "product_type", "name", parse.decimal_tr(F.col("band")[0]).alias("amount_min"), parse.decimal_tr(F.col("band")[1]).alias("amount_max"), F.col("r.pre").alias("place"),
+    out = in_body.withColumns({"rate": F.coalesce(rate(low), rate(high)), "term": term, "band": band}).filter("rate is not null")
+    return out.select(
+        ident, "panel", "product_type", "name", parse.decimal_tr(F.col("band")[0]).alias("amount_min"), parse.decimal_tr(F.col("band")[1]).alias("amount_max"), F.col("pre").alias("place"),
         F.when(F.col("term").isNotNull(), F.concat(F.col("term")[0], F.lit("-"), F.col("term")[1], F.lit(" ay vade"))).alias("term_label"), F.col("term")[1].cast("int").alias("term_months"), "rate",
         F.trim(F.concat(fee, F.lit(" — Asgari "), low, F.lit(", Azami "), high, F.lit(". "), F.col("c")[5])).alias("evidence"),
     )
@@ -69,24 +70,24 @@ def fee_products(rates: DataFrame, ident: str, slug: Column | None = None) -> Da
 def cards(elements: DataFrame, ident: str, prefix: str, box_class: str, labels: dict[str, str], levels: int = 3) -> DataFrame:
     """A row per address of a listing's cards: page id, place, url, text and a column per label. A card's link begins with the
     prefix; its box is the nearest element around it of the class, else its parent; a label is the first span of its class in
-    the box, or in one of the boxes around that, `levels` in all. The first link of an address counts."""
-    e = staged(elements.select(ident, "pre", "last", "parent", "tag", "classes", "text", F.col("attrs")["href"].alias("href")), "elements")
-    links = e.filter((F.col("tag") == "a") & F.startswith("href", F.lit(prefix)))
-    links = links.groupBy(ident, "href").agg(F.min(F.struct("pre", "parent", "text")).alias("l")).select(ident, "href", "l.*").alias("l")
-    boxes = e.filter(F.array_contains("classes", box_class)).select(ident, "pre", "last").alias("b")
-    nearest = links.join(boxes, [ident], "left").filter(F.col("b.pre").isNull() | inside("l", "b")).groupBy(ident, "href").agg(F.max("b.pre").alias("box"))
-    start = links.join(nearest, [ident, "href"], "left").select(ident, "href", "l.pre", "text", F.coalesce("box", "parent").alias("box"))
-    up = e.select(ident, F.col("pre").alias("box"), F.col("last").alias("end"), F.col("parent").alias("above"))
-    out, level = start.select(ident, F.col("pre").alias("place"), F.col("href").alias("url"), "text"), start
-    rings = None
-    for k in range(levels):
-        level = level.select(ident, "href", "box").join(up, [ident, "box"])
-        ring = level.select(ident, "href", F.lit(k).alias("ring"), F.col("box").alias("pre"), F.col("end").alias("last"))
-        rings = ring if rings is None else rings.unionByName(ring)
-        level = level.select(ident, "href", F.col("above").alias("box"))
-    spans = e.filter(F.col("tag") == "span").select(ident, "pre", "last", "classes", "text").alias("s")
-    for name, wanted in labels.items():
-        own = spans.filter(F.array_contains("classes", wanted))
-        found = own.join(rings.alias("g"), [ident]).filter(inside("s", "g")).groupBy(ident, F.col("href").alias("url")).agg(F.min(F.struct("ring", F.col("s.pre").alias("pre"), F.col("s.text").alias("text"))).alias("f"))
-        out = out.join(found.select(ident, "url", F.nullif(F.trim("f.text"), F.lit("")).alias(name)), [ident, "url"], "left")
-    return out
+    the box, or in one of the boxes around that, `levels` in all. The first link of an address counts. Every element knows those
+    around it, so links meet boxes, and boxes the first span in them, by number."""
+    words = F.array(*map(F.lit, labels.values())).cast("array<string>")
+    is_link = (F.col("tag") == "a") & F.coalesce(F.startswith(F.col("attrs")["href"], F.lit(prefix)), F.lit(False))
+    is_box, is_label = F.array_contains("classes", box_class), (F.col("tag") == "span") & F.arrays_overlap("classes", words)
+    e = elements.filter(is_link | is_label | is_box if labels else is_link).select(ident, "pre", "classes", "text", "above", F.when(is_link, F.col("attrs")["href"]).alias("href"), is_box.alias("is_box"), is_label.alias("is_label"))
+    own = F.min_by(F.struct("pre", "text", "above"), "pre")
+    if not labels:
+        return e.groupBy(ident, "href").agg(own.alias("l")).select(ident, F.col("l.pre").alias("place"), F.col("href").alias("url"), "l.text")
+    e = staged(e, "elements")
+    links = e.filter("href is not null").groupBy(ident, "href").agg(own.alias("l")).select(ident, "href", "l.*")
+    boxes = e.filter("is_box").select(ident, F.col("pre").alias("box"))
+    path = links.select(ident, "href", F.posexplode("above").alias("depth", "box"))
+    nearest = by_number(path, boxes, [ident, "box"]).groupBy(ident, "href").agg(F.min("depth").alias("depth"))
+    cards = by_number(links, nearest, [ident, "href"], "left")
+    rings = cards.select(ident, "href", F.posexplode(F.slice("above", F.coalesce("depth", F.lit(0)) + 1, F.lit(levels))).alias("ring", "box"))
+    at = {name: F.min(F.when(F.array_contains("classes", wanted), F.struct("pre", "text"))).alias(name) for name, wanted in labels.items()}
+    first = e.filter("is_label").select(ident, "pre", "text", "classes", F.explode("above").alias("box")).groupBy(ident, "box").agg(*at.values())
+    near = {name: F.min(F.when(F.col(name).isNotNull(), F.struct("ring", name)))[name]["text"].alias(name) for name in labels}
+    found = by_number(rings, first, [ident, "box"]).groupBy(ident, "href").agg(*near.values())
+    return by_number(links, found, [ident, "href"], "left").select(ident, F.col("pre").alias("place"), F.col("href").alias("url"), "text", *[F.nullif(F.trim(name), F.lit("")).alias(name) for name in labels])

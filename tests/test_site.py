@@ -83,3 +83,21 @@ def test_cards(spark):
     assert {(r.url, r.text, r.category, r.ends) for r in rows.collect()} == {("/k/1", "Bir", "Market", "31.12.2026"), ("/k/2", "İki", None, "31.12.2026")}
     alone = panels.cards(elements(pages, "page_id", "html"), "page_id", "/k/", "item-content", {"ends": "campaign-date"}, levels=1)
     assert {(r.url, r.ends) for r in alone.collect()} == {("/k/1", None), ("/k/2", None)}  # farther boxes hold other cards, too
+
+
+def test_cards_and_panels_join_by_number(spark):
+    """Elements of many equal values are small files of many rows: none of their joins is a broadcast or meets all pairs of a page."""
+    card = '<li><div class="item-content"><a href="/k/{0}-{1}">x</a></div><span class="item-category">c{0}-{1}</span></li>'
+    pages = spark.createDataFrame([(i, "<div><div><div><ul>" + "".join(card.format(i, k) for k in range(300)) + "</ul></div></div></div>") for i in range(20)], "page_id long, html string")
+    found = panels.cards(elements(pages, "page_id", "html", tags=("a", "span")), "page_id", "/k/", "item-content", {"category": "item-category"}, levels=2)
+    rates = panels.fee_rates(elements(spark.createDataFrame([(1, FEES)], "page_id long, html string"), "page_id", "html"), "page_id")
+    for df in (found, rates):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r.url, r.category) for r in found.collect()} == {(f"/k/{i}-{k}", f"c{i}-{k}") for i in range(20) for k in range(300)}
+
+
+def test_elements_come_in_batches(spark):
+    pages = spark.createDataFrame([(i, "<p><b><a href='/x'>t</a></b></p>" * 30_000) for i in range(2)], "page_id long, html string").coalesce(1)
+    out = elements(pages, "page_id", "html", tags=("a",))
+    assert out.count() == 60_000 and out.filter("tag <> 'a'").isEmpty() and out.selectExpr("max(size(above))").first()[0] == 2
