@@ -23,19 +23,26 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _before(x: Column, i: Column) -> Column:
+    """The last NEAR letters before the percentage of number i: of the text between it and the last one, and of those before."""
+    first = F.greatest(F.lit(0), i - NEAR // 2)
+    pieces = F.zip_with(F.slice(x["between"], first + 1, i - first), F.slice(x["said"], first + 1, i - first), lambda t, raw: F.concat(t, raw))
+    return F.right(F.concat(F.array_join(pieces, ""), F.get(x["between"], i)), F.lit(NEAR))
+
+
 def profit_rate(low: Column) -> Column:
     """struct<value, raw> of a lowered text's rate of profit, or null. Every percentage is judged by the letters around it:
     beside words of discounts or rebates, or from 50 on, it is one only if it is called so. Of several different ones those called so
     decide; if they differ too, none is taken. "No term difference" is a rate of 0 where nothing else is found."""
-    before = rf"(?=[%\dy])(?<=^([\s\S]{{0,{NEAR - 1}}})|([\s\S]{{{NEAR}}}))"
-    shape = F.lit(rf"{before}({PERCENTAGE})(?=([\s\S]{{0,{NEAR}}}))")
-    part = lambda g: F.regexp_extract_all(low, shape, F.lit(g))
-    judge = lambda m: F.struct(parse.rate(m["raw"], True).alias("value"), m["raw"].alias("raw"), F.concat(m["l"], m["k"], m["raw"], m["r"]).alias("near"))
+    said, ahead = (F.regexp_extract_all(low, F.lit(rf"({PERCENTAGE})(?=([\s\S]{{0,{NEAR}}}))"), F.lit(g)) for g in (1, 2))
+    # A percentage has two letters at least, so that what stands before one lies in NEAR / 2 others and the texts between.
+    between = F.split(low, PERCENTAGE, -1)
+    told = _once(F.struct(said.alias("said"), ahead.alias("ahead"), between.alias("between")), lambda x: F.transform(x["said"], lambda raw, i: F.struct(raw.alias("raw"), F.concat(_before(x, i), raw, F.get(x["ahead"], i)).alias("near"))))
+    judge = lambda m: F.struct(parse.rate(m["raw"], True).alias("value"), m["raw"].alias("raw"), m["near"].alias("near"))
     named = lambda r: r["near"].rlike(PROFIT)
     is_rate = lambda r: r["value"].isNotNull() & (named(r) | ((r["value"] < SHARE) & ~r["near"].rlike(NOT_A_RATE)))
     single = lambda found: F.when(F.size(F.array_distinct(F.transform(found, lambda r: r["value"]))) == 1, F.get(found, F.lit(0)))
-    matches = F.arrays_zip(part(1).alias("l"), part(2).alias("k"), part(3).alias("raw"), part(4).alias("r"))
-    judged = F.filter(F.transform(matches, judge), is_rate)
+    judged = F.filter(F.transform(told, judge), is_rate)
     pick = _once(judged, lambda rates: F.coalesce(single(rates), single(F.filter(rates, named))))
     zero = F.regexp_extract(low, parse.ZERO_RATE, 0)
     none = F.when(zero != "", F.struct(F.lit(0).cast("decimal(20,6)").alias("value"), zero.alias("raw")))

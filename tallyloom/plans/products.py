@@ -166,5 +166,5 @@ def profit_rates_of_texts(spark, sf):
         F.concat(F.lit("Aylık %"), a, F.lit(" ile")), F.concat(F.lit("%"), a, F.lit(" indirim fırsatı")), F.lit("Değerinin %80 kadarı"), F.concat(F.lit("%49"), F.lit(far), F.lit("%"), b, F.lit(" kâr payı")),
         F.lit("Vade farksız alışveriş"), F.concat(F.lit("%48 kâr payı,"), F.lit(far), F.lit("%"), b, F.lit(" kâr payı")), F.lit("kar payı oranı yüzde 90")]
     text = F.get(F.array(*kinds), (F.col("l_linenumber") % 7).cast("int"))
-    rate = extraction.profit_rate(F.lower(text))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", rate["value"].cast("double").alias("rate"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lower(text).alias("low"))
+    return lines.select("l_orderkey", "l_linenumber", extraction.profit_rate(F.col("low"))["value"].cast("double").alias("rate"))

@@ -87,3 +87,16 @@ def test_merged_labels(spark):
     more = spark.createDataFrame([(1, "sector", "market", 1.0, "own"), (2, "sector", "x", 0.94, None)], "id long, axis string, value string, confidence double, evidence string")
     got = labels.merged_labels(docs, "id", [found, more], {"sector": "other"}, boosted=("sector", "market", "x"))
     assert {(r.id, r.value, r.confidence) for r in got.collect()} == {(1, "market", 1.0), (2, "market", 0.75), (2, "x", 0.94), (3, "other", 0.3)}
+
+
+def test_rates_are_judged_by_forty_letters(spark):
+    """Letters before a percentage are counted over other percentages; each number is read once, whatever its form."""
+    from tallyloom.functions import parse
+    from tallyloom.operators import extraction
+
+    texts = {"yüzde 3yindirim%%%49,560 %vade farksız bu oran başka 12%": 12, "%1,5 ile %1,50": 1.5, "vade farksız": 0, "": None, "%3%4": None, "%3 kâr payı" + "x" * 40 + "%4": 3, "indirim" + "x" * 40 + "%5": 5, "indirim" + "x" * 33 + "%5": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: None if r.p is None else float(r.p.value) for r in df.select("t", extraction.profit_rate(F.col("t")).alias("p")).collect()}
+    assert got == texts
+    plan = df.select(parse.decimal_tr(F.regexp_replace("t", "q", "w")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(t#") == 1
