@@ -112,29 +112,41 @@ def plan_rate(principal: Column, profit: Column, repayment: Column, months: Colu
     return implied_monthly_rate(principal, F.coalesce(principal + profit, repayment), months)
 
 
-def nearest_rates(requests: DataFrame, rates: DataFrame) -> DataFrame:
-    """request, amount, term, bank, product, rate, rate_term, in_band (rates of the bank whose band holds the amount) of every
-    request (request, product_type, amount, term) and every bank that has rates (bank, product, product_type, term, rate, low,
-    high) of its product type in that band. The rate is that of the nearest term; of equally near ones the lowest, then the
-    smallest product.
-
-    Requests differ by amount and term only, so terms are looked up once each: in every band of a bank the asked terms and the
-    rates' terms stand in one order, and each asked one has the last rate before it and the next one after. A request then
-    meets the bands that hold its amount, not the rates in them."""
+def _known(requests: DataFrame, rates: DataFrame) -> DataFrame:
+    """product_type, term, bank, bands: array<struct<low, high, n, near>> for every asked type and term and every bank with rates of
+    the type. In every band of a bank the asked terms and the rates' terms stand in one order, and each asked one has the last
+    rate before it and the next one after."""
     band = ["bank", "product_type", "low", "high"]
     priced = rates.filter(F.col("rate").isNotNull())
     bands = priced.groupBy(*band).agg(F.count(F.lit(1)).alias("n"))
     best = priced.filter(F.col("term").isNotNull()).groupBy(*band, "term").agg(F.min(F.struct("rate", "product", F.col("term").alias("at"))).alias("r"))
-    asked = requests.select("product_type", "term").distinct().join(bands.drop("n"), "product_type")
-    merged = asked.select(*band, "term", F.lit(None).cast(best.schema["r"].dataType).alias("r"), F.lit(True).alias("ask")).unionByName(best.select(*band, "term", "r", F.lit(False).alias("ask")))
+    asked = requests.select("product_type", "term").distinct().join(bands, "product_type")
+    merged = asked.select(*band, "term", "n", F.lit(None).cast(best.schema["r"].dataType).alias("r"), F.lit(True).alias("ask")).unionByName(best.select(*band, "term", F.lit(None).cast("long").alias("n"), "r", F.lit(False).alias("ask")))
     line = Window.partitionBy(*band).orderBy("term")  # as many rows as there are terms
     up_to, after = line.rangeBetween(Window.unboundedPreceding, 0), line.rangeBetween(0, Window.unboundedFollowing)
-    sides = merged.withColumns({"a": F.last("r", True).over(up_to), "b": F.first("r", True).over(after)}).filter("ask").drop("r", "ask")
+    sides = merged.withColumns({"a": F.last("r", True).over(up_to), "b": F.first("r", True).over(after)}).filter("ask")
     away = lambda r: F.when(F.col(r).isNotNull(), F.struct(F.abs(F.col(f"{r}.at") - F.col("term")).alias("away"), F.col(f"{r}.rate").alias("rate"), F.col(f"{r}.product").alias("product"), F.col(f"{r}.at").alias("at")))
-    known = sides.select(*[F.col(c).alias(f"_{c}") for c in (*band, "term")], F.least(away("a"), away("b")).alias("near"))
-    held = requests.join(bands, "product_type").filter((F.col("low").isNull() | (F.col("amount") >= F.col("low"))) & (F.col("high").isNull() | (F.col("amount") <= F.col("high"))))
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*band, "term")])
-    met = held.join(known, same, "left").groupBy("request", "amount", "term", "bank").agg(F.min("near").alias("near"), F.sum("n").alias("in_band"))
+    return sides.withColumn("near", F.least(away("a"), away("b"))).groupBy("product_type", "term", "bank").agg(F.collect_list(F.struct("low", "high", "n", "near")).alias("bands"))
+
+
+def _met(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """requests with _banks: array<struct<bank, near, in_band>>: of each bank's bands those that hold the amount. A request meets the
+    one row of its type and term, and stays one row."""
+    one = known.groupBy("product_type", "term").agg(F.array_sort(F.collect_list(F.struct("bank", "bands"))).alias("_all")).select(F.col("product_type").alias("_type"), F.col("term").alias("_term"), "_all")
+    amount = F.col("amount")
+    holds = lambda x: (x["low"].isNull() | (amount >= x["low"])) & (x["high"].isNull() | (amount <= x["high"]))
+    held = requests.join(one, F.col("product_type").eqNullSafe(F.col("_type")) & F.col("term").eqNullSafe(F.col("_term")))
+    held = held.withColumn("_held", F.transform("_all", lambda b: F.struct(b["bank"].alias("bank"), F.filter(b["bands"], holds).alias("bands")))).drop("_all", "_type", "_term")
+    in_band = lambda b: F.when(F.size(b["bands"]) > 0, F.aggregate(b["bands"], F.lit(0).cast("long"), lambda n, x: n + x["n"]))
+    return held.withColumn("_banks", F.transform("_held", lambda b: F.struct(b["bank"].alias("bank"), F.array_min(F.transform(b["bands"], lambda x: x["near"])).alias("near"), in_band(b).alias("in_band")))).drop("_held")
+
+
+def nearest_rates(requests: DataFrame, rates: DataFrame) -> DataFrame:
+    """request, amount, term, bank, product, rate, rate_term, in_band (rates of the bank whose band holds the amount) of every
+    request (request, product_type, amount, term) and every bank that has rates (bank, product, product_type, term, rate, low,
+    high) of its product type in that band. The rate is that of the nearest term; of equally near ones the lowest, then the
+    smallest product. Requests differ by amount and term only, so terms are looked up once each."""
+    met = _met(requests, _known(requests, rates)).select("request", "amount", "term", F.inline("_banks")).filter("in_band is not null")
     return met.select("request", "amount", "term", "bank", "near.product", "near.rate", F.col("near.at").alias("rate_term"), "in_band")
 
 
@@ -146,14 +158,20 @@ def financing_offers(requests: DataFrame, rates: DataFrame, banks: DataFrame) ->
     """request, bank, product, rate, rate_term, is_exact, monthly, total, profit, is_best, missing: one row for every request and
     bank. A bank without a rate that fits says why. A rate of 0 is a rate. The offer with the least total is the best, of equal
     ones that of the first bank."""
-    near = nearest_rates(requests, rates)
-    every = requests.select("request", F.col("amount").alias("asked"), F.col("term").alias("months")).join(F.broadcast(banks.select("bank")))  # the banks are few, and each is a row of the answer
-    both = every.join(near, ["request", "bank"], "left")
-    monthly = instalment(F.col("asked").cast("double"), F.col("rate").cast("double"), F.col("months"))
-    offers = both.withColumn("monthly", F.when(F.col("rate").isNotNull(), monthly)).withColumn("total", F.round(F.col("monthly") * F.col("months"), 2))
-    best = offers.filter("total is not null").groupBy("request").agg(F.min(F.struct("total", "bank")).alias("w")).select("request", F.col("w.bank").alias("winner"))
-    missing = F.when(F.col("in_band").isNull(), NO_RATE).when(F.col("rate").isNull(), NO_TERM)
-    return offers.join(best, "request", "left").select(
-        "request", "bank", "product", "rate", "rate_term", F.when(F.col("rate").isNotNull(), F.col("rate_term") == F.col("months")).alias("is_exact"), "monthly", "total",
-        F.round(F.col("total") - F.col("asked"), 2).alias("profit"), F.when(F.col("rate").isNotNull(), F.col("bank") == F.col("winner")).alias("is_best"), missing.alias("missing"),
+    known = _known(requests, rates)
+    every = requests.select("product_type", "term").distinct().join(F.broadcast(banks.select("bank")))  # the banks are few, and each is a row of the answer
+    own = known.select(*[F.col(c).alias(f"_{c}") for c in ("product_type", "term", "bank")], "bands")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("product_type", "term", "bank")])
+    whole = every.join(own, same, "left").select("product_type", "term", "bank", F.coalesce("bands", F.array().cast(known.schema["bands"].dataType)).alias("bands"))
+    asked, months = F.col("amount").cast("double"), F.col("term")
+    near = lambda b, field: b["near"][field]
+    monthly = lambda b: F.when(near(b, "rate").isNotNull(), instalment(asked, near(b, "rate").cast("double"), months))
+    offers = _met(requests, whole).withColumn("_banks", F.transform("_banks", lambda b: F.struct(b["bank"].alias("bank"), b["near"].alias("near"), b["in_band"].alias("in_band"), monthly(b).alias("monthly"))))
+    offers = offers.withColumn("_banks", F.transform("_banks", lambda b: b.withField("total", F.round(b["monthly"] * months, 2))))
+    offers = offers.withColumn("_best", F.array_min(F.filter(F.transform("_banks", lambda b: F.struct(b["total"].alias("total"), b["bank"].alias("bank"))), lambda b: b["total"].isNotNull())))
+    rate, rate_term = F.col("near.rate"), F.col("near.at")
+    missing = F.when(F.col("in_band").isNull(), NO_RATE).when(rate.isNull(), NO_TERM)
+    return offers.select("request", "amount", "term", "_best", F.inline("_banks")).select(
+        "request", "bank", "near.product", rate.alias("rate"), rate_term.alias("rate_term"), F.when(rate.isNotNull(), rate_term == months).alias("is_exact"), "monthly", "total",
+        F.round(F.col("total") - F.col("amount"), 2).alias("profit"), F.when(rate.isNotNull(), F.col("bank") == F.col("_best.bank")).alias("is_best"), missing.alias("missing"),
     )

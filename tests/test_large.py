@@ -137,3 +137,15 @@ def test_shared_options_equal_all_pairs(spark):
         df = spark.createDataFrame([(s, p, o) for (s, p), options in pages.items() for o in options], "s string, p int, o string")
         got = {(x.s, x.p) for x in matching.shared_selectors(df, "s", "p", "o", share).collect()}
         assert got == want, share
+
+
+def test_requests_stay_one_row_until_their_offers(spark, tmp_path):
+    """Nothing is dealt out by request: a request meets one row of its type and term, and offers are made beside each other."""
+    requests = spark.range(2000).selectExpr("id as request", "concat('k', id % 3) as product_type", "1000.0 + id as amount", "cast(1 + id % 7 as int) as term")
+    rates = spark.range(60).selectExpr("concat('b', id % 5) as bank", "cast(id as int) as product", "concat('k', id % 2) as product_type", "cast(id % 9 as int) as term", "id / 50.0D as rate", "if(id % 4 = 0, 1500.0D, null) as low", "cast(null as double) as high")
+    offers = finance.financing_offers(requests, rates, rates.select("bank").distinct().union(spark.createDataFrame([("none",)], "bank string")))
+    plan = offers._jdf.queryExecution().optimizedPlan().toString()
+    assert "[request#" not in "".join(x for x in plan.splitlines() if "Aggregate" in x or "Window" in x)
+    rows = offers.collect()
+    assert len(rows) == 12_000 and {r.missing for r in rows if r.bank == "none"} == {finance.NO_RATE}
+    assert len([r for r in rows if r.is_best]) == len({r.request for r in rows if r.rate is not None})
