@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import parse
-from tallyloom.functions.text import fold
+from tallyloom.functions.text import fold, once
 
 # Folded words of the language.
 UPPER_WORDS = parse.any_of("kadar", "azami", "en fazla", "en cok", "maksimum", "ustu degil*")
@@ -40,7 +40,7 @@ def amount_limit(text: Column, ready: bool = False) -> Column:
     times, sign = f"{'|'.join(parse.MULTIPLES)}?", f"{TL}?"
     amount = lambda n, after: parse._times(parse.decimal_tr(n), parse.times_in(after))
     joined = lambda p: parse.begins(p["after"], times, sign, "-\\s*$") & (parse.begins(p["after"], times, TL) | parse.begins(p["then"], times, TL))
-    pair = parse._once(parse.first_of(parse.followed(low), joined), lambda p: F.when(p.isNotNull(), F.struct(amount(p["n"], p["after"]).alias("a"), amount(p["m"], p["then"]).alias("b"))))
+    pair = once(parse.first_of(parse.followed(low), joined), lambda p: F.when(p.isNotNull(), F.struct(amount(p["n"], p["after"]).alias("a"), amount(p["m"], p["then"]).alias("b"))))
     a, b = pair["a"], pair["b"]
     least, most = F.least(a, b), F.greatest(a, b)
     one = _amount(low, rf"{AMOUNT}\s*{TL}", 1)
@@ -63,9 +63,9 @@ def vehicle_age(text: Column, ready: bool = False) -> Column:
     low = _folded(text, ready)
     rows = parse.followed(low)
     years = lambda n: F.when(F.length(n) <= 2, n.try_cast("int"))
-    span = parse._once(parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], "yas")), lambda p: F.when(p.isNotNull(), F.struct(years(p["n"]).alias("a"), years(p["m"]).alias("b"))))
+    span = once(parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], "yas")), lambda p: F.when(p.isNotNull(), F.struct(years(p["n"]).alias("a"), years(p["m"]).alias("b"))))
     a, b = span["a"], span["b"]
-    most = parse._once(parse.first_of(rows, lambda p: parse.begins(p["after"], r"yas\w*", "kadar")), lambda p: years(p["n"]))
+    most = once(parse.first_of(rows, lambda p: parse.begins(p["after"], r"yas\w*", "kadar")), lambda p: years(p["n"]))
     new, used = low.rlike(parse.any_of(*NEW_ONES)), low.rlike(parse.any_of(*USED_ONES))
     lo = F.when(a.isNotNull(), a).when(new, 0).when(most.isNotNull(), None).when(used, 1)
     hi = F.when(a.isNotNull(), b).when(new, 0).when(most.isNotNull(), most)

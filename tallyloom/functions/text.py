@@ -33,14 +33,29 @@ def collapse_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"), F.lit(" \n\t\f\x0b"))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: A text without signs beyond Latin letters has nothing to translate, and one without such white space nothing to collapse: one look at it instead
+#: of three tables and five shapes. U+0085, U+2028 and U+2029 end lines too.
+_ODD, _LOOSE = "[^\\x00-\\x9F\\u00C0-\\u017F]", "[\\r\\n\\t\\f\\x0B\\u0085\\u2028\\u2029]|  |^ | $"
+
+
+def _plain_signs(c: Column) -> Column:
+    return F.translate(F.translate(c, SPACES, " " * len(SPACES)), DASHES, "-" * len(DASHES))
+
+
 def normalize_text(c: Column, nfkc: bool = True) -> Column:
     """Zero-width characters go, NFKC, Unicode spaces and dashes become plain, white space collapses. Only texts beyond
     Latin letters go through Python for NFKC."""
-    c = F.translate(c, ZERO_WIDTH, "")
     if nfkc:
-        c = F.when(c.rlike("[^\\x00-\\x9F\\u00C0-\\u017F]"), _nfkc(F.when(c.rlike("[^\\x00-\\x9F\\u00C0-\\u017F]"), c))).otherwise(c)
-    c = F.translate(F.translate(c, SPACES, " " * len(SPACES)), DASHES, "-" * len(DASHES))
-    return collapse_whitespace(c)
+        c = F.translate(c, ZERO_WIDTH, "")
+        c = F.when(c.rlike(_ODD), _nfkc(F.when(c.rlike(_ODD), c))).otherwise(c)
+        return collapse_whitespace(_plain_signs(c))
+    usual = once(c, lambda t: F.when(t.rlike(_ODD), _plain_signs(F.translate(t, ZERO_WIDTH, ""))).otherwise(t))
+    return once(usual, lambda t: F.when(t.rlike(_LOOSE), collapse_whitespace(t)).otherwise(t))
 
 
 def lower_tr(c: Column) -> Column:

@@ -234,3 +234,22 @@ def test_question():
     assert question.parse_question("kaç tane altın kampanyası var", banks, axes, fields).aggregate == ("count", None)
     assert question.parse_question("ödülü 5 bin TL üzerinde", banks, axes, fields).numbers == (("amount", ">=", 5000.0),)
     assert question.parse_question("süresi bitmiş kampanyalar", banks, axes, fields).status == "expired"
+
+
+def test_a_text_is_read_once_a_shape(spark):
+    """What several answers need is made once: the expressions hold each shape a few times, not once an answer."""
+    t = spark.createDataFrame([("5 - 10 bin tl",), ("12-24 ay",), (None,)], "t string")
+    made = t.select(parse.money_range(F.col("t")).alias("m"), parse.term_months(F.col("t")).alias("v"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 10 and plan.count("regexp_replace(") <= 50
+    assert [(r.m.lo, r.m.hi, r.v.lo, r.v.hi) for r in made.collect()] == [(5, 10_000, None, None), (12, 24, 12, 24), (None, None, None, None)]
+
+
+def test_usual_texts_are_left_as_they_are(spark):
+    texts = ["", " ", "a b", " a", "a ", "a  b", "a\r\nb", "a\tb", "a\n\n\n\nb", "a\u0085 b", "a  b", "x y", "a​b", "1–2", "₺ 5", "ğüşıöç İI", None]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    signs = F.translate(F.translate(F.translate("t", text.ZERO_WIDTH, ""), text.SPACES, " " * len(text.SPACES)), text.DASHES, "-" * len(text.DASHES))
+    rows = t.select(text.normalize_text(F.col("t"), nfkc=False).alias("a"), text.collapse_whitespace(signs).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    plan = t.select(text.normalize_text(F.col("t"), nfkc=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(" in plan  # the looks that spare usual texts the rest
