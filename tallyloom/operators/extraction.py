@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import annotate, parse
-from tallyloom.functions.text import snippet
+from tallyloom.functions.text import once, snippet
 
 # What a number near such words is not (a rate).
 NOT_A_RATE = r"indirim|iade|cashback|puan|bonus|finanse|kredilendir|oranında ödül"
@@ -18,11 +18,6 @@ PROFIT, SHARE = r"k[âa]r pay[ıi]", 50
 PERCENTAGE, NEAR = rf"%\s*{parse.NUMBER}|{parse.NUMBER}\s*%|yüzde\s*{parse.NUMBER}", 40
 
 
-def _once(value: Column, use) -> Column:
-    """use(value) with the value made once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _before(x: Column, i: Column) -> Column:
     """The last NEAR letters before the percentage of number i: of the text between it and the last one, and of those before."""
     first = F.greatest(F.lit(0), i - NEAR // 2)
@@ -37,16 +32,16 @@ def profit_rate(low: Column) -> Column:
     said, ahead = (F.regexp_extract_all(low, F.lit(rf"({PERCENTAGE})(?=([\s\S]{{0,{NEAR}}}))"), F.lit(g)) for g in (1, 2))
     # A percentage has two letters at least, so that what stands before one lies in NEAR / 2 others and the texts between.
     between = F.split(low, PERCENTAGE, -1)
-    told = _once(F.struct(said.alias("said"), ahead.alias("ahead"), between.alias("between")), lambda x: F.transform(x["said"], lambda raw, i: F.struct(raw.alias("raw"), F.concat(_before(x, i), raw, F.get(x["ahead"], i)).alias("near"))))
+    told = once(F.struct(said.alias("said"), ahead.alias("ahead"), between.alias("between")), lambda x: F.transform(x["said"], lambda raw, i: F.struct(raw.alias("raw"), F.concat(_before(x, i), raw, F.get(x["ahead"], i)).alias("near"))))
     judge = lambda m: F.struct(parse.rate(m["raw"], True).alias("value"), m["raw"].alias("raw"), m["near"].alias("near"))
     named = lambda r: r["near"].rlike(PROFIT)
     is_rate = lambda r: r["value"].isNotNull() & (named(r) | ((r["value"] < SHARE) & ~r["near"].rlike(NOT_A_RATE)))
     single = lambda found: F.when(F.size(F.array_distinct(F.transform(found, lambda r: r["value"]))) == 1, F.get(found, F.lit(0)))
     judged = F.filter(F.transform(told, judge), is_rate)
-    pick = _once(judged, lambda rates: F.coalesce(single(rates), single(F.filter(rates, named))))
+    pick = once(judged, lambda rates: F.coalesce(single(rates), single(F.filter(rates, named))))
     zero = F.regexp_extract(low, parse.ZERO_RATE, 0)
     none = F.when(zero != "", F.struct(F.lit(0).cast("decimal(20,6)").alias("value"), zero.alias("raw")))
-    made = _once(pick, lambda p: F.when(p.isNotNull(), F.struct(p["value"].alias("value"), p["raw"].alias("raw"))))
+    made = once(pick, lambda p: F.when(p.isNotNull(), F.struct(p["value"].alias("value"), p["raw"].alias("raw"))))
     return F.coalesce(F.when(low.rlike("%|yüzde"), made), none)
 
 
@@ -80,7 +75,7 @@ def _near(marks: Column, n: Column, far: int, *kinds: str) -> Column:
 
 def _pick(numbers: Column, when, begin=lambda n: n["s"], end=lambda n: n["e"]) -> Column:
     """The first number for which the rule holds, as struct<v, s, e>."""
-    return _once(F.get(F.filter(numbers, when), F.lit(0)), lambda n: F.when(n.isNotNull(), F.struct(n["v"].alias("v"), F.coalesce(begin(n), n["s"]).alias("s"), F.coalesce(end(n), n["e"]).alias("e"))))
+    return once(F.get(F.filter(numbers, when), F.lit(0)), lambda n: F.when(n.isNotNull(), F.struct(n["v"].alias("v"), F.coalesce(begin(n), n["s"]).alias("s"), F.coalesce(end(n), n["e"]).alias("e"))))
 
 
 def _first_mark(marks: Column, *kinds: str) -> Column:
@@ -104,7 +99,7 @@ def _rates(numbers: Column, marks: Column) -> Column:
         own = F.filter(rates, lambda r: r["named"])
         return F.when(values(rates) <= 1, rates).when(values(own) == 1, F.slice(own, 1, 1)).otherwise(F.slice(rates, 1, 0))
 
-    return _once(found, decided)
+    return once(found, decided)
 
 
 def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -112,6 +107,10 @@ def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
     row, in up to 19 fields. A text is scanned once for marks and numbers; every field is a rule over the marks beside a
     number or near it. What is not said gives no row: an upper limit makes no lower one. Evidence is the text at the place."""
     ready = parse.with_date_range(docs.select(F.col(ident), F.col(text).alias("_text"), parse.lowered(F.col(text)).alias("_low")), "_low", "_period", True)
+    # The first date of the text is looked for and cut out once, and only where a period was found.
+    dates = F.regexp_extract("_low", r"\d{1,2}\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{4}|\d{1,2}\s+\p{L}+\s+\d{4}", 0)
+    cut = once(dates, lambda raw: F.struct(raw.alias("raw"), snippet(F.col("_low"), raw).alias("evidence"), F.instr(F.col("_low"), raw).alias("at")))
+    ready = ready.withColumn("_date", F.when(F.coalesce("_period.start", "_period.end").isNotNull(), cut))
     ready = ready.withColumn("_scan", annotate.scanned("_text")).withColumns({"_numbers": _numbers(annotate.numbers_of("_scan")), "_marks": annotate.marks_of("_scan")})
     numbers, marks = F.col("_numbers"), F.col("_marks")
     money = lambda n: n["unit"] == "tl"
@@ -166,9 +165,9 @@ def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
     high_top = F.when(spend.isNull(), bound(top["v"]))
     financed = lambda v: F.when(c("_financed"), v)
     months = lambda v: F.when(term["unit"] == "year", v * MONTHS_OF_YEAR).otherwise(v).cast("int")
-    period, date_raw = c("_period"), F.regexp_extract("_low", rf"\d{{1,2}}\s*[./-]\s*\d{{1,2}}\s*[./-]\s*\d{{4}}|\d{{1,2}}\s+\p{{L}}+\s+\d{{4}}", 0)
+    period, date_raw = c("_period"), c("_date.raw")
     dated = F.when(period["precision"] == "exact", SURE).otherwise(UNSURE)
-    day = lambda field, value: F.when(value.isNotNull() & (date_raw != ""), F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit("date").alias("unit"), date_raw.alias("raw"), snippet(c("_low"), date_raw).alias("evidence"), F.instr("_low", date_raw).alias("at"), dated.cast("double").alias("confidence")))
+    day = lambda field, value: F.when(value.isNotNull() & (date_raw != ""), F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit("date").alias("unit"), date_raw.alias("raw"), c("_date.evidence").alias("evidence"), c("_date.at").alias("at"), dated.cast("double").alias("confidence")))
     kinds = [(F.lit(name), _first_mark(marks, *of)) for name, of in REWARD_KINDS]
     reward_at = F.coalesce(*[at for _, at in kinds])
     reward = reduce(lambda out, x: out.when(x[1].isNotNull(), x[0]), kinds[1:], F.when(kinds[0][1].isNotNull(), kinds[0][0]))

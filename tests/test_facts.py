@@ -1,5 +1,7 @@
 """Rule facts of single texts."""
 
+import re
+
 import pytest
 
 from tallyloom.functions import annotate
@@ -85,3 +87,18 @@ def test_evidence_is_the_text_at_its_place(found):
 def test_folding_keeps_places():
     for text in ("İSTANBUL ıIİi ẞß ŉ ﬁ", "K̇ ǅ"):
         assert len(annotate.folded(text)) == len(text)
+
+
+def test_words_that_begin_no_phrase_are_passed(spark):
+    """Phrases are found where they begin, behind digits and signs too; the first date is cut out once."""
+    every = [(kind, phrase.rstrip("*")) for kind, phrases in annotate.KINDS.items() for phrase in phrases]
+    assert all(re.match(rf"(?:{annotate._HEADS})", phrase) for _, phrase in every)
+    # As looked for one by one: the first kind with a phrase at the place.
+    for _, phrase in every:
+        first = next(kind for kind, phrases in annotate.KINDS.items() if re.match("|".join(map(annotate._shape, phrases)), phrase + " x"))
+        assert [m.lastgroup for m in annotate._SCAN.finditer(f"{phrase} x")][0] == first, phrase
+    assert [x[0] for x in annotate.scan("5tl: %3 İNDİRİM")[0]] == ["discount"] and annotate.folded("İIŞĞ ÂÎÛ") == "iisg aiu"
+    docs = spark.createDataFrame([(1, "Son gün 12 Mart 2026."), (2, "12 Mart 2026"), (3, None)], "id int, t string")
+    found = extraction.rule_facts(docs, "id", "t")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(r"\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{4}") == 1
+    assert [(r.id, r.field, r.value, r.raw, r.evidence, r["at"]) for r in found.collect()] == [(1, "end_date", "2026-03-12", "12 mart 2026", "son gün 12 mart 2026.", 9)]
