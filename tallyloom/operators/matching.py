@@ -123,20 +123,20 @@ def shared_selectors(options: DataFrame, site: str, page: str, option: str, over
     """The rows whose page shows a set of options that belongs to the whole site: another set of the site has at least
     `overlap` of the smaller one's options, or the same set stands on several pages. Equal sets are one node. The smaller of two such
     sets has one of its rarest options in common, so only as many of them are posted as may be missing and one more; the larger
-    ones come with all of theirs."""
+    ones come with all of theirs. A set looks for one other of either kind and stops at the first, so no pairs are kept."""
     sets = options.groupBy(site, page).agg(F.array_sort(F.collect_set(F.lower(option))).alias("_set"))
-    nodes = sets.groupBy(site, "_set").agg(F.count(F.lit(1)).alias("_pages")).withColumn("_key", F.sha2(F.concat_ws("\x1f", "_set"), 256))
-    posted = staged(nodes.select(site, "_key", F.size("_set").alias("_n"), F.explode("_set").alias("_o")), "options")
+    nodes = sets.groupBy(site, "_set").agg(F.count(F.lit(1)).alias("_pages"))
+    posted = staged(nodes.select(site, "_set", F.size("_set").alias("_n"), F.explode("_set").alias("_o")), "options")
     often = posted.groupBy(site, "_o").agg(F.count(F.lit(1)).alias("_f"))
-    rarest = F.row_number().over(Window.partitionBy(site, "_key").orderBy("_f", "_o"))  # a set's own options
+    rarest = F.row_number().over(Window.partitionBy(site, "_set").orderBy("_f", "_o"))  # a set's own options
     least = F.ceil(F.col("_n") * overlap - 1e-9)
-    small = posted.join(often, [site, "_o"]).withColumn("_place", rarest).filter(F.col("_place") <= F.col("_n") - F.greatest(F.lit(1), least) + 1).select(site, "_key", "_n", "_o")
-    large = posted.select(F.col(site).alias("_s"), F.col("_key").alias("_key2"), F.col("_n").alias("_n2"), F.col("_o").alias("_o2"))
-    met = small.join(large, (F.col(site) == F.col("_s")) & (F.col("_o") == F.col("_o2")) & (F.col("_key") != F.col("_key2")) & (F.col("_n") <= F.col("_n2"))).select(site, "_key", "_key2").distinct()
-    both = met.join(nodes.select(site, "_key", F.col("_set").alias("_a")), [site, "_key"]).join(nodes.select(site, F.col("_key").alias("_key2"), F.col("_set").alias("_b")), [site, "_key2"])
-    near = both.filter(F.size(F.array_intersect("_a", "_b")) >= overlap * F.least(F.size("_a"), F.size("_b")))
-    whole = nodes.filter("_pages > 1").select(site, "_key").unionByName(near.select(site, "_key")).unionByName(near.select(site, F.col("_key2").alias("_key"))).distinct()
-    marked = sets.withColumn("_key", F.sha2(F.concat_ws("\x1f", "_set"), 256)).join(whole, [site, "_key"]).select(site, page)
+    small = staged(posted.join(often, [site, "_o"]).withColumn("_place", rarest).filter(F.col("_place") <= F.col("_n") - F.greatest(F.lit(1), least) + 1).select(site, "_set", "_n", "_o"), "options")
+    other = lambda df: df.select(F.col(site).alias("_s"), F.col("_set").alias("_set2"), F.col("_n").alias("_n2"), F.col("_o").alias("_o2")).hint("merge")
+    enough = F.size(F.array_intersect("_set", "_set2")) >= overlap * F.least("_n", "_n2")
+    meet = (F.col(site) == F.col("_s")) & (F.col("_o") == F.col("_o2")) & (F.col("_set") != F.col("_set2"))
+    near = small.join(other(posted), meet & (F.col("_n") <= F.col("_n2")) & enough, "left_semi").unionByName(posted.join(other(small), meet & (F.col("_n2") <= F.col("_n")) & enough, "left_semi"))
+    whole = nodes.filter("_pages > 1").select(site, "_set").unionByName(near.select(site, "_set")).distinct()
+    marked = sets.join(whole, [site, "_set"]).select(site, page)
     return options.join(marked, [site, page], "left_semi")
 
 

@@ -149,3 +149,11 @@ def test_requests_stay_one_row_until_their_offers(spark, tmp_path):
     rows = offers.collect()
     assert len(rows) == 12_000 and {r.missing for r in rows if r.bank == "none"} == {finance.NO_RATE}
     assert len([r for r in rows if r.is_best]) == len({r.request for r in rows if r.rate is not None})
+
+
+def test_shared_options_keep_no_pairs(spark):
+    """A set looks for one other that is near and stops there: no join gives pairs of sets."""
+    df = spark.createDataFrame([("x", p, o) for p in range(6) for o in ("ab", "ac", "bc")[p % 3]], "s string, p int, o string")
+    plan = matching.shared_selectors(df, "s", "p", "o")._jdf.queryExecution().optimizedPlan().toString()
+    near = [line for line in plan.splitlines() if "array_intersect" in line]
+    assert len(near) == 2 and all("Join LeftSemi" in line for line in near)
