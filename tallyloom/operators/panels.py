@@ -32,21 +32,25 @@ def fee_rates(elements: DataFrame, ident: str, tabs: dict[str, str] = TABS, titl
     amount_min, amount_max, place (of the row), term_label, term_months, rate, evidence. A tab's link names its pane, a
     panel's button its body; a cell belongs to its row, a row to the body around it. Rows of fees and rows without any rate
     are left out; the lower rate counts if both are given. Pages join on their id only, each with its own elements."""
-    told = elements.filter(F.col("tag").isin("a", "ul", "button", "tr", "td") | F.col("element_id").isNotNull())
-    e = staged(told.select(ident, "pre", "parent", "tag", "element_id", "classes", "text", "above", F.col("attrs")["href"].alias("href"), F.col("attrs")["data-target"].alias("target")), "elements")  # read six times, parsed once
+    is_link = (F.col("tag") == "a") & F.startswith(F.col("attrs")["href"], F.lit("#"))
+    is_bar = (F.col("tag") == "ul") & F.array_contains("classes", "nav-pills")
+    is_title = (F.col("tag") == "button") & F.array_contains("classes", title_class) & (F.trim("text") != "")
+    is_rate = (F.col("tag") == "tr") & (F.size("cells") >= 6) & F.startswith(ascii_fold(lower_tr(F.trim(F.get("cells", F.lit(0))))), F.lit(RATE_ROW))
+    part = F.when(is_link, "link").when(is_bar, "bar").when(is_title, "title").when(is_rate, "rate")
+    told = elements.withColumn("part", part).filter(F.col("part").isNotNull() | F.col("element_id").isNotNull())
+    e = staged(told.select(ident, "pre", "part", "element_id", F.when(F.col("part").isin("link", "title"), F.col("text")).alias("text"), F.when(F.col("part") != "bar", F.col("above")).alias("above"), "cells", F.col("attrs")["href"].alias("href"), F.col("attrs")["data-target"].alias("target")), "elements")  # read five times, parsed once
     kind = F.create_map(*[F.lit(x) for pair in tabs.items() for x in pair])
-    links = e.filter((F.col("tag") == "a") & F.startswith("href", F.lit("#"))).select(ident, F.col("pre").alias("tab"), F.substring("href", 2, 2**31 - 1).alias("element_id"), kind[F.col("text")].alias("product_type"), "above").filter("product_type is not null")
-    pills = e.filter((F.col("tag") == "ul") & F.array_contains("classes", "nav-pills")).select(ident, F.col("pre").alias("around"))
+    links = e.filter("part = 'link'").select(ident, F.col("pre").alias("tab"), F.substring("href", 2, 2**31 - 1).alias("element_id"), kind[F.col("text")].alias("product_type"), "above").filter("product_type is not null")
+    pills = e.filter("part = 'bar'").select(ident, F.col("pre").alias("around"))
     tab = by_number(links.withColumn("around", F.explode("above")), pills, [ident, "around"])
     # A later link to the same pane, or a later element of the same id, doesn't count.
     named = e.filter("element_id is not null").groupBy(ident, "element_id").agg(F.min("pre").alias("around"))
     panes = by_number(tab.groupBy(ident, "element_id").agg(F.min(F.struct("tab", "product_type")).alias("t")).select(ident, "element_id", "t.*"), named, [ident, "element_id"]).select(ident, "tab", "product_type", "around")
-    buttons = e.filter((F.col("tag") == "button") & F.array_contains("classes", title_class) & (F.trim("text") != "")).select(ident, F.col("pre").alias("button"), F.col("text").alias("name"), F.regexp_replace(F.coalesce("target", F.lit("")), "^#", "").alias("element_id"), F.explode("above").alias("around"))
+    buttons = e.filter("part = 'title'").select(ident, F.col("pre").alias("button"), F.col("text").alias("name"), F.regexp_replace(F.coalesce("target", F.lit("")), "^#", "").alias("element_id"), F.explode("above").alias("around"))
     panels = by_number(buttons, panes, [ident, "around"]).select(ident, "tab", "button", "product_type", "name", "element_id")
     numbered = Window.partitionBy(ident).orderBy("tab", "button")
     bodies = by_number(panels.withColumn("panel", F.rank().over(numbered).cast("long")), named, [ident, "element_id"])
-    cells = e.filter("tag = 'td'").groupBy(ident, F.col("parent").alias("pre")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda x: x["text"]).alias("c")).filter((F.size("c") >= 6) & F.startswith(ascii_fold(lower_tr(F.trim(F.col("c")[0]))), F.lit(RATE_ROW)))
-    rows = by_number(e.filter("tag = 'tr'").select(ident, "pre", "above"), cells, [ident, "pre"]).withColumn("around", F.explode("above"))
+    rows = e.filter("part = 'rate'").select(ident, "pre", F.col("cells").alias("c"), F.explode("above").alias("around"))
     in_body = by_number(rows, bodies, [ident, "around"])
     fee, low, high = F.col("c")[0], F.col("c")[2], F.col("c")[4]
     rate = lambda c: parse.decimal_tr(F.trim(F.replace(c, F.lit("%"), F.lit(""))))

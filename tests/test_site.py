@@ -101,3 +101,40 @@ def test_elements_come_in_batches(spark):
     pages = spark.createDataFrame([(i, "<p><b><a href='/x'>t</a></b></p>" * 30_000) for i in range(2)], "page_id long, html string").coalesce(1)
     out = elements(pages, "page_id", "html", tags=("a",))
     assert out.count() == 60_000 and out.filter("tag <> 'a'").isEmpty() and out.selectExpr("max(size(above))").first()[0] == 2
+
+
+def test_plain_markup_is_read_as_by_the_standard_parser():
+    from html.parser import HTMLParser
+
+    from tallyloom.functions.markup import Markup
+
+    def told(parser, page):
+        class Told(parser):
+            def __init__(self):
+                super().__init__(convert_charrefs=True)
+                self.out = []
+                self.feed(page)
+                self.close()
+
+            def handle_starttag(self, tag, attrs):
+                self.out.append((tag, tuple(attrs)))
+
+            def handle_endtag(self, tag):
+                self.out.append(("/", tag))
+
+            def handle_data(self, data):
+                self.out.append(data)
+
+        return Told().out
+
+    pages = [
+        "", "x &amp; y", FEES, '<!DOCTYPE html><P Class="a&lt;b" id="1" id="2">a<b>c</b>&nbsp;&am</P>', "<script>var a='</p>';</script>x<style>p</style >y", "<script>x", "a < b<p>c", "<a href=x>y</a>z", '<a href="x"b="y">', "<!-- a-b --><p>x<!-- c -->y</p x>z", "<p", "a<p>&quo", "<br/>x</>",
+    ]
+    for page in pages:
+        assert told(Markup, page) == told(HTMLParser, page)
+
+
+def test_rows_of_a_table_know_their_cells_and_named_elements_around(spark):
+    page = '<div id="d"><table><tr><td>a <b>1</b></td><th>h</th><td></td></tr><tr><td><table><tr><td>in</td></tr></table></td></tr></table></div>'
+    found = elements(spark.createDataFrame([(1, page)], "page_id long, html string"), "page_id", "html", tags=("tr",), named=True).filter("tag = 'tr'").orderBy("pre")
+    assert [(r["cells"], r["above"]) for r in found.collect()] == [(["a 1", ""], [0]), (["in"], [0]), (["in"], [0])]
