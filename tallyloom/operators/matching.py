@@ -63,21 +63,30 @@ SURE = {"title": 0.90, "slug": 0.85, "body": 0.60}
 def contains_match(campaigns: DataFrame, products: DataFrame, on: str, campaign: str, product: str, title: str, address: str, body: str, name: str, slug: str, least: int = 10, window: int = 2500) -> DataFrame:
     """on, campaign, product, method, confidence, evidence: products of the same bank that a campaign names. The core of the name
     in the title, else the product's slug in the address, else the core in the first `window` letters of the body. Cores and
-    slugs shorter than `least` letters name nothing. Evidence is the title, the slug, or the body around the name."""
-    c = campaigns.select(on, campaign, F.col(title).alias("_said"), F.col(body).alias("_raw"), fold(F.col(title)).alias("_title"), fold(F.col(address)).alias("_slug"), F.substring(fold(F.coalesce(F.col(body), F.lit(""))), 1, window).alias("_body"))
-    p = products.select(on, product, core_name(F.col(name)).alias("_core"), fold(F.col(slug)).alias("_own")).filter(F.length("_core") >= least)
-    p = p.withColumns({"_n_core": F.array("_core"), "_n_slug": F.when(F.length("_own") >= least, F.array("_own")).otherwise(F.array().cast("array<string>"))})
+    slugs shorter than `least` letters name nothing. Evidence is the title, the slug, or the body around the name. Campaigns with
+    equal texts are one until the last step, and so are equal products: only the result holds all pairs."""
+    digest = lambda *columns: F.sha2(F.to_json(F.struct(on, *columns)), 256)
+    every_c = campaigns.withColumn("_c", digest(title, address, body))
+    c = every_c.select(on, "_c", F.col(title).alias("_said"), F.col(address).alias("_at"), F.col(body).alias("_raw")).distinct()
+    c = staged(c.select(on, "_c", "_said", "_raw", fold(F.col("_said")).alias("_title"), fold(F.col("_at")).alias("_slug"), F.substring(fold(F.coalesce("_raw", F.lit(""))), 1, window).alias("_body")), "campaigns")
+    every_p = products.withColumn("_p", digest(name, slug))
+    p = every_p.select(on, "_p", F.col(name).alias("_name"), F.col(slug).alias("_own")).distinct()
+    p = p.select(on, "_p", core_name(F.col("_name")).alias("_core"), fold(F.col("_own")).alias("_own")).filter(F.length("_core") >= least)
+    p = staged(p.withColumns({"_n_core": F.array("_core"), "_n_slug": F.when(F.length("_own") >= least, F.array("_own")).otherwise(F.array().cast("array<string>"))}), "products")
     found = None
     for rank, (method, needle) in enumerate((("title", "_n_core"), ("slug", "_n_slug"), ("body", "_n_core"))):
-        pairs = contained(c, p, on, f"_{method}", needle).join(c.select(on, campaign, f"_{method}"), [on, f"_{method}"]).join(p.select(on, product, needle), [on, needle])
-        hits = pairs.select(on, campaign, product, F.struct(F.lit(rank).alias("rank"), F.lit(method).alias("method"), F.lit(SURE[method]).alias("confidence")).alias("h"))
+        pairs = contained(c, p, on, f"_{method}", needle).join(c.select(on, "_c", f"_{method}"), [on, f"_{method}"]).join(p.select(on, "_p", needle), [on, needle])
+        hits = pairs.select("_c", "_p", F.struct(F.lit(rank).alias("rank"), F.lit(method).alias("method"), F.lit(SURE[method]).alias("confidence")).alias("h"))
         found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy(on, campaign, product).agg(F.min("h").alias("h")).select(on, campaign, product, "h.method", "h.confidence")
+    best = found.groupBy("_c", "_p").agg(F.min("h").alias("h")).select("_c", "_p", "h.method", "h.confidence")
     at = F.instr("_body", F.col("_core"))
     around = F.trim(F.regexp_replace(F.substring(F.col("_raw"), F.greatest(F.lit(1), at - 40), F.length("_core") + F.least(at - 1, F.lit(40)) + 40), r"\s+", " "))
-    told = best.join(c.select(on, campaign, "_said", "_raw", "_body"), [on, campaign]).join(p.select(on, product, "_core", "_own"), [on, product])
+    told = best.join(c.select("_c", "_said", "_raw", "_body"), "_c").join(p.select("_p", "_core", "_own"), "_p")
     evidence = F.substring(F.when(F.col("method") == "title", F.col("_said")).when(F.col("method") == "slug", F.col("_own")).otherwise(around), 1, 300)
-    return told.select(on, campaign, product, "method", "confidence", evidence.alias("evidence"))
+    kinds = told.select("_c", "_p", "method", "confidence", evidence.alias("evidence"))
+    # Few rows become many in the last join, so these are dealt to all tasks, however small they are.
+    dealt = kinds.join(every_c.select("_c", on, campaign), "_c").repartition(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_p")
+    return dealt.join(every_p.select("_p", product), "_p").select(on, campaign, product, "method", "confidence", "evidence")
 
 
 def best_prefix(urls: DataFrame, url: str, prefixes: list[str]) -> DataFrame:

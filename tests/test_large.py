@@ -79,6 +79,16 @@ def test_products_that_campaigns_name(spark):
     assert got == {(1, 10): ("title", 0.9, "İHTİYAÇ FİNANSMANI fırsatı"), (2, 11): ("slug", 0.85, "konut-finansmani"), (3, 11): ("body", 0.6, "Bugün konut finansmanı ve daha fazlası")} or (3, 11) not in got
 
 
+def test_equal_campaigns_and_products_are_paired_last(spark):
+    c = spark.createDataFrame([("a", i, "Yeni konut finansmanı" if i % 2 else "Fırsat", "/x", None if i % 2 else "Şimdi konut finansmanı") for i in range(40)], "bank string, cid long, title string, url string, body string")
+    p = spark.createDataFrame([("a", i, "Konut Finansmanı", "konut-finansmani") for i in range(30)], "bank string, pid long, name string, slug string")
+    found = matching.contains_match(c, p, "bank", "cid", "pid", "title", "url", "body", "name", "slug")
+    got = {(x.cid, x.pid): (x.method, x.evidence) for x in found.collect()}
+    assert found.count() == len(got) == 1200 and got[1, 2] == ("title", "Yeni konut finansmanı") and got[2, 29] == ("body", "Şimdi konut finansmanı")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "cid#" in line and "pid#" in line for line in plan.splitlines())
+
+
 def test_offers_of_banks(spark):
     rates = spark.createDataFrame([("a", 1, "k", 12, 2.0, None, None), ("a", 2, "k", 24, 1.5, None, None), ("a", 3, "k", 36, 1.0, 5000.0, None), ("b", 4, "k", None, 1.0, None, None), ("c", 5, "k", 12, 0.0, None, 500.0), ("c", 6, "k", 12, None, None, None), ("d", 7, "t", 12, 1.0, None, None)], "bank string, product int, product_type string, term int, rate double, low double, high double")
     requests = spark.createDataFrame([(1, "k", 1000.0, 18), (2, "k", 300.0, 12), (3, "k", 9000.0, 40)], "request int, product_type string, amount double, term int")
