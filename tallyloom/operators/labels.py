@@ -142,9 +142,10 @@ def anchored_evidence(value: Column, text: Column, units: tuple[str, ...], windo
     around = f"[\\s\\S]{{0,{window}}}"
 
     def found(spelling: Column) -> Column:
+        # The digits themselves are looked for first, what stands around them only where they are.
         number = F.concat(F.lit(r"(?<!\d)(?<!\d[.,])\Q"), spelling, F.lit(r"\E(?!\d)(?![.,]\d)"))
-        pattern = F.concat(F.lit(f"{around}(?:(?<={unit}{around})"), number, F.lit("|"), number, F.lit(f"(?={around}{unit})){around}"))
-        return F.regexp_substr(text, pattern)
+        pattern = F.concat(F.lit(rf"{around}(?=\Q"), spelling, F.lit(rf"\E)(?:(?<={unit}{around})"), number, F.lit("|"), number, F.lit(f"(?={around}{unit})){around}"))
+        return F.when(F.contains(text, spelling), F.regexp_substr(text, pattern))
 
     parts = F.filter(F.transform(number_spellings(value.try_cast("double")), found), lambda p: p.isNotNull() & (F.length(p) >= least))
     return F.get(parts, F.lit(0))
@@ -153,7 +154,7 @@ def anchored_evidence(value: Column, text: Column, units: tuple[str, ...], windo
 def first_reward(text: Column, amount: str, totals: tuple[str, ...], near: int = 40) -> Column:
     """The first amount (a pattern) with no phrase of a common total within `near` characters before it; null if none."""
     total = "|".join(f"\\Q{t}\\E" for t in totals)
-    return F.regexp_substr(text, F.lit(f"(?<!(?i:{total})[\\s\\S]{{0,{near}}})(?:{amount})"))
+    return F.regexp_substr(text, F.lit(f"(?={amount})(?<!(?i:{total})[\\s\\S]{{0,{near}}})(?:{amount})"))
 
 
 def merchant_labels(docs: DataFrame, ident: str, title: str, merchants: DataFrame, axis: str, sure: float = 0.9, doubt: float = 0.2) -> DataFrame:

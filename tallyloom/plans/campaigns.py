@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text
 from tallyloom.operators import campaigns, evaluation, finance, labels
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import dealt, query, table
 from tallyloom.sources import feeds, sinks, staged
 
 STATUS_SQL = "CASE o_orderstatus WHEN 'F' THEN 'expired' WHEN 'O' THEN 'active' ELSE 'unknown' END"
@@ -265,7 +265,7 @@ def anchored_numbers(spark, sf):
     size = F.col("p_size") % 4
     told = F.when(size == 3, F.concat(F.lit("ödenecek 9"), number, F.lit(" TL olur"))).when(size == 2, F.concat(F.lit("ödenecek "), number, F.lit(" tutar TL olur"))).otherwise(F.concat(F.lit("ödenecek "), number, F.lit(" TL olur")))
     pay = F.when(F.col("p_size") % 2 == 0, "toplamda en çok 9000 TL verilir; her müşteri için harcamaya göre ödül 300 TL ve sonra 400 TL").otherwise("ödül 20 TL, toplamda 500 TL")
-    return table(spark, sf, "part").select("p_partkey", labels.anchored_evidence(number, told, ("tl", "lira")).alias("evidence"), labels.first_reward(pay, r"(?<!\d)\d+ TL", ("toplamda",)).alias("reward"))
+    return dealt(spark, sf, "part", "p_partkey", "p_size").select("p_partkey", labels.anchored_evidence(number, told, ("tl", "lira")).alias("evidence"), labels.first_reward(pay, r"(?<!\d)\d+ TL", ("toplamda",)).alias("reward"))
 
 
 @query("""

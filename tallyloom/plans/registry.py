@@ -22,3 +22,10 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """The columns of a table, its rows dealt to tasks by the key, for work that costs much a row: a table of narrow rows is
+    few files of few row groups, each of which is one task at most. Windows and groups by the key need no shuffle of their own."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf_dir, name).select(key, *columns).repartition(tasks, key)
