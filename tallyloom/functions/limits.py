@@ -60,16 +60,22 @@ def ltv_percent(text: Column, ready: bool = False) -> Column:
 
 def vehicle_age(text: Column, ready: bool = False) -> Column:
     """struct<lo, hi> in years: "0-3 yaş", new, "up to 5", used (1 and older)."""
-    low = _folded(text, ready)
-    rows = parse.followed(low)
     years = lambda n: F.when(F.length(n) <= 2, n.try_cast("int"))
-    span = once(parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], "yas")), lambda p: F.when(p.isNotNull(), F.struct(years(p["n"]).alias("a"), years(p["m"]).alias("b"))))
-    a, b = span["a"], span["b"]
-    most = once(parse.first_of(rows, lambda p: parse.begins(p["after"], r"yas\w*", "kadar")), lambda p: years(p["n"]))
-    new, used = low.rlike(parse.any_of(*NEW_ONES)), low.rlike(parse.any_of(*USED_ONES))
-    lo = F.when(a.isNotNull(), a).when(new, 0).when(most.isNotNull(), None).when(used, 1)
-    hi = F.when(a.isNotNull(), b).when(new, 0).when(most.isNotNull(), most)
-    return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def read(low: Column, rows: Column) -> Column:
+        span = parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], "yas"))
+        most = parse.first_of(rows, lambda p: parse.begins(p["after"], r"yas\w*", "kadar"))
+        found = F.struct(years(span["n"]).alias("a"), years(span["m"]).alias("b"), years(most["n"]).alias("most"), low.rlike(parse.any_of(*NEW_ONES)).alias("new"))
+        used = low.rlike(parse.any_of(*USED_ONES))
+
+        def told(x: Column) -> Column:
+            lo = F.when(x["a"].isNotNull(), x["a"]).when(x["new"], 0).when(x["most"].isNotNull(), None).when(used, 1)
+            hi = F.when(x["a"].isNotNull(), x["b"]).when(x["new"], 0).when(x["most"].isNotNull(), x["most"])
+            return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+        return once(found, told)
+
+    return once(_folded(text, ready), lambda low: once(parse.followed(low), lambda rows: read(low, rows)))
 
 
 def with_limits(df: DataFrame, text: str) -> DataFrame:
@@ -88,37 +94,55 @@ def with_limits(df: DataFrame, text: str) -> DataFrame:
 
 def value_band(text: Column, ready: bool = False) -> Column:
     """struct<lo, hi> of "değer <= 5 milyon", "5 milyon < değer <= 7 milyon", "10 milyon üzeri", "100 - 200"."""
-    low = _folded(text, ready)
     word = r"\s*(?:tl)?\s*"
     upper = rf"^[a-z\s]*(?:<=|<|≤)\s*{AMOUNT}{word}$|^{AMOUNT}{word}(?:ye|ya|e|a)?\s*(?:kadar|alti|ve alti)"
     both = rf"^{AMOUNT}{word}(?:<=|<|≤|-)[a-z\s]*(?:<=|<|≤)?\s*{AMOUNT}"
     lower = rf"^[a-z\s]*(?:>=|>|≥)\s*{AMOUNT}|^{AMOUNT}{word}(?:ve\s+)?(?:uzeri|ustu|uzerinde)"
-    top = F.coalesce(_amount(low, upper, 1), _amount(low, upper, 3))
-    a, b = _amount(low, both, 1), _amount(low, both, 3)
-    bottom = F.coalesce(_amount(low, lower, 1), _amount(low, lower, 3))
-    ranged = a.isNotNull() & b.isNotNull()
-    return F.struct(F.when(top.isNotNull(), None).when(ranged, F.least(a, b)).otherwise(bottom).alias("lo"), F.when(top.isNotNull(), top).when(ranged, F.greatest(a, b)).alias("hi"))
+
+    def told(low: Column, top: Column, pair: Column) -> Column:
+        bottom = F.coalesce(_amount(low, lower, 1), _amount(low, lower, 3))
+        a, b = pair["a"], pair["b"]
+        ranged = a.isNotNull() & b.isNotNull()
+        return F.struct(F.when(top.isNotNull(), None).when(ranged, F.least(a, b)).otherwise(bottom).alias("lo"), F.when(top.isNotNull(), top).when(ranged, F.greatest(a, b)).alias("hi"))
+
+    def read(low: Column) -> Column:
+        top = F.coalesce(_amount(low, upper, 1), _amount(low, upper, 3))
+        pair = F.struct(_amount(low, both, 1).alias("a"), _amount(low, both, 3).alias("b"))
+        return once(top, lambda t: once(pair, lambda p: told(low, t, p)))
+
+    return once(_folded(text, ready), read)
 
 
 def term_header(text: Column, ready: bool = False) -> Column:
     """struct<months, days_min, days_max> of a column head: "31 Günlük", "3 Aylık", "1 Yıl", "1 yıldan uzun"."""
-    low = _folded(text, ready)
-    days, months, years = (_number(low, rf"(\d+)\s*{unit}", 1) for unit in ("gun", "ay", "yil"))
-    bare = low.rlike("yil") & years.isNull() & months.isNull() & days.isNull()
-    out = F.when(days.isNotNull(), F.when(days >= 30, 1)).when(months.isNotNull(), months).when(years.isNotNull(), years * 12).when(bare, 12)
-    return F.struct(out.alias("months"), F.when(days.isNotNull(), days).when(months.isNull() & bare, 366).alias("days_min"), days.alias("days_max"))
+
+    def told(low: Column, x: Column) -> Column:
+        days, months, years = x["gun"], x["ay"], x["yil"]
+        bare = low.rlike("yil") & years.isNull() & months.isNull() & days.isNull()
+        out = F.when(days.isNotNull(), F.when(days >= 30, 1)).when(months.isNotNull(), months).when(years.isNotNull(), years * 12).when(bare, 12)
+        return F.struct(out.alias("months"), F.when(days.isNotNull(), days).when(months.isNull() & bare, 366).alias("days_min"), days.alias("days_max"))
+
+    def read(low: Column) -> Column:
+        return once(F.struct(*[_number(low, rf"(\d+)\s*{unit}", 1).alias(unit) for unit in ("gun", "ay", "yil")]), lambda x: told(low, x))
+
+    return once(_folded(text, ready), read)
 
 
 def option_limits(label: Column) -> Column:
     """struct<name, term_min, term_max, amount_min, amount_max> of a choice like "TAŞIT FİNANSMANI (1-48 AY)"."""
-    plain = F.trim(F.regexp_replace(label, r"\s+", " "))
-    inside = fold(F.regexp_extract(plain, r"\(([^()]*)\)*\s*$", 1))
-    name = F.trim(F.regexp_replace(plain, r"\([^()]*\)*\s*$", ""))
-    rows = parse.followed(inside)
-    joined = lambda unit: parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], unit))
-    term, amount = joined("ay"), joined("tl|₺")
-    lo, hi = parse.decimal_tr(amount["n"]), parse.decimal_tr(amount["m"])
-    return F.struct(F.when(name == "", plain).otherwise(name).alias("name"), term["n"].try_cast("int").alias("term_min"), term["m"].try_cast("int").alias("term_max"), F.when(lo > 0, lo).alias("amount_min"), hi.alias("amount_max"))
+    joined = lambda rows, unit: parse.first_of(rows, lambda p: (F.trim(p["after"]) == "-") & parse.begins(p["then"], unit))
+
+    def told(plain: Column, name: Column, term: Column, amount: Column) -> Column:
+        lo = once(parse.decimal_tr(amount["n"]), lambda n: F.when(n > 0, n))
+        return F.struct(F.when(name == "", plain).otherwise(name).alias("name"), term["n"].try_cast("int").alias("term_min"), term["m"].try_cast("int").alias("term_max"), lo.alias("amount_min"), parse.decimal_tr(amount["m"]).alias("amount_max"))
+
+    def read(plain: Column) -> Column:
+        inside = fold(F.regexp_extract(plain, r"\(([^()]*)\)*\s*$", 1))
+        name = F.trim(F.regexp_replace(plain, r"\([^()]*\)*\s*$", ""))
+        found = once(once(inside, parse.followed), lambda rows: F.struct(name.alias("name"), joined(rows, "ay").alias("term"), joined(rows, "tl|₺").alias("amount")))
+        return once(found, lambda x: told(plain, x["name"], x["term"], x["amount"]))
+
+    return once(F.trim(F.regexp_replace(label, r"\s+", " ")), read)
 
 
 def numbers_in(text: Column) -> Column:
@@ -132,12 +156,17 @@ def numbers_in(text: Column) -> Column:
 
 def rate_range(text: Column) -> Column:
     """struct<lo, hi> of percentages: two in a text with range words, else one bounded by words, else one for both."""
-    low = parse.lowered(text)
     shape = rf"{parse.any_of('%', 'yüzde')}\s*{parse.NUMBER}|{parse.NUMBER}\s*%"
-    tokens = F.transform(F.regexp_extract_all(low, F.lit(shape), F.lit(0)), lambda t: parse.decimal_tr(F.regexp_extract(t, parse.NUMBER, 0)))
-    x, y = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
-    ranged = x.isNotNull() & y.isNotNull() & low.rlike(parse.RANGE_WORD + r"|%\s*\d[\d.,]*\s*-")
-    one = F.coalesce(x, parse.rate(text))
-    lo = F.when(ranged, F.least(x, y)).when(low.rlike(parse.LOWER_BOUND), one).when(low.rlike(parse.UPPER_BOUND), None).otherwise(one)
-    hi = F.when(ranged, F.greatest(x, y)).when(low.rlike(parse.LOWER_BOUND), None).otherwise(one)
-    return F.struct(lo.alias("lo"), hi.alias("hi"))
+    bounds = lambda lo, hi: F.struct(lo.cast("decimal(20,6)").alias("lo"), hi.cast("decimal(20,6)").alias("hi"))
+
+    def told(low: Column, tokens: Column) -> Column:
+        x, y = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
+        ranged = x.isNotNull() & y.isNotNull() & low.rlike(parse.RANGE_WORD + r"|%\s*\d[\d.,]*\s*-")
+        single = lambda one: F.when(low.rlike(parse.LOWER_BOUND), bounds(one, F.lit(None))).when(low.rlike(parse.UPPER_BOUND), bounds(F.lit(None), one)).otherwise(bounds(one, one))
+        return F.when(ranged, bounds(F.least(x, y), F.greatest(x, y))).otherwise(once(F.coalesce(x, parse.rate(low, True)), single))
+
+    def read(low: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(low, F.lit(shape), F.lit(0)), lambda t: parse.decimal_tr(F.regexp_extract(t, parse.NUMBER, 0)))
+        return once(tokens, lambda found: told(low, found))
+
+    return once(parse.lowered(text), read)

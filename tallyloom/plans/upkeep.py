@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import boilerplate, chunks, limits, text
 from tallyloom.operators import audits, changes, matching, periods, sampling
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import dealt, query, table
 
 
 @query("""
@@ -44,9 +44,10 @@ def option_labels(spark, sf):
     """Labels of calculators, heads of columns, bands and numbers, written and read back."""
     size, price = F.col("p_size").cast("string"), F.col("p_retailprice")
     label = F.concat("p_name", F.lit("  (1-"), size, F.lit(" AY)"))
-    p = table(spark, sf, "part").select("p_partkey", label.alias("l"), F.concat(size, F.lit(" Yıl (%)")).alias("h"), F.concat(text.number_tr(price), F.lit(" TL < DEĞER <= "), text.number_tr(price * 3), F.lit(" TL")).alias("b"), F.concat(F.lit("01.02.2026 tarihinde "), text.number_tr(price)).alias("n"))
-    o, band = limits.option_limits(F.col("l")), limits.value_band(F.col("b"))
-    return p.select(
+    p = dealt(spark, sf, "part", "p_partkey", "p_name", "p_size", "p_retailprice").select("p_partkey", label.alias("l"), F.concat(size, F.lit(" Yıl (%)")).alias("h"), F.concat(text.number_tr(price), F.lit(" TL < DEĞER <= "), text.number_tr(price * 3), F.lit(" TL")).alias("b"), F.concat(F.lit("01.02.2026 tarihinde "), text.number_tr(price)).alias("n"))
+    read = p.select("p_partkey", "h", "n", limits.option_limits(F.col("l")).alias("o"), limits.value_band(F.col("b")).alias("band"))  # each text is read once
+    o, band = F.col("o"), F.col("band")
+    return read.select(
         "p_partkey", o["name"].alias("name"), o["term_min"].alias("term_min"), o["term_max"].alias("term_max"), limits.term_header(F.col("h"))["months"].alias("head_months"), band["lo"].cast("double").alias("band_lo"), band["hi"].cast("double").alias("band_hi"),
         F.get(limits.numbers_in(F.col("n")), F.lit(0)).cast("double").alias("number"),
     )
