@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import html, limits, parse, text
 from tallyloom.operators import facts, finance, labels, periods, sampling, tables
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import dealt, query, table
 from tallyloom.sources import feeds, sinks, staged
 
 
@@ -115,11 +115,12 @@ def tiers_splits_and_ages(spark, sf):
     split = F.concat(F.lit("%"), s(50 + size % 50), F.lit(" / %"), s(50 - size % 50))
     age = F.concat(s(size % 15), F.lit(" yaşına kadar 2. el taşıtlar"))
     rates = F.concat(F.lit("%"), F.format_number(1 + size / 100, 2), F.lit(" - %"), F.format_number(2 + size / 100, 2))
-    t, p, r = parse.tiers(tier), parse.profit_split(split), limits.rate_range(rates)
+    read = dealt(spark, sf, "part", "p_partkey", "p_size").select("p_partkey", parse.tiers(tier).alias("t"), parse.profit_split(split).alias("p"), limits.rate_range(rates).alias("r"), limits.vehicle_age(age).alias("a"))  # each text is read once
+    t, p, r = F.col("t"), F.col("p"), F.col("r")
     number = lambda c: c.cast("double")
-    return table(spark, sf, "part").select(
+    return read.select(
         "p_partkey", number(F.get(t, F.lit(0))["threshold"]).alias("first_threshold"), number(F.get(t, F.lit(0))["reward"]).alias("first_reward"), F.size(t).alias("n_tiers"), number(p["investor"]).alias("investor"), number(p["bank"]).alias("bank"),
-        limits.vehicle_age(age)["hi"].alias("years"), number(r["lo"]).alias("lo"), number(r["hi"]).alias("hi"),
+        F.col("a.hi").alias("years"), number(r["lo"]).alias("lo"), number(r["hi"]).alias("hi"),
     )
 
 

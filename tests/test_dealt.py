@@ -5,7 +5,7 @@ import pytest
 from tallyloom.plans import registry
 
 
-@pytest.mark.parametrize("name", ["anchored_numbers", "option_labels"])
+@pytest.mark.parametrize("name", ["anchored_numbers", "option_labels", "tiers_splits_and_ages"])
 def test_rows_are_dealt_to_tasks(spark, sf, name):
     query = registry.QUERIES[name](spark, sf)._jdf.queryExecution()
     assert query.toRdd().getNumPartitions() > 1
