@@ -57,20 +57,22 @@ def plan_totals(cells: DataFrame) -> DataFrame:
     """page_id, table_no, term_months, principal, profit, repayment, evidence of payment plans: tables with a row that heads
     the instalments' numbers, a column of the principal, and a row of totals below one instalment or more. The term counts the rows between; amounts
     come from the totals alone, columns of what remains due are no principal. Amounts that aren't there are null."""
-    cells = cells.withColumn("_t", fold(F.coalesce("text", F.lit(""))))
-    of_table = Window.partitionBy(*TABLE)
-    headed = cells.withColumn("_head", F.min(F.when(F.contains("_t", F.lit(PLAN_HEAD)), F.col("row_no"))).over(of_table)).filter("row_no >= _head")
-    ends = (F.col("col_no") == 0) & (F.col("row_no") > F.col("_head")) & F.contains("_t", F.lit(PLAN_TOTAL))
-    plans = headed.withColumn("_end", F.min(F.when(ends, F.col("row_no"))).over(of_table)).filter("row_no <= _end")
+    c = lambda name: lambda x: x[name]
+    has = lambda phrase: F.contains("_t", F.lit(phrase))
     word = F.coalesce(*[F.when(_any(F.col("_t"), words), F.lit(k)) for k, words in PLAN_COLUMNS.items()])
-    is_head = (F.col("row_no") == F.col("_head")) & ~F.contains("_t", F.lit(PLAN_BALANCE))
-    kinds = plans.filter(is_head).withColumn("kind", word).groupBy(*TABLE, "kind").agg(F.min("col_no").alias("col_no")).filter("kind is not null")
-    totals = plans.filter("row_no = _end").join(kinds, [*TABLE, "col_no"], "left")
-    amount = parse.money(F.col("text"))
-    sums = totals.groupBy(*TABLE).agg(*[F.max(F.when(F.col("kind") == k, amount)).alias(k) for k in PLAN_COLUMNS], _in_line().alias("evidence"))
-    terms = plans.groupBy(*TABLE).agg(F.count_distinct(F.when((F.col("row_no") > F.col("_head")) & (F.col("row_no") < F.col("_end")), F.col("row_no"))).cast("int").alias("term_months")).filter("term_months > 0")
-    planned = kinds.filter("kind = 'principal'").select(*TABLE)
-    return terms.join(sums, TABLE).join(planned, TABLE, "left_semi").select(*TABLE, "term_months", *PLAN_COLUMNS, "evidence")
+    read = cells.withColumn("_t", fold(F.coalesce("text", F.lit("")))).select(
+        *TABLE, F.struct("row_no", "col_no", "text", F.when(~has(PLAN_BALANCE), word).alias("kind")).alias("_cell"), F.when(has(PLAN_HEAD), F.col("row_no")).alias("_head"), F.when((F.col("col_no") == 0) & has(PLAN_TOTAL), F.col("row_no")).alias("_end")
+    )
+    tables = read.groupBy(*TABLE).agg(F.collect_list("_cell").alias("_cells"), F.min("_head").alias("_head"), F.collect_set("_end").alias("_ends")).filter("_head is not null")
+    plans = tables.withColumn("_end", F.array_min(F.filter("_ends", lambda n: n > F.col("_head")))).filter("_end is not null")
+    row = lambda n: F.filter("_cells", lambda x: x["row_no"] == F.col(n))
+    between = F.filter(F.transform("_cells", c("row_no")), lambda n: (n > F.col("_head")) & (n < F.col("_end")))
+    plans = plans.select(*TABLE, row("_head").alias("_heads"), row("_end").alias("_total"), F.size(F.array_distinct(between)).alias("term_months")).filter("term_months > 0")
+    at = lambda k: F.array_min(F.transform(F.filter("_heads", lambda x: x["kind"] == k), c("col_no")))
+    plans = plans.withColumns({f"_{k}": at(k) for k in PLAN_COLUMNS}).filter("_principal is not null")
+    amount = lambda k: F.array_max(F.transform(F.filter("_total", lambda x: x["col_no"] == F.col(f"_{k}")), lambda x: parse.money(x["text"])))
+    evidence = F.array_join(F.transform(F.array_sort(F.transform("_total", lambda x: F.struct(x["col_no"].alias("c"), x["text"].alias("t")))), c("t")), " | ")
+    return plans.select(*TABLE, "term_months", *[amount(k).alias(k) for k in PLAN_COLUMNS], evidence.alias("evidence"))
 
 
 def page_limits(pages: DataFrame, form: dict[str, str], text: dict[str, str], above_zero: Sequence[str] = ("amount_max",), out: str = "limits_source") -> DataFrame:

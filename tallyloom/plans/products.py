@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import extraction, labels, products, retrieval
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import dealt, query, table
 
 STATUS = ("expired", "active", "upcoming", "unknown")
 STATUS_SQL = "CASE event_id % 4 WHEN 0 THEN 'expired' WHEN 1 THEN 'active' WHEN 2 THEN 'upcoming' ELSE 'unknown' END"
@@ -83,7 +83,7 @@ def payment_plan_totals(spark, sf):
     head = [F.lit(t) for t in ("Taksit No", "Kalan Ana Para", "Taksit Tutarı", "Ana Para", "Kâr Tutarı")]
     lines = [[F.lit(str(n)), lira(cust), lira(cust), lira(cust), F.lit("125 TL")] for n in (1, 2)]
     total = [F.when(key % 4 != 1, "Toplam").otherwise("3"), F.lit(""), lira(cust + 1250), lira(cust + 1000), F.lit("250 TL")]
-    found = products.plan_totals(as_cells(table(spark, sf, "orders"), [head, *lines, total]))
+    found = products.plan_totals(as_cells(dealt(spark, sf, "orders", "o_orderkey", "o_custkey"), [head, *lines, total]))
     return found.select("page_id", "term_months", *[F.col(c).cast("double").alias(c) for c in ("principal", "profit", "repayment")])
 
 
