@@ -59,6 +59,10 @@ PRODUCT_CRITERIA = {
 }
 
 
+#: Up to so many first rows of a group are kept by every task before the groups come together (Spark's threshold for this).
+FIRST = 1000
+
+
 def criterion_of(criterion: str, rate_type: str | None = None) -> tuple[str, bool]:
     """Field and direction of a criterion; ValueError for one that is not known or that the type of rate has no field for."""
     if rate_type is None:
@@ -75,11 +79,16 @@ def criterion_of(criterion: str, rate_type: str | None = None) -> tuple[str, boo
 
 def rank_by(df: DataFrame, criterion: str, by: list[str], ident: str, limit: int | None = None, rate_type: str | None = None) -> DataFrame:
     """df with rank, status (ranked or no_data) and missing_reason under a criterion, in groups of any size. Ties go by `ident`.
-    Rows without the field are a group of their own in order of `ident`, without a rank. `limit` keeps so many of either."""
+    Rows without the field are a group of their own in order of `ident`, without a rank. `limit` keeps so many of either; as far as
+    FIRST, each task passes on no more than that of a group, and nothing else is shuffled."""
     field, descending = criterion_of(criterion, rate_type)
     value = F.col(field)
     status = F.when(value.isNotNull(), "ranked").otherwise("no_data")
-    out = placed(df.withColumn("status", status), [*by, "status"], [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.col(ident)])
+    order = [value.desc_nulls_last() if descending else value.asc_nulls_last(), F.col(ident)]
+    if limit is not None and limit <= FIRST:
+        out = df.withColumn("status", status).withColumn("place", F.row_number().over(Window.partitionBy(*by, "status").orderBy(*order)))
+    else:
+        out = placed(df.withColumn("status", status), [*by, "status"], order)
     kept = out if limit is None else out.filter(F.col("place") <= limit)
     missing = F.when(value.isNull(), F.lit(f"{field}: no data"))
     return kept.withColumns({"rank": F.when(value.isNotNull(), F.col("place")), "missing_reason": missing}).drop("place")
