@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import html, text
 from tallyloom.operators import answers, extraction, facts, filters, labels, ranking
 from tallyloom.plans import question
-from tallyloom.plans.registry import query, table
+from tallyloom.plans.registry import dealt, query, table
 from tallyloom.sources import feeds
 
 
@@ -97,7 +97,7 @@ SELECT k.seg, k.nat, CASE WHEN kind < 2 THEN 'aggregate' ELSE 'search' END AS in
 """)
 def questions_in_bulk(spark, sf):
     """A question per segment and nation, in four forms, some with another bank chosen; all are answered together."""
-    c = table(spark, sf, "customer")
+    c = dealt(spark, sf, "customer", "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
     nation = F.col("c_nationkey")
     corpus = c.select("c_custkey", F.col("c_mktsegment").alias("bank_code"), F.when(nation % 3 != 0, "active").otherwise("expired").alias("status"), F.array(F.when(nation % 2 == 0, "even").otherwise("odd")).alias("side"), F.col("c_acctbal").alias("balance"))
     name = F.initcap("c_mktsegment")

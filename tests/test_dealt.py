@@ -2,11 +2,21 @@
 
 import pytest
 
+from tallyloom.operators import ranking
 from tallyloom.plans import registry
 
 
-@pytest.mark.parametrize("name", ["anchored_numbers", "option_labels", "tiers_splits_and_ages"])
+@pytest.mark.parametrize("name", ["anchored_numbers", "option_labels", "tiers_splits_and_ages", "payment_plan_totals", "questions_in_bulk"])
 def test_rows_are_dealt_to_tasks(spark, sf, name):
     query = registry.QUERIES[name](spark, sf)._jdf.queryExecution()
     assert query.toRdd().getNumPartitions() > 1
     assert "hashpartitioning" in query.executedPlan().toString()
+
+
+def test_first_of_a_group_are_cut_before_the_shuffle(spark):
+    """With a limit every task passes on its first rows only: no ranges are written and nothing else is shuffled."""
+    df = spark.range(1000).selectExpr("id", "'b' as bank", "if(id % 3 = 0, null, id % 7) as cashback_pct")
+    out = ranking.rank_by(df, "en_yuksek_iade_orani", ["bank"], "id", limit=5)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.rank, r.id) for r in out.filter("rank is not null").orderBy("rank").collect()] == [(1, 13), (2, 20), (3, 34), (4, 41), (5, 55)]
+    assert sorted(r.id for r in out.filter("status = 'no_data'").collect()) == [0, 3, 6, 9, 12]
