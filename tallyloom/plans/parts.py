@@ -83,7 +83,7 @@ def periods_by_source(spark, sf):
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 4
     said = F.concat(F.date_format(day, "dd.MM.yyyy"), F.lit(" - "), F.date_format(F.date_add(day, 9), "dd.MM.yyyy"))
     valid = F.concat(F.lit("Kampanya "), said, F.lit(" tarihleri arasında geçerlidir."))
-    docs = table(spark, sf, "orders").select("o_orderkey", F.when(k == 0, said).otherwise(F.lit("x" * 300)).alias("field"), F.when(k <= 1, valid).otherwise("Koşul yok").alias("conditions"), F.when(k <= 2, valid).otherwise("Metin").alias("body"))
+    docs = dealt(spark, sf, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.when(k == 0, said).otherwise(F.lit("x" * 300)).alias("field"), F.when(k <= 1, valid).otherwise("Koşul yok").alias("conditions"), F.when(k <= 2, valid).otherwise("Metin").alias("body"))
     return periods.period_in_sources(docs, "o_orderkey", "field", "conditions", "body")
 
 
@@ -145,8 +145,8 @@ def tables_of_pages(spark, sf):
     rate = F.concat(F.lit("<h2>Oranlar</h2><table><tr><th>Vade</th><th>Kâr Payı Oranı</th><th>Tahsis Ücreti</th></tr><tr><td>"), s(size), F.lit("-"), s(size + 12), F.lit(" ay</td><td>%"), F.translate(value, ".", ","), F.lit("</td><td>5</td></tr><tr><td>99 ay</td><td></td><td>5</td></tr></table>"))
     ltv = F.concat(F.lit("<table><tr><th>Değer</th><th>A</th><th>B</th></tr><tr><td>"), s(size * 1000), F.lit(" TL - "), s(size * 2000), F.lit(" TL</td><td>"), s(90 - size % 10), F.lit("</td><td>"), s(70 - size % 10), F.lit("</td></tr></table>"))
     form = F.concat(F.lit("<form><input type=number name=n min=1 max="), s(size), F.lit("></form>"))
-    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.concat(rate, ltv, form).alias("html"))
-    cells = html.exploded(pages, "page_id", "html", "cells")
+    pages = dealt(spark, sf, "part", "p_partkey", "p_size", "p_retailprice").select(F.col("p_partkey").alias("page_id"), F.concat(rate, ltv, form).alias("html"))
+    cells = staged.staged(html.exploded(pages, "page_id", "html", "cells"), "cells")  # parsed once
     rates = tables.rate_rows(cells.filter("table_no = 0")).select("page_id", F.lit("rate").alias("kind"), F.col("lo_months").cast("double").alias("lo"), F.col("hi_months").cast("double").alias("hi"), F.lit(None).cast("string").alias("class"), F.col("rate").cast("double").alias("value"))
     ratios = tables.ltv_rows(cells.filter("table_no = 1")).select("page_id", F.lit("ltv").alias("kind"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "class", F.col("ratio").cast("double").alias("value"))
     controls = html.exploded(pages, "page_id", "html", "controls").select("page_id", F.lit("control").alias("kind"), F.col("least").cast("double").alias("lo"), F.col("most").cast("double").alias("hi"), F.col("kind").alias("class"), F.lit(None).cast("double").alias("value"))
