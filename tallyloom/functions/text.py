@@ -38,6 +38,12 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def kept(value: Column, holds) -> Column:
+    """A row with the value where it holds, else none: a generator that makes the value once, where a filter on a column would
+    make it again for itself."""
+    return F.explode(F.filter(F.array(value), holds))
+
+
 #: A text without signs beyond Latin letters has nothing to translate, and one without such white space nothing to collapse: one look at it instead
 #: of three tables and five shapes. U+0085, U+2028 and U+2029 end lines too.
 _ODD, _LOOSE = "[^\\x00-\\x9F\\u00C0-\\u017F]", "[\\r\\n\\t\\f\\x0B\\u0085\\u2028\\u2029]|  |^ | $"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import limits, parse
-from tallyloom.functions.text import fold
+from tallyloom.functions.text import fold, kept
 from tallyloom.sources.staged import staged
 
 #: Header words (folded) of the columns of rate tables; fixed values.
@@ -78,7 +78,8 @@ def tab_currencies(elements: DataFrame, ident: str) -> DataFrame:
     placed = e.withColumns({"place": F.row_number().over(beside) - 1, "bar": F.lag("text").over(beside)})
     words = F.filter(F.split(fold(F.coalesce("bar", F.lit(""))), r"[\s|/,]+"), lambda w: w != "")
     names = F.create_map(*[F.lit(x) for pair in TAB_CURRENCIES.items() for x in pair])
-    bars = placed.select(ident, F.col("pre").alias("parent"), words.alias("w")).filter(F.size("w").between(*TABS)).withColumn("codes", F.transform("w", lambda w: names[w])).filter(F.forall("codes", lambda c: c.isNotNull())).drop("w")
+    codes = F.transform(words, lambda w: names[w])
+    bars = placed.filter("bar is not null").select(ident, F.col("pre").alias("parent"), kept(codes, lambda c: F.size(c).between(*TABS) & F.forall(c, lambda x: x.isNotNull())).alias("codes"))
     held = placed.join(bars, [ident, "parent"]).select(ident, F.col("pre").alias("from"), F.col("last").alias("to"), F.get("codes", F.col("place")).alias("currency")).filter("currency is not null")
     every = e.filter("tag = 'table'")
     outer = every.select(F.col(ident).alias("_id"), F.col("pre").alias("_pre"), F.col("last").alias("_last"))
@@ -92,8 +93,7 @@ def matrix_rates(cells: DataFrame, currencies: DataFrame | None = None) -> DataF
     """page_id, table_no, lo, hi, term_months, term_days_min, currency, rate of matrices of terms (columns) by amounts (rows): tables
     with two heads or more that name a term. The currency is that of the caption and heads, else of the tab (from
     `currencies`: page_id, table_no, currency), else lira; rows of grams are gold. Rows of withholding are left out."""
-    heads = cells.filter("row_no = 0 and col_no > 0").withColumn("term", limits.term_header(F.col("text")))
-    known = heads.filter(F.col("term.months").isNotNull() | F.col("term.days_min").isNotNull())
+    known = cells.filter("row_no = 0 and col_no > 0").select(*KEY, "col_no", kept(limits.term_header(F.col("text")), lambda t: t["months"].isNotNull() | t["days_min"].isNotNull()).alias("term"))
     said = cells.filter("row_no = 0").groupBy(*KEY).agg(fold(F.concat_ws(" ", F.max("caption"), F.array_join(F.collect_list("text"), " "))).alias("_said"))
     matrices = known.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").join(said, KEY)
     of_caption = None
@@ -104,6 +104,6 @@ def matrix_rates(cells: DataFrame, currencies: DataFrame | None = None) -> DataF
     bands = cells.filter("row_no > 0 and col_no = 0").select(*KEY, "row_no", F.col("text").alias("band")).filter(~fold(F.col("band")).contains("stopaj"))
     bands = bands.withColumns({"amount": limits.value_band(F.col("band")), "grams": fold(F.col("band")).rlike(r"\bgr(am)?\b")})
     value = parse.decimal_tr(F.regexp_replace("text", r"[^0-9.,]", ""))
-    rates = cells.filter("row_no > 0 and col_no > 0").select(*KEY, "row_no", "col_no", value.alias("rate")).filter("rate is not null")
+    rates = cells.filter("row_no > 0 and col_no > 0").select(*KEY, "row_no", "col_no", kept(value, lambda v: v.isNotNull()).alias("rate"))
     out = rates.join(known.select(*KEY, "col_no", "term"), [*KEY, "col_no"]).join(bands, [*KEY, "row_no"]).join(matrices, KEY)
     return out.select(*KEY, F.col("amount.lo").alias("lo"), F.col("amount.hi").alias("hi"), F.col("term.months").alias("term_months"), F.col("term.days_min").alias("term_days_min"), F.when(F.col("grams"), "XAU").otherwise(F.col("currency")).alias("currency"), "rate")
