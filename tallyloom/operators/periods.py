@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import parse
 from tallyloom.functions.text import ascii_fold, lower_tr
+from tallyloom.sources.staged import staged
 
 # Words of lines that tell a period, and of lines that tell when the page was published; folded.
 PERIOD_WORDS = (
@@ -56,16 +57,20 @@ def campaign_period(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """ident, start, end, precision, evidence of every text. In this order: a short label with its dates in the lines below
     (the first one ends the search); the surest of the marked lines and of dates above a marked line, the first among
     equals; a line of nothing but dates. Lines about publication never count. Unknown if nothing is found."""
-    rows = period_lines(docs, ident, text)
+    # What tells nothing and belongs to no block goes at once, the rest is written, so that each line is looked at once.
+    rows = period_lines(docs, ident, text).withColumn("brief", F.length("folded") <= LABEL_CHARS)
+    # A range without letters has two dates of three numbers each: a single date alone would only be found to be unknown.
+    rows = rows.withColumn("ranged", F.col("pure") & (F.col("folded").rlike(r"\p{L}") | (F.regexp_count("folded", F.lit(r"\d+")) >= 6)))
+    rows = staged(rows.filter("part or marked or ranged").drop("folded", "pure"), "lines")
     after = _blocks(rows, ident, False)
     above = _blocks(rows, ident, True).withColumn("island", F.col("island") + 1)
     usable = rows.filter(~F.col("blank") & ~F.col("published"))
-    label = F.col("marked") & ~F.col("dated") & (F.length("folded") <= LABEL_CHARS)
+    label = F.col("marked") & ~F.col("dated") & F.col("brief")
     found = [
         usable.filter(label).join(after, [ident, "island"]).select(ident, "n", F.lit(3).alias("rule"), F.col("block").alias("said"), F.col("block").alias("evidence")),
         usable.filter(F.col("marked") & ~F.col("dated")).join(above, [ident, "island"]).select(ident, "n", F.lit(2).alias("rule"), F.concat_ws(" ", "block", "line").alias("said"), F.col("block").alias("evidence")),
         usable.filter("marked and dated").select(ident, "n", F.lit(2).alias("rule"), F.col("line").alias("said"), F.col("line").alias("evidence")),
-        usable.filter("pure").select(ident, "n", F.lit(1).alias("rule"), F.col("line").alias("said"), F.col("line").alias("evidence")),
+        usable.filter("ranged").select(ident, "n", F.lit(1).alias("rule"), F.col("line").alias("said"), F.col("line").alias("evidence")),
     ]
     candidates = found[0]
     for more in found[1:]:

@@ -23,7 +23,7 @@ def campaign_periods(spark, sf):
     banner = F.concat(F.lit("Kampanya\n"), digits(day), F.lit("\nTarihinde Sona Ermiştir.\nKoşullar"))
     other = F.concat(F.lit("Güncelleme Tarihi\n"), digits(day), F.lit("\n5 Ağustos 2023 tarihi itibarıyla müşteri olanlar"))
     k = F.col("o_orderkey") % 4
-    docs = table(spark, sf, "orders").select("o_orderkey", F.when(k == 0, field).when(k == 1, sentence).when(k == 2, banner).otherwise(other).alias("t"))
+    docs = dealt(spark, sf, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.when(k == 0, field).when(k == 1, sentence).when(k == 2, banner).otherwise(other).alias("t"))
     return periods.campaign_period(docs, "o_orderkey", "t").drop("evidence")
 
 
