@@ -190,3 +190,13 @@ def rule_facts(docs: DataFrame, ident: str, text: str) -> DataFrame:
 def first_facts(facts: DataFrame, ident: str) -> DataFrame:
     """Per entity and field the fact that stands first in the text."""
     return facts.groupBy(ident, "field").agg(F.min_by(F.struct("value", "raw", "confidence"), F.struct("at", "value")).alias("f")).select(ident, "field", "f.*")
+
+
+def text_metrics(docs: DataFrame, text: str, fields: list[str]) -> DataFrame:
+    """docs with a column per field: the value of the fact that stands first in the row's text (as first_facts has it); rows whose
+    text says nothing of any field are left out. Equal texts are read once: their facts become one row in one shuffle and meet
+    the rows by the text; a text of very many rows is no group of one task."""
+    said = rule_facts(docs.select(text).filter(F.col(text).isNotNull()).distinct(), text, text).filter(F.col("field").isin(*fields))
+    own = lambda f, c: F.when(F.col("field") == f, c)
+    found = said.groupBy(text).agg(*[F.min_by(own(f, F.col("value")), own(f, F.struct("at", "value"))).alias(f) for f in fields])
+    return docs.join(found.hint("merge"), text)

@@ -150,12 +150,9 @@ def rule_facts_roundtrip(spark, sf):
     sentence = F.concat(
         F.lit("Aylık %"), text.number_tr(F.col("l_tax") * 100), F.lit(" kâr payı ile "), q, F.lit(" ay vade. "), q, F.lit(" bin TL ve üzeri alışverişlere "), F.col("l_linenumber").cast("string"), F.lit(" taksit. Son gün "), text.date_tr(F.to_date("l_shipdate")), F.lit("."),
     )
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_tax", "l_quantity", F.date_format("l_shipdate", "yyyyMMdd"))
-    docs = table(spark, sf, "lineitem").select(key.alias("k"), sentence.alias("t")).distinct()
-    found = extraction.first_facts(extraction.rule_facts(docs, "k", "t"), "k")
-    wide = facts.to_metrics(found, "k", "field", "value", ["profit_rate_pct", "term_months_min", "min_spend_try", "installment_count", "end_date"])
-    part = lambda i: F.get(F.split("k", "-"), F.lit(i))
-    return wide.select(
-        part(0).cast("long").alias("l_orderkey"), part(1).cast("int").alias("l_linenumber"), F.round(F.col("profit_rate_pct").cast("double"), 2).alias("rate"), F.col("term_months_min").cast("int").alias("months"),
+    docs = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", sentence.alias("t")).distinct()
+    found = extraction.text_metrics(docs, "t", ["profit_rate_pct", "term_months_min", "min_spend_try", "installment_count", "end_date"])
+    return found.select(
+        "l_orderkey", "l_linenumber", F.round(F.col("profit_rate_pct").cast("double"), 2).alias("rate"), F.col("term_months_min").cast("int").alias("months"),
         F.col("min_spend_try").cast("double").cast("int").alias("spend"), F.col("installment_count").cast("int").alias("instalments"), F.col("end_date").cast("date").alias("until"),
     )

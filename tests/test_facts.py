@@ -102,3 +102,21 @@ def test_words_that_begin_no_phrase_are_passed(spark):
     found = extraction.rule_facts(docs, "id", "t")
     assert found._jdf.queryExecution().optimizedPlan().toString().count(r"\s*[./-]\s*\d{1,2}\s*[./-]\s*\d{4}") == 1
     assert [(r.id, r.field, r.value, r.raw, r.evidence, r["at"]) for r in found.collect()] == [(1, "end_date", "2026-03-12", "12 mart 2026", "son gün 12 mart 2026.", 9)]
+
+
+def test_equal_texts_are_read_once(spark):
+    """Rows meet the facts of their text; the scan has each text once, however many rows share it."""
+    docs = spark.createDataFrame([(1, "%2 kâr payı, 12 ay vade. %3 indirim"), (2, "%2 kâr payı, 12 ay vade. %3 indirim"), (3, "6 taksit ve 9 taksit"), (4, "hiç"), (5, None), (6, "%3 indirim")], "i int, t string")
+    fields = ["profit_rate_pct", "term_months_min", "installment_count"]
+    found = extraction.text_metrics(docs, "t", fields)
+    number = lambda v: None if v is None else float(v)
+    assert {(r.i, *(number(r[f]) for f in fields)) for r in found.collect()} == {(1, 2, 12, None), (2, 2, 12, None), (3, None, None, 6)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"ArrowEvalPython[\s\S]*Aggregate \[[^,\]]+\], ", plan)
+
+
+def test_sentences_of_rows_are_read_once(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["rule_facts_roundtrip"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"ArrowEvalPython[\s\S]*Aggregate \[[^,\]]+\], ", plan)  # of the sentence alone
