@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import parse
+from tallyloom.functions.elements import BARE, BATCH, Tree, folded
 from tallyloom.functions.text import ascii_fold, lower_tr, slugify
 from tallyloom.sources.staged import staged
 
-# What the tabs of a fee page stand for, how a row of a profit rate begins (folded).
+# What the tabs of a fee page stand for, how a row of a profit rate begins (folded), cells that it has
+# at least.
 TABS = {"İhtiyaç Finansmanı": "ihtiyac_finansmani", "Konut Finansmanı": "konut_finansmani", "Taşıt Finansmanı": "tasit_finansmani"}
-RATE_ROW = "kar oran"
+RATE_ROW, ROW_CELLS = "kar oran", 6
+#: The cells of such a row that are read.
+ROW = {"fee": 0, "low": 2, "high": 4, "note": 5}
 
 
 def by_number(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -35,7 +43,7 @@ def fee_rates(elements: DataFrame, ident: str, tabs: dict[str, str] = TABS, titl
     is_link = (F.col("tag") == "a") & F.startswith(F.col("attrs")["href"], F.lit("#"))
     is_bar = (F.col("tag") == "ul") & F.array_contains("classes", "nav-pills")
     is_title = (F.col("tag") == "button") & F.array_contains("classes", title_class) & (F.trim("text") != "")
-    is_rate = (F.col("tag") == "tr") & (F.size("cells") >= 6) & F.startswith(ascii_fold(lower_tr(F.trim(F.get("cells", F.lit(0))))), F.lit(RATE_ROW))
+    is_rate = (F.col("tag") == "tr") & (F.size("cells") >= ROW_CELLS) & F.startswith(ascii_fold(lower_tr(F.trim(F.get("cells", F.lit(0))))), F.lit(RATE_ROW))
     part = F.when(is_link, "link").when(is_bar, "bar").when(is_title, "title").when(is_rate, "rate")
     told = elements.withColumn("part", part).filter(F.col("part").isNotNull() | F.col("element_id").isNotNull())
     e = staged(told.select(ident, "pre", "part", "element_id", F.when(F.col("part").isin("link", "title"), F.col("text")).alias("text"), F.when(F.col("part") != "bar", F.col("above")).alias("above"), "cells", F.col("attrs")["href"].alias("href"), F.col("attrs")["data-target"].alias("target")), "elements")  # read five times, parsed once
@@ -50,19 +58,84 @@ def fee_rates(elements: DataFrame, ident: str, tabs: dict[str, str] = TABS, titl
     panels = by_number(buttons, panes, [ident, "around"]).select(ident, "tab", "button", "product_type", "name", "element_id")
     numbered = Window.partitionBy(ident).orderBy("tab", "button")
     bodies = by_number(panels.withColumn("panel", F.rank().over(numbered).cast("long")), named, [ident, "element_id"])
-    rows = e.filter("part = 'rate'").select(ident, "pre", F.col("cells").alias("c"), F.explode("above").alias("around"))
-    in_body = by_number(rows, bodies, [ident, "around"])
-    fee, low, high = F.col("c")[0], F.col("c")[2], F.col("c")[4]
+    rows = e.filter("part = 'rate'").select(ident, "pre", *[F.get("cells", F.lit(at)).alias(name) for name, at in ROW.items()], F.explode("above").alias("around"))
+    return _rates_of_rows(by_number(rows, bodies, [ident, "around"]), ident)
+
+
+def _rates_of_rows(in_body: DataFrame, ident: str) -> DataFrame:
+    """The rates of the rows of profit rates in the bodies of panels: page id, panel, product_type, name, pre and the
+    cells of ROW."""
+    fee, low, high, note = map(F.col, ROW)
     rate = lambda c: parse.decimal_tr(F.trim(F.replace(c, F.lit("%"), F.lit(""))))
     term, band = _bracket(fee, "ay"), _bracket(F.col("name"), "tl")
     out = in_body.withColumns({"rate": F.coalesce(rate(low), rate(high)), "term": term, "band": band}).filter("rate is not null")
     return out.select(
         ident, "panel", "product_type", "name", parse.decimal_tr(F.col("band")[0]).alias("amount_min"), parse.decimal_tr(F.col("band")[1]).alias("amount_max"), F.col("pre").alias("place"),
         F.when(F.col("term").isNotNull(), F.concat(F.col("term")[0], F.lit("-"), F.col("term")[1], F.lit(" ay vade"))).alias("term_label"), F.col("term")[1].cast("int").alias("term_months"), "rate",
-        F.trim(F.concat(fee, F.lit(" — Asgari "), low, F.lit(", Azami "), high, F.lit(". "), F.col("c")[5])).alias("evidence"),
+        F.trim(F.concat(fee, F.lit(" — Asgari "), low, F.lit(", Azami "), high, F.lit(". "), note)).alias("evidence"),
     )
 
 
+def panel_rows(t: Tree, tabs: dict[str, str], title_class: str) -> Iterator[tuple]:
+    """Panel, product type, name, number and the cells of ROW of a page's rows of profit rates, as fee_rates says."""
+    named: dict[str, int] = {}
+    links, pills, buttons, cells = [], [], [], {}
+    for k, tag in enumerate(t.tag):
+        own = t.attrs[k]
+        if own and "id" in own:
+            named.setdefault(own["id"], k)
+        if tag == "td":
+            if (p := t.parent[k]) in cells:
+                cells[p].append(k)
+        elif tag == "tr":
+            cells[k] = []
+        elif own is BARE:
+            continue
+        elif tag == "a" and own.get("href", "").startswith("#"):
+            links.append(k)
+        elif tag == "ul" and "nav-pills" in t.classes(k):
+            pills.append(k)
+        elif tag == "button" and title_class in t.classes(k):
+            buttons.append(k)
+    panes: dict[str, tuple[int, str]] = {}  # the first link to a pane counts
+    for k in links:
+        ident, kind = t.attrs[k]["href"][1:], tabs.get(t.text(k))
+        if kind is not None and ident in named and ident not in panes and any(p < k <= t.last[p] for p in pills):
+            panes[ident] = k, kind
+    places = [k for k, below in cells.items() if len(below) >= ROW_CELLS and folded(t.text(below[0])[: len(RATE_ROW)]) == RATE_ROW]
+    within = lambda places, k: places[bisect_right(places, k) : bisect_right(places, t.last[k])]
+    panel = 0
+    for ident, (_, kind) in panes.items():
+        for k in within(buttons, named[ident]):
+            if name := t.text(k):
+                panel += 1
+                body = named.get(t.attrs[k].get("data-target", "").removeprefix("#"))
+                for row in within(places, body) if body is not None else ():
+                    yield panel, kind, name, row, *[t.text(cells[row][at]) for at in ROW.values()]
+
+
+def page_fee_rates(pages: DataFrame, ident: str, html: str, tabs: dict[str, str] = TABS, title_class: str = "custom-accordion__title") -> DataFrame:
+    """The rows of fee_rates for whole pages: what belongs to what is told where a page is parsed, from the intervals of its own
+    elements, so that no elements are written, sorted or joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in schema]
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+        for batch in batches:
+            for i, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for row in panel_rows(Tree(h.as_py() or ""), tabs, title_class):
+                    for column, value in zip(out, (i, *row), strict=True):
+                        column.append(value)
+                if len(out[0]) >= BATCH:
+                    yield rows()
+                    out = [[] for _ in schema]
+        yield rows()
+
+    schema = pa.schema([("id", pa.int64()), ("panel", pa.int64()), ("product_type", pa.string()), ("name", pa.string()), ("pre", pa.int32()), *[(c, pa.string()) for c in ROW]])
+    base = pages.select(F.col(ident).cast("long").alias("id"), F.col(html).cast("string").alias("html"))
+    return _rates_of_rows(base.mapInArrow(run, "id long, panel long, product_type string, name string, pre int, " + ", ".join(f"{c} string" for c in ROW)).withColumnRenamed("id", ident), ident)
+
+
 def fee_products(rates: DataFrame, ident: str, slug: Column | None = None) -> DataFrame:
     """A product per panel with its rates in order. Its key has the page's slug, the panel's number and its name, so that it never
     meets a product of that name from another page."""

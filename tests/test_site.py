@@ -138,3 +138,47 @@ def test_rows_of_a_table_know_their_cells_and_named_elements_around(spark):
     page = '<div id="d"><table><tr><td>a <b>1</b></td><th>h</th><td></td></tr><tr><td><table><tr><td>in</td></tr></table></td></tr></table></div>'
     found = elements(spark.createDataFrame([(1, page)], "page_id long, html string"), "page_id", "html", tags=("tr",), named=True).filter("tag = 'tr'").orderBy("pre")
     assert [(r["cells"], r["above"]) for r in found.collect()] == [(["a 1", ""], [0]), (["in"], [0]), (["in"], [0])]
+
+
+NESTED = """<ul class="x nav-pills"><li><a href="#a">Konut Finansmanı</a><li><a href="#b">Taşıt  Finansmanı</a><li><a href="#a">Taşıt Finansmanı</a></ul><a href="#c">Konut Finansmanı</a>
+<div id="a"><button class="custom-accordion__title" data-target="#r1">Bir (0-5.000 TL)</button><div id="b"><button class="custom-accordion__title" data-target="r1">İki</button><button class="custom-accordion__title"> </button>
+<button class="custom-accordion__title" data-target="#none">Yok</button></div></div><div id="c"><button class="custom-accordion__title" data-target="#r1">Üç</button></div>
+<div id="r1"><table><tr><td>KÂR ORANI (3-12 ay)<td>x<td>%2<td>x<td>-<td>n</tr><tr id="r1"><th>Kâr oranı</th><td>Kâr oranı</td><td></td><td>4 %</td><td></td><td>5</td><td>m</td></tr></table></div>"""
+
+
+def test_panels_are_told_where_a_page_is_parsed(spark):
+    """Nothing is written, sorted or joined by element, and the rows are those of the joins."""
+    pages = spark.createDataFrame([(1, FEES), (2, None), (3, "<p>x</p>"), (4, NESTED)], "page_id long, html string")
+    rates = panels.page_fee_rates(pages, "page_id", "html")
+    plan = rates._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("MapInArrow") == 1
+    assert sorted(map(str, rates.collect())) == sorted(map(str, panels.fee_rates(elements(pages, "page_id", "html"), "page_id").collect()))
+    assert {(r.panel, r["name"], float(r.rate)) for r in rates.filter("page_id = 4").collect()} == {(n, name, rate) for n, name in ((1, "Bir (0-5.000 TL)"), (2, "İki"), (4, "İki")) for rate in (2, 4)}  # a button in two panes is a panel of each
+
+
+def test_fee_panels_joins_no_elements(spark, sf):
+    from tallyloom.plans import registry
+
+    plan = registry.QUERIES["fee_panels"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_leaves_in_a_row_are_elements_as_others_are():
+    class Plain(Tree):
+        def handle_leaf(self, tag, attrs, text):
+            self.handle_starttag(tag, attrs)
+            if text:
+                self.handle_data(text)
+            self.handle_endtag(tag)
+
+        def handle_leaves(self, tag, texts):
+            for text in texts:
+                self.handle_leaf(tag, [], text)
+
+    told = lambda t: (t.tag, t.attrs, t.parent, t.last, t.first_piece, t.end_piece, t.pieces)
+    pages = [
+        FEES, NESTED, "<table><tr><td>1</td><td>2</td><td></td><td>&lt;4</td>x</table>", "<td>1<td>2</td><td>3</td><td>4</td>", "<Td>1</Td><Td>2</Td>", "<td>1</td><TD>2</TD><td>3</TD>", "<p>a<p>b</p><p>c</p><p>d</p>", "<br>a</br><br>b</br>x", "<svg><i>a</i><i>b</i></svg><i>c</i><i>d</i>",
+        "<script>a</script><script>b</script>c", '<li class="x">a</li><li>b</li><li>c</li>', "<b></b><b></b>", "<i>a</i><i>b</i><i>c<u>d</i>",
+    ]
+    for page in pages:
+        assert told(Tree(page)) == told(Plain(page)), page
